@@ -42,9 +42,10 @@ class Stream:
     width: int
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, end_id: int | None = 1) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, end_id: int | None = 1, with_ids: bool = True) -> DataFrame:
     """One row a document: its ids (little-endian unsigned), closed by ``end_id``
-    unless that is None, and its offset among the partition's tokens."""
+    unless that is None, and its offset among the partition's tokens.  Without
+    ``with_ids`` the ids are null."""
     path = path or tokens.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,11 +53,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, end_id: int | Non
         for batch in batches:
             flat, counts = enc.encode_batch(batch.column(1).to_pylist())
             if end_id is not None:
-                flat = np.insert(flat, np.cumsum(counts), end_id)
+                flat = np.insert(flat, np.cumsum(counts), end_id) if with_ids else flat
                 counts = counts + 1
             ends = np.cumsum(counts)
-            offsets = np.concatenate([[0], ends * enc.width]).astype(np.int64)
-            ids = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())])
+            if with_ids:
+                offsets = np.concatenate([[0], ends * enc.width]).astype(np.int64)
+                ids = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())])
+            else:
+                ids = pa.nulls(len(counts), pa.large_binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(counts), part, np.int32)), pa.array(at + ends - counts), batch.column(0), pa.array(counts), ids.cast(pa.binary())],
                 names=["part", "start_in_part", "doc_id", "n_tokens", "ids"],

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import packing
+from strandline.llm import lengths, mixing, ordering, packing, sharding, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,67 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), length=2048, end_id=1)
+
+
+@query
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents at constant weights 1, 2, 3, in training order."""
+    return mixing.curriculum(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packed sequence's slot, as read back from the written shards."""
+    return ordering.materialise(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens at every context limit that is some document's length."""
+    return lengths.token_counts(table(spark, sf_dir, "documents"))
+
+
+#: The production shards of op10; names, not numbers, so that one can leave.
+SHARDS = [f"shard-{i:02d}" for i in range(40)]
+
+
+@query
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return sharding.assign(docs.select("doc_id", "n_chars"), "doc_id", SHARDS)
+
+
+ORACLES["op10_shard"] = f"""
+WITH RECURSIVE shards AS (
+  SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name FROM range({len(SHARDS)}) t(i)
+), prefs AS (
+  SELECT i, name,
+         ('0x' || substr(sha256('offset:' || name), 1, 16))::UBIGINT % {sharding.SLOTS} AS off,
+         ('0x' || substr(sha256('skip:' || name), 1, 16))::UBIGINT % {sharding.SLOTS - 1} + 1 AS skip
+  FROM shards
+), walk AS (
+  SELECT i, list(((off + j * skip) % {sharding.SLOTS})::INTEGER ORDER BY j) AS w
+  FROM prefs, range({sharding.SLOTS}) r(j) GROUP BY i
+), walks AS (SELECT list(w ORDER BY i) AS ws FROM walk),
+claims(turn, slot, taken) AS (
+  SELECT -1::BIGINT, -1, list_value()::INTEGER[] FROM walks
+  UNION ALL
+  SELECT turn + 1, s, list_append(taken, s) FROM (
+    SELECT turn, taken, list_filter(ws[(turn + 1) % {len(SHARDS)} + 1], lambda x: NOT list_contains(taken, x))[1] AS s
+    FROM claims, walks WHERE turn + 1 < {sharding.SLOTS})
+), entries AS (
+  SELECT slot, 'shard-' || lpad((turn % {len(SHARDS)})::VARCHAR, 2, '0') AS shard FROM claims WHERE turn >= 0
+), keyed AS (
+  SELECT doc_id, n_chars,
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0) || 'null')), 1, 15))::UBIGINT % {sharding.SLOTS})::INTEGER AS slot
+  FROM documents
+)
+SELECT doc_id, n_chars, slot, shard FROM keyed JOIN entries USING (slot)
+"""
+
+
+@query
+def op6_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and representatives of all vectors."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import lengths, mixing, ordering, packing, sharding, vectors
+from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, vectors
+from strandline.llm.workspace import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +45,13 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.materialise(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's payload as stored media, read back and described."""
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"]
+    return media.document_media(table(spark, sf_dir, "documents")).select(*columns)
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens at every context limit that is some document's length."""
@@ -93,3 +102,24 @@ SELECT doc_id, n_chars, slot, shard FROM keyed JOIN entries USING (slot)
 def op6_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and representatives of all vectors."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Least score of a document that is predicted to be good.
+GOOD = 0.7
+
+
+@query
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows of fold 2 were never learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    held = (crc_mod(F.col("doc_id")) == 2).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held, "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; rows of fold 2 were never learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    held = (crc_mod(F.col("doc_id")) == 2).alias("held_out")
+    return language.identify(docs, language.train(docs)).select("doc_id", held, "lang_pred", "score", "ambiguous")

@@ -7,11 +7,12 @@ equivalent DuckDB SQL where SQL can express it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, vectors
+from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, similarity, vectors
 from strandline.llm.workspace import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,12 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 4-word shingles overlap by 85 % or more."""
+    return similarity.similar_groups(table(spark, sf_dir, "documents"), words=4, threshold=Fraction(85, 100))
+
+
 @query
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packed sequence's slot, as read back from the written shards."""

@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the code
     keep = docs.select(*columns, F.col("text").alias("__text"))
     out = keep.drop("__text").schema
-    names = [*columns, "lang_pred", "score", "ambiguous"]
+    names = [*out.names, "lang_pred", "score", "ambiguous"]
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out)}, lang_pred string, score double, ambiguous boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,6 +117,7 @@ def curriculum(
     seed: int = 42,
     columns: Sequence[str] = ("doc_id",),
     ordered: bool = True,
+    detail: bool = False,
 ) -> DataFrame:
     """Assigns each document the words that the mix takes of it and when.
 
@@ -124,7 +125,8 @@ def curriculum(
     constant weights 1, 2, 3 in turn.  Returns ``columns`` and size,
     source_size, target, taken, position (when it is first due, 0 to 1; null if
     never) and epochs.  The last epoch of a source ends where its target is
-    reached: the document there is cut.
+    reached: the document there is cut.  ``detail`` adds ``due``, the time of
+    every epoch's turn, of which ``max_epochs + 1`` are given.
     """
     docs = docs.select(*[F.col(c) for c in columns], F.col("source").cast("string").alias("__source"), (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("__order"), F.xxhash64("text").alias("__tie"))
     docs = Workspace(docs.sparkSession, "mix").save(docs, "sizes")  # texts are read once
@@ -154,6 +156,7 @@ def curriculum(
     rest = goal - full * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__before"))).cast("long")
     due = F.when(F.col("__before") < goal, due_time(F.col("__before") / F.greatest(goal, F.lit(1)), F.col("knots")))
+    turns = F.array(*[F.coalesce(due_time((F.col("__before") + e * F.col("source_size")) / F.greatest(goal, F.lit(1)), F.col("knots")), F.lit(1.0)) for e in range(max_epochs + 1)]).alias("due")
     out = rows.select(
         *columns,
         "size",
@@ -162,7 +165,24 @@ def curriculum(
         (F.col("size") * full + last).alias("taken"),
         due.alias("position"),
         (full + F.when(last > 0, 1).otherwise(0)).cast("long").alias("epochs"),
+        *[turns] * detail,
     )
     if not ordered:
         return out
-    return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), F.xxhash64("doc_id"))
+    # the second key spreads the documents that are never due
+    lot = F.xxhash64("doc_id")
+    return out.repartitionByRange(F.col("position").asc_nulls_last(), lot).sortWithinPartitions(F.col("position").asc_nulls_last(), lot)
+
+
+def mixed_documents(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: int = 3, seed: int = 42) -> DataFrame:
+    """The mix itself: whole documents, each as often as it is taken (the cut
+    last one counts from one half on), in training order.  Columns stay as they
+    are.  Rows without a word are kept once, at the start; rows whose doc_id is
+    null cannot be placed and come once at the start as well."""
+    plan = curriculum(docs, schedule, max_epochs=max_epochs, seed=seed, ordered=False, detail=True)
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    plan = plan.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.struct(copies.alias("n"), "due")).alias("p")).filter("p.n > 0")
+    placed = docs.join(plan, docs["doc_id"] == plan["__id"]).withColumn("__at", F.explode(F.slice(F.col("p.due"), F.lit(1), F.col("p.n")))).drop("__id", "p")
+    placed = placed.unionByName(docs.filter("doc_id is null").withColumn("__at", F.lit(0.0)))
+    lot = F.xxhash64("doc_id")
+    return placed.repartitionByRange(F.col("__at"), lot).sortWithinPartitions("__at", lot).drop("__at")

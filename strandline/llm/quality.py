@@ -223,12 +223,13 @@ def score(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",)) -
     """``columns`` and the quality score of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
     keep = docs.select(*columns, F.col("text").alias("__text"))
+    names = keep.drop("__text").schema.names
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in keep.drop('__text').schema)}, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             s = m.score(b.column(len(columns)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(s, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(s, pa.float64())], names=[*names, "score"])
 
     return keep.mapInArrow(run, schema)

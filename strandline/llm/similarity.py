@@ -332,6 +332,16 @@ def similar_groups(docs: DataFrame, words: int = 4, threshold: Fraction = Fracti
     return some.union(none)
 
 
+def one_of_each(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
+    """Keeps of each group the document with the smallest doc_id (of equal rows
+    one) and every document that links with nothing; columns stay as they are.
+    Rows whose doc_id is null have no name to be chosen by and are all kept."""
+    groups = similar_groups(docs, words, threshold)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    chosen = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return chosen.unionByName(docs.filter("doc_id is null"))
+
+
 def _needed_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """``(rep, shingles)`` of the points that some region holds.  A bit map of
     fixed size lets most other texts go before anything is shuffled; the join

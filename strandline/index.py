@@ -206,7 +206,7 @@ class TextIndex:
         return _one(suffix.lcp_of_pairs(self.docs, self.suffixes, q))["lcp"]
 
     def bwt(self) -> tuple[str, int]:
-        r = _one(suffix.bwt(self.docs, self.suffixes))
+        r = _one(suffix.bwt(self.docs))
         return r["bwt"], r["original_index"]
 
     def restore(self) -> str:

@@ -75,16 +75,23 @@ def lcp_of_pairs(docs: DataFrame, sx: DataFrame, q: DataFrame) -> DataFrame:
     return between.select("qid", F.col("value").alias("lcp")).union(same)
 
 
-def bwt(docs: DataFrame, sx: DataFrame | None = None) -> DataFrame:
+def bwt(docs: DataFrame) -> DataFrame:
     """``(doc_id, bwt, original_index)``: for each suffix in order the character
     before it, the last one for the whole text; original_index is the whole
     text's rank (-1 for an empty text)."""
-    sx = suffixes(docs) if sx is None else sx
-    chars = docs.select("doc_id", F.split("text", "").alias("__c"), F.length("text").alias("__n"))
-    rows = sx.join(chars, "doc_id").select("doc_id", "rank", "pos", F.element_at("__c", F.when(F.col("pos") == 0, F.col("__n")).otherwise(F.col("pos"))).alias("ch"))
-    found = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ch"))), lambda x: x["ch"]), "").alias("bwt"), F.max(F.when(F.col("pos") == 0, F.col("rank"))).alias("original_index"))
-    empty = docs.filter(F.length("text") == 0).select("doc_id", F.lit("").alias("bwt"), F.lit(-1).alias("original_index"))
-    return found.union(empty)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, at = [], []
+            for text in b.column(1).to_pylist():
+                codes = kernels.code_points(text)
+                order, _ = kernels.suffix_order(codes)
+                out.append(codes[order - 1].tobytes().decode("utf-32-le", "surrogatepass"))
+                at.append(int(np.flatnonzero(order == 0)[0]) if len(order) else -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(at, pa.int32())], names=["doc_id", "bwt", "original_index"])
+
+    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(run, f"doc_id {kind}, bwt string, original_index int")
 
 
 def restore(transformed: DataFrame) -> DataFrame:

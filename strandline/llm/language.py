@@ -114,7 +114,7 @@ def fit(texts: Sequence[tuple[str, str]], epochs: int = 15, rate: float = 4.0, s
             b -= 0.1 * step * g.mean(axis=0)
     margin = x @ w + b
     trust = np.array([[((margin[label == i, k] * code[i, k]) > 0).mean() for k in range(code.shape[1])] for i in range(len(names))])
-    trust = np.maximum(trust, 1e-3)
+    trust = np.maximum(trust.reshape(code.shape), 1e-3)
     return Model(names, code.astype(np.float32), w, b - mean @ w, (trust / trust.sum(axis=1, keepdims=True)).astype(np.float32))
 
 

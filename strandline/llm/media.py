@@ -41,7 +41,7 @@ SEGMENTS = "array<struct<position:int,kind:string,text:string,ref:string,caption
 #: Bytes in one Arrow batch of payloads.
 _BATCH = 8_000_000
 
-_BLOCK = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+_BLOCK = set("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _SILENT = {"script", "style", "template", "noscript", "head", "title"}
 _MEDIA = {"img", "video", "audio", "source", "embed", "iframe"}
 _SPACE = re.compile(r"\s+")
@@ -78,6 +78,8 @@ class _Reader(HTMLParser):
             if at.get("src") and not self._silent:
                 self._cut()
                 self._add(kind="media", ref=at["src"], caption=at.get("alt") or at.get("title"))
+        elif tag == "br":
+            self._text.append(" ")
         elif tag in _BLOCK:
             self._cut()
             if tag == "figure":
@@ -153,7 +155,7 @@ def resolve(parsed: DataFrame, facts: DataFrame, key: str = "page_id") -> DataFr
     names = [c for c in facts.columns if c != "digest"]
     found = references(parsed, key).join(facts, "digest", "left").select(F.col(key).alias("__key"), F.struct("position", F.struct(*names).alias("media")).alias("m")).groupBy("__key").agg(F.collect_list("m").alias("media"))
     whole = parsed.join(found, parsed[key].eqNullSafe(found["__key"]), "left").drop("__key")
-    at = lambda s: F.filter(F.col("media"), lambda m: m["position"] == s["position"])[0]["media"]
+    at = lambda s: F.get(F.filter(F.col("media"), lambda m: m["position"] == s["position"]), F.lit(0))["media"]
     return whole.select(key, F.transform("segments", lambda s: F.struct(*[s[c].alias(c) for c in ("position", "kind", "text", "ref", "caption")], at(s).alias("media"))).alias("segments"))
 
 

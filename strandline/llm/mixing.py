@@ -148,7 +148,7 @@ def curriculum(
     per_block = rows.groupBy(F.col("__source").alias("__bs"), F.col("__block").alias("__bb")).agg(F.sum("size").alias("n"))
     block_start = per_block.withColumn("__start", F.sum("n").over(Window.partitionBy("__bs").orderBy("__bb")) - F.col("n")).drop("n")
     rows = rows.join(block_start, F.col("__source").eqNullSafe(F.col("__bs")) & (F.col("__block") == F.col("__bb"))).drop("__bs", "__bb")
-    inside = Window.partitionBy("__source", "__block").orderBy("__order", "doc_id", "__tie")
+    inside = Window.partitionBy("__source", "__block").orderBy("__order", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, 0)  # repeated rows one by one
     rows = rows.withColumn("__before", F.col("__start") + F.sum("size").over(inside) - F.col("size"))
 
     goal = F.round("target").cast("long")

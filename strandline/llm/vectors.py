@@ -2,9 +2,10 @@
 
 Equal vectors are collapsed first.  Centroids are fitted on a bounded sample;
 every vector goes to its nearest centroid's cell and, as a replica, to each
-cell whose bisecting hyperplane it stands near enough to have a partner beyond
-(an angle below the threshold's).  So a vector meets all its partners in its
-own cell and no link is lost.  Cells are cut into blocks, and pairs of blocks
+cell of a lower number whose bisecting hyperplane it stands near enough to have
+a partner beyond (an angle below the threshold's).  So any two partners meet in
+exactly one of their cells and no link is lost.  The number of cells is the one
+with the least estimated cost of products and replicas at the table's size.  Cells are cut into blocks, and pairs of blocks
 are multiplied; a block pair emits one count a vector and a spanning forest of
 its links, never the pairs.
 
@@ -32,7 +33,9 @@ from strandline.llm.workspace import Workspace
 SAMPLE_ROWS = 16384
 #: Most vectors on either side of a block product.
 BLOCK_ROWS = 2048
-MAX_CELLS = 1024
+MAX_CELLS = 2048
+#: What moving a replica costs, in products of two vectors.
+REPLICA_COST = 400.0
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray | None]:
@@ -51,25 +54,44 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         vectors = _matrix(b.column(2))
         usable = [v is not None and lab is not None for v, lab in zip(vectors, b.column(1).to_pylist())]
-        raw = [(v + 0.0).tobytes() if ok else None for v, ok in zip(vectors, usable)]  # -0.0 is 0.0
+        raw = [_pack(v) if ok else None for v, ok in zip(vectors, usable)]
         digest = [hashlib.blake2b(r, digest_size=16).digest() if r is not None else None for r in raw]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "digest", "raw"])
 
 
+def _pack(v: np.ndarray) -> bytes:
+    """A vector's bytes: single precision where that loses nothing."""
+    v = v + 0.0  # -0.0 is 0.0
+    with np.errstate(over="ignore"):
+        single = v.astype(np.float32)
+    return b"\4" + single.tobytes() if (single == v).all() else b"\b" + v.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if raw[0] == 4 else np.float64, offset=1).astype(np.float64)
+
+
+def _dim(raw: bytes) -> int:
+    return (len(raw) - 1) // raw[0]
+
+
 def _unit(raw: list[bytes]) -> np.ndarray:
-    m = np.array([np.frombuffer(r) for r in raw])
+    m = np.array([_unpack(r) for r in raw])
     m = m / np.abs(m).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def fit_centroids(unit: np.ndarray, k: int, seed: int = 42, steps: int = 12) -> np.ndarray:
+def _nearest(unit: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(unit[k : k + 1024] @ c.T, axis=1) for k in range(0, len(unit), 1024)])
+
+
+def fit_centroids(unit: np.ndarray, k: int, seed: int = 42, steps: int = 10) -> np.ndarray:
     """Spherical k-means on unit vectors."""
     rng = np.random.default_rng(seed)
     c = unit[rng.choice(len(unit), size=min(k, len(unit)), replace=False)]
-    for _ in range(steps):
-        home = np.argmax(unit @ c.T, axis=1)
+    for _ in range(steps if k > 1 else 0):
         total = np.zeros_like(c)
-        np.add.at(total, home, unit)
+        np.add.at(total, _nearest(unit, c), unit)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(norm > 0, total / np.where(norm > 0, norm, 1), c)
     return np.unique(c, axis=0)
@@ -77,56 +99,57 @@ def fit_centroids(unit: np.ndarray, k: int, seed: int = 42, steps: int = 12) ->
 
 def _cells(unit: np.ndarray, c: np.ndarray, sine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, cell and whether it is the row's own, for own cells and replicas."""
-    dots = unit @ c.T
-    home = np.argmax(dots, axis=1)
-    gap = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 256 else np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-    near = dots[np.arange(len(unit)), home][:, None] - dots <= gap[home] * sine + 1e-9
-    near[np.arange(len(unit)), home] = True
-    row, cell = np.nonzero(near)
-    return row, cell, cell == home[row]
-
-
-def choose_centroids(raw: list[bytes], rows: int, cosine: float) -> dict[int, np.ndarray]:
+    rows, cells, own = [], [], []
+    for k in range(0, len(unit), 512):
+        dots = unit[k : k + 512] @ c.T
+        home = np.argmax(dots, axis=1)
+        at = np.arange(len(dots))
+        gap = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
+        near = dots[at, home][:, None] - dots <= gap * sine + 1e-7
+        near &= np.arange(len(c))[None, :] < home[:, None]
+        near[at, home] = True
+        row, cell = np.nonzero(near)
+        rows.append(row + k)
+        cells.append(cell)
+        own.append(cell == home[row])
+    return np.concatenate(rows), np.concatenate(cells), np.concatenate(own)
+
+
+def choose_centroids(raw: list[bytes], rows: int, labels: float, cosine: float) -> dict[int, np.ndarray]:
     """Centroids by vector length.  The number of cells is the one with the least
-    estimated products at the table's size, replicas included."""
+    estimated cost at the table's size; ``labels``: how many labels of equal
+    share would give as many pairs."""
     out: dict[int, np.ndarray] = {}
     sine = np.sqrt(max(0.0, 1 - cosine * cosine))
-    for dim in {len(r) // 8 for r in raw}:
-        unit = _unit([r for r in raw if len(r) // 8 == dim])
-        best = (float(rows) * rows, unit[:1])
-        k = 4
-        while k <= min(MAX_CELLS, len(unit) // 4):
+    for dim in {_dim(r) for r in raw}:
+        unit = _unit([r for r in raw if _dim(r) == dim])
+        best, k = (float("inf"), unit[:1]), 1
+        while k == 1 or k <= min(MAX_CELLS, len(unit) // 4):
             c = fit_centroids(unit, k)
             _, cell, own = _cells(unit, c, sine)
             n, every = np.bincount(cell[own], minlength=len(c)), np.bincount(cell, minlength=len(c))
-            scale = rows / len(unit)
-            cost = float((n * every).sum()) * scale**2 + 300.0 * len(cell) * scale
+            scale = rows / len(raw)
+            cost = float((n * every).sum()) * scale**2 / labels + REPLICA_COST * len(cell) * scale
+            if cost > 4 * best[0]:
+                break
             if cost < best[0]:
                 best = (cost, c)
-            elif cost > 4 * best[0]:
-                break
             k *= 4
         out[dim] = best[1]
     return out
 
 
-def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links: at most n - 1 of them."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in zip(rows.tolist(), cols.tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+def _components(near: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node that each of ``n`` nodes reaches over the links of a block."""
+    low = np.arange(n, dtype=np.int32)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, rows, np.where(near, low[cols][None, :], n).min(axis=1, initial=n))
+        np.minimum.at(new, cols, np.where(near, low[rows][:, None], n).min(axis=0, initial=n))
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -140,13 +163,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     share = min(1.0, 1.05 * SAMPLE_ROWS / max(1, total))
     lot = F.pmod(F.xxhash64("digest", "label"), F.lit(1 << 20))
     sample = [bytes(r[0]) for r in classes.filter(lot < int(share * (1 << 20)) + 1).select("raw").limit(SAMPLE_ROWS).collect()]
-    centroids = choose_centroids(sample, total, cosine)
+    pairs = classes.groupBy("label").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]
+    centroids = choose_centroids(sample, total, total * total / pairs if total else 1.0, cosine)
     sine = float(np.sqrt(max(0.0, 1 - cosine * cosine)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(3).to_pylist()
-            dims = np.array([len(r) // 8 for r in raw])
+            dims = np.array([_dim(r) for r in raw])
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 for part in np.array_split(at, -(-len(at) // 4096)):
@@ -166,38 +190,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     sized = dealt.join(sizes, key)
     mine = sized.filter("own").withColumn("a", F.pmod(F.xxhash64("cid"), "na").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit(0))
     other = sized.withColumn("b", F.pmod(F.xxhash64("cid", F.lit(1)), "nb").cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("side", F.lit(1))
-    columns = [*key, "a", "b", "side", "cid", "n", "raw"]
+    columns = [*key, "a", "b", "side", "own", "cid", "n", "raw"]
     met = mine.select(*columns).union(other.select(*columns))
 
     def multiply(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy() == 1
         cid, n, raw = t["cid"].to_numpy(), t["n"].to_numpy(), t["raw"].to_pylist()
-        unit = _unit(raw)
         mine, other = np.flatnonzero(~side), np.flatnonzero(side)
-        local = {c: i for i, c in enumerate(np.unique(cid).tolist())}
-        count, where, found = np.zeros(len(mine), np.int64), [], []
+        names, node = np.unique(cid, return_inverse=True)
+        unit = _unit(raw)
+        near = np.zeros((len(mine), len(other)), bool)
         for at in range(0, len(mine), 512):
             left = mine[at : at + 512]
             dots = unit[left] @ unit[other].T
             for i, j in zip(*np.nonzero(np.abs(dots - cosine) < 1e-9)):  # the plain formula decides at the edge
-                x, y = np.frombuffer(raw[left[i]]), np.frombuffer(raw[other[j]])
+                x, y = _unpack(raw[left[i]]), _unpack(raw[other[j]])
                 dots[i, j] = float(x @ y) / (float(np.linalg.norm(x)) * float(np.linalg.norm(y)))
-            near = (dots >= cosine) & (cid[left][:, None] != cid[other][None, :])
-            count[at : at + 512] = near @ n[other]
-            i, j = np.nonzero(near)
-            where += [local[c] for c in cid[left[i]].tolist()]
-            found += [local[c] for c in cid[other[j]].tolist()]
-            if len(where) > 1 << 20:  # keep the forest only
-                kept = _forest(np.array(where), np.array(found), len(local))
-                where, found = [a for a, _ in kept], [b for _, b in kept]
-        names = np.unique(cid)
-        kept = _forest(np.array(where, dtype=int), np.array(found, dtype=int), len(local))
-        hit = np.flatnonzero(count)
+            near[at : at + 512] = (dots >= cosine) & (cid[left][:, None] != cid[other][None, :])
+        count = np.zeros(len(names), np.int64)
+        np.add.at(count, node[mine], near @ n[other])
+        # a replica meets its partners here only
+        guest = np.flatnonzero(~t["own"].to_numpy()[other])
+        np.add.at(count, node[other[guest]], n[mine] @ near[:, guest])
+        low = _components(near, node[mine], node[other], len(names))
+        hit, tied = np.flatnonzero(count), np.flatnonzero(low != np.arange(len(names)))
         return pa.table(
             {
-                "cid": pa.array(np.concatenate([cid[mine][hit], names[[a for a, _ in kept]] if kept else np.zeros(0, np.int64)]), pa.int64()),
-                "linked": pa.array(np.concatenate([count[hit], np.zeros(len(kept), np.int64)]), pa.int64()),
-                "to": pa.array([None] * len(hit) + [int(names[b]) for _, b in kept], pa.int64()),
+                "cid": pa.array(np.concatenate([names[hit], names[tied]]), pa.int64()),
+                "linked": pa.array(np.concatenate([count[hit], np.zeros(len(tied), np.int64)]), pa.int64()),
+                "to": pa.array([None] * len(hit) + names[low[tied]].tolist(), pa.int64()),
             }
         )
 

@@ -48,9 +48,10 @@ SLACK = Fraction(1, 10)
 #: Most points, and most shingles, of a region or block in one task.
 REGION_POINTS = 1000
 REGION_SHINGLES = 3_000_000
+PARTS = 64
 #: Bits of the map that tells which texts' sets are needed (fixed size).
 MAP_BITS = 1 << 24
-_TEXT_STEP = 8_000_000
+_TEXT_STEP = 4_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +66,9 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of every text.
 
     A-Z are lower-cased; words are runs of anything but ASCII white space."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # the copy matters: lower-casing a slice in place reads from the wrong offset
+    own = pa.array(texts.to_pylist(), pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(own, "")))
     flat = split.values
     lengths = np.diff(split.offsets.to_numpy())
     row = np.repeat(np.arange(len(texts)), lengths)
@@ -304,8 +307,11 @@ def similar_groups(docs: DataFrame, words: int = 4, threshold: Fraction = Fracti
     posted = held.select("rep", "n", F.explode("window").alias("h"))
     elected = posted.groupBy("h").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).filter("pivot <> other").select("h", "pivot")
     members = space.save(posted.join(elected, "h").select("pivot", "rep", "n").distinct(), "regions")
-    sizes = members.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / REGION_POINTS, F.sum("n") / REGION_SHINGLES)).cast("int").alias("chunks"))
-    members = members.join(sizes, "pivot")
+    # sizes are joined by parts, so that no region's members meet in one task
+    members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))
+    parts = members.groupBy("pivot", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    sizes = parts.groupBy("pivot").agg(F.ceil(F.greatest(F.sum("m") / REGION_POINTS, F.sum("n") / REGION_SHINGLES)).cast("int").alias("chunks"))
+    members = members.join(parts.select("pivot", "part").join(sizes, "pivot"), ["pivot", "part"]).drop("part")
     sets = space.save(_needed_sets(docs, members.select("rep").distinct(), words), "sets")
 
     small = members.filter("chunks = 1").select("pivot", "rep").join(sets, "rep")

@@ -92,3 +92,27 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (2, "A  b\nc d e"), (1, "a b c d e"), (3, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"] or -1), r["component_id"]) for r in similarity.similar_groups(docs).collect())
     assert got == [(-1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
+
+
+def test_slices_give_the_texts_sets():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("Ab cD éf".split()) + str(rng.randrange(50)) for _ in range(rng.randrange(0, 30))) for _ in range(200)] + [None, "  X\ty "]
+    whole = pa.array(texts)
+    want = [s.tolist() for s in similarity.shingle_sets(whole, 3)]
+    for at in (1, 57, 150):
+        assert [s.tolist() for s in similarity.shingle_sets(whole.slice(at), 3)] == want[at:]
+    assert [len(s) for s in want] == [n for n, _ in plain(enumerate(texts), 3, Fraction(1)).values()]
+
+
+def test_steps_cover_a_batch_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "_TEXT_STEP", 50)
+    texts = ["x " * (i % 40) for i in range(100)] + [None, "y" * 500, "", "z"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(similarity._steps([b, b.slice(0, 0)]))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts))) and len(parts) > 10
+    sets = [s.tolist() for p in parts for s in similarity.shingle_sets(p.column(1), 3)]
+    assert sets == [s.tolist() for s in similarity.shingle_sets(pa.array(texts), 3)]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
+from strandline.streaming.counts import grams
 
 def _by_rank() -> WindowSpec:
     return Window.partitionBy("pair_id").orderBy("rank")
@@ -98,12 +99,10 @@ def common_grams(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """``(doc_id1, doc_id2, text, position1, position2)``: all shared k-character
     grams of two corpora, an equi-join on the gram."""
 
-    def grams(df: DataFrame, side: int) -> DataFrame:
-        c = df.filter(F.length("text") >= k).select("doc_id", F.filter(F.split("text", ""), lambda x: x != "").alias("c"))
-        at = F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.struct((i - 1).alias("pos"), F.array_join(F.slice("c", i, k), "").alias("gram")))
-        return c.select(F.col("doc_id").alias(f"doc_id{side}"), F.inline(at)).withColumnRenamed("pos", f"position{side}")
+    def side(df: DataFrame, n: int) -> DataFrame:
+        return grams(df, k).withColumnsRenamed({"doc_id": f"doc_id{n}", "pos": f"position{n}"})
 
-    return grams(left, 1).join(grams(right, 2), "gram").select("doc_id1", "doc_id2", F.col("gram").alias("text"), "position1", "position2")
+    return side(left, 1).join(side(right, 2), "gram").select("doc_id1", "doc_id2", F.col("gram").alias("text"), "position1", "position2")
 
 
 def with_reverse(docs: DataFrame) -> DataFrame:

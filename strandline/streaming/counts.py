@@ -27,7 +27,8 @@ def grams(docs: DataFrame, k: int) -> DataFrame:
     """``(doc_id, pos, gram)`` of new texts, stateless: for ``append`` output into a
     table partitioned or bucketed by gram."""
     c = docs.filter(F.length("text") >= k).select("doc_id", F.filter(F.split("text", ""), lambda x: x != "").alias("c"))
-    at = F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.struct((i - 1).alias("pos"), F.array_join(F.slice("c", i, k), "").alias("gram")))
+    gram = lambda i: F.concat(*[F.get(F.col("c"), i + j) for j in range(k)])
+    at = F.transform(F.sequence(F.lit(0), F.size("c") - k), lambda i: F.struct(i.alias("pos"), gram(i).alias("gram")))
     return c.select("doc_id", F.inline(at))
 
 

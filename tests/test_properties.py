@@ -201,6 +201,15 @@ def test_gram_lookup(spark):
     assert got == sorted((n, i, k) for n, p in enumerate(asked) if len(p) >= 3 for i, t in enumerate(TEXTS) for k in range(len(t)) if t.startswith(p, k))
 
 
+def test_common_grams(spark):
+    from strandline.operators import compare
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
+    got = Counter(tuple(r) for r in compare.common_grams(docs, docs.filter("doc_id in (3, 4, 5)"), 2).collect())
+    grams = lambda t: [(k, t[k : k + 2]) for k in range(len(t) - 1)]
+    assert got == Counter((i, j, g, p, q) for i, s in enumerate(TEXTS) for j in (3, 4, 5) for p, g in grams(s) for q, h in grams(TEXTS[j]) if g == h)
+
+
 def test_giant_suffixes(spark):
     text = "mississippi$mississippi"
     chars = spark.createDataFrame(list(enumerate(text)), "pos long, val string")

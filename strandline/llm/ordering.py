@@ -33,6 +33,8 @@ from strandline.llm import packing
 from strandline.llm.workspace import Workspace, new_path
 
 ROUNDS = 6
+#: Of the records while they are shuffled; the files hold them as they are.
+CODEC = "zstd"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,11 +108,8 @@ def write_shards(stream: packing.Stream, path: str, length: int = 2048, per_shar
     manifest ``(shard, records, bytes, crc32)`` whose evaluation does the writing."""
     out = Shards(path, -(-stream.total // length), length, stream.width, per_shard, key)
     n, width, stride, pad = out.sequences, out.width, out.stride, pad_id
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = permute(b.column(0).to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard).cast(pa.int32()), pa.array(slot), b.column(1)], names=["shard", "slot", "ids"])
+    if stream.table.isEmpty():
+        return out, stream.table.sparkSession.createDataFrame([], "shard int, records long, bytes long, crc32 long")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[int, int, int, int]] = []
@@ -129,14 +128,15 @@ def write_shards(stream: packing.Stream, path: str, length: int = 2048, per_shar
                 sink = None
 
         for b in batches:
-            for shard, slot, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for slot, ids, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                shard = slot // per_shard
                 if shard != now:
                     close()
                     now, records, crc = shard, 0, 0
                     fs, temp = _open(f"{out.name(shard)}.{uuid.uuid4().hex}")
                     fs.create_dir(temp.rsplit("/", 1)[0], recursive=True)
                     sink = fs.open_output_stream(temp, buffer_size=1 << 22)
-                raw = ids.as_py()
+                raw = pa.decompress(ids.as_buffer(), stride, codec=CODEC, asbytes=True) if packed else ids.as_py()
                 raw += np.full((stride - len(raw)) // width, pad, f"<u{width}").tobytes()
                 if slot != shard * per_shard + records:
                     raise ValueError(f"slot {slot} is out of turn in shard {shard}")
@@ -145,9 +145,9 @@ def write_shards(stream: packing.Stream, path: str, length: int = 2048, per_shar
         close()
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "records", "bytes", "crc32"), r)) for r in done], schema=pa.schema([("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64())]))
 
-    placed = packing.sequences(stream, length).select("sequence_id", "ids").mapInArrow(place, "shard int, slot long, ids binary")
+    placed = packing.sequences(stream, length, lambda seq: permute(seq, n, key), CODEC).select("slot", "ids", "packed")
     # a range partition of the slots: partition k holds exactly slots of shard k
-    dealt = placed.repartitionById(max(1, out.files), F.col("shard")).sortWithinPartitions("slot")
+    dealt = placed.repartitionById(out.files, (F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
     return out, dealt.mapInArrow(write, "shard int, records long, bytes long, crc32 long")
 
 
@@ -197,4 +197,5 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = 2048, pe
     begin = F.col("base") + F.col("start_in_part")
     spans = placed.select("doc_id", F.explode(F.sequence(F.floor(begin / length), F.floor((begin + F.col("n_tokens") - 1) / length))).alias("sequence_id"))
     members = spans.groupBy("sequence_id").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
-    return read_shards(spark, shards).join(members, "sequence_id")
+    # neither side is small, whatever the few rows of files to read suggest
+    return read_shards(spark, shards).hint("merge").join(members, "sequence_id")

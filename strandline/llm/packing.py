@@ -16,7 +16,7 @@ names.  A text longer than a window spans several sequences.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,53 +105,63 @@ def pieces(stream: Stream, length: int = 2048, with_ids: bool = False) -> DataFr
     return stream.table.select("part", "start_in_part", "doc_id", "n_tokens", "ids").mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 
-def sequences(stream: Stream, length: int = 2048) -> DataFrame:
-    """The windows themselves: ``sequence_id``, ``n_tokens`` and ``ids`` (as
-    stored, ``stream.width`` bytes each).  Only the last may be shorter."""
+def sequences(stream: Stream, length: int = 2048, slot: Callable[[np.ndarray], np.ndarray] | None = None, codec: str | None = None) -> DataFrame:
+    """The windows themselves: ``sequence_id``, ``slot`` (of that function, else
+    the id), ``n_tokens``, ``ids`` (as stored, ``stream.width`` bytes each) and
+    ``packed``: whether this row's ids are compressed by ``codec``.  Only the
+    last window may be shorter."""
     base, total, width = stream.base, stream.total, stream.width
+    place = slot or (lambda seq: seq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, begin, end = bytearray(), 0, 0  # stream[begin:end] in tokens
 
-        def flush(last: bool) -> pa.RecordBatch | None:
+        def flush(last: bool) -> pa.RecordBatch:
             """Windows, or parts of such, that the held run completes."""
-            nonlocal held, begin
-            rows: list[tuple[int, int, int, bytes]] = []
+            nonlocal begin
+            seqs, offsets, sizes, ids, packed, used = [], [], [], [], [], 0
             while begin < end:
                 seq = begin // length
-                stop = min((seq + 1) * length, total)
-                if stop > end and not last:
+                full = min((seq + 1) * length, total)
+                if full > end and not last:
                     break
-                stop = min(stop, end)
-                size = stop - begin
-                rows.append((seq, begin - seq * length, size, bytes(held[: size * width])))
-                del held[: size * width]
-                begin = stop
-            return pa.RecordBatch.from_pylist([dict(zip(("sequence_id", "offset", "n_tokens", "ids"), r)) for r in rows], schema=schema) if rows else None
-
-        schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+                size = min(full, end) - begin
+                raw = bytes(held[used : used + size * width])
+                whole = codec is not None and size == length
+                seqs.append(seq)
+                offsets.append(begin - seq * length)
+                sizes.append(size)
+                ids.append(pa.compress(raw, codec=codec, asbytes=True) if whole else raw)
+                packed.append(whole)
+                used += size * width
+                begin += size
+            del held[:used]
+            at = np.array(seqs, dtype=np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(at), pa.array(place(at)), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(packed, pa.bool_())],
+                names=["sequence_id", "slot", "offset", "n_tokens", "ids", "packed"],
+            )
+
         for batch in batches:
             for part, start, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 at, raw = base[part] + start, ids.as_buffer()
                 if at != end:
-                    if (out := flush(True)) is not None:
-                        yield out
-                    held, begin, end = bytearray(), at, at
+                    yield flush(True)
+                    begin = end = at
                 held += raw
                 end += len(raw) // width
-                if len(held) >= 1 << 22 and (out := flush(False)) is not None:
-                    yield out
-        if (out := flush(True)) is not None:
-            yield out
+                if len(held) >= 1 << 22:
+                    yield flush(False)
+        yield flush(True)
 
-    cut = stream.table.select("part", "start_in_part", "ids").mapInArrow(run, "sequence_id long, offset long, n_tokens long, ids binary")
+    cut = stream.table.select("part", "start_in_part", "ids").mapInArrow(run, "sequence_id long, slot long, offset long, n_tokens long, ids binary, packed boolean")
     full = F.least(F.lit(length), F.lit(total) - F.col("sequence_id") * length)
-    whole = cut.filter(F.col("n_tokens") == full).select("sequence_id", "n_tokens", "ids")
+    whole = cut.filter(F.col("n_tokens") == full).select("sequence_id", "slot", "n_tokens", "ids", "packed")
     joined = (
         cut.filter(F.col("n_tokens") < full)
-        .groupBy("sequence_id")
+        .groupBy("sequence_id", "slot")
         .agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("cut"))
-        .select("sequence_id", "n_tokens", F.aggregate("cut", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+        .select("sequence_id", "slot", "n_tokens", F.aggregate("cut", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.lit(False).alias("packed"))
     )
     return whole.unionByName(joined)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.plans.tables import write_table
 from strandline.streaming.counts import grams
 
 
@@ -27,6 +28,8 @@ def lookup(docs: DataFrame, index: DataFrame, patterns: DataFrame, k: int = 4) -
     ends it), then its text is compared at the place found."""
     c = patterns.filter(F.length("pattern") >= k).select("qid", "pattern", F.filter(F.split("pattern", ""), lambda x: x != "").alias("c"))
     own = c.select("qid", "pattern", F.inline(F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice("c", i, k), "").alias("gram")))))
+    # only the patterns' grams go on: the index is read once and not shuffled if they are few
+    index = write_table(index.join(own.select("gram").distinct(), "gram", "left_semi"), "gram-hits")
     rated = own.join(frequencies(index), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     probe = rated.groupBy("qid", "pattern").agg(F.min(F.struct("df", "at", "gram")).alias("p")).filter("p.df > 0").select("qid", "pattern", "p.at", "p.gram")
     found = probe.join(index, "gram").withColumn("position", F.col("pos") - F.col("at")).filter("position >= 0")

@@ -366,7 +366,7 @@ def text_gram_lookup(spark, sf_dir):
     """FM-index role: benchmark openings of 12 characters through a gram index."""
     docs = _docs(spark, sf_dir)
     patterns = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 12).alias("pattern"))
-    return gram_index.lookup(docs, tables.write_table(gram_index.build(docs), "grams"), patterns)
+    return gram_index.lookup(docs, gram_index.build(docs), patterns)
 
 
 ORACLES["text_gram_lookup"] = """WITH p AS (SELECT item_id AS qid, substr(text, 1, 12) AS pattern FROM benchmark),

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from strandline.llm import language, mixing, packing, quality, similarity
 from strandline.llm.workspace import Workspace
 
+#: Least lead of a document's language over the next one for it to stay: documents
+#: with a passage in another language stay, those half and half go.
+LEAD = 0.02
 #: Least probability that a document is good for it to stay.
 KEEP_QUALITY = 0.5
 
@@ -25,7 +28,7 @@ def _columns(docs: DataFrame) -> list[str]:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter and those between two languages go."""
-    told = language.identify(docs, language.train(docs), columns=_columns(docs))
+    told = language.identify(docs, language.train(docs), columns=_columns(docs), ambiguous_below=LEAD)
     return told.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*_columns(docs))
 
 

@@ -97,7 +97,9 @@ def fit(texts: Sequence[tuple[str, str]], epochs: int = 15, rate: float = 4.0, s
     code = codewords(len(names))
     index = {name: i for i, name in enumerate(names)}
     label = np.array([index[name] for name, _ in texts], dtype=int)
-    x = np.array([features(t) for _, t in texts], dtype=np.float32).reshape(len(texts), 1 << BITS)
+    x = np.empty((len(texts), 1 << BITS), dtype=np.float32)
+    for i, (_, t) in enumerate(texts):
+        x[i] = features(t)
     mean = x.mean(axis=0) if len(x) else np.zeros(1 << BITS, np.float32)
     x -= mean
     y = code[label].astype(np.float32)

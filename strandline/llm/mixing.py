@@ -27,7 +27,9 @@ from strandline.llm.workspace import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one block of the prefix sums should hold.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
+#: Parts that a source's rows are joined with its facts in.
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -130,7 +132,9 @@ def curriculum(
     """
     docs = docs.select(*[F.col(c) for c in columns], F.col("source").cast("string").alias("__source"), (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("__order"), F.xxhash64("text").alias("__tie"))
     docs = Workspace(docs.sparkSession, "mix").save(docs, "sizes")  # texts are read once
-    totals = docs.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    docs = docs.withColumn("__salt", F.pmod(F.col("__order"), F.lit(SALTS)))
+    parts = docs.groupBy(F.col("__source").alias("source"), F.col("__salt").alias("__s")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    totals = parts.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("rows").alias("rows"))
     if schedule is None:
         shares = cyclic_weights(totals).withColumn("knots", F.array(F.struct(F.lit(0.0).alias("t"), F.lit(1.0).alias("w")), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("w"))))
     else:
@@ -143,7 +147,9 @@ def curriculum(
     plan = shares.select(F.col("source").alias("__k"), F.col("source_size").alias("__n"), "rows", "knots").join(capped.withColumnRenamed("source", "__c").select("__c", "target"), F.col("__k").eqNullSafe(F.col("__c")), "left").drop("__c")
     plan = plan.select("__k", F.col("__n").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "knots", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS)).alias("blocks"))
 
-    rows = docs.join(plan, F.col("__source").eqNullSafe(F.col("__k"))).drop("__k")
+    # a source's facts go to its parts first, so that no source's rows meet in one task
+    plan = parts.select(F.col("source").alias("__src"), "__s").join(plan, F.col("__src").eqNullSafe(F.col("__k"))).drop("__k")
+    rows = docs.join(plan, F.col("__source").eqNullSafe(F.col("__src")) & (F.col("__salt") == F.col("__s"))).drop("__src", "__s", "__salt")
     rows = rows.withColumn("__block", F.least(F.floor((F.col("__order") / 2.0**64 + 0.5) * F.col("blocks")), F.col("blocks") - 1).cast("long"))
     per_block = rows.groupBy(F.col("__source").alias("__bs"), F.col("__block").alias("__bb")).agg(F.sum("size").alias("n"))
     block_start = per_block.withColumn("__start", F.sum("n").over(Window.partitionBy("__bs").orderBy("__bb")) - F.col("n")).drop("n")

@@ -29,7 +29,7 @@ from strandline.llm.workspace import crc_mod
 #: Bound of the training sample.
 TEXTS_PER_LABEL = 1200
 #: Lines of a document are scored in strides of so many characters.
-_STEP = 4_000_000
+_STEP = 2_000_000
 
 # Byte classes: 0 lower case, 1 upper case, 2 digit, 3 sentence punctuation,
 # 4 other ASCII signs, 5 white space, 6 beyond ASCII (parts of letters mostly)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 #: Characters of text that one vectorised step takes at most (a longer single
 #: text is a step of its own).
-STEP_CHARS = 12_000_000
+STEP_CHARS = 5_000_000
 
 def _byte_table() -> dict[str, int]:
     """The printable stand-ins of byte-level BPE: bytes that print stand for

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.sampling import labelled_sample
-from strandline.llm.workspace import crc_mod
+from strandline.llm.workspace import crc_mod, pieces_of
 
 #: Bound of the training sample.
 TEXTS_PER_LANGUAGE = 300
@@ -145,15 +145,16 @@ def train(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
 def identify(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), ambiguous_below: float = 0.1) -> DataFrame:
     """``columns`` and lang_pred, score, ambiguous of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the code
-    keep = docs.select(*columns, F.col("text").alias("__text"))
-    out = keep.drop("__text").schema
+    out = docs.select(*columns).schema
+    at = out.names.index("text") if "text" in out.names else len(out)  # a text is sent once
+    keep = docs.select(*columns, *[F.col("text").alias("__text")] * (at == len(out)))
     names = [*out.names, "lang_pred", "score", "ambiguous"]
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out)}, lang_pred string, score double, ambiguous boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
-            name, score, margin = predict(m, b.column(len(columns)).to_pylist())
+        for b in pieces_of(batches):
+            name, score, margin = predict(m, b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(name, pa.string()), pa.array(score), pa.array(margin < ambiguous_below)], names=names)
 
     return keep.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.sampling import labelled_sample
-from strandline.llm.workspace import crc_mod
+from strandline.llm.workspace import crc_mod, pieces_of
 
 #: Bound of the training sample.
 TEXTS_PER_LABEL = 1200
@@ -222,14 +222,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TEXTS_PER_LABEL)
 def score(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``columns`` and the quality score of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
-    keep = docs.select(*columns, F.col("text").alias("__text"))
-    names = keep.drop("__text").schema.names
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in keep.drop('__text').schema)}, score double"
+    out = docs.select(*columns).schema
+    names = out.names
+    at = names.index("text") if "text" in names else len(names)  # a text is sent once
+    keep = docs.select(*columns, *[F.col("text").alias("__text")] * (at == len(names)))
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out)}, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
-            s = m.score(b.column(len(columns)).to_pylist())
+        for b in pieces_of(batches):
+            s = m.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(s, pa.float64())], names=[*names, "score"])
 
     return keep.mapInArrow(run, schema)

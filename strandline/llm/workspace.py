@@ -6,7 +6,9 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,5 +87,8 @@ def crc_mod(doc_id: Column, n: int = 4) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def rows_per_batch(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows, which bounds what a worker holds as objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -12,6 +12,20 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.int32)
 
 
+def window_hashes(codes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """For each of the sizes, powers of two, the hashes of all windows of that many
+    characters; equal windows have equal hashes.  A window is hashed from its halves."""
+    out, size = {}, 1
+    h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    while len(h) and size <= max(sizes, default=0):
+        if size in sizes:
+            mixed = h ^ (h >> np.uint64(29))
+            out[size] = (mixed * np.uint64(0xBF58476D1CE4E5B9) ^ (mixed >> np.uint64(32))).view(np.int64)
+        h = (h[:-size] * np.uint64(0x94D049BB133111EB) ^ (h[:-size] >> np.uint64(31))) + h[size:] * np.uint64(2 * size + 1)
+        size *= 2
+    return out
+
+
 def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and the lengths of the common prefixes of neighbours.
 

@@ -7,13 +7,23 @@ is an equi-join on the gram.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions import kernels
 from strandline.plans.tables import write_table
 from strandline.streaming.counts import grams
 
 
+#: Lengths of the windows that are hashed, and bits of the map of their hashes.
+ANCHORS = (1, 2, 4, 8, 16, 32)
+MAP_BITS = 1 << 24
+
+
 def build(docs: DataFrame, k: int = 4) -> DataFrame:
     return grams(docs, k)
 
@@ -26,12 +36,67 @@ def lookup(docs: DataFrame, index: DataFrame, patterns: DataFrame, k: int = 4) -
     """``patterns(qid, pattern)`` of at least k characters to ``(qid, doc_id,
     position)``.  Each pattern probes with its rarest gram (one that no text has
     ends it), then its text is compared at the place found."""
-    c = patterns.filter(F.length("pattern") >= k).select("qid", "pattern", F.filter(F.split("pattern", ""), lambda x: x != "").alias("c"))
-    own = c.select("qid", "pattern", F.inline(F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice("c", i, k), "").alias("gram")))))
+    own = _grams_of(patterns, k)
     # only the patterns' grams go on: the index is read once and not shuffled if they are few
     index = write_table(index.join(own.select("gram").distinct(), "gram", "left_semi"), "gram-hits")
-    rated = own.join(frequencies(index), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    probe = rated.groupBy("qid", "pattern").agg(F.min(F.struct("df", "at", "gram")).alias("p")).filter("p.df > 0").select("qid", "pattern", "p.at", "p.gram")
-    found = probe.join(index, "gram").withColumn("position", F.col("pos") - F.col("at")).filter("position >= 0")
+    return _verified(docs, index, _rarest(own, frequencies(index)).filter("df > 0"))
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``patterns(qid, pattern)`` of every length, long passages too, to ``(qid,
+    doc_id, position)``; an empty pattern occurs nowhere.
+
+    No index is written: a pattern's anchor is its first 1, 2, 4, ... or 32
+    characters, as many as it has.  One pass over the texts hashes the windows of
+    these lengths; a bit map of fixed size lets most of them go in the worker, and
+    those left are joined on the hash and compared with the whole pattern."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    qid = patterns.schema["qid"].dataType.simpleString()
+
+    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [kernels.code_points(t) for t in b.column(1).to_pylist()]
+            sizes = [max(g for g in ANCHORS if g <= len(c)) for c in codes]
+            hashes = [int(kernels.window_hashes(c[:g], [g])[g][0]) for c, g in zip(codes, sizes)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([0] * len(codes), pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())], names=["qid", "pattern", "at", "size", "gram"])
+
+    asked = patterns.select("qid", "pattern").filter(F.length("pattern") > 0)
+    probe = write_table(asked.mapInArrow(anchor, f"qid {qid}, pattern string, at int, size int, gram long"), "anchors")
+    sizes = sorted(r[0] for r in probe.select("size").distinct().collect())
+    bit = F.col("gram").bitwiseAND(F.lit(MAP_BITS - 1))
+    marked = probe.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    whole = np.zeros(MAP_BITS // 8, np.uint8)
+    for bucket, bits in marked.collect():  # MAP_BITS / 8 bytes at most
+        at = (bucket - 1) * 4096  # buckets and bits count from one
+        whole[at : at + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, np.uint8)
+        for b in batches:
+            for i, text in enumerate(b.column(1).to_pylist()):
+                for h in kernels.window_hashes(kernels.code_points(text), sizes).values():
+                    low = h & (MAP_BITS - 1)
+                    pos = np.flatnonzero((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
+                    if len(pos):
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos, pa.int32()), pa.array(h[pos], pa.int64())], names=["doc_id", "pos", "gram"])
+
+    found = docs.select("doc_id", "text").filter(F.length("text") > 0).mapInArrow(hits, f"doc_id {kind}, pos int, gram long")
+    return _verified(docs, found, probe.drop("size").withColumn("df", F.lit(0)))
+
+
+def _grams_of(patterns: DataFrame, k: int) -> DataFrame:
+    c = patterns.filter(F.length("pattern") >= k).select("qid", "pattern", F.filter(F.split("pattern", ""), lambda x: x != "").alias("c"))
+    return c.select("qid", "pattern", F.inline(F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice("c", i, k), "").alias("gram")))))
+
+
+def _rarest(own: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(qid, pattern, df, at, gram)``: each pattern's rarest gram."""
+    rated = own.join(counts, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    return rated.groupBy("qid", "pattern").agg(F.min(F.struct("df", "at", "gram")).alias("p")).select("qid", "pattern", "p.*")
+
+
+def _verified(docs: DataFrame, index: DataFrame, probe: DataFrame) -> DataFrame:
+    found = probe.drop("df").join(index, "gram").withColumn("position", F.col("pos") - F.col("at")).filter("position >= 0")
     texts = docs.select("doc_id", "text")
     return found.join(texts, "doc_id").filter(F.expr("substring(text, position + 1, length(pattern)) = pattern")).select("qid", "doc_id", "position")

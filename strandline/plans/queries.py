@@ -374,6 +374,17 @@ h AS (SELECT qid, doc_id, pattern, string_split(text, pattern) AS s FROM p JOIN
 SELECT qid, doc_id, CAST(unnest(list_transform(range(1, len(s)), lambda i: list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * length(pattern))) AS INTEGER) AS position FROM h WHERE length(pattern) >= 4"""
 
 
+@_query(
+    """WITH h AS (SELECT item_id AS qid, doc_id, b.text AS pattern, d.text AS text FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text)),
+w AS (SELECT *, unnest(range(length(text) - length(pattern) + 1)) AS i FROM h)
+SELECT qid, doc_id, CAST(i AS INTEGER) AS position FROM w WHERE substr(text, i + 1, length(pattern)) = pattern"""
+)
+def text_passages(spark, sf_dir):
+    """FM-index role: every occurrence of whole benchmark items, of any length."""
+    patterns = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("pattern"))
+    return gram_index.occurrences(_docs(spark, sf_dir), patterns)
+
+
 @_query("SELECT doc_id, list_sort(list_distinct(string_split(text, ''))) AS characters FROM documents")
 def text_unique_characters(spark, sf_dir):
     """Distinct characters of each document."""

@@ -201,6 +201,26 @@ def test_gram_lookup(spark):
     assert got == sorted((n, i, k) for n, p in enumerate(asked) if len(p) >= 3 for i, t in enumerate(TEXTS) for k in range(len(t)) if t.startswith(p, k))
 
 
+def test_occurrences_of_any_length(spark):
+    texts = [*TEXTS, "a passage of the bench", "a passage of another kind", "the end: passage of the bench"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    asked = ["passage of the bench", "a passage of the bench", "aba", "ab", "a", "é", "zzz", "", None, "ssi"]
+    q = spark.createDataFrame(list(enumerate(asked)), "qid int, pattern string")
+    got = sorted(tuple(r) for r in gram_index.occurrences(docs, q).collect())
+    assert got == sorted((n, i, k) for n, p in enumerate(asked) if p for i, t in enumerate(texts) for k in range(len(t)) if t.startswith(p, k))
+
+
+def test_passages_are_whole(spark, tmp_path):
+    """An item is found where its body stands, and not where only its opening does."""
+    from strandline.plans.queries import QUERIES
+
+    item = "the same opening and then a body of its own"
+    spark.createDataFrame([(1, item), (2, "ab")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, f"x {item} y"), (2, "the same opening and then another body"), (3, "cab")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in QUERIES["text_passages"](spark, str(tmp_path)).collect()) == [(1, 1, 2), (2, 3, 1)]
+
+
 def test_common_grams(spark):
     from strandline.operators import compare
 

@@ -2,8 +2,8 @@
 
 ``suffixes`` is ``(doc_id, rank, pos, lcp)``: suffixes by code point, each with
 its common prefix with the one before (0 for the first).  One text is one unit
-of work of a vectorised kernel; a text beyond ``max_chars`` goes through
-:func:`giant_suffixes`, which doubles prefixes with DataFrames.
+of work of a vectorised kernel; texts beyond ``max_chars`` go through
+:func:`giant_tables`, which doubles prefixes with DataFrames.
 """
 
 from __future__ import annotations
@@ -30,15 +30,17 @@ def suffixes(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text in enumerate(b.column(1).to_pylist()):
-                if len(text) > max_chars:
-                    raise ValueError(f"a text of {len(text)} characters is beyond max_chars; use giant_suffixes")
                 order, lcp = kernels.suffix_order(kernels.code_points(text))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(np.full(len(order), i))), pa.array(np.arange(len(order)), pa.int32()), pa.array(order, pa.int32()), pa.array(lcp, pa.int32())],
                     names=["doc_id", "rank", "pos", "lcp"],
                 )
 
-    return docs.select("doc_id", "text").filter(F.length("text") > 0).mapInArrow(run, f"doc_id {kind}, rank int, pos int, lcp int")
+    texts = docs.select("doc_id", "text").filter(F.length("text") > 0)
+    kept = texts.filter(F.length("text") <= max_chars).mapInArrow(run, f"doc_id {kind}, rank int, pos int, lcp int")
+    # texts are numbered before they are written, as ids may be null or repeated
+    giant = write_table(texts.filter(F.length("text") > max_chars).withColumn("at", F.monotonically_increasing_id()), "giant-texts")
+    return kept.union(giant_tables(giant)) if giant.take(1) else kept
 
 
 def giant_suffixes(chars: DataFrame) -> DataFrame:
@@ -61,6 +63,46 @@ def giant_suffixes(chars: DataFrame) -> DataFrame:
         k *= 2
 
 
+def giant_tables(texts: DataFrame) -> DataFrame:
+    """``texts(doc_id, text, at)``, numbered by ``at``, to the rows of :func:`suffixes`.
+
+    The ranks are those of :func:`giant_suffixes`, text by text.  Every round's
+    are kept: the common prefix of two neighbours is the sum of the lengths at
+    which their ranks still agree, from the longest down."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                codes = kernels.code_points(text)
+                for lo in range(0, len(codes), 1 << 16):
+                    part = codes[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), pa.array(np.arange(lo, lo + len(part)), pa.int64()), pa.array(part, pa.int64())], names=["at", "pos", "r"])
+
+    # an end has rank 0, below every code point
+    levels = [write_table(texts.select("at", "text").mapInArrow(cut, "at long, pos long, r long").withColumn("r", F.col("r") + 1), "suffix-ranks")]
+    total, k = levels[0].count(), 1
+    while True:
+        ahead = levels[-1].select("at", (F.col("pos") - k).alias("pos"), F.col("r").alias("r2"))
+        pairs = write_table(levels[-1].join(ahead, ["at", "pos"], "left").select("at", "pos", "r", F.coalesce("r2", F.lit(0)).alias("r2")), "suffix-pairs")
+        named = global_positions(pairs.select("at", "r", "r2").distinct(), ["at", "r", "r2"], "new", 1)
+        levels.append(write_table(pairs.join(named, ["at", "r", "r2"]).select("at", "pos", F.col("new").alias("r")), "suffix-ranks"))
+        if levels[-1].agg(F.max("r")).first()[0] == total:
+            break
+        k *= 2
+    last = levels.pop()
+    before = last.select("at", (F.col("r") + 1).alias("r"), F.col("pos").alias("b"))
+    rows = last.join(before, ["at", "r"], "left").withColumn("lcp", F.lit(0).cast("long"))
+    for n in range(len(levels) - 1, -1, -1):
+        of = lambda name: levels[n].select("at", F.col("pos").alias(f"__{name}"), F.col("r").alias(f"r_{name}"))
+        rows = rows.withColumn("__a", F.col("pos") + F.col("lcp")).withColumn("__b", F.col("b") + F.col("lcp"))
+        rows = rows.join(of("a"), ["at", "__a"], "left").join(of("b"), ["at", "__b"], "left")
+        more = F.when(F.col("r_a") == F.col("r_b"), F.lit(1 << n)).otherwise(0)
+        rows = write_table(rows.select("at", "pos", "r", "b", (F.col("lcp") + more).alias("lcp")), "suffix-prefixes")
+    first = rows.groupBy("at").agg(F.min("r").alias("first"))
+    out = rows.join(first, "at").join(texts.select("at", "doc_id"), "at")
+    return out.select("doc_id", *[F.expr(c).cast("int").alias(n) for c, n in (("r - first", "rank"), ("pos", "pos"), ("lcp", "lcp"))])
+
+
 def lcp_of_pairs(docs: DataFrame, sx: DataFrame, q: DataFrame) -> DataFrame:
     """``q(qid, doc_id, i, j)`` to the common prefix of the suffixes at i and j:
     the least ``lcp`` between their ranks; a suffix with itself has its length."""

@@ -237,6 +237,19 @@ def test_giant_suffixes(spark):
     assert got == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_long_texts_have_suffix_tables(spark):
+    """Texts beyond max_chars, of null and repeated ids too, have the rows of the kernel."""
+    from strandline.operators import repeats
+
+    texts = [(1, "mississippi$mississippi"), (2, "aaaaaaaa"), (3, "short"), (4, ""), (5, None), (None, "abé😀abé😀ab"), (7, "abababab"), (8, "aaaaaaaa")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    split, whole = suffix.suffixes(docs, max_chars=6), suffix.suffixes(docs)
+    assert split.schema == whole.schema
+    assert Counter(tuple(r) for r in split.collect()) == Counter(tuple(r) for r in whole.collect())
+    got = {r[0]: r[1] for r in repeats.count_unique_substrings(split).collect()}
+    assert got == {i: len({t[a:b] for a in range(len(t)) for b in range(a + 1, len(t) + 1)}) for i, t in texts if t}
+
+
 def test_last_to_first(spark):
     docs = spark.createDataFrame([(1, "mississippi\0")], "doc_id int, text string")
     rows = sorted(suffix.last_to_first(suffix.bwt(docs)).collect(), key=lambda r: r["i"])

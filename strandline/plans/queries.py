@@ -576,6 +576,78 @@ def item_multi_gapped_all(spark, sf_dir):
     return found.select("doc_id", "position", "length", F.col("gaps")[0]["gap_count"].alias("gap1"), F.col("gaps")[1]["gap_count"].alias("gap2"))
 
 
+# --- documents: the operators of the items whose output follows the text -------------------
+
+
+@_query()
+def document_wildcard_q(spark, sf_dir):
+    """G3 over all documents."""
+    return search.locate_wildcard(_docs(spark, sf_dir), "e??n")
+
+
+@_query()
+def document_single_gapped(spark, sf_dir):
+    """G4 over all documents."""
+    return search.locate_single_gapped(_docs(spark, sf_dir), "en*th")
+
+
+@_query()
+def document_multi_gapped(spark, sf_dir):
+    """G5 over all documents: the nearest chain of each first hit."""
+    found = search.locate_multi_gapped(_docs(spark, sf_dir), "en*er*th ")
+    return found.select("doc_id", "position", "length", F.col("gaps")[0]["gap_count"].alias("gap1"), F.col("gaps")[1]["gap_count"].alias("gap2"))
+
+
+@_query()
+def document_common_prefix(spark, sf_dir):
+    """X2 over all documents: four pairs of suffixes of each."""
+    docs = _docs(spark, sf_dir)
+    pairs = docs.filter(F.length("text") > 0).select("doc_id", F.length("text").alias("n"), F.explode(F.array(*[F.lit(j) for j in range(4)])).alias("j"))
+    i = F.expr("cast(cast(n as long) * j div 4 as int)")
+    q = pairs.select((F.col("doc_id") * 4 + F.col("j")).alias("qid"), "doc_id", i.alias("i"), (F.col("n") - 1 - i).alias("j"))
+    return suffix.lcp_of_pairs(docs, tables.write_table(suffix.suffixes(docs), "document-suffixes"), q)
+
+
+@_query()
+def document_longest_repeats(spark, sf_dir):
+    """U1 over all documents."""
+    docs = _docs(spark, sf_dir)
+    return repeats.longest_repeated(docs, suffix.suffixes(docs)).select("doc_id", "text", F.explode("positions").alias("position"))
+
+
+@_query()
+def document_longest_repeat(spark, sf_dir):
+    """U4 over all documents."""
+    docs = _docs(spark, sf_dir)
+    return repeats.longest_repeat(docs, suffix.suffixes(docs)).select("doc_id", "text")
+
+
+@_query()
+def document_shortest_unique(spark, sf_dir):
+    """U9 over all documents."""
+    docs = _docs(spark, sf_dir)
+    return repeats.shortest_unique(docs, suffix.suffixes(docs))
+
+
+@_query()
+def document_first_shortest_unique(spark, sf_dir):
+    """U8 over all documents."""
+    docs = _docs(spark, sf_dir)
+    return repeats.first_shortest_unique(docs, suffix.suffixes(docs))
+
+
+@_query()
+def document_tandem(spark, sf_dir):
+    """U5 over all documents."""
+    return repeats.tandem_repeats(_docs(spark, sf_dir))
+
+
+@_query()
+def document_palindrome(spark, sf_dir):
+    """J5 over all documents."""
+    return repeats.longest_palindrome(_docs(spark, sf_dir))
+
+
 # --- pairs of texts: each benchmark item and the next ----------------------------------------
 
 

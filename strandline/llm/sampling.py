@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, max_labels: int = 64, seed: int = 7) -> list[tuple[str, str]]:
-    """At most ``per_label`` texts of each of the ``max_labels`` commonest labels.
+def labelled_sample(rows: DataFrame, label: str, per_label: int, max_texts: int = 64 * 300, seed: int = 7) -> list[tuple[str, str]]:
+    """At most ``per_label`` texts of every label, fewer where the labels are so
+    many that together they would pass ``max_texts``, but one of each at least.
 
     ``rows`` has ``doc_id``, ``text`` and the label.  Which rows are taken
     depends on a hash of doc_id only.  A first pass counts the labels (without
     reading texts), a second collects the rows below each label's threshold, so
-    no text is shuffled and the driver holds ``per_label * max_labels`` texts.
+    no text is shuffled and the driver holds twice ``max_texts`` texts at most (or
+    labels, if these are more).
     """
     rows = rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
     lot = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(lot).alias("least")).orderBy(F.desc("n"), label).collect()
     if not counts:
         return []
-    bound = F.lit(None)
-    for name, n in counts:
-        share = min(1.0, per_label / n)
-        bound = F.when(F.col(label) == name, F.lit(int(share * (1 << 30)))).otherwise(bound)
-    found = rows.filter(lot < bound).select(F.col(label).cast("string"), "text", lot.alias("lot")).limit(2 * per_label * len(counts)).collect()
+    per_label = min(per_label, max(1, max_texts // len(counts)))
+    bounds = [F.lit(x) for name, n, least in counts for x in (name, max(int(min(1.0, per_label / n) * (1 << 30)), least + 1))]
+    found = rows.filter(lot < F.create_map(*bounds)[F.col(label)]).select(F.col(label).cast("string"), "text", lot.alias("lot")).limit(2 * per_label * len(counts)).collect()
     taken: dict[str, int] = {}
     out = []
     for name, text, _ in sorted(found, key=lambda r: (r[2], r[0], r[1])):

@@ -51,6 +51,17 @@ def test_language_table(spark):
     assert language.identify(empty(spark), language.train(empty(spark))).count() == 0
 
 
+def test_every_label_is_sampled(spark):
+    from strandline.llm.sampling import labelled_sample
+
+    rows = [(i, f"text {i}", f"l{i % 90:02d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most, budget in ((300, 64 * 300), (300, 180), (300, 10)):
+        names = [name for name, _ in labelled_sample(docs, "lang", most, max_texts=budget)]
+        assert len(set(names)) == 90 and len(names) <= max(90, budget)
+    assert len({name for name, _ in labelled_sample(docs, "lang", 300)}) == 90
+
+
 def test_language_learns_from_other_folds_only(spark):
     rng = random.Random(1)
     held = [i for i in range(900) if fold(i) == 2]

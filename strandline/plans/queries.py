@@ -709,8 +709,6 @@ def compare_longest_match(spark, sf_dir):
 @_query(_S + "SELECT seq_id, pos, val FROM s")
 def store_round_trip(spark, sf_dir):
     """A sequence index saved with its manifest and loaded with all checks."""
-    import uuid
-
-    path = f"{tables.shared_folder(spark)}/index-{uuid.uuid4().hex[:12]}"
+    path = tables.new_path(spark, "index")
     store.save({"data": _lines(spark, sf_dir)}, path, "sequence")
     return store.load(spark, path, "sequence")["data"]

@@ -13,7 +13,7 @@ Defined cases: a null text and a text without a letter are ``und`` with score 0;
 with no labelled row at all every text is ``und``; with one language only it is
 predicted with score 1; ties go to the language first by code point; repeated
 rows get equal results; an empty table gives no rows; further columns are kept
-only on request.
+on request, and those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from strandline.llm.sampling import labelled_sample
-from strandline.llm.workspace import crc_mod, pieces_of
+from strandline.llm.sampling import MAX_TEXTS, drawn, fitted
+from strandline.llm.workspace import Batches, absent, cased, crc_mod, text_steps, worker
 
-#: Bound of the training sample.
+#: Bounds of the training sample: texts, and bytes of features (6 each).
 TEXTS_PER_LANGUAGE = 300
+SAMPLE_BYTES = 48_000_000
+#: Lead in probability over the next language below which a text is flagged.
+AMBIGUOUS_BELOW = 0.1
 BITS = 14  # of the n-gram hash
 _LETTER = regex.compile(r"\p{L}")
 
@@ -91,17 +95,45 @@ class Model:
         return (loss * self.trust[None]).sum(axis=2)
 
 
-def fit(texts: Sequence[tuple[str, str]], epochs: int = 15, rate: float = 4.0, seed: int = 3) -> Model:
+def _encode(text: str) -> bytes:
+    """The features of a text that are not zero: their numbers, then their values."""
+    x = features(text)
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+class _Rows:
+    """Encoded texts, as dense rows on demand."""
+
+    def __init__(self, codes: Sequence[bytes]):
+        self._codes = codes
+
+    def __len__(self) -> int:
+        return len(self._codes)
+
+    def dense(self, part: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(part), 1 << BITS), np.float32)
+        for row, i in zip(x, part.tolist()):
+            code = self._codes[i]
+            n = len(code) // 6
+            row[np.frombuffer(code, "<u2", n)] = np.frombuffer(code, "<f4", n, 2 * n)
+        return x
+
+
+def fit(texts: Sequence[tuple[str, str]], **how) -> Model:
     """``(language, text)`` pairs to a model: a logistic classifier for each bit."""
+    return fit_encoded([(name, _encode(t)) for name, t in texts], **how)
+
+
+def fit_encoded(texts: Sequence[tuple[str, bytes]], epochs: int = 15, rate: float = 4.0, seed: int = 3) -> Model:
+    """The same of encoded texts, in small steps: no more than 64 rows are dense."""
     names = sorted({name for name, _ in texts})
     code = codewords(len(names))
     index = {name: i for i, name in enumerate(names)}
     label = np.array([index[name] for name, _ in texts], dtype=int)
-    x = np.empty((len(texts), 1 << BITS), dtype=np.float32)
-    for i, (_, t) in enumerate(texts):
-        x[i] = features(t)
-    mean = x.mean(axis=0) if len(x) else np.zeros(1 << BITS, np.float32)
-    x -= mean
+    rows = _Rows([c for _, c in texts])
+    strips = np.array_split(np.arange(len(rows)), max(1, len(rows) // 64))
+    mean = sum((rows.dense(s).sum(axis=0) for s in strips), np.zeros(1 << BITS, np.float32)) / max(1, len(rows))
     y = code[label].astype(np.float32)
     w, b = np.zeros((1 << BITS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     size = np.bincount(label, minlength=len(names)).astype(np.float32)
@@ -109,12 +141,13 @@ def fit(texts: Sequence[tuple[str, str]], epochs: int = 15, rate: float = 4.0, s
     importance = importance / importance.mean() if len(texts) else importance
     rng = np.random.default_rng(seed)
     for epoch in range(epochs if len(names) > 1 else 0):
-        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
-            g = -importance[part] * y[part] / (1 + np.exp(y[part] * (x[part] @ w + b)))
+        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
+            x = rows.dense(part) - mean
+            g = -importance[part] * y[part] / (1 + np.exp(y[part] * (x @ w + b)))
             step = rate / (1 + 0.1 * epoch)
-            w -= step * (x[part].T @ g / len(part) + 1e-5 * w)
+            w -= step * (x.T @ g / len(part) + 1e-5 * w)
             b -= 0.1 * step * g.mean(axis=0)
-    margin = x @ w + b
+    margin = np.concatenate([(rows.dense(s) - mean) @ w + b for s in strips]) if len(rows) else y
     trust = np.array([[((margin[label == i, k] * code[i, k]) > 0).mean() for k in range(code.shape[1])] for i in range(len(names))])
     trust = np.maximum(trust.reshape(code.shape), 1e-3)
     return Model(names, code.astype(np.float32), w, b - mean @ w, (trust / trust.sum(axis=1, keepdims=True)).astype(np.float32))
@@ -125,7 +158,7 @@ def predict(model: Model, texts: Sequence[str | None]) -> tuple[list[str], np.nd
     ok = [t is not None and bool(model.languages) and _LETTER.search(t) is not None for t in texts]
     name, score, margin = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     at = np.flatnonzero(ok)
-    for part in (at[k : k + 256] for k in range(0, len(at), 256)):
+    for part in (at[k : k + 64] for k in range(0, len(at), 64)):
         loss = model.losses(np.array([features(texts[i]) for i in part])).astype(np.float64)
         p = np.exp(-(loss - loss.min(axis=1, keepdims=True)) * model.code.shape[1])
         p /= p.sum(axis=1, keepdims=True)
@@ -136,25 +169,47 @@ def predict(model: Model, texts: Sequence[str | None]) -> tuple[list[str], np.nd
     return name, score, margin
 
 
-def train(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
-    """Fits on documents outside fold 2 whose language is known (a bounded sample)."""
+def train(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, max_texts: int = MAX_TEXTS) -> Model:
+    """Fits on documents outside fold 2 whose language is known: a sample bounded in
+    texts, characters of each and bytes of features, drawn and fitted in tasks."""
     rows = docs.filter(crc_mod(F.col("doc_id")) != 2).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    return fit(labelled_sample(rows, "lang", per_language))
+    return fitted(drawn(rows, "lang", per_language, max_texts), _encode, fit_encoded, SAMPLE_BYTES)
 
 
-def identify(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), ambiguous_below: float = 0.1) -> DataFrame:
-    """``columns`` and lang_pred, score, ambiguous of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the code
-    out = docs.select(*columns).schema
-    at = out.names.index("text") if "text" in out.names else len(out)  # a text is sent once
-    keep = docs.select(*columns, *[F.col("text").alias("__text")] * (at == len(out)))
-    names = [*out.names, "lang_pred", "score", "ambiguous"]
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out)}, lang_pred string, score double, ambiguous boolean"
+RESULTS = ("lang_pred", "score", "ambiguous")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def identify(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), ambiguous_below: float = AMBIGUOUS_BELOW) -> DataFrame:
+    """``columns`` and lang_pred, score, ambiguous of every document.  The caller's
+    columns that are named like a result, in whatever case, give way to it."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the code
+    columns = absent(columns, RESULTS)
+    out = docs.select(*[f"`{c}`" for c in columns]).schema
+    at = cased(docs.select(*[f"`{c}`" for c in columns]), "text") if "text" in map(str.lower, columns) else len(out)  # a text is sent once
+    keep = docs.select(*[f"`{c}`" for c in columns], *[F.col("text").alias("__text")] * (at == len(out)))
+    schema = StructType([*out, *StructType.fromDDL("lang_pred string, score double, ambiguous boolean")])
+
+    @worker
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in pieces_of(batches):
+        for b in text_steps(batches, at):
             name, score, margin = predict(m, b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(name, pa.string()), pa.array(score), pa.array(margin < ambiguous_below)], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(name, pa.string()), pa.array(score), pa.array(margin < ambiguous_below)], names=schema.names)
 
     return keep.mapInArrow(run, schema)
+
+
+def clear(docs: DataFrame, model: Model, least_lead: float = AMBIGUOUS_BELOW) -> DataFrame:
+    """The documents with a letter whose language leads the next by ``least_lead`` or
+    more, rows and columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = cased(docs, "text")
+
+    @worker
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in text_steps(batches, at):
+            name, _, margin = predict(m, b.column(at).to_pylist())
+            yield b.filter(pa.array([n != "und" and x >= least_lead for n, x in zip(name, margin)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,11 +6,12 @@ one row a task.  With the histogram sorted by length, suffix sums give for
 every context limit how many documents reach it, how many tokens remain when
 documents are cut there, and every quantile.
 
-The sums run in two levels (blocks of lengths, then lengths in a block), so no
-task reads more than one block of the histogram.
+The sums run from the longest length down, in two levels (blocks of lengths, then
+lengths in a block), so no task reads more than one block of the histogram.
 
 Defined cases: a null or empty text has the end id alone; repeated rows count
-as often as they occur; an empty table gives no rows.
+as often as they occur; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,32 +41,30 @@ def context_table(hist: DataFrame) -> DataFrame:
     """
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("bt"))
-    up = Window.orderBy("block")
-    every = Window.partitionBy()
+    down, every = Window.orderBy(F.desc("block")), Window.partitionBy()
     blocks = blocks.select(
         "block",
-        (F.sum("bd").over(up) - F.col("bd")).alias("docs0"),
-        (F.sum("bt").over(up) - F.col("bt")).alias("tokens0"),
+        (F.sum("bd").over(down) - F.col("bd")).alias("docs0"),
+        (F.sum("bt").over(down) - F.col("bt")).alias("tokens0"),
         F.sum("bd").over(every).alias("docs_total"),
         F.sum("bt").over(every).alias("tokens_total"),
     )
-    inside = Window.partitionBy("block").orderBy("n_tokens")
-    tokens = F.col("n_docs") * F.col("n_tokens")
-    below = (F.col("docs0") + F.sum("n_docs").over(inside) - F.col("n_docs")).alias("docs_below")
-    below_tokens = (F.col("tokens0") + F.sum(tokens).over(inside) - tokens).alias("tokens_below")
-    rows = hist.join(blocks, "block").select("n_tokens", "n_docs", below, below_tokens, "docs_total", "tokens_total")
-    reaching = F.col("docs_total") - F.col("docs_below")
-    kept = F.col("tokens_below") + reaching * F.col("n_tokens")
+    inside = Window.partitionBy("block").orderBy(F.desc("n_tokens"))
+    reaching = F.col("docs0") + F.sum("n_docs").over(inside)
+    tokens = F.col("tokens0") + F.sum(F.col("n_docs") * F.col("n_tokens")).over(inside)
+    rows = hist.join(blocks, "block").select("n_tokens", "n_docs", reaching.alias("docs_reaching"), tokens.alias("tokens_reaching"), "docs_total", "tokens_total")
+    cut = F.col("tokens_reaching") - F.col("docs_reaching") * F.col("n_tokens")
+    below = F.col("docs_total") - F.col("docs_reaching")
     return rows.select(
         "n_tokens",
         "n_docs",
-        "docs_below",
-        "tokens_below",
-        reaching.alias("docs_reaching"),
-        kept.alias("tokens_kept"),
-        (F.col("tokens_total") - kept).alias("tokens_cut"),
+        below.alias("docs_below"),
+        (F.col("tokens_total") - F.col("tokens_reaching")).alias("tokens_below"),
+        "docs_reaching",
+        (F.col("tokens_total") - cut).alias("tokens_kept"),
+        cut.alias("tokens_cut"),
         "tokens_total",
-        ((F.col("docs_below") + F.col("n_docs")) / F.col("docs_total")).alias("quantile"),
+        ((below + F.col("n_docs")) / F.col("docs_total")).alias("quantile"),
     )
 
 

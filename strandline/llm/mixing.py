@@ -4,21 +4,26 @@ Each source has a weight schedule over training time t in [0, 1], piecewise
 linear between knots.  Its share of the demand is the integral of its weight
 over the integral of all weights, bounded by ``max_epochs`` times its size (the
 excess is reshared by weight).  A source's documents stand in keyed random
-order; the cumulative demand, inverted, says at which time each becomes due.
-Range-sorting by that time gives the training order.
+order; its cumulative demand, inverted, says at which time each becomes due, and
+the mix's cumulative demand at that time is the document's training position, in
+words.  Positions are even in words, so fixed cuts of them are a range
+partition, and sorting inside the parts gives the training order.
 
 Prefix sums over a source go through hash blocks: totals of blocks first, then
-rows inside a block, so a source with a third of all rows is spread out.
+rows inside a block, so a source with a third of all rows is spread out.  Rows
+that are equal in ``doc_id``, source and text count as one row with a number of
+copies until the end, so neither do they meet in one task.
 
 Defined cases: a null text has size 0; sources are compared by code point and
 null is a source of its own, placed last; documents of size 0 take nothing and
-are due with their neighbour; repeated rows are separate documents (ties in
-the order fall back on the text's hash); empty tables give no rows.
+are never due; repeated rows, and rows with a null id, are separate documents;
+empty tables give no rows; further columns are ignored, or kept as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +35,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 2_000
 #: Parts that a source's rows are joined with its facts in.
 SALTS = 64
+#: Copies of one row that are dealt out at a time.
+COPIES = 4_096
+
+Knots = Sequence[tuple[float, float]]
+#: The schedules that sources get in turn: one that falls, one that is highest at
+#: half time, one that rises.  Their integrals, the weights, are 1, 2 and 3.
+CYCLE: tuple[Knots, ...] = (((0.0, 2.0), (1.0, 0.0)), ((0.0, 1.0), (0.5, 3.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 6.0)))
 
 
 def word_count(text: Column) -> Column:
@@ -37,10 +49,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cyclic_weights(sources: DataFrame, cycle: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """Adds ``weight``: sources by code point, null last, weigh the cycle's values in turn."""
+def cyclic_schedule(sources: DataFrame, cycle: Sequence[Knots] = CYCLE) -> DataFrame:
+    """Adds ``knots``: sources by code point, null last, get the cycle's schedules in
+    turn (the sources' table is sorted in one task)."""
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (rank % len(cycle) + 1).cast("int")).cast("double"))
+    shapes = F.array(*[F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("w")) for t, w in knots]) for knots in cycle])
+    return sources.withColumn("knots", F.element_at(shapes, (rank % len(cycle) + 1).cast("int")))
+
+
+def area(knots: Column) -> Column:
+    """Integral of a schedule."""
+    parts = F.sequence(F.lit(1), F.size(knots) - 1)
+    return F.aggregate(parts, F.lit(0.0), lambda acc, i: acc + (knots[i]["w"] + knots[i - 1]["w"]) / 2 * (knots[i]["t"] - knots[i - 1]["t"]))
+
+
+def weight_at(knots: Column, t: Column) -> Column:
+    """A schedule's value at a time."""
+    inside = lambda i: knots[i - 1]["w"] + (knots[i]["w"] - knots[i - 1]["w"]) * (t - knots[i - 1]["t"]) / (knots[i]["t"] - knots[i - 1]["t"])
+    return F.aggregate(F.sequence(F.lit(1), F.size(knots) - 1), F.lit(None).cast("double"), lambda acc, i: F.coalesce(acc, F.when(t <= knots[i]["t"], inside(i))))
 
 
 def capped_targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -111,84 +137,160 @@ def due_time(fraction: Column, knots: Column) -> Column:
     return F.least(F.coalesce(F.aggregate(seg, start, step)["t"], F.lit(1.0)), F.lit(1.0))
 
 
-def curriculum(
-    docs: DataFrame,
-    schedule: DataFrame | None = None,
-    size: Column | None = None,
-    max_epochs: int = 3,
-    seed: int = 42,
-    columns: Sequence[str] = ("doc_id",),
-    ordered: bool = True,
-    detail: bool = False,
-) -> DataFrame:
-    """Assigns each document the words that the mix takes of it and when.
+class Demand(NamedTuple):
+    """The mix's demand: (time, words a unit of time) at the knots of all schedules."""
 
-    ``schedule``: ``(source, knots array<struct<t double, w double>>)``; None:
-    constant weights 1, 2, 3 in turn.  Returns ``columns`` and size,
-    source_size, target, taken, position (when it is first due, 0 to 1; null if
-    never) and epochs.  The last epoch of a source ends where its target is
-    reached: the document there is cut.  ``detail`` adds ``due``, the time of
-    every epoch's turn, of which ``max_epochs + 1`` are given.
-    """
-    docs = docs.select(*[F.col(c) for c in columns], F.col("source").cast("string").alias("__source"), (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("__order"), F.xxhash64("text").alias("__tie"))
-    docs = Workspace(docs.sparkSession, "mix").save(docs, "sizes")  # texts are read once
-    docs = docs.withColumn("__salt", F.pmod(F.col("__order"), F.lit(SALTS)))
-    parts = docs.groupBy(F.col("__source").alias("source"), F.col("__salt").alias("__s")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    rates: list[tuple[float, float]]
+
+    @property
+    def total(self) -> float:
+        return integral(self.rates, 1.0) if self.rates else 0.0
+
+    def until(self, t: Column) -> Column:
+        """Words that all sources together take up to a time."""
+        out = F.lit(0.0)
+        for (a, u), (b, v) in zip(self.rates, self.rates[1:]):
+            c = F.least(F.greatest(t - a, F.lit(0.0)), F.lit(b - a))
+            out = out + c * (F.lit(u) + c * ((v - u) / (b - a) / 2))
+        return F.when(t.isNotNull(), out)
+
+
+def _demand(plan: DataFrame) -> Demand:
+    """From the plan of the sources; the driver sees one number a knot of time."""
+    times = sorted(r[0] for r in plan.select(F.explode("knots.t")).distinct().collect())
+    rates = F.transform(F.array(*map(F.lit, times)), lambda t: F.col("goal") / F.col("weight") * weight_at(F.col("knots"), t)) if times else F.array(F.lit(0.0))
+    sums = plan.filter("weight > 0").select(F.posexplode(rates).alias("k", "rate")).groupBy("k").agg(F.sum("rate").alias("rate")).collect()
+    found = {r["k"]: r["rate"] for r in sums}
+    return Demand([(t, found.get(k, 0.0)) for k, t in enumerate(times)])
+
+
+#: Of a row's identity: equal for rows that are equal in doc_id, source and text.
+def _keys(seed: int) -> list[Column]:
+    facts = [F.col("doc_id"), F.col("doc_id").isNull(), F.col("source"), F.col("source").isNull(), F.col("text"), F.col("text").isNull()]
+    return [F.xxhash64(F.lit(seed), *facts).alias("__k1"), F.xxhash64(F.lit(seed + 1), *facts[::-1]).alias("__k2")]
+
+
+def _places(docs: DataFrame, schedule: DataFrame | None, size: Column | None, max_epochs: int, seed: int, columns: Sequence[str]) -> tuple[DataFrame, Demand, int]:
+    """Groups of equal rows, ``__c`` in each, with ``before``: the words of their
+    source that stand before the group's first row; the demand; most copies."""
+    space = Workspace(docs.sparkSession, "mix")
+    row = (F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(0)).alias("__row")
+    words = (word_count(F.col("text")) if size is None else size).cast("long").alias("size")
+    docs = docs.select(row, F.col("source").cast("string").alias("__source"), words, *_keys(seed))
+    groups = space.save(docs.groupBy("__row", "__source", "size", "__k1", "__k2").agg(F.count(F.lit(1)).alias("__c")), "groups")  # texts are read once
+    groups = groups.withColumn("__salt", F.pmod("__k1", F.lit(SALTS)))
+    parts = groups.groupBy(F.col("__source").alias("source"), F.col("__salt").alias("__s")).agg(F.sum(F.col("size") * F.col("__c")).alias("size"), F.count(F.lit(1)).alias("rows"), F.max("__c").alias("copies"))
+    parts = space.save(parts, "parts")
     totals = parts.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("rows").alias("rows"))
     if schedule is None:
-        shares = cyclic_weights(totals).withColumn("knots", F.array(F.struct(F.lit(0.0).alias("t"), F.lit(1.0).alias("w")), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("w"))))
+        shares = cyclic_schedule(totals)
     else:
         s = schedule.select(F.col("source").alias("__s"), "knots")
-        area = F.aggregate(
-            F.sequence(F.lit(1), F.size("knots") - 1), F.lit(0.0), lambda acc, i: acc + (F.col("knots")[i]["w"] + F.col("knots")[i - 1]["w"]) / 2 * (F.col("knots")[i]["t"] - F.col("knots")[i - 1]["t"])
-        )
-        shares = totals.join(s, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("weight", F.coalesce(area, F.lit(0.0)))
-    capped = capped_targets(shares.select("source", "source_size", "weight"), max_epochs)
-    plan = shares.select(F.col("source").alias("__k"), F.col("source_size").alias("__n"), "rows", "knots").join(capped.withColumnRenamed("source", "__c").select("__c", "target"), F.col("__k").eqNullSafe(F.col("__c")), "left").drop("__c")
-    plan = plan.select("__k", F.col("__n").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "knots", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS)).alias("blocks"))
+        none = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(0.0).alias("w")) for t in (0.0, 1.0)])
+        shares = totals.join(s, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("knots", F.coalesce("knots", none))
+    shares = shares.withColumn("weight", area(F.col("knots")))
+    capped = capped_targets(shares.select("source", "source_size", "weight"), max_epochs).select(F.col("source").alias("__src"), "target")
+    plan = shares.join(capped, F.col("source").eqNullSafe(F.col("__src")), "left").drop("__src")
+    plan = plan.withColumn("target", F.coalesce("target", F.lit(0.0))).withColumn("goal", F.round("target").cast("long"))
+    plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS))).drop("rows")
+    plan = space.save(plan.withColumnRenamed("source", "__src"), "plan")
+    demand, copies = _demand(plan), parts.agg(F.max("copies")).first()[0] or 0
 
     # a source's facts go to its parts first, so that no source's rows meet in one task
-    plan = parts.select(F.col("source").alias("__src"), "__s").join(plan, F.col("__src").eqNullSafe(F.col("__k"))).drop("__k")
-    rows = docs.join(plan, F.col("__source").eqNullSafe(F.col("__src")) & (F.col("__salt") == F.col("__s"))).drop("__src", "__s", "__salt")
-    rows = rows.withColumn("__block", F.least(F.floor((F.col("__order") / 2.0**64 + 0.5) * F.col("blocks")), F.col("blocks") - 1).cast("long"))
-    per_block = rows.groupBy(F.col("__source").alias("__bs"), F.col("__block").alias("__bb")).agg(F.sum("size").alias("n"))
-    block_start = per_block.withColumn("__start", F.sum("n").over(Window.partitionBy("__bs").orderBy("__bb")) - F.col("n")).drop("n")
-    rows = rows.join(block_start, F.col("__source").eqNullSafe(F.col("__bs")) & (F.col("__block") == F.col("__bb"))).drop("__bs", "__bb")
-    inside = Window.partitionBy("__source", "__block").orderBy("__order", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, 0)  # repeated rows one by one
-    rows = rows.withColumn("__before", F.col("__start") + F.sum("size").over(inside) - F.col("size"))
-
-    goal = F.round("target").cast("long")
-    full = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = goal - full * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__before"))).cast("long")
-    due = F.when(F.col("__before") < goal, due_time(F.col("__before") / F.greatest(goal, F.lit(1)), F.col("knots")))
-    turns = F.array(*[F.coalesce(due_time((F.col("__before") + e * F.col("source_size")) / F.greatest(goal, F.lit(1)), F.col("knots")), F.lit(1.0)) for e in range(max_epochs + 1)]).alias("due")
+    dealt = parts.select("source", "__s").join(plan, F.col("source").eqNullSafe(F.col("__src"))).drop("source")
+    rows = groups.join(dealt, F.col("__source").eqNullSafe(F.col("__src")) & (F.col("__salt") == F.col("__s"))).drop("__src", "__s", "__salt")
+    rows = rows.withColumn("__block", F.least(F.floor((F.col("__k1") / 2.0**64 + 0.5) * F.col("blocks")), F.col("blocks") - 1).cast("long")).withColumn("__words", F.col("size") * F.col("__c"))
+    per_block = rows.groupBy(F.col("__source").alias("__bs"), F.col("__block").alias("__bb")).agg(F.sum("__words").alias("n"))
+    starts = per_block.withColumn("__start", F.sum("n").over(Window.partitionBy("__bs").orderBy("__bb")) - F.col("n")).drop("n")
+    rows = rows.join(starts, F.col("__source").eqNullSafe(F.col("__bs")) & (F.col("__block") == F.col("__bb"))).drop("__bs", "__bb")
+    inside = Window.partitionBy("__source", "__block").orderBy("__k1", "__k2", "__row").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("before", F.col("__start") + F.sum("__words").over(inside) - F.col("__words")), demand, copies
+
+
+def _due(before: Column) -> Column:
+    """When so many of a source's words have been asked for."""
+    return due_time(before / F.greatest(F.col("goal"), F.lit(1)), F.col("knots"))
+
+
+def _full() -> Column:
+    """How often the mix takes the whole of a row's source."""
+    return F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+
+
+def _parts(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def curriculum(
+    docs: DataFrame, schedule: DataFrame | None = None, size: Column | None = None, max_epochs: int = 3, seed: int = 42, columns: Sequence[str] = ("doc_id",), ordered: bool = True
+) -> DataFrame:
+    """Assigns each document the words that the mix takes of it and when.
+
+    ``schedule``: ``(source, knots array<struct<t double, w double>>)``, of rising
+    times from 0 to 1 and weights of 0 or more; None: the schedules of ``CYCLE`` in
+    turn.  Returns ``columns`` (which must be comparable) and size, source_size,
+    target, taken, position (in words of the mix; null if the document is never
+    due), time (of training, 0 to 1) and epochs.  The last epoch of a source ends
+    where its target is reached: the document there is cut.
+    """
+    rows, demand, copies = _places(docs, schedule, size, max_epochs, seed, columns)
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("__c") - 1)
+    if copies > COPIES:
+        rows = rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / COPIES)))).repartition(_parts(rows), "__k1", "__chunk")
+        first = F.col("__chunk") * COPIES
+        numbers = F.sequence(first, F.least(first + COPIES, F.col("__c")) - 1)
+    rows = rows.withColumn("__j", F.explode(numbers)).withColumn("before", F.col("before") + F.col("__j") * F.col("size"))
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - _full() * F.col("source_size") - F.col("before"))).cast("long")
+    rows = rows.withColumn("__last", last).withColumn("time", F.when((F.col("before") < F.col("goal")) & (F.col("size") > 0), _due(F.col("before"))))
+    kept = [c for c in columns if c.lower() not in RESULTS]
     out = rows.select(
-        *columns,
+        *[F.col(f"__row.`{c}`") for c in kept],
         "size",
         "source_size",
         "target",
-        (F.col("size") * full + last).alias("taken"),
-        due.alias("position"),
-        (full + F.when(last > 0, 1).otherwise(0)).cast("long").alias("epochs"),
-        *[turns] * detail,
+        (F.col("size") * _full() + F.col("__last")).alias("taken"),
+        demand.until(F.col("time")).alias("position"),
+        "time",
+        (_full() + F.when(F.col("__last") > 0, 1).otherwise(0)).cast("long").alias("epochs"),
+        F.xxhash64("__k1", "__j").alias("__lot"),
     )
     if not ordered:
-        return out
-    # the second key spreads the documents that are never due
-    lot = F.xxhash64("doc_id")
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), lot).sortWithinPartitions(F.col("position").asc_nulls_last(), lot)
+        return out.drop("__lot")
+    # documents that are never due come last, in parts of their own
+    n = _parts(docs)
+    of_position = F.least(F.floor(F.col("position") / (demand.total or 1.0) * n), F.lit(n - 1)).cast("int")
+    part = F.coalesce(of_position, n + F.pmod("__lot", F.lit(n)).cast("int"))
+    return out.repartitionById(2 * n, part).sortWithinPartitions(F.col("position").asc_nulls_last(), "__lot").drop("__lot")
+
+
+RESULTS = {"size", "source_size", "target", "taken", "position", "time", "epochs"}
 
 
 def mixed_documents(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: int = 3, seed: int = 42) -> DataFrame:
     """The mix itself: whole documents, each as often as it is taken (the cut
     last one counts from one half on), in training order.  Columns stay as they
-    are.  Rows without a word are kept once, at the start; rows whose doc_id is
-    null cannot be placed and come once at the start as well."""
-    plan = curriculum(docs, schedule, max_epochs=max_epochs, seed=seed, ordered=False, detail=True)
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    plan = plan.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.struct(copies.alias("n"), "due")).alias("p")).filter("p.n > 0")
-    placed = docs.join(plan, docs["doc_id"] == plan["__id"]).withColumn("__at", F.explode(F.slice(F.col("p.due"), F.lit(1), F.col("p.n")))).drop("__id", "p")
-    placed = placed.unionByName(docs.filter("doc_id is null").withColumn("__at", F.lit(0.0)))
-    lot = F.xxhash64("doc_id")
-    return placed.repartitionByRange(F.col("__at"), lot).sortWithinPartitions("__at", lot).drop("__at")
+    are.  Rows without a word are kept once, somewhere in the mix.  Rows that are
+    equal in doc_id, source and text share what is taken of them all by lot."""
+    rows, demand, _ = _places(docs, schedule, None, max_epochs, seed, ())
+    taken = F.col("__words") * _full() + F.greatest(F.lit(0), F.least(F.col("__words"), F.col("goal") - _full() * F.col("source_size") - F.col("before")))
+    times = F.round(taken / F.col("size")).cast("long")
+    at = lambda start: F.array(*[demand.until(_due(start + e * F.col("source_size"))) for e in range(max_epochs + 1)])
+    anywhere = F.array((F.col("__k2") / 2.0**64 + 0.5) * demand.total)
+    words = F.col("size") > 0
+    plan = rows.select(
+        "__k1",
+        "__k2",
+        "__c",
+        F.when(words, F.floor(times / F.col("__c"))).otherwise(1).cast("int").alias("__n"),
+        F.when(words, F.pmod(times, F.col("__c")) / F.col("__c")).otherwise(0.0).alias("__more"),
+        F.when(words, at(F.col("before"))).otherwise(anywhere).alias("__low"),
+        F.when(words & (F.col("__c") > 1), at(F.col("before") + F.col("__words"))).alias("__high"),
+    ).filter("__n > 0 or __more > 0")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *_keys(seed))
+    placed = whole.join(plan, ["__k1", "__k2"]).withColumn("__u", F.when(F.col("__c") > 1, F.rand(seed)).otherwise(0.0))
+    placed = placed.withColumn("__n", F.least(F.col("__n") + (F.col("__u") < F.col("__more")).cast("int"), F.size("__low"))).filter("__n > 0")
+    position = F.transform(F.slice("__low", F.lit(1), F.col("__n")), lambda x, e: x + F.coalesce((F.get(F.col("__high"), e) - x) * F.col("__u"), F.lit(0.0)))
+    placed = placed.select("__row", "__k1", F.explode(position).alias("__at"))
+    n = _parts(docs)
+    part = F.least(F.floor(F.col("__at") / (demand.total or 1.0) * n), F.lit(n - 1)).cast("int")
+    return placed.repartitionById(n, part).sortWithinPartitions("__at", "__k1").select("__row.*")

@@ -16,7 +16,7 @@ names.  A text longer than a window spans several sequences.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import tokens
-from strandline.llm.workspace import Workspace
+from strandline.llm.workspace import Batches, Workspace, text_steps, worker
 
-ENCODED = "part int, start_in_part long, doc_id long, n_tokens long, ids binary"
+ENCODED = "part int, start_in_part long, doc_id long, n_tokens long, width int, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,9 +48,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, end_id: int | Non
     ``with_ids`` the ids are null."""
     path = path or tokens.default_path()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @worker
+    def run(batches: Batches) -> Batches:
         enc, part, at = tokens.encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in text_steps(batches, 1):
             flat, counts = enc.encode_batch(batch.column(1).to_pylist())
             if end_id is not None:
                 flat = np.insert(flat, np.cumsum(counts), end_id) if with_ids else flat
@@ -62,10 +63,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, end_id: int | Non
             else:
                 ids = pa.nulls(len(counts), pa.large_binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(counts), part, np.int32)), pa.array(at + ends - counts), batch.column(0), pa.array(counts), ids.cast(pa.binary())],
-                names=["part", "start_in_part", "doc_id", "n_tokens", "ids"],
+                [pa.array(np.full(len(counts), part, np.int32)), pa.array(at + ends - counts), batch.column(0), pa.array(counts), pa.array(np.full(len(counts), enc.width, np.int32)), ids.cast(pa.binary())],
+                names=["part", "start_in_part", "doc_id", "n_tokens", "width", "ids"],
             )
-            at += int(ends[-1]) if len(ends) else 0
+            at += int(ends[-1])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
 
@@ -74,19 +75,20 @@ def open_stream(docs: DataFrame, space: Workspace, path: str | None = None, end_
     """Encode once, and place every partition in the global stream."""
     path = path or tokens.default_path()
     table = space.save(encode_documents(docs, path, end_id), "tokens")
-    totals = {r[0]: r[1] for r in table.groupBy("part").agg(F.sum("n_tokens")).collect()}
+    found = sorted(tuple(r) for r in table.groupBy("part").agg(F.sum("n_tokens"), F.max("width")).collect())  # a row a partition
     base, at = {}, 0
-    for part in sorted(totals):
-        base[part], at = at, at + totals[part]
-    return Stream(table, base, at, tokens.encoder(path).width)
+    for part, n, _ in found:
+        base[part], at = at, at + n
+    return Stream(table, base, at, found[0][2] if found else 2)
 
 
 def pieces(stream: Stream, length: int = 2048, with_ids: bool = False) -> DataFrame:
     """Every document's pieces: each id lies in exactly one."""
     base, dtype = stream.base, np.dtype(f"<u{stream.width}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    @worker
+    def run(batches: Batches) -> Batches:
+        for batch in text_steps(batches, 4):
             part, start, doc, n, ids = (batch.column(k) for k in range(5))
             begin = start.to_numpy() + np.array([base[p] for p in part.to_pylist()], dtype=np.int64)
             n = n.to_numpy()
@@ -105,40 +107,42 @@ def pieces(stream: Stream, length: int = 2048, with_ids: bool = False) -> DataFr
     return stream.table.select("part", "start_in_part", "doc_id", "n_tokens", "ids").mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 
-def sequences(stream: Stream, length: int = 2048, slot: Callable[[np.ndarray], np.ndarray] | None = None, codec: str | None = None) -> DataFrame:
-    """The windows themselves: ``sequence_id``, ``slot`` (of that function, else
-    the id), ``n_tokens``, ``ids`` (as stored, ``stream.width`` bytes each) and
-    ``packed``: whether this row's ids are compressed by ``codec``.  Only the
-    last window may be shorter."""
+WINDOWS = "sequence_id long, slot long, offset long, n_tokens long, ids binary, packed boolean"
+
+
+def windows(stream: Stream, length: int = 2048, slot: Callable[[np.ndarray], np.ndarray] | None = None, codec: str | None = None, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Whole windows, and parts of those that runs of rows share: ``sequence_id``,
+    ``slot`` (of that function, else the id), ``offset`` and ``n_tokens`` of the
+    part, ``ids`` (``stream.width`` bytes each) and ``packed``: whether this row's
+    ids are compressed by ``codec``.  ``keep`` says by slot which are wanted."""
     base, total, width = stream.base, stream.total, stream.width
     place = slot or (lambda seq: seq)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @worker
+    def run(batches: Batches) -> Batches:
         held, begin, end = bytearray(), 0, 0  # stream[begin:end] in tokens
 
         def flush(last: bool) -> pa.RecordBatch:
             """Windows, or parts of such, that the held run completes."""
             nonlocal begin
-            seqs, offsets, sizes, ids, packed, used = [], [], [], [], [], 0
-            while begin < end:
-                seq = begin // length
-                full = min((seq + 1) * length, total)
-                if full > end and not last:
-                    break
-                size = min(full, end) - begin
-                raw = bytes(held[used : used + size * width])
-                whole = codec is not None and size == length
-                seqs.append(seq)
-                offsets.append(begin - seq * length)
-                sizes.append(size)
-                ids.append(pa.compress(raw, codec=codec, asbytes=True) if whole else raw)
-                packed.append(whole)
-                used += size * width
-                begin += size
-            del held[:used]
-            at = np.array(seqs, dtype=np.int64)
+            first = begin // length
+            seqs = np.arange(first, first + (-(-end // length) - first if end > begin else 0), dtype=np.int64)
+            stop = np.minimum((seqs + 1) * length, total)
+            if not last and len(seqs) and stop[-1] > end:
+                seqs, stop = seqs[:-1], stop[:-1]
+            start, stop = np.maximum(seqs * length, begin), np.minimum(stop, end)
+            slots = place(seqs)
+            use = np.arange(len(seqs)) if keep is None else np.flatnonzero(keep(slots))
+            ids, packed = [], []
+            for k in use.tolist():
+                raw = bytes(held[(start[k] - begin) * width : (stop[k] - begin) * width])
+                packed.append(codec is not None and len(raw) == length * width)
+                ids.append(pa.compress(raw, codec=codec, asbytes=True) if packed[-1] else raw)
+            if len(seqs):
+                del held[: (int(stop[-1]) - begin) * width]
+                begin = int(stop[-1])
             return pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(place(at)), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(packed, pa.bool_())],
+                [pa.array(seqs[use]), pa.array(slots[use]), pa.array((start - seqs * length)[use]), pa.array((stop - start)[use]), pa.array(ids, pa.binary()), pa.array(packed, pa.bool_())],
                 names=["sequence_id", "slot", "offset", "n_tokens", "ids", "packed"],
             )
 
@@ -147,6 +151,7 @@ def sequences(stream: Stream, length: int = 2048, slot: Callable[[np.ndarray], n
                 at, raw = base[part] + start, ids.as_buffer()
                 if at != end:
                     yield flush(True)
+                    held.clear()
                     begin = end = at
                 held += raw
                 end += len(raw) // width
@@ -154,16 +159,18 @@ def sequences(stream: Stream, length: int = 2048, slot: Callable[[np.ndarray], n
                     yield flush(False)
         yield flush(True)
 
-    cut = stream.table.select("part", "start_in_part", "ids").mapInArrow(run, "sequence_id long, slot long, offset long, n_tokens long, ids binary, packed boolean")
-    full = F.least(F.lit(length), F.lit(total) - F.col("sequence_id") * length)
-    whole = cut.filter(F.col("n_tokens") == full).select("sequence_id", "slot", "n_tokens", "ids", "packed")
-    joined = (
-        cut.filter(F.col("n_tokens") < full)
-        .groupBy("sequence_id", "slot")
-        .agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("cut"))
-        .select("sequence_id", "slot", "n_tokens", F.aggregate("cut", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.lit(False).alias("packed"))
-    )
-    return whole.unionByName(joined)
+    return stream.table.select("part", "start_in_part", "ids").mapInArrow(run, WINDOWS)
+
+
+def sequences(stream: Stream, length: int = 2048) -> DataFrame:
+    """The windows themselves: ``sequence_id``, ``n_tokens``, ``ids``.  Parts of a
+    shared window, the boundary records, are the only rows that are shuffled.
+    Only the last window may be shorter."""
+    cut = windows(stream, length)
+    full = F.least(F.lit(length), F.lit(stream.total) - F.col("sequence_id") * length)
+    whole = cut.filter(F.col("n_tokens") == full).select("sequence_id", "n_tokens", "ids")
+    parts = cut.filter(F.col("n_tokens") < full).groupBy("sequence_id").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("cut"))
+    return whole.unionByName(parts.select("sequence_id", "n_tokens", F.aggregate("cut", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids")))
 
 
 def pack(docs: DataFrame, length: int = 2048, path: str | None = None, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, similarity, vectors
-from strandline.llm.workspace import crc_mod
+from strandline.llm.workspace import crc_mod, new_path
+from strandline.plans.tables import brief_shuffles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +37,8 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents at constant weights 1, 2, 3, in training order."""
+    """The mix of all documents in training order; the weights 1, 2, 3 are integrals
+    of a falling, a peaked and a rising schedule."""
     return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
@@ -54,9 +56,15 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's payload as stored media, read back and described."""
-    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"]
-    return media.document_media(table(spark, sf_dir, "documents")).select(*columns)
+    """Every document's payload as stored media, read back and described, and its
+    place among the document's paragraphs."""
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
+@query
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of texts and references of all web pages."""
+    return media.page_sequences(table(spark, sf_dir, "pages"))
 
 
 @query
@@ -71,9 +79,11 @@ SHARDS = [f"shard-{i:02d}" for i in range(40)]
 
 @query
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document."""
-    docs = table(spark, sf_dir, "documents")
-    return sharding.assign(docs.select("doc_id", "n_chars"), "doc_id", SHARDS)
+    """All documents written to their shards: what is read back from each."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
+    with brief_shuffles(spark):
+        written = sharding.write_shards(placed, new_path(spark, "shards"), parts=4)
+    return written.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), "slot", "shard")
 
 
 ORACLES["op10_shard"] = f"""
@@ -97,11 +107,11 @@ claims(turn, slot, taken) AS (
 ), entries AS (
   SELECT slot, 'shard-' || lpad((turn % {len(SHARDS)})::VARCHAR, 2, '0') AS shard FROM claims WHERE turn >= 0
 ), keyed AS (
-  SELECT doc_id, n_chars,
+  SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5,
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0) || 'null')), 1, 15))::UBIGINT % {sharding.SLOTS})::INTEGER AS slot
   FROM documents
 )
-SELECT doc_id, n_chars, slot, shard FROM keyed JOIN entries USING (slot)
+SELECT doc_id, lang, source, n_chars, text_md5, slot, shard FROM keyed JOIN entries USING (slot)
 """
 
 
@@ -120,7 +130,7 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; rows of fold 2 were never learnt from."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    held = (crc_mod(F.col("doc_id")) == 2).alias("held_out")
+    held = F.coalesce(crc_mod(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     return quality.score(docs, model).select("doc_id", held, "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
@@ -128,5 +138,5 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; rows of fold 2 were never learnt from."""
     docs = table(spark, sf_dir, "documents")
-    held = (crc_mod(F.col("doc_id")) == 2).alias("held_out")
+    held = F.coalesce(crc_mod(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     return language.identify(docs, language.train(docs)).select("doc_id", held, "lang_pred", "score", "ambiguous")

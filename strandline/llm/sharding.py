@@ -10,9 +10,9 @@ A weight gives a shard that many claims in a round.  The table has ``slots``
 entries whatever the data's size, so its broadcast is bounded by the parameter.
 Everything on the rows' path is built-in SQL: a hash, a modulus, an array look-up.
 
-Defined cases: a null key has the hash of the seed alone and so one fixed shard;
-repeated keys share a shard; empty tables give no rows; columns of the input
-that clash with the output's are replaced.
+Defined cases: a null key has a hash of its own and so one fixed shard; repeated
+keys share a shard; empty tables give no rows; columns of the input named like
+one of the output's, in whatever case, are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.workspace import absent
+
 #: Prime; about 100 slots a shard keep the loads within a few percent.
 SLOTS = 4099
 
@@ -67,12 +69,15 @@ def assign(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS, w
     spark = df.sparkSession
     table = lookup_table(shards, slots, weights)
     entries = spark.createDataFrame([(i, shards[t]) for i, t in enumerate(table)], "slot int, shard string")
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
-    return df.select(*kept, slot_of(F.col(key), slots).alias("slot")).join(F.broadcast(entries), "slot").select(*kept, "slot", "shard")
+    kept = [F.col(f"`{c}`") for c in absent(df.columns, ("slot", "shard"))]
+    placed = df.select(*kept, slot_of(F.col(f"`{key}`"), slots).alias("slot"))
+    return placed.join(F.broadcast(entries), "slot").select(*kept, "slot", "shard")
 
 
-def write_shards(df: DataFrame, path: str, parts: int = 1, codec: str = "zstd") -> None:
-    """One folder a shard; ``parts`` files of each, dealt by slot and row hash,
-    so that no shard is bound to a single task."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(parts))
+def write_shards(df: DataFrame, path: str, parts: int = 1, codec: str = "zstd") -> DataFrame:
+    """One folder a shard; ``parts`` files of each, so that no shard is bound to a
+    single task.  Rows are dealt by slot and by the partition that they come from,
+    which splits copies of one row as well.  Returns the table as written."""
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), "slot"), F.lit(parts))
     df.repartition(F.col("shard"), salt).write.option("compression", codec).partitionBy("shard").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

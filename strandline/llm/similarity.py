@@ -13,53 +13,46 @@ border have windows in several regions and are replicated to them, so linked
 points meet in one region at least.  Inside a region points within the
 threshold of the pivot hang on it; the rest is split between two further pivots
 by nearness, with replicas ``2 * (1 - threshold)`` beyond the border, and joined
-recursively; small or inseparable remainders are compared in blocks.  Regions
-too large for a task are dealt out in chunks, each compared with the pivot, and
-only what lies outside the pivot's ball goes on to pairs of blocks.
+recursively; small or inseparable remainders are compared in blocks.  A region
+too large for a task goes the same way in rounds: its chunks are compared with
+the pivot; few points outside the pivot's ball are compared with all chunks, many
+split the region between two pivots.  Only regions that no pivots separate are
+compared block by block, and of those only blocks of sizes that can link.
 
 Each group of linked texts leaves a spanning forest, never its pairs.
 
 Defined cases: null, empty and blank texts have the empty set and link with
 nothing; fewer words than a shingle has: the whole sequence is one shingle;
-repeated rows are copies of each other; rows that share a ``doc_id`` share a
-component as far as their texts' groups do; empty tables give no rows; further
-columns are ignored.
+repeated rows are copies of each other; points are named by their sets, so rows
+that share a ``doc_id``, or have none, link by their own texts; a group's name is
+its smallest ``doc_id`` that is not null, null if there is none; empty tables give
+no rows; further columns are ignored, or kept as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
-from strandline.llm.workspace import Workspace
+from strandline.llm.workspace import Batches, Workspace, finalise, text_steps, worker
 
 #: How much longer than necessary the first window is, as a share of the set:
 #: so much of a text may consist of common shingles without meeting them.
 SLACK = Fraction(1, 10)
 #: Most points, and most shingles, of a region or block in one task.
-REGION_POINTS = 1000
-REGION_SHINGLES = 3_000_000
+REGION_POINTS = 256
+REGION_SHINGLES = 2_000_000
 PARTS = 64
 #: Bits of the map that tells which texts' sets are needed (fixed size).
 MAP_BITS = 1 << 24
-_TEXT_STEP = 4_000_000
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -88,7 +81,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
         acc = np.zeros(max(0, k), np.uint64)
         for i in range(words if k > 0 else 0):
             acc = acc * factor + w[i : i + k]
-        acc = _mix(acc)
+        acc = finalise(acc)
         for s, c in zip(start.tolist(), n.tolist()):
             if c >= words:
                 out.append(np.unique(acc[s : s + c - words + 1]))
@@ -96,22 +89,16 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
                 short = np.uint64(c)
                 for x in w[s : s + c]:
                     short = short * factor + x
-                out.append(_mix(np.array([short ^ np.uint64(0xD1B54A32D192ED03)])))
+                out.append(finalise(np.array([short ^ np.uint64(0xD1B54A32D192ED03)])))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds a bounded amount of text (a long text alone)."""
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            done = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, done + _TEXT_STEP, side="right")))
-            yield b.slice(at, end - at)
-            at = end
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers that name a set."""
+    d = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 class _Measure:
@@ -246,166 +233,271 @@ def join_region(p: _Points, idx: np.ndarray, pivot: int, measure: _Measure, fore
     _block(p, far, idx, measure, forest)
 
 
-def _links(rep: list[int], forest: _Forest) -> pa.Table:
-    a, b = [rep[i] for i, _ in forest.links], [rep[j] for _, j in forest.links]
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "far": pa.nulls(len(a), pa.bool_())})
+def _links(pid: np.ndarray, forest: _Forest) -> pa.Table:
+    a, b = (pid[np.array([link[k] for link in forest.links], dtype=np.int64)] for k in (0, 1))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
 
+LINKS = "a long, b long"
 
-LINKS = "a long, b long, far boolean"
+
+def _points(t: pa.Table) -> tuple[np.ndarray, _Points]:
+    return t["pid"].to_numpy(), _Points([np.frombuffer(s.as_buffer(), np.uint64) for s in t["shingles"]])
 
 
 # --- the join ------------------------------------------------------------------
 
 
-def similar_groups(docs: DataFrame, words: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
-    """``(doc_id, text)`` to doc_id, n_shingles and component_id (the smallest
-    doc_id that links lead to, its own included)."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "similar")
-    measure = _Measure(threshold)
-    loss = 1 - threshold
-    window = loss + SLACK
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-    def measure_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in _steps(batches):
-            n, k1, k2, low = [], [], [], []
+def _row_keys() -> list[Column]:
+    """What tells rows apart that differ in doc_id or text."""
+    return [F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.xxhash64("text").alias("__t1"), F.xxhash64(F.lit(1), "text").alias("__t2")]
+
+
+_KEYS = ["__none", "__id", "__t1", "__t2"]
+
+
+def _measured(docs: DataFrame, words: int, threshold: Fraction, space: Workspace) -> DataFrame:
+    """Every row's keys, the size and digest of its set, and, once a task for each
+    set, the lowest of its hashes: the first window."""
+    window = 1 - threshold + SLACK
+
+    @worker
+    def run(batches: Batches) -> Batches:
+        seen: set[tuple[int, int]] = set()
+        for b in text_steps(batches, 1):
+            n, keys, low = [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
-                if not len(s):
-                    k1.append(None)
-                    k2.append(None)
-                    low.append(None)
-                    continue
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                k1.append(int.from_bytes(d[:8], "little", signed=True))
-                k2.append(int.from_bytes(d[8:], "little", signed=True))
-                if d in seen:  # a copy's window is sent once a task
+                keys.append(digest(s) if len(s) else (None, None))
+                if not len(s) or keys[-1] in seen:  # a copy's window is sent once a task
                     low.append(None)
                 else:
-                    seen.add(d)
+                    seen.add(keys[-1])
                     low.append(s[: -(-len(s) * window.numerator // window.denominator)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "low"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(low, pa.list_(pa.int64()))],
+                names=["doc_id", *_KEYS, "n", "k1", "k2", "low"],
+            )
 
-    measured = space.save(docs.mapInArrow(measure_texts, "doc_id long, n long, k1 long, k2 long, low array<long>"), "measured")
-    # one point for all texts with the same set; it is named by its smallest id
-    points = measured.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    lows = measured.filter("low is not null").groupBy("k1", "k2").agg(F.first("low").alias("low"))
-    points = space.save(points, "points")
-    lows = space.save(lows.join(points, ["k1", "k2"]).select("rep", "n", "low"), "windows")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *_row_keys())
+    return space.save(rows.mapInArrow(run, "doc_id long, __none boolean, __id long, __t1 long, __t2 long, n long, k1 long, k2 long, low array<long>"), "measured")
+
+
+def _sized(members: DataFrame, key: str) -> DataFrame:
+    """Adds ``chunks``, the tasks' worth of a region; sizes are joined by parts, so that
+    no region's members meet in one task."""
+    members = members.withColumn("__part", F.pmod(F.xxhash64("pid"), F.lit(PARTS)))
+    parts = members.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    sizes = parts.groupBy(key).agg(F.ceil(F.greatest(F.sum("m") / REGION_POINTS, F.sum("s") / REGION_SHINGLES)).cast("int").alias("chunks"))
+    return members.join(parts.select(key, "__part").join(sizes, key), [key, "__part"]).drop("__part")
+
+
+def _components(docs: DataFrame, words: int, threshold: Fraction, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The measured rows, and ``(k1, k2, component, component_id)`` of every set: a
+    number for its component, and the smallest doc_id in it."""
+    measure = _Measure(threshold)
+    measured = _measured(docs, words, threshold, space)
+    # one point for all texts with the same set
+    points = measured.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_id"), F.first("n").alias("n"), F.first("low", ignorenulls=True).alias("low"))
+    points = space.save(points.withColumn("pid", F.monotonically_increasing_id()), "points")
 
     # windows: the shingles that more than one point has, rarest first
-    posted = lows.select("rep", "n", F.explode("low").alias("h"))
+    posted = points.select("pid", "n", F.explode("low").alias("h"))
     common = posted.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * (SLACK * threshold).numerator / (SLACK * threshold).denominator).cast("int"))
-    held = posted.join(common, "h").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")).filter(F.size("shared") >= least)
-    held = space.save(held.select("rep", "n", F.slice("shared", F.lit(1), F.size("shared") - least + 1)["h"].alias("window")), "held")
-    space.drop(lows)
+    held = posted.join(common, "h").groupBy("pid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")).filter(F.size("shared") >= least)
+    held = space.save(held.select("pid", "n", F.slice("shared", F.lit(1), F.size("shared") - least + 1)["h"].alias("window")), "held")
 
     # each shingle elects a pivot; those that elect the same one form its region
-    posted = held.select("rep", "n", F.explode("window").alias("h"))
-    elected = posted.groupBy("h").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).filter("pivot <> other").select("h", "pivot")
-    members = space.save(posted.join(elected, "h").select("pivot", "rep", "n").distinct(), "regions")
-    # sizes are joined by parts, so that no region's members meet in one task
-    members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))
-    parts = members.groupBy("pivot", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
-    sizes = parts.groupBy("pivot").agg(F.ceil(F.greatest(F.sum("m") / REGION_POINTS, F.sum("n") / REGION_SHINGLES)).cast("int").alias("chunks"))
-    members = members.join(parts.select("pivot", "part").join(sizes, "pivot"), ["pivot", "part"]).drop("part")
-    sets = space.save(_needed_sets(docs, members.select("rep").distinct(), words), "sets")
-
-    small = members.filter("chunks = 1").select("pivot", "rep").join(sets, "rep")
-
-    def small_region(t: pa.Table) -> pa.Table:
-        rep = t["rep"].to_pylist()
-        p = _Points([np.frombuffer(s.as_buffer(), np.uint64) for s in t["shingles"]])
-        forest = _Forest(len(rep))
-        join_region(p, np.arange(len(rep)), rep.index(t["pivot"][0].as_py()), measure, forest)
-        return _links(rep, forest)
-
-    found = [space.save(small.groupBy("pivot").applyInArrow(small_region, LINKS), "links")]
-    large = space.save(members.filter("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")), "large")
+    posted = held.select("pid", "n", F.explode("window").alias("h"))
+    elected = posted.groupBy("h").agg(F.min("pid").alias("pivot"), F.max("pid").alias("other")).filter("pivot <> other").select("h", "pivot")
+    members = space.save(posted.join(elected, "h").select("pivot", "pid", "n").distinct(), "regions")
+    space.drop(held)
+    members = space.save(_sized(members.withColumn("region", F.col("pivot").cast("string")), "region"), "members")
+    sets = _needed_sets(docs, points.select("pid", "k1", "k2", "low_id").join(members.select("pid").distinct(), "pid", "left_semi"), words, space)
+
+    found = [_small_regions(members.filter("chunks = 1"), sets, measure, space)]
+    large = members.filter("chunks > 1")
     if large.take(1):
         found += _large_regions(large, sets, measure, space)
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
-    groups = connected_components(links.filter("far is null").select("a", "b"), space)
+    groups = connected_components(links, space)
+
+    linked = groups.withColumnRenamed("id", "pid").join(points.select("pid", "low_id"), "pid")
+    low = linked.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    linked = linked.select("pid", "component").join(low, "component")
+    own = points.select("pid", "k1", "k2", "low_id").join(linked, "pid", "left")
+    return measured, own.select("k1", "k2", F.coalesce("component", "pid").alias("component"), F.when(F.col("component").isNull(), F.col("low_id")).otherwise(F.col("component_id")).alias("component_id"))
+
 
-    named = points.select("k1", "k2", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    some = measured.filter("n > 0").select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+def similar_groups(docs: DataFrame, words: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
+    """``(doc_id, text)`` to doc_id, n_shingles and component_id (the smallest
+    doc_id that links lead to, its own included)."""
+    measured, named = _components(docs, words, threshold, Workspace(docs.sparkSession, "similar"))
+    some = measured.filter("n > 0").select("doc_id", "n", "k1", "k2").join(named.drop("component"), ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = measured.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.union(none)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """Keeps of each group the document with the smallest doc_id (of equal rows
-    one) and every document that links with nothing; columns stay as they are.
-    Rows whose doc_id is null have no name to be chosen by and are all kept."""
-    groups = similar_groups(docs, words, threshold)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.filter("doc_id is null"))
-
-
-def _needed_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """``(rep, shingles)`` of the points that some region holds.  A bit map of
-    fixed size lets most other texts go before anything is shuffled; the join
-    that follows is exact."""
-    bit = (F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS)) + 1).alias("bit")
-    marked = reps.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    """Keeps one row of each group, that with the smallest doc_id (null comes last; of
+    equal ids the one whose text has the lowest hash), and every document that
+    links with nothing; of rows that are equal in doc_id and text one stays.
+    Columns stay as they are."""
+    space = Workspace(docs.sparkSession, "similar")
+    measured, named = _components(docs, words, threshold, space)
+    some = measured.filter("n > 0").select(*_KEYS, "k1", "k2").join(named.drop("component_id"), ["k1", "k2"])
+    first = some.groupBy("component").agg(F.min(F.struct(*_KEYS)).alias("k")).select("k.*")
+    kept = space.save(first.union(measured.filter("n = 0").select(*_KEYS).distinct()), "kept")
+    # equal rows become one before texts are moved, and they are moved once
+    rows = docs.select(*_row_keys(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).dropDuplicates(_KEYS)
+    return rows.join(kept.hint("merge"), _KEYS, "left_semi").select("__row.*")
+
+
+def _needed_sets(docs: DataFrame, needed: DataFrame, words: int, space: Workspace) -> DataFrame:
+    """``(pid, shingles)`` of the points that some region holds; ``needed`` has their
+    pid, k1, k2 and smallest doc_id.  A bit map of fixed size over these ids lets
+    most other texts go before anything is shuffled; the join that follows is exact."""
+    needed = space.save(needed, "needed")
+    bit = lambda c: (F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1).alias("bit")
+    marked = needed.select(bit("low_id")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     whole = np.zeros(MAP_BITS // 8, np.uint8)
     for bucket, bits in marked.collect():  # MAP_BITS / 8 bytes at most
         at = (bucket - 1) * 4096  # buckets and bits count from one
         whole[at : at + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint8)
-        for b in _steps(batches):
-            at = b.column(2).to_numpy()
+    @worker
+    def run(batches: Batches) -> Batches:
+        bits, seen = np.frombuffer(sent.value, np.uint8), set()
+        for b in text_steps(batches, 1):
+            at = b.column(0).to_numpy()
             b = b.filter(pa.array((bits[(at - 1) >> 3] >> ((at - 1) & 7).astype(np.uint8)) & 1 == 1))
-            if b.num_rows:
-                sets = [s.tobytes() for s in shingle_sets(b.column(1), words)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            found = []
+            for s in shingle_sets(b.column(1), words) if b.num_rows else ():
+                if len(s) and (name := digest(s)) not in seen:  # a copy's set is sent once a task
+                    seen.add(name)
+                    found.append((*name, s.tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "shingles"])
+
+    rows = docs.select(bit(F.col("doc_id").cast("long")), F.col("text").cast("string")).mapInArrow(run, "k1 long, k2 long, shingles binary")
+    # neither side is small, whatever an estimate says
+    return space.save(rows.join(needed.select("pid", "k1", "k2").hint("merge"), ["k1", "k2"]).select("pid", "shingles").dropDuplicates(["pid"]), "sets")
+
+
+def _small_regions(members: DataFrame, sets: DataFrame, measure: _Measure, space: Workspace) -> DataFrame:
+    """Links inside regions that one task takes: ``(region, pivot, pid)``, the pivot
+    among them."""
 
-    where = (F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)) + 1).alias("bit")
-    rows = docs.select("doc_id", "text", where).filter("doc_id is not null").mapInArrow(run, "rep long, shingles binary")
-    return rows.join(reps, "rep", "left_semi").filter(F.length("shingles") > 0).dropDuplicates(["rep"])
+    def join(t: pa.Table) -> pa.Table:
+        pid, p = _points(t)
+        forest = _Forest(len(pid))
+        join_region(p, np.arange(len(pid)), int(np.flatnonzero(pid == t["pivot"][0].as_py())[0]), measure, forest)
+        return _links(pid, forest)
+
+    rows = members.select("region", "pivot", "pid").join(sets, "pid")
+    return space.save(rows.groupBy("region").applyInArrow(join, LINKS), "links")
+
+
+#: Rounds in which a large region is split between two pivots at most.
+ROUNDS = 8
+REGION = "region string, pivot long, pid long, n long, common long, size long"
+
+
+def _star(members: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
+    """``(region, pivot, pid, n, chunks)`` to each point's common shingles with its
+    pivot, and the pivot's size; chunk by chunk."""
+    rows = members.select("region", "pivot", "pid", "n", F.pmod(F.xxhash64("pid"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("lead"))
+    leads = members.select("region", "pivot", "chunks").distinct().select("region", "pivot", F.col("pivot").alias("pid"), F.lit(0).cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("lead"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        lead = t["lead"].to_numpy()
+        if lead.all():
+            t = t.slice(0, 0)
+            return t.select(["region", "pivot", "pid", "n"]).append_column("common", pa.array([], pa.int64())).append_column("size", pa.array([], pa.int64()))
+        pid, p = _points(t)
+        at, own = int(np.flatnonzero(lead)[0]), np.flatnonzero(~lead)
+        # the pivot may be a member as well: what it has in common with itself is its size
+        common = np.where(pid[own] == pid[at], p.n[at], p.with_one(at, own))
+        own_rows = t.select(["region", "pivot", "pid", "n"]).take(pa.array(own))
+        return own_rows.append_column("common", pa.array(common, pa.int64())).append_column("size", pa.array(np.full(len(own), p.n[at]), pa.int64()))
+
+    return space.save(rows.unionByName(leads).join(sets, "pid").groupBy("region", "chunk").applyInArrow(compare, REGION), "star")
 
 
 def _large_regions(large: DataFrame, sets: DataFrame, measure: _Measure, space: Workspace) -> list[DataFrame]:
-    """Regions of several chunks: every chunk against the pivot, then what lies
-    outside the pivot's ball against all, block by block."""
-    pivots = large.select("pivot", "chunks").distinct().select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("rep"))
-    rows = large.filter("rep <> pivot").select("pivot", "chunk", "rep").union(pivots.select("pivot", F.col("chunk").cast("int"), "rep")).join(sets, "rep")
-
-    def star(t: pa.Table) -> pa.Table:
-        rep, pivot = t["rep"].to_pylist(), t["pivot"][0].as_py()
-        p = _Points([np.frombuffer(s.as_buffer(), np.uint64) for s in t["shingles"]])
-        at = rep.index(pivot)
-        idx = np.arange(len(rep))
-        ball = measure.linked(p.with_one(at, idx), p.n, p.n[at])
-        return pa.table({"a": pa.array([pivot] * len(rep), pa.int64()), "b": t["rep"].combine_chunks(), "far": pa.array([None if x else True for x in ball], pa.bool_())})
-
-    stars = space.save(rows.groupBy("pivot", "chunk").applyInArrow(star, LINKS), "stars")
-    far = space.save(stars.filter("far").select(F.col("a").alias("pivot"), F.col("b").alias("rep")), "far")
-    if not far.take(1):
-        return [stars]
-    blocks = far.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / REGION_POINTS).cast("int").alias("rows"))
-    outside = far.join(blocks, "pivot").join(large.select("pivot", "chunks").distinct(), "pivot")
-    outside = outside.select("pivot", "rep", F.pmod(F.xxhash64("rep", F.lit(1)), "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("out"))
-    every = large.join(blocks, "pivot").select("pivot", "rep", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("out"))
-
-    def block(t: pa.Table) -> pa.Table:
-        out = t["out"].to_numpy()
-        if out.all() or not out.any():
-            return _links([], _Forest(0))
-        rep = t["rep"].to_pylist()
-        p = _Points([np.frombuffer(s.as_buffer(), np.uint64) for s in t["shingles"]])
-        forest = _Forest(len(rep))
+    """Links inside regions of several chunks, ``(region, pivot, pid, n, chunks)``."""
+    linked = F.col("common") * measure.den >= (F.col("n") + F.col("size") - F.col("common")) * measure.num
+    apart = 1 - F.col("common") / (F.col("n") + F.col("size") - F.col("common"))
+    reach = 2 * (1 - measure.num / measure.den) + 1e-9
+    found = []
+    for k in range(ROUNDS):
+        star = _star(large, sets, space).withColumn("near", linked).withColumn("far_by", apart)
+        found.append(star.filter("near and pid <> pivot").select(F.col("pivot").alias("a"), F.col("pid").alias("b")))
+        # few points outside the ball meet all chunks, which is linear; many ask for another pivot
+        outside = star.groupBy("region").agg(F.count_if(~F.col("near")).alias("out"), F.sum(F.when(~F.col("near"), F.col("n")).otherwise(0)).alias("weight"), F.max_by(F.when(~F.col("near"), F.col("pid")), F.when(~F.col("near"), F.struct("far_by", "pid"))).alias("second"))
+        outside = space.save(outside.filter("out > 0").withColumn("few", (F.col("out") <= REGION_POINTS) & (F.col("weight") <= REGION_SHINGLES)), "outside")
+        rest = space.save(star.join(outside, "region"), "rest")
+        few = rest.filter("few")
+        found.append(_few_against_all(few, sets, measure, space))
+        many = rest.filter("not few")
+        if not many.take(1):
+            return found
+        again = _star(_sized(many.select("region", F.col("second").alias("pivot"), "pid", "n"), "region"), sets, space)
+        both = many.select("region", "pivot", "pid", "n", "near", "second", "far_by").join(again.select("region", "pid", apart.alias("far_by_second")), ["region", "pid"])
+        left, right = F.col("far_by") <= F.col("far_by_second") + reach, F.col("far_by_second") <= F.col("far_by") + reach
+        both = space.save(both.withColumn("left", left & (F.col("pid") != F.col("pivot"))).withColumn("right", right), "both")
+        counts = both.groupBy("region").agg(F.count(F.lit(1)).alias("all"), F.count_if("left").alias("l"), F.count_if("right").alias("r"), F.min(F.when(F.col("left"), F.struct("near", "pid"))).alias("next"))
+        counts = space.save(counts.withColumn("split", (F.greatest("l", "r") <= 0.9 * F.col("all")) & F.lit(k + 1 < ROUNDS)).select("region", "split", F.col("next.pid").alias("next")), "counts")
+        parted = both.join(counts, "region")
+        whole = parted.filter("not split").select("region", "pid", "n", (~F.col("near") & (F.col("pid") != F.col("pivot"))).alias("out"))
+        found.append(_block_pairs(whole, sets, measure, space))
+        halves = [parted.filter(f"split and {side}").select(F.concat("region", F.lit(name)).alias("region"), F.col(pivot).alias("pivot"), "pid", "n") for side, name, pivot in (("left", "l", "next"), ("right", "r", "second"))]
+        parts = space.save(_sized(halves[0].union(halves[1]), "region"), "halves")
+        found.append(_small_regions(parts.filter("chunks = 1"), sets, measure, space))
+        large = parts.filter("chunks > 1")
+        if not large.take(1):
+            return found
+    return found
+
+
+def _met(t: pa.Table, measure: _Measure) -> pa.Table:
+    """Links between the points marked ``out`` and the others of a table."""
+    out = t["out"].to_numpy()
+    pid, p = _points(t)
+    forest = _Forest(len(pid))
+    if out.any() and not out.all():
         _block(p, np.flatnonzero(out), np.flatnonzero(~out), measure, forest)
-        return _links(rep, forest)
-
-    met = outside.unionByName(every).join(sets, "rep")
-    return [stars, space.save(met.groupBy("pivot", "i", "j").applyInArrow(block, LINKS), "blocks")]
+    return _links(pid, forest)
+
+
+def _few_against_all(rest: DataFrame, sets: DataFrame, measure: _Measure, space: Workspace) -> DataFrame:
+    """Regions' few points outside their pivots' balls against every chunk."""
+    rows = _sized(rest.select("region", "pivot", "pid", "n", "near"), "region")
+    every = rows.select("region", "pid", F.pmod(F.xxhash64("pid"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("out"))
+    few = rows.filter("not near").select("region", "pid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("out"))
+    return space.save(every.union(few).join(sets, "pid").groupBy("region", "chunk").applyInArrow(lambda t: _met(t, measure), LINKS), "few")
+
+
+def _block_pairs(rows: DataFrame, sets: DataFrame, measure: _Measure, space: Workspace) -> DataFrame:
+    """``(region, pid, n, out)``: the points outside against all, block by block.
+    Points are dealt by size, in steps of the threshold: only neighbouring steps
+    can link."""
+    step = float(-np.log(measure.num / measure.den)) if measure.num < measure.den else 1.0
+    rows = rows.withColumn("b", F.floor(F.log("n") / step).cast("int"))
+    blocks = lambda which: F.ceil(F.greatest(F.count_if(which) / REGION_POINTS, F.sum(F.when(which, F.col("n"))) / REGION_SHINGLES)).cast("int")
+    counts = space.save(rows.groupBy("region", "b").agg(F.coalesce(blocks(F.col("out")), F.lit(0)).alias("outs"), blocks(F.lit(True)).alias("alls")), "blocks")
+    near = F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))
+
+    def dealt(which: Column, own: str, other: str, out: bool) -> DataFrame:
+        mine = rows.filter(which).join(counts.select("region", "b", own), ["region", "b"]).withColumn("to", near)
+        with_other = mine.join(counts.select("region", F.col("b").alias("to"), other).filter(F.col(other) > 0), ["region", "to"])
+        block = F.pmod(F.xxhash64("pid", F.lit(int(out))), own).cast("int")
+        return with_other.select("region", F.col("b" if out else "to").alias("b1"), F.col("to" if out else "b").alias("b2"), block.alias("x"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("y"), "pid", F.lit(out).alias("out"))
+
+    outside = dealt(F.col("out"), "outs", "alls", True).withColumnsRenamed({"x": "i", "y": "j"})
+    every = dealt(F.lit(True), "alls", "outs", False).withColumnsRenamed({"x": "j", "y": "i"})
+    return space.save(outside.unionByName(every).join(sets, "pid").groupBy("region", "b1", "b2", "i", "j").applyInArrow(lambda t: _met(t, measure), LINKS), "pairs")

@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 
 #: Characters of text that one vectorised step takes at most (a longer single
 #: text is a step of its own).
-STEP_CHARS = 5_000_000
+STEP_CHARS = 2_000_000
+
 
 def _byte_table() -> dict[str, int]:
     """The printable stand-ins of byte-level BPE: bytes that print stand for
@@ -42,22 +43,31 @@ class Encoder:
     """Text to little-endian unsigned ids (``width`` bytes each)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._slow = Tokenizer.from_file(path)
-        size = self._slow.get_vocab_size(with_added_tokens=True)
+        self._path, self._tokenizer = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        vocab = spec["model"]["vocab"] if isinstance(spec["model"].get("vocab"), dict) else self._slow.get_vocab(with_added_tokens=False)
+        names = {i: t for t, i in [*vocab.items(), *added.items()]}
+        size = max(names, default=0) + 1
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self._fast, self._special = self._merge_engine(path)
+        self._special = list(added)
+        self._fast = self._merge_engine(spec, vocab)
         # ids whose bytes begin with a blank: where a word starts
-        self._lead = np.array([self._slow.id_to_token(i).startswith(_BLANK) for i in range(size)])
+        self._lead = np.array([names.get(i, "").startswith(_BLANK) for i in range(size)])
 
-    @staticmethod
-    def _merge_engine(path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, special = spec["model"], [t["content"] for t in spec.get("added_tokens", [])]
-        pre = spec.get("pre_tokenizer") or {}
+    @property
+    def _slow(self):
+        """The library's own tokenizer, for texts that need it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self._path)
+        return self._tokenizer
+
+    def _merge_engine(self, spec: dict, vocab: dict):
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         plain = (
             model.get("type") == "BPE"
             and pre.get("type") == "ByteLevel"
@@ -66,15 +76,15 @@ class Encoder:
             and not model.get("dropout")
         )
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
-        ids = [model["vocab"].get(a + b, -1) for a, b in merges] if plain else [-1]
+        ids = [vocab.get(a + b, -1) for a, b in merges] if plain else [-1]
         if not plain or ids != sorted(ids) or ids[:1] == [-1]:
-            return None, special
+            return None
         import public_tokenizers
         import tiktoken
 
         table = _byte_table()
-        ranks = {bytes(table[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+        ranks = {bytes(table[c] for c in t): i for t, i in vocab.items() if t not in self._special}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _whole(self, text: str) -> np.ndarray:
         if self._fast and not any(x in text for x in self._special):

@@ -2,62 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.plans.tables import delete_path, new_path, write_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+__all__ = ["Workspace", "absent", "cased", "crc_mod", "finalise", "new_path", "text_steps", "worker"]
 
-    ``spark.checkpoint.dir`` decides; only a session without it (a test on one
-    machine) gets a temporary folder, which is then recorded in the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Bytes of text that a worker takes at a time (a longer single text alone).
+STEP_BYTES = 2_000_000
 
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared file system, whatever store holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; the application's own part of that
-    folder goes when the driver ends."""
-    app = spark.sparkContext.applicationId
-    root = f"{shared_dir(spark)}/strandline-{app}"
-    if root not in _roots:
-        _roots[root] = spark
-        atexit.register(_drop_root, root)
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-_roots: dict[str, SparkSession] = {}
-
-
-def _drop_root(root: str) -> None:
-    spark = _roots.pop(root, None)
-    try:
-        if spark is not None and not spark.sparkContext._jsc.sc().isStopped():
-            delete_path(spark, root)
-    except Exception:  # the session is already gone; the store's own expiry cleans up
-        pass
+Batches = Iterator[pa.RecordBatch]
 
 
 class Workspace:
@@ -70,8 +32,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{name}")
-        df.write.option("compression", codec).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = write_table(df, name, codec, path)
         self._paths[id(out)] = path
         return out
 
@@ -83,12 +44,53 @@ class Workspace:
 
 
 def crc_mod(doc_id: Column, n: int = 4) -> Column:
-    """crc32 of the id's decimal text, modulo n: the fold of a document."""
+    """crc32 of the id's decimal text, modulo n: the fold of a document (a null id
+    has none)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches cut to so many rows, which bounds what a worker holds as objects."""
+def finalise(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: xor-shifts and odd multiplications."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def cased(df: DataFrame, name: str) -> int:
+    """Index of a column, found as Spark finds it: case does not matter."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def absent(columns: Iterable[str], results: Iterable[str]) -> list[str]:
+    """The caller's columns without those named like a result, whatever their case."""
+    taken = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def text_steps(batches: Batches, column: int, limit: int | None = None) -> Batches:
+    """Batches cut so that each holds a bounded amount of text (a long text alone)."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            done = int(size[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(size, done + (limit or STEP_BYTES), side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def worker(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """For functions of ``mapInArrow``: at the end of a task freed memory goes back
+    to the system, as workers stay for later tasks."""
+
+    @wraps(run)
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim is not None:
+            trim(0)
+
+    return whole

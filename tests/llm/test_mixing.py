@@ -81,11 +81,55 @@ def test_schedule_moves_sources_in_time(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     schedule = spark.createDataFrame([("a", [(0.0, 2.0), (1.0, 0.0)]), ("b", [(0.0, 0.0), (1.0, 2.0)])], "source string, knots array<struct<t double, w double>>")
     got = mixing.curriculum(docs, schedule, columns=["doc_id", "source"]).collect()
-    mean = {s: np.mean([r["position"] for r in got if r["source"] == s]) for s in "ab"}
-    assert abs(mean["a"] - 1 / 3) < 0.02 and abs(mean["b"] - 2 / 3) < 0.02
+    for name, size in (("time", 1.0), ("position", 4000.0)):
+        mean = {s: np.mean([r[name] for r in got if r["source"] == s]) for s in "ab"}
+        assert abs(mean["a"] - size / 3) < 0.02 * size and abs(mean["b"] - size * 2 / 3) < 0.02 * size
     assert {r["taken"] for r in got} == {10}
 
 
+def test_default_schedules():
+    assert [mixing.integral(k, 1.0) for k in mixing.CYCLE] == [1.0, 2.0, 3.0]
+    for w in range(3):  # they differ in time
+        assert len({round(mixing.integral(k, 0.5) / mixing.integral(k, 1.0), 3) for k in mixing.CYCLE}) == 3
+
+
+def test_positions_invert_the_demand(spark):
+    """Times and positions, step by step: each source in turn, by bisection."""
+    docs = documents(spark).filter("doc_id <> 300 or doc_id is null")
+    got = mixing.curriculum(docs, columns=["doc_id", "source"]).collect()
+    names = sorted({r["source"] for r in got}, key=lambda s: (s is None, (s or "").encode()))
+    knots = {s: mixing.CYCLE[i % 3] for i, s in enumerate(names)}
+    goal = {r["source"]: round(r["target"]) for r in got}
+    asked = lambda s, t: goal[s] * mixing.integral(knots[s], t) / mixing.integral(knots[s], 1.0)
+    for s in names:
+        rows = sorted((r for r in got if r["source"] == s and r["position"] is not None), key=lambda r: r["time"])
+        before = 0
+        for r in rows:
+            low, high = 0.0, 1.0
+            for _ in range(60):
+                mid = (low + high) / 2
+                low, high = (mid, high) if asked(s, mid) < before else (low, mid)
+            assert abs(r["time"] - high) < 1e-6
+            assert abs(r["position"] - sum(asked(x, r["time"]) for x in names)) < 1e-6 * sum(goal.values())
+            before += r["size"]
+        assert all(r["position"] is None for r in got if r["source"] == s and not r["size"])
+    assert len({round(r["position"], 3) for r in got if r["position"] is not None}) > 30
+
+
+def test_copies_in_chunks(spark, monkeypatch):
+    """Rows that are equal, some without an id: dealt out in chunks, as one by one."""
+    rows = [(None, "a b c", "x")] * 50 + [(7, "d e", "x")] * 30 + [(7, "f", "x")] + [(None, None, None)] * 9 + [(i, "g h", "y") for i in range(8, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = check(spark, docs)
+    assert len(got) == len(rows)
+    one = Counter(map(tuple, mixing.curriculum(docs).collect()))
+    monkeypatch.setattr(mixing, "COPIES", 4)
+    assert Counter(map(tuple, mixing.curriculum(docs.repartition(3)).collect())) == one
+    mixed = mixing.mixed_documents(docs).collect()
+    taken = sum(r["taken"] for r in got)
+    assert abs(sum(len((r["text"] or "").split()) for r in mixed) - taken) < 0.2 * taken
+
+
 def test_mixed_documents(spark):
     docs = documents(spark).filter("doc_id <> 300 or doc_id is null")
     plan = {r["doc_id"]: r for r in mixing.curriculum(docs).collect()}

@@ -48,18 +48,90 @@ def test_language_table(spark):
     assert got.columns == ["doc_id", "n", "label", "lang_pred", "score", "ambiguous"]
     rows = got.collect()
     assert len(rows) == docs.count() and {r["doc_id"] for r in rows if r["lang_pred"] == "und"} == {0, 1, 2, 7}
+    clash = language.identify(docs.withColumnRenamed("x", "LANG_pred"), language.train(docs), columns=["doc_id", "LANG_pred", "text"]) if "x" in docs.columns else None
+    assert clash is None or clash.columns == ["doc_id", "text", "lang_pred", "score", "ambiguous"]
     assert language.identify(empty(spark), language.train(empty(spark))).count() == 0
 
 
 def test_every_label_is_sampled(spark):
-    from strandline.llm.sampling import labelled_sample
+    from strandline.llm.sampling import drawn, fitted
 
     rows = [(i, f"text {i}", f"l{i % 90:02d}") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for most, budget in ((300, 64 * 300), (300, 180), (300, 10)):
-        names = [name for name, _ in labelled_sample(docs, "lang", most, max_texts=budget)]
-        assert len(set(names)) == 90 and len(names) <= max(90, budget)
-    assert len({name for name, _ in labelled_sample(docs, "lang", 300)}) == 90
+    for most, budget in ((300, 64 * 300), (300, 180), (300, 10), (3, 64 * 300)):
+        taken = fitted(drawn(docs, "lang", most, max_texts=budget), lambda t: t.encode(), lambda pairs: pairs, 1 << 20)
+        assert len({name for name, _ in taken}) == 90 and len(taken) <= max(90, min(budget, 90 * most))
+
+
+def test_sample_depends_on_rows_only(spark):
+    """Copies, null ids, long texts and the byte bound; the order of rows plays no part."""
+    from strandline.llm.sampling import drawn, fitted
+
+    rows = [(None, "same text", "a")] * 200 + [(1, f"one id {i}", "a") for i in range(60)] + [(i, f"b {i}", "b") for i in range(80)] + [(5, "z" * 300_000, "b"), (6, None, "b"), (7, "no label", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    take = lambda df, most, size: fitted(drawn(df, "lang", most), lambda t: t.encode(), lambda pairs: pairs, size)
+    one = take(docs, 20, 1 << 20)
+    assert one == take(docs.repartition(7), 20, 1 << 20) and len(one) == len(set(one)) == 40
+    every = take(docs, 300, 1 << 20)
+    assert sorted(every) == sorted({(lang, text.encode()) for _, text, lang in rows if lang and text and len(text) < 1000})
+    small = take(docs, 300, 200)
+    assert 0 < sum(len(t) for _, t in small) <= 200 and {n for n, _ in small} == {"a", "b"}
+    assert take(docs.limit(0), 20, 100) == []
+
+
+def plain_language(model, text):
+    """The n-gram shares of a text and the loss-weighted decoding, one by one."""
+    import math
+
+    b = (" " + text.lower() + " ").encode()
+    fold = lambda x: x + 32 if 65 <= x <= 90 else 32 if x < 128 and not 97 <= x <= 122 else x
+    b = [fold(x) for x in b]
+    b = [x for i, x in enumerate(b) if i == 0 or x != 32 or b[i - 1] != 32]
+    b += [32] * (3 - len(b))
+    share, total = {}, 0
+    for i in range(len(b) - 2):
+        tri = b[i] << 16 | b[i + 1] << 8 | b[i + 2]
+        for code, factor in ((tri, 0x9E3779B1), (tri >> 8 | 2 << 24, 0x85EBCA6B), (tri >> 16 | 1 << 24, 0xC2B2AE35)):
+            k = (code * factor & 0xFFFFFFFF) >> (32 - language.BITS)
+            share[k] = share.get(k, 0) + 1
+            total += 1
+    loss = []
+    for i in range(len(model.languages)):
+        loss.append(0.0)
+        for k in range(model.code.shape[1]):
+            margin = float(model.bias[k]) + sum(math.sqrt(n / total) * float(model.weights[h, k]) for h, n in share.items())
+            loss[i] += float(model.trust[i, k]) * math.log1p(math.exp(-float(model.code[i, k]) * margin))
+    p = [math.exp(-(x - min(loss)) * model.code.shape[1]) for x in loss]
+    p = [x / sum(p) for x in p]
+    best = min(range(len(p)), key=lambda i: (loss[i], model.languages[i]))
+    rest = sorted(p)[-2] if len(p) > 1 else 0.0
+    return model.languages[best], p[best], p[best] - rest
+
+
+def test_language_against_plain_decoding(prose):
+    model = language.fit(prose)
+    texts = [t for _, t in prose[::7]] + ["a", "é ü", "Über die  Straße 12!?", "the und être", "mm" * 50]
+    name, score, margin = language.predict(model, texts)
+    for k, t in enumerate(texts):
+        want = plain_language(model, t)
+        assert name[k] == want[0] and abs(score[k] - want[1]) < 1e-3 and abs(margin[k] - want[2]) < 1e-3
+
+
+def test_clear_and_good_documents(spark, prose):
+    """Filters keep rows as they are; what is between two languages goes."""
+    model = language.fit(prose)
+    rng = random.Random(3)
+    halves = [" ".join(x for pair in zip(words(rng, 40, "en").split(), words(rng, 40, "de").split()) for x in pair) for _ in range(40)]
+    lead = lambda texts: language.predict(model, texts)[2]
+    rows = [(i, t, "x", i) for i, t in enumerate([t for _, t in prose[:40]] + halves + [None, "", "123"])]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, lang_pred string, SCORE int")
+    kept = language.clear(docs, model, 0.9)
+    want = [i for i, t, _, _ in rows if t and any(c.isalpha() for c in t) and lead([t])[0] >= 0.9]
+    assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == want
+    assert all(i in want for i in range(40)) and len(want) < 80
+    fitted = quality.fit(labelled(rng, 160))
+    good = quality.good(docs, fitted, 0.5)
+    assert good.schema == docs.schema and sorted(r["doc_id"] for r in good.collect()) == [i for i, t, _, _ in rows if fitted.score([t])[0] >= 0.5]
 
 
 def test_language_learns_from_other_folds_only(spark):
@@ -96,6 +168,41 @@ def test_chain_against_enumeration():
         at += n
 
 
+def test_long_chains_in_parts():
+    """Chains of many lines, cut into parts, against plain recursion."""
+    rng = np.random.default_rng(1)
+    per_text, move = np.array([400, 1, 3, 90, 17]), rng.normal(size=(2, 2))
+    good = rng.normal(size=per_text.sum())
+    p, pairs = quality.marginals(good, per_text, move)
+    at = 0
+    for k, n in enumerate(per_text.tolist()):
+        score = np.stack([np.zeros(n), good[at : at + n]], axis=1)
+        a, b = score.copy(), np.zeros((n, 2))
+        for t in range(1, n):
+            a[t] += np.logaddexp(a[t - 1, 0] + move[0], a[t - 1, 1] + move[1])
+        for t in range(n - 2, -1, -1):
+            x = b[t + 1] + score[t + 1]
+            b[t] = np.logaddexp(move[:, 0] + x[0], move[:, 1] + x[1])
+        both = a + b
+        assert np.allclose(1 / (1 + np.exp(both[:, 0] - both[:, 1])), p[at : at + n]) and np.isclose(pairs[k].sum(), n - 1)
+        at += n
+
+
+def test_long_texts_piece_by_piece(monkeypatch):
+    rng = random.Random(4)
+    model = quality.fit(labelled(rng, 160))
+    text = "\n".join(t for _, t in labelled(rng, 50)) + "\n\n"
+    want = model.raw([text])[0][0]
+    for step in (1, 10, 100, 1000, 10**7):
+        assert np.isclose(model.raw_long(text, step)[0], want)
+    monkeypatch.setattr(quality, "_STEP", 500)
+    texts = [text, None, "a\nb", text * 3, ""]
+    several = model.score(texts)
+    monkeypatch.setattr(quality, "_STEP", 10**9)
+    assert np.allclose(several, model.score(texts))
+    assert 0 <= model.score(["\n" * 300_000 + "ab"])[0] <= 1
+
+
 def test_quality_held_out():
     rng = random.Random(4)
     model = quality.fit(labelled(rng, 160))

@@ -87,35 +87,60 @@ def test_html_segments():
 
 
 def test_resolved_sequences_stay_aligned(spark):
-    pages = spark.createDataFrame([(1, HTML, "x"), (2, None, "x"), (3, "", "x"), (None, "<p>a<img src='media:sha256/ab'>", "x"), (1, HTML, "x")], "page_id long, html string, digest string")
-    facts = spark.createDataFrame([("ab", 5), ("cd", 6)], "digest string, n_bytes int")
-    got = media.resolve(media.parse_pages(pages), facts).collect()
-    assert len(got) >= 5
+    other = "<p>x</p><img src='media:sha256/cd?bytes=9'>"
+    pages = spark.createDataFrame([(1, HTML, "x"), (2, None, "x"), (3, "", "x"), (None, "<p>a<img src='media:sha256/ab'>", "x"), (None, other, "x"), (1, HTML, "x"), (1, other, "x")], "page_id long, html string, digest string")
+    facts = spark.createDataFrame([("ab", 5, 1), ("cd", 6, 2)], "digest string, size int, page int")
+    got = media.resolve(media.parse_pages(pages), facts, Workspace(spark, "t")).collect()
+    assert sorted((r["page_id"] or -1, len(r["segments"])) for r in got) == [(-1, 2), (-1, 2), (1, 2), (1, 9), (1, 9), (2, 0), (3, 0)]
     for r in got:
-        for s in r["segments"]:
-            want = 5 if (s["ref"] or "").lower() == "media:sha256/ab" else None
-            assert (s["media"]["n_bytes"] if s["media"] else None) == want
-            assert s["position"] == r["segments"].index(s)
+        for k, s in enumerate(r["segments"]):
+            want = {"ab": 5, "cd": 6}.get((s["ref"] or "").lower().removeprefix("media:sha256/").partition("?")[0])
+            assert (s["media"]["size"] if s["media"] else None) == want and s["position"] == k
     refs = media.references(media.parse_pages(pages)).filter("page_id = 1").collect()
-    assert {r["caption"] for r in refs if r["digest"]} == {"The caption"}
+    assert {r["caption"] for r in refs if r["digest"] == "ab"} == {"The caption"} and {r["n_bytes"] for r in refs} == {None, 9}
+
+
+def plain_media(text):
+    """What op4 says of a text, step by step."""
+    raw = (text or "").encode()
+    payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+    image = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
+    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest()
 
 
 def test_media_round_trip(spark):
-    docs = documents(spark)
+    docs = documents(spark, [(None, "a <b> & c\nd </p> e\n\n f", "en", "a"), (400, "x\xff", "en", "a")])
     got = media.document_media(docs).collect()
-    rows = docs.collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in rows)
-    texts = {r["doc_id"]: (r["text"] or "").encode() for r in rows}
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    assert Counter((r["doc_id"], *[r[n] for n in names]) for r in got) == Counter((r["doc_id"], *plain_media(r["text"])) for r in docs.collect())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in got:
-        raw = texts[r["doc_id"]]
-        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        image = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
-        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(image))
-        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_sha256"] == hashlib.sha256(image).hexdigest()
-        assert r["tail_crc32"] == zlib.crc32(payload[-32:]) and r["caption"] == "Payload"
+        lines = [x for x in (texts[r["doc_id"]] or "").split("\n") if x.strip(" ")]
+        shown = [x for x in lines if x.strip()]
+        assert r["n_texts"] == len(shown) and r["n_media"] == 2
+        k = int(r["caption"].split()[2])
+        assert r["caption"] == f"After paragraph {k} of {len(lines)}" and r["position"] == 1 + sum(bool(x.strip()) for x in lines[:k])
+    assert len({r["position"] for r in got}) > 1
     assert media.document_media(empty(spark)).count() == 0
 
 
+def test_bytes_that_are_no_text_keep_their_length(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"ab\xff\xff")), (2, bytearray(b"ab"))], "doc_id long, text binary")
+    got = {r["doc_id"]: r["n_bytes"] for r in media.document_media(docs.selectExpr("doc_id", "cast(text as string) as text")).collect()}
+    assert got == {1: 4, 2: 2}
+
+
+def test_page_sequences(spark):
+    rows = [(1, "u", HTML), (2, "u", None), (None, None, ""), (3, "v", "<p>only</p>"), (3, "v", "<p>only</p>")]
+    got = media.page_sequences(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = []
+    for key, url, html in rows:
+        s = media.parse_html(html)
+        texts = [x["text"] for x in s if x["kind"] == "text"]
+        want.append((key, url, len(texts), len(s) - len(texts), sum(map(len, texts)), texts[0] if texts else None, texts[-1] if texts else None))
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_damage_is_found(spark):
     space = Workspace(spark, "t")
     store = media.store_texts(documents(spark), space)

@@ -109,10 +109,45 @@ def test_slices_give_the_texts_sets():
 def test_steps_cover_a_batch_once(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(similarity, "_TEXT_STEP", 50)
+    from strandline.llm import workspace
+
+    monkeypatch.setattr(workspace, "STEP_BYTES", 50)
     texts = ["x " * (i % 40) for i in range(100)] + [None, "y" * 500, "", "z"]
     b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
-    parts = list(similarity._steps([b, b.slice(0, 0)]))
+    parts = list(workspace.text_steps([b, b.slice(0, 0)], 1))
     assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts))) and len(parts) > 10
     sets = [s.tolist() for p in parts for s in similarity.shingle_sets(p.column(1), 3)]
     assert sets == [s.tolist() for s in similarity.shingle_sets(pa.array(texts), 3)]
+
+
+@pytest.mark.parametrize("rounds", [1, 8])
+def test_large_regions_in_rounds(spark, monkeypatch, rounds):
+    """Crowds that several pivots separate, or that none does: splits and block pairs."""
+    monkeypatch.setattr(similarity, "REGION_POINTS", 10)
+    monkeypatch.setattr(similarity, "ROUNDS", rounds)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for k in range(4):  # most of each text is the passage, the rest its own crowd's
+        own = [f"o{k}x{i}" for i in range(30)]
+        for _ in range(25):
+            w = passage + own
+            for _ in range(rng.randrange(1, 9)):
+                w[rng.randrange(len(w))] = f"c{rng.randrange(10**6)}"
+            texts.append(" ".join(w + [f"t{i}" for i in range(rng.randrange(12))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = check(spark, docs, 2, Fraction(8, 10))
+    assert len({c for _, c in got.values()}) > 4
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(40)]
+    near = lambda k: " ".join(base[:k] + [f"x{rng.randrange(10**6)}"] + base[k + 1 :])
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, " ".join(base)), (1, other), (None, near(3)), (None, near(30)), (5, other + " end"), (None, "alone here"), (None, None), (9, near(20)), (9, near(20))]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, pid string")
+    got = sorted(((r["doc_id"] or -1), r["component_id"] or -1) for r in similarity.similar_groups(docs, 2, Fraction(8, 10)).collect())
+    assert got == [(-1, -1), (-1, -1), (-1, 1), (-1, 1), (1, 1), (1, 1), (5, 1), (9, 1), (9, 1)]
+    kept = similarity.one_of_each(docs, 2, Fraction(8, 10)).collect()
+    assert sorted(((r["doc_id"] or -1), (r["text"] or "").split(" ")[0], r["pid"]) for r in kept) == [(-1, "", "s"), (-1, "alone", "s"), (1, "v0", "s"), (1, "w0", "s")]

@@ -10,32 +10,24 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandline.llm import language, mixing, packing, quality, similarity
 from strandline.llm.workspace import Workspace
 
-#: Least lead of a document's language over the next one for it to stay: documents
-#: with a passage in another language stay, those half and half go.
-LEAD = 0.02
+#: Least lead of a document's language over the next one for it to stay.
+LEAD = 0.1
 #: Least probability that a document is good for it to stay.
 KEEP_QUALITY = 0.5
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter and those between two languages go."""
-    told = language.identify(docs, language.train(docs), columns=_columns(docs), ambiguous_below=LEAD)
-    return told.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*_columns(docs))
+    return language.clear(docs, language.train(docs), LEAD)
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are more likely bad than good go."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, columns=_columns(docs)).filter(F.col("score") >= KEEP_QUALITY).select(*_columns(docs))
+    return quality.good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), KEEP_QUALITY)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

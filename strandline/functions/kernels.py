@@ -26,35 +26,88 @@ def window_hashes(codes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
-def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and the lengths of the common prefixes of neighbours.
+def least_grams(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the grams that are the least, leftmost of equal ones,
+    in some window of neighbouring grams."""
+    h = window_hashes(codes, [gram]).get(gram, np.zeros(0, np.int64))
+    if len(h) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    best, least = np.zeros(len(h) - window + 1, np.int64), h[: len(h) - window + 1].copy()
+    for k in range(1, window):
+        other = h[k : k + len(least)]
+        lower = other < least
+        best[lower], least[lower] = k, other[lower]
+    at = np.unique(best + np.arange(len(best)))
+    return h[at], at
+
 
-    Ranks of prefixes of length 1, 2, 4, ... are kept; the common prefix of two
-    neighbours is the sum of the powers at which their ranks still agree.
+class Prefixes:
+    """Suffixes in order, and common prefixes of any two, in vectorised steps.
+
+    As many characters as fit a number are packed and sorted at once; then the
+    prefix compared doubles, and only suffixes that still have an equal are sorted
+    again.  Ranks of every round are kept: the common prefix of two suffixes is
+    the sum of the lengths at which their ranks agree, from the longest down, and
+    what is left is compared character by character.
     """
-    n = len(codes)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    levels, step = [rank], 1
-    while step < n and levels[-1].max() < n:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64) + 1
-        levels.append(rank)
-        step *= 2
-    order = np.argsort(rank, kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
-    lcp = np.zeros(n - 1, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        level = levels[k]
-        inside = (a < n) & (b < n)
-        # equal ranks mean equal prefixes only where both suffixes are that long
-        long = inside & (a + (1 << k) <= n) & (b + (1 << k) <= n)
-        same = np.zeros(n - 1, bool)
-        same[long] = level[a[long]] == level[b[long]]
-        a, b, lcp = a + (same << k), b + (same << k), lcp + (same << k)
-    return order, np.concatenate([[0], lcp])
+
+    def __init__(self, codes: np.ndarray):
+        n = self.n = len(codes)
+        self.levels: list[tuple[int, np.ndarray]] = []
+        self.order = np.zeros(0, np.int64)
+        if not n:
+            return
+        self.dense = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1  # an end is 0
+        bits = int(self.dense.max()).bit_length()
+        self.width = min(n, 62 // bits)
+        key = np.zeros(n, np.int64)
+        for i in range(self.width):
+            key <<= bits
+            key[: n - i] |= self.dense[i:]
+        order = np.argsort(key, kind="stable")
+        head = np.concatenate([[True], np.diff(key[order]) != 0])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        step = self.width
+        self.levels.append((step, rank.astype(np.int32)))
+        while True:
+            tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+            if not len(tied):
+                break
+            s = order[tied]
+            ahead = np.where(s + step < n, rank[np.minimum(s + step, n - 1)] + 1, 0)
+            key = rank[s] * (n + 1) + ahead
+            by = np.argsort(key, kind="stable")
+            order[tied], key = s[by], key[by]
+            head[tied] = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[order[tied]] = np.maximum.accumulate(np.where(head[tied], tied, 0))
+            step *= 2
+            self.levels.append((step, rank.astype(np.int32)))
+        self.order, self.rank = order, rank
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of the common prefixes of different suffixes (n: the empty one)."""
+        a, b, total = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        top = self.n - 1
+        for step, rank in reversed(self.levels):  # equal ranks: both are that long
+            same = np.where((a <= top) & (b <= top) & (rank[np.minimum(a, top)] == rank[np.minimum(b, top)]), step, 0)
+            a, b, total = a + same, b + same, total + same
+        for _ in range(self.width if self.n else 0):
+            same = (a <= top) & (b <= top) & (self.dense[np.minimum(a, top)] == self.dense[np.minimum(b, top)])
+            a, b, total = a + same, b + same, total + same
+        return total
+
+
+def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and the lengths of the common prefixes of neighbours."""
+    p = Prefixes(codes)
+    lcp = p.common(p.order[:-1], p.order[1:]) if p.n > 1 else np.zeros(0, np.int64)
+    return p.order, np.concatenate([np.zeros(min(1, p.n), np.int64), lcp])
+
+
+def unique_substrings(codes: np.ndarray) -> int:
+    """Number of distinct substrings."""
+    return len(codes) * (len(codes) + 1) // 2 - int(suffix_order(codes)[1].sum())
 
 
 def invert_bwt(bwt: np.ndarray, original: int) -> np.ndarray:
@@ -92,20 +145,42 @@ def lz78(codes: np.ndarray) -> int:
     return phrases
 
 
+def _next(values: list[int], smaller: bool) -> list[int]:
+    """For each place the next one with a smaller (larger) value; the end if none."""
+    out, open_ = [len(values)] * len(values), []
+    for i, v in enumerate(values):
+        while open_ and (values[open_[-1]] > v) == smaller:
+            out[open_.pop()] = i
+        open_.append(i)
+    return out
+
+
 def tandem_repeats(codes: np.ndarray, max_period: int | None = None) -> list[tuple[int, int, int]]:
-    """``(position, unit length, count)``: a run of agreement with the text moved
-    by d that starts at p and is L >= d long repeats a unit L // d + 1 times.
-    For each start the longest stays, of equal ones the smallest unit."""
-    n, best = len(codes), {}
-    for d in range(1, min(n // 2, max_period or n) + 1):
-        same = np.concatenate([[False], codes[:-d] == codes[d:], [False]])
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        start, length = edge[::2], edge[1::2] - edge[::2]
-        for p, x in zip(start[length >= d].tolist(), length[length >= d].tolist()):
-            count = x // d + 1
-            if p not in best or count * d > best[p][0] * best[p][1]:
-                best[p] = (d, count)
-    return [(p, d, c) for p, (d, c) in sorted(best.items())]
+    """``(position, unit length, count)``: a stretch of least period d that starts at p
+    and is L >= 2 d long, and cannot be extended, repeats a unit L // d times.  For
+    each start the longest stays, of equal ones the smallest unit.
+
+    Every such stretch begins its periods somewhere with a Lyndon word in one of
+    the alphabet's two orders, which ends at the next smaller (larger) suffix; so
+    two candidates a character, extended to both sides, are all of them.
+    """
+    n = len(codes)
+    if n < 2:
+        return []
+    ahead, back = Prefixes(codes), Prefixes(codes[::-1])
+    ranks = ahead.rank.tolist()
+    i = np.tile(np.arange(n), 2)
+    j = np.array(_next(ranks, True) + _next(ranks, False))
+    use = j - i <= min(n // 2, max_period or n)
+    i, j = i[use], j[use]
+    left = back.common(np.where(i > 0, n - i, n), n - j)  # a start at 0 has nothing before it
+    start, end, d = i - left, j + ahead.common(i, j), j - i
+    whole = end - start >= 2 * d
+    start, d, count = start[whole], d[whole], ((end - start) // np.maximum(d, 1))[whole]
+    order = np.lexsort((d, -count * d, start))
+    start, d, count = start[order], d[order], count[order]
+    first = np.concatenate([[True], start[1:] != start[:-1]]) if len(start) else np.zeros(0, bool)
+    return list(zip(start[first].tolist(), d[first].tolist(), count[first].tolist()))
 
 
 def longest_palindrome(text: str) -> tuple[int, int] | None:
@@ -132,8 +207,9 @@ def longest_palindrome(text: str) -> tuple[int, int] | None:
     return best if best[1] >= 2 else None
 
 
-def fuzzy(codes: np.ndarray, pattern: np.ndarray, distance: int, deletion: bool = True, insertion: bool = True, wild: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and distances of all approximate matches.
+def fuzzy(codes: np.ndarray, pattern: np.ndarray, distance: int, deletion: bool = True, insertion: bool = True, wild: int | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of all approximate matches, or of those at the
+    given starts (sorted).
 
     For every start at once: ``d[w]`` is the least number of errors between the
     pattern's first i characters and the w characters from the start on.  A
@@ -145,10 +221,10 @@ def fuzzy(codes: np.ndarray, pattern: np.ndarray, distance: int, deletion: bool
     if m == 0:
         return (np.zeros(0, np.int64),) * 3
     padded = np.concatenate([codes, np.full(m + distance + 1, -1, codes.dtype)])
-    start = np.arange(n + 1)
+    start = np.arange(n + 1) if start is None else start
     # column w of the band: length i + w - distance
     width = 2 * distance + 1
-    d = np.full((width, n + 1), far, np.int16)
+    d = np.full((width, len(start)), far, np.int16)
     d[distance] = 0
     for i in range(1, m + 1):
         new = np.full_like(d, far)
@@ -169,7 +245,7 @@ def fuzzy(codes: np.ndarray, pattern: np.ndarray, distance: int, deletion: bool
                 new[w] = np.minimum(new[w], np.where(here == -1, far, new[w - 1] + 1))  # (i, length - 1)
         d = np.minimum(new, far)
     preference = sorted(range(width), key=lambda w: (abs(w - distance), w))
-    best, length = np.full(n + 1, far, np.int64), np.zeros(n + 1, np.int64)
+    best, length = np.full(len(start), far, np.int64), np.zeros(len(start), np.int64)
     for w in preference:
         size = m + w - distance
         if size < 0:
@@ -177,4 +253,17 @@ def fuzzy(codes: np.ndarray, pattern: np.ndarray, distance: int, deletion: bool
         better = (d[w] < best) & (start + size <= n)
         best[better], length[better] = d[w][better], size
     hit = np.flatnonzero(best <= distance)
-    return hit, length[hit], best[hit]
+    return start[hit], length[hit], best[hit]
+
+
+def near_hits(text: str, pieces: list[tuple[int, str]], distance: int) -> np.ndarray:
+    """Starts from which a piece, ``(place in the pattern, characters)``, that occurs in
+    the text would lie in its place, give or take so many errors."""
+    at = []
+    for place, piece in pieces:
+        k = text.find(piece)
+        while k >= 0:
+            at.append(k - place)
+            k = text.find(piece, k + 1)
+    spread = np.unique(np.array(at, np.int64)[:, None] + np.arange(-distance, distance + 1)[None, :])
+    return spread[(spread >= 0) & (spread <= len(text))]

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from strandline.plans.blocks import BLOCK, check_ranges, edge_rows, full_blocks, sizes
 
 
-def range_best(s: DataFrame, q: DataFrame, largest: bool = False, strict: bool = True, block: int = BLOCK) -> DataFrame:
-    """``q(qid, seq_id, start, end)`` to the best value and its index."""
+def range_best(s: DataFrame, q: DataFrame, largest: bool = False, strict: bool = True, block: int = BLOCK, by: Column | None = None) -> DataFrame:
+    """``q(qid, seq_id, start, end)`` to the best value and its index.  ``by``: an
+    expression over ``val`` that values are compared by, in place of themselves; a
+    struct compares by several."""
     q = check_ranges(q, sizes(s)) if strict else q
     # the largest struct has the best value and, of those, the leftmost index
-    entry = F.struct(F.col("val").alias("v"), (-F.col("pos")).alias("p")) if largest else F.struct(F.col("val").alias("v"), F.col("pos").alias("p"))
+    order = F.col("val") if by is None else by
+    entry = F.struct(order.alias("o"), (-F.col("pos") if largest else F.col("pos")).alias("p"), F.col("val").alias("v"))
     pick = F.max if largest else F.min
     partial = s.groupBy("seq_id", F.floor(F.col("pos") / block).alias("__block")).agg(pick(entry).alias("best"))
     rows = edge_rows(s, q, block).select("qid", entry.alias("best"))

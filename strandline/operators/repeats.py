@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
+from strandline.operators import suffix
+from strandline.plans import tables
+
 
 def _by_rank() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("rank")
@@ -65,6 +68,19 @@ def count_unique_substrings(sx: DataFrame) -> DataFrame:
     return sx.groupBy("doc_id").agg(F.expr("count(1) * (count(1) + 1) div 2 - sum(lcp)").alias("count"))
 
 
+def unique_substrings(docs: DataFrame, max_chars: int = suffix.MAX_CHARS) -> DataFrame:
+    """The same from the texts, one row a text from the kernel on; null and empty
+    texts have none.  Texts beyond ``max_chars`` go through their suffix tables."""
+    texts = docs.select("doc_id", "text").filter(F.length("text") > 0)
+    kept = _per_text(texts.filter(F.length("text") <= max_chars), "count long", [("count", pa.int64())], lambda t: [(kernels.unique_substrings(kernels.code_points(t)),)])
+    giant = texts.filter(F.length("text") > max_chars)
+    if not giant.take(1):
+        return kept
+    numbered = tables.write_table(giant.withColumn("at", F.monotonically_increasing_id()), "giant-texts")
+    counts = count_unique_substrings(suffix.giant_tables(numbered.withColumn("doc_id", F.col("at")))).select(F.col("doc_id").alias("at"), "count")
+    return kept.union(counts.join(numbered.select("at", "doc_id"), "at").select("doc_id", "count"))
+
+
 def shortest_unique(docs: DataFrame, sx: DataFrame) -> DataFrame:
     """``(doc_id, text, position)`` of all shortest substrings that occur once."""
     rows = _shortest(docs, sx)
@@ -102,7 +118,7 @@ def _per_text(docs: DataFrame, schema: str, kinds: list[tuple[str, pa.DataType]]
 
 def tandem_repeats(docs: DataFrame, max_period: int | None = None) -> DataFrame:
     """``(doc_id, position, length, count)``: units repeated side by side; for each
-    start the longest stretch.  The work is a text's length times the periods."""
+    start the longest stretch.  The work is a text's length times its logarithm."""
     kinds = [(c, pa.int32()) for c in ("position", "length", "count")]
     return _per_text(docs, "position int, length int, count int", kinds, lambda t: kernels.tandem_repeats(kernels.code_points(t), max_period))
 

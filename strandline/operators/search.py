@@ -7,7 +7,7 @@ match, so the pieces' lengths add up to the positions.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from enum import Enum
 
 import pyarrow as pa
@@ -32,15 +32,39 @@ def _sorted(df: DataFrame, order: SortOrder, *columns: str) -> DataFrame:
     return df.orderBy(*[F.asc(c) if order is SortOrder.ASCENDING else F.desc(c) for c in columns])
 
 
+#: Pieces of a text whose ends are added up at a time.
+_RUN = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array, run by run, so that none is copied at every element."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    none = F.array().cast("array<int>")
+
+    def sums(part: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("all"))
+        return F.aggregate(part, first, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"] + x)).alias("all")))["all"]
+
+    def of(whole: Column) -> Column:
+        cuts = F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), F.lit(_RUN))
+        runs = F.transform(cuts, lambda c: F.slice(whole, c, F.lit(_RUN)))
+        return _let(runs, lambda r: _let(sums(F.transform(r, total), F.lit(0)), lambda after: F.flatten(F.transform(r, lambda part, k: sums(part, F.coalesce(F.get(after, k - 1), F.lit(0)))))))
+
+    return _let(lengths, of)
+
+
 def starts_of(text: Column, expression: str) -> Column:
     """Positions, ascending, at which a regular expression matches."""
     ahead = F.split(text, f"(?s)(?={expression})", -1)
     # a match at 0 yields no piece of its own
     at_zero = F.when(text.rlike(f"(?s)^(?:{expression})"), F.array(F.lit(0)))
-    lengths = F.transform(F.slice(ahead, F.lit(1), F.size(ahead) - 1), F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    later = F.aggregate(lengths, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"] + x)).alias("all")))["all"]
-    return F.concat(F.coalesce(at_zero, F.array().cast("array<int>")), later)
+    lengths = _let(ahead, lambda a: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), F.length))
+    return F.concat(F.coalesce(at_zero, F.array().cast("array<int>")), _ends(lengths))
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -197,25 +221,28 @@ def locate_fuzzy(
     pattern's, then the shorter.
 
     Of a pattern cut into ``max_distance + 1`` pieces one must occur unchanged,
-    which drops most texts before any leaves the JVM.
+    which drops most texts before any leaves the JVM, and of the rest only the
+    starts around such pieces are tried.
     """
     if max_distance < 0:
         raise ValueError("max_distance must not be negative")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, position int, length int, edit_distance int"
-    likely = F.lit(bool(pattern))
+    likely, pieces = F.lit(bool(pattern)), []
     if len(pattern) > max_distance and wild is None:
         cut = [len(pattern) * k // (max_distance + 1) for k in range(max_distance + 2)]
+        pieces = [(a, pattern[a:b]) for a, b in zip(cut, cut[1:])]
         likely = F.lit(False)
-        for a, b in zip(cut, cut[1:]):
-            likely = likely | F.contains(F.col("text"), F.lit(pattern[a:b]))
+        for _, piece in pieces:
+            likely = likely | F.contains(F.col("text"), F.lit(piece))
     codes, sign = kernels.code_points(pattern), None if wild is None else ord(wild)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, at, size, far = [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                p, n, d = kernels.fuzzy(kernels.code_points(text), codes, max_distance, not disable_deletion, not disable_insertion, sign)
+                starts = kernels.near_hits(text, pieces, max_distance) if pieces else None
+                p, n, d = kernels.fuzzy(kernels.code_points(text), codes, max_distance, not disable_deletion, not disable_insertion, sign, starts)
                 rows += [i] * len(p)
                 at += p.tolist()
                 size += n.tolist()

@@ -43,16 +43,19 @@ def rank(s: DataFrame, q: DataFrame, block: int = BLOCK) -> DataFrame:
     """``q(qid, seq_id, k, value)`` to the number of ``value`` in ``[0, k)``.
 
     Full blocks before k through running counts, the rest through k's block.
+    Queries meet the running counts by block, so a window holds a value's blocks
+    only, however many queries ask for it.
     """
     s = s.withColumn("__block", F.floor(F.col("pos") / block))
     q = q.select("qid", "seq_id", F.col("value").alias("val"), F.col("k").cast("long").alias("k")).withColumn("__block", F.floor(F.col("k") / block))
     counts = s.groupBy("seq_id", "val", "__block").agg(F.count(F.lit(1)).alias("__n"))
-    both = counts.withColumn("qid", F.lit(None).cast(q.schema["qid"].dataType)).unionByName(q.select("seq_id", "val", "__block", F.lit(0).cast("long").alias("__n"), "qid"))
-    # a block's own count is not yet there for queries in it
-    running = F.sum("__n").over(Window.partitionBy("seq_id", "val").orderBy("__block").rangeBetween(Window.unboundedPreceding, -1))
-    before = both.withColumn("__before", F.coalesce(running, F.lit(0))).filter("qid is not null").select("qid", "__before")
+    asked = q.select("seq_id", "val", "__block").distinct()
+    blocks = counts.unionByName(asked.withColumn("__n", F.lit(0).cast("long"))).groupBy("seq_id", "val", "__block").agg(F.sum("__n").alias("__n"))
+    running = F.sum("__n").over(Window.partitionBy("seq_id", "val").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    before = blocks.select("seq_id", "val", "__block", F.coalesce(running, F.lit(0)).alias("__before"))
     inside = q.join(s.select("seq_id", "val", "__block", "pos"), ["seq_id", "val", "__block"]).filter("pos < k").groupBy("qid").agg(F.count(F.lit(1)).alias("__in"))
-    return before.join(inside, "qid", "left").select("qid", (F.col("__before") + F.coalesce("__in", F.lit(0))).alias("rank"))
+    placed = q.join(before, ["seq_id", "val", "__block"], "left").select("qid", F.coalesce("__before", F.lit(0)).alias("__before"))
+    return placed.join(inside, "qid", "left").select("qid", (F.col("__before") + F.coalesce("__in", F.lit(0))).alias("rank"))
 
 
 def select(s: DataFrame, q: DataFrame) -> DataFrame:

@@ -1,45 +1,136 @@
-"""A gram index: literal search for many patterns without scanning texts.
+"""A kept gram index: count and locate many patterns without scanning texts.
 
-``(gram, doc_id, pos)`` is written once; a pattern is looked up by one of its
-grams and its candidates are verified against the text, so a batch of patterns
-is an equi-join on the gram.
+Of every ``window`` neighbouring grams (``gram`` characters each) of a text the one
+with the least hash is indexed, with its positions, one row a text and gram.  A
+pattern that spans a window has such a gram wherever it stands, so it is looked
+up by the rarest of its own; its candidates are compared with the text.  Shorter
+patterns are answered by one pass over the texts, :func:`occurrences`.
+
+An index is built once, saved with a manifest, loaded with its checks, and grows
+by batches.  Rows are numbered, so that null and repeated ids stay apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from strandline.functions import kernels
 from strandline.plans.tables import write_table
-from strandline.streaming.counts import grams
-
+from strandline.sources import store
 
-#: Lengths of the windows that are hashed, and bits of the map of their hashes.
+#: Characters of a gram (a power of two), and grams of which one is indexed.
+GRAM = 8
+WINDOW = 8
+#: Lengths of the windows that :func:`occurrences` hashes, and bits of its map.
 ANCHORS = (1, 2, 4, 8, 16, 32)
 MAP_BITS = 1 << 24
-
-
-def build(docs: DataFrame, k: int = 4) -> DataFrame:
-    return grams(docs, k)
-
-
-def frequencies(index: DataFrame) -> DataFrame:
-    return index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-
-
-def lookup(docs: DataFrame, index: DataFrame, patterns: DataFrame, k: int = 4) -> DataFrame:
-    """``patterns(qid, pattern)`` of at least k characters to ``(qid, doc_id,
-    position)``.  Each pattern probes with its rarest gram (one that no text has
-    ends it), then its text is compared at the place found."""
-    own = _grams_of(patterns, k)
-    # only the patterns' grams go on: the index is read once and not shuffled if they are few
-    index = write_table(index.join(own.select("gram").distinct(), "gram", "left_semi"), "gram-hits")
-    return _verified(docs, index, _rarest(own, frequencies(index)).filter("df > 0"))
+KIND = "grams"
+
+
+@dataclass
+class GramIndex:
+    """``docs(batch, row, doc_id, text)`` and ``postings(gram, batch, row, positions)``."""
+
+    docs: DataFrame
+    postings: DataFrame
+    gram: int = GRAM
+    window: int = WINDOW
+
+    @property
+    def shortest(self) -> int:
+        """Characters of the shortest pattern that the index answers by itself."""
+        return self.gram + self.window - 1
+
+    def append(self, docs: DataFrame) -> GramIndex:
+        """The index with further texts; their batch has the next number."""
+        more = build(docs, self.gram, self.window, _next_batch(self.docs))
+        return GramIndex(self.docs.unionByName(more.docs), self.postings.unionByName(more.postings), self.gram, self.window)
+
+    def save(self, path: str) -> None:
+        store.save(self._parts(), path, KIND)
+
+    def _parts(self) -> dict[str, DataFrame]:
+        settings = self.docs.sparkSession.createDataFrame([(self.gram, self.window)], "gram int, window int")
+        return {"docs": self.docs, "postings": self.postings, "settings": settings}
+
+    def locate(self, patterns: DataFrame) -> DataFrame:
+        """``patterns(qid, pattern)`` of any length to ``(qid, doc_id, position)``; an
+        empty or null pattern occurs nowhere."""
+        asked = patterns.select("qid", "pattern")
+        long = F.length("pattern") >= self.shortest
+        own = write_table(_least_grams(asked.filter(long), ["qid", "pattern"], "pattern", self.gram, self.window).select("qid", "pattern", "gram", F.explode("positions").alias("at")), "pattern-grams")
+        # only the patterns' grams go on: the postings are read once and not shuffled if these are few
+        hits = write_table(self.postings.join(own.select("gram").distinct(), "gram", "left_semi"), "gram-hits")
+        counts = hits.groupBy("gram").agg(F.sum(F.size("positions")).alias("df"))
+        rated = own.join(counts, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        probe = rated.groupBy("qid", "pattern").agg(F.min(F.struct("df", "at", "gram")).alias("p")).select("qid", "pattern", "p.at", "p.gram")
+        found = probe.join(hits, "gram").select("qid", "pattern", "batch", "row", F.explode("positions").alias("pos"), "at")
+        short = occurrences(self.docs.select("doc_id", "text"), asked.filter(~long))
+        return _verified(self.docs, found, ["batch", "row"]).unionByName(short)
+
+    def count(self, patterns: DataFrame) -> DataFrame:
+        """``(qid, count)`` of every pattern over all texts, 0 included."""
+        counts = self.locate(patterns).groupBy("qid").agg(F.count(F.lit(1)).alias("__n"))
+        return patterns.select("qid").join(counts, "qid", "left").select("qid", F.coalesce("__n", F.lit(0)).alias("count"))
+
+
+def build(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, batch: int = 0) -> GramIndex:
+    """The index of ``docs(doc_id, text)``; null texts have no postings."""
+    if gram < 1 or gram & (gram - 1) or window < 1:
+        raise ValueError("gram must be a power of two, and window positive")
+    rows = write_table(docs.select(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "gram-docs")
+    postings = _least_grams(rows.filter(F.length("text") >= gram + window - 1), ["batch", "row"], "text", gram, window)
+    # in order of the gram, so that readers of a few grams skip the rest by statistics
+    dealt = postings.repartition("gram").sortWithinPartitions("gram")
+    return GramIndex(rows, write_table(dealt, "gram-postings"), gram, window)
+
+
+def _next_batch(docs: DataFrame) -> int:
+    return (docs.agg(F.max("batch")).first()[0] or 0) + 1
+
+
+def load(spark: SparkSession, path: str) -> GramIndex:
+    parts = store.load(spark, path, KIND)
+    gram, window = parts["settings"].first()
+    return GramIndex(parts["docs"], parts["postings"], gram, window)
+
+
+def append_to(spark: SparkSession, path: str, docs: DataFrame) -> None:
+    """Adds texts to a saved index: further files and their manifest, nothing is rewritten."""
+    kept = load(spark, path)
+    more = build(docs, kept.gram, kept.window, _next_batch(kept.docs))
+    store.append({"docs": more.docs, "postings": more.postings}, path, KIND)
+
+
+def _least_grams(rows: DataFrame, keys: list[str], text: str, gram: int, window: int) -> DataFrame:
+    """``keys``, ``gram`` and ``positions`` of the grams to index."""
+    kept = rows.select(*keys, F.col(text).alias("__text"))
+    schema = kept.select(*keys).schema.add("gram", LongType()).add("positions", ArrayType(IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, grams, sizes, places = [], [], [], []
+            for i, t in enumerate(b.column(len(keys)).to_pylist()):
+                h, pos = kernels.least_grams(kernels.code_points(t), gram, window)
+                order = np.argsort(h, kind="stable")
+                head = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0])) if len(h) else order
+                at.append(np.full(len(head), i))
+                grams.append(h[order][head])
+                sizes.append(np.diff(np.append(head, len(h))))
+                places.append(pos[order])
+            if at:
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32()), pa.array(np.concatenate(places), pa.int32()))
+                take = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[: len(keys)]], pa.array(np.concatenate(grams), pa.int64()), lists], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -50,8 +141,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     characters, as many as it has.  One pass over the texts hashes the windows of
     these lengths; a bit map of fixed size lets most of them go in the worker, and
     those left are joined on the hash and compared with the whole pattern."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     qid = patterns.schema["qid"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -63,6 +154,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     asked = patterns.select("qid", "pattern").filter(F.length("pattern") > 0)
     probe = write_table(asked.mapInArrow(anchor, f"qid {qid}, pattern string, at int, size int, gram long"), "anchors")
     sizes = sorted(r[0] for r in probe.select("size").distinct().collect())
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], f"qid {qid}, doc_id {kind}, position int")
     bit = F.col("gram").bitwiseAND(F.lit(MAP_BITS - 1))
     marked = probe.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     whole = np.zeros(MAP_BITS // 8, np.uint8)
@@ -79,24 +172,13 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                     low = h & (MAP_BITS - 1)
                     pos = np.flatnonzero((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
                     if len(pos):
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos, pa.int32()), pa.array(h[pos], pa.int64())], names=["doc_id", "pos", "gram"])
-
-    found = docs.select("doc_id", "text").filter(F.length("text") > 0).mapInArrow(hits, f"doc_id {kind}, pos int, gram long")
-    return _verified(docs, found, probe.drop("size").withColumn("df", F.lit(0)))
-
-
-def _grams_of(patterns: DataFrame, k: int) -> DataFrame:
-    c = patterns.filter(F.length("pattern") >= k).select("qid", "pattern", F.filter(F.split("pattern", ""), lambda x: x != "").alias("c"))
-    return c.select("qid", "pattern", F.inline(F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice("c", i, k), "").alias("gram")))))
-
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos, pa.int32()), pa.array(h[pos], pa.int64())], names=["row", "pos", "gram"])
 
-def _rarest(own: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(qid, pattern, df, at, gram)``: each pattern's rarest gram."""
-    rated = own.join(counts, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    return rated.groupBy("qid", "pattern").agg(F.min(F.struct("df", "at", "gram")).alias("p")).select("qid", "pattern", "p.*")
+    rows = write_table(docs.filter(F.length("text") > 0).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
+    found = rows.select("row", "text").mapInArrow(hits, "row long, pos int, gram long")
+    return _verified(rows, probe.drop("size").join(found, "gram"), ["row"])
 
 
-def _verified(docs: DataFrame, index: DataFrame, probe: DataFrame) -> DataFrame:
-    found = probe.drop("df").join(index, "gram").withColumn("position", F.col("pos") - F.col("at")).filter("position >= 0")
-    texts = docs.select("doc_id", "text")
-    return found.join(texts, "doc_id").filter(F.expr("substring(text, position + 1, length(pattern)) = pattern")).select("qid", "doc_id", "position")
+def _verified(docs: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    found = found.withColumn("position", F.col("pos") - F.col("at")).filter("position >= 0").select(*keys, "qid", "pattern", "position")
+    return found.join(docs.select(*keys, "doc_id", "text"), keys).filter(F.expr("substring(text, position + 1, length(pattern)) = pattern")).select("qid", "doc_id", "position")

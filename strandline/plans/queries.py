@@ -194,6 +194,13 @@ def range_maximum(spark, sf_dir):
     return ranges.range_max(s, _asked(s))
 
 
+@_query(_S + 'SELECT qid, arg_min(val, (val % 7, -val, pos)) AS value, arg_min(pos, (val % 7, -val, pos)) AS "index" FROM r GROUP BY qid')
+def range_best_by(spark, sf_dir):
+    """the best value in an order of the caller's own."""
+    s = _lines(spark, sf_dir)
+    return ranges.range_best(s, _asked(s), by=F.struct(F.col("val") % 7, -F.col("val")))
+
+
 @_query(_S + "SELECT qid, CAST(sum(val) AS BIGINT) AS value FROM r GROUP BY qid")
 def range_sum(spark, sf_dir):
     """R2: sum of a range."""
@@ -303,6 +310,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _spread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For operators that take much time a text."""
+    return tables.spread(_docs(spark, sf_dir))
+
+
 @_query("SELECT doc_id, contains(text, 'tion') AS found FROM documents")
 def text_contains(spark, sf_dir):
     """Which documents hold a literal."""
@@ -333,7 +345,7 @@ _HITS = """h AS (
 @_query("WITH " + _HITS % str(_LITERALS) + " SELECT doc_id, pattern, CAST(unnest(places) AS INTEGER) AS position FROM h")
 def text_locate(spark, sf_dir):
     """All occurrences of several literals in one pass."""
-    return search.locate_each(_docs(spark, sf_dir), _LITERALS)
+    return search.locate_each(_spread_docs(spark, sf_dir), _LITERALS)
 
 
 @_query(
@@ -346,43 +358,67 @@ SELECT doc_id, position, substr(text, s + 1, e - s) AS snippet, CAST(s AS INTEGE
 )
 def text_snippets(spark, sf_dir):
     """Every occurrence in its context of 40 characters, 40 % of it before."""
-    return search.snippets_of(_docs(spark, sf_dir), "ment", 40, 0.4)
+    return search.snippets_of(_spread_docs(spark, sf_dir), "ment", 40, 0.4)
 
 
-@_query()
+_HIT_ITEMS = """WITH h AS (SELECT item_id AS qid, doc_id, b.text AS pattern, d.text AS text FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text)),
+w AS (SELECT *, unnest(range(length(text) - length(pattern) + 1)) AS i FROM h),
+o AS (SELECT qid, doc_id, CAST(i AS INTEGER) AS position FROM w WHERE substr(text, i + 1, length(pattern)) = pattern)
+"""
+
+# a match's first character is the pattern's first, changed or not, or that one is missing;
+# what follows is plain edit distance.  One of the pattern's three parts occurs unchanged.
+_FUZZY = """WITH d AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '#', 'g') AS text FROM documents WHERE contains(text, 'tio') OR contains(text, 'ning') OR contains(text, ' the')),
+s AS (SELECT doc_id, i, substr(text, i + 1, 13) AS w FROM (SELECT doc_id, text, unnest(range(length(text) + 1)) AS i FROM d)),
+c AS (SELECT doc_id, i, w, unnest(range(9, length(w) + 1)) AS n FROM s WHERE contains(w, 'tio') OR contains(w, 'ning') OR contains(w, ' the')),
+e AS (SELECT doc_id, i, n, least(CAST(substr(w, 1, 1) <> 't' AS INTEGER) + levenshtein('ioning the', substr(w, 2, n - 1)), 1 + levenshtein('ioning the', substr(w, 1, n))) AS k FROM c)
+SELECT doc_id, CAST(i AS INTEGER) AS position, CAST(n AS INTEGER) AS "length", CAST(k AS INTEGER) AS edit_distance FROM e WHERE k <= 2
+QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY k, abs(n - 11), n) = 1"""
+
+
+@_query(_FUZZY)
 def text_fuzzy(spark, sf_dir):
     """Approximate occurrences over all documents."""
-    return search.locate_fuzzy(_docs(spark, sf_dir), "tioning the", 2)
+    return search.locate_fuzzy(_spread_docs(spark, sf_dir), "tioning the", 2)
 
 
-@_query()
+@_query(
+    "WITH "
+    + _HITS % "['tio']"
+    + """, o AS (SELECT doc_id, text, unnest(places) AS i FROM h),
+m AS (SELECT doc_id, i, regexp_extract(substr(text, CAST(i AS BIGINT) + 1, 18), '^tio[^ \n]{0,12}?n[^ \n]e') AS m FROM o)
+SELECT doc_id, CAST(i AS INTEGER) AS position, CAST(length(m) AS INTEGER) AS "length" FROM m WHERE m <> ''"""
+)
 def text_wildcard(spark, sf_dir):
     """Wildcard matches over all documents, gaps inside a word."""
-    return search.search_wildcard(_docs(spark, sf_dir), "tio*n?e", WildcardOptions(asterisk_max_length=12, stop_characters=" \n"))
+    return search.search_wildcard(_spread_docs(spark, sf_dir), "tio*n?e", WildcardOptions(asterisk_max_length=12, stop_characters=" \n"))
 
 
-@_query()
+def _item_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("pattern"))
+
+
+@_query(_HIT_ITEMS + "SELECT * FROM o")
 def text_gram_lookup(spark, sf_dir):
-    """FM-index role: benchmark openings of 12 characters through a gram index."""
-    docs = _docs(spark, sf_dir)
-    patterns = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 12).alias("pattern"))
-    return gram_index.lookup(docs, gram_index.build(docs), patterns)
+    """S5, FM-index role: whole benchmark items located through a gram index."""
+    return gram_index.build(_spread_docs(spark, sf_dir)).locate(_item_patterns(spark, sf_dir))
 
 
-ORACLES["text_gram_lookup"] = """WITH p AS (SELECT item_id AS qid, substr(text, 1, 12) AS pattern FROM benchmark),
-h AS (SELECT qid, doc_id, pattern, string_split(text, pattern) AS s FROM p JOIN documents ON contains(text, pattern))
-SELECT qid, doc_id, CAST(unnest(list_transform(range(1, len(s)), lambda i: list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * length(pattern))) AS INTEGER) AS position FROM h WHERE length(pattern) >= 4"""
+@_query(_HIT_ITEMS + 'SELECT item_id AS qid, count(o.qid) AS "count" FROM benchmark LEFT JOIN o ON o.qid = item_id GROUP BY item_id')
+def text_gram_count(spark, sf_dir):
+    """S14, FM-index role: an index of one part of the documents is saved, grows by
+    the rest, is loaded with its checks, and counts whole benchmark items."""
+    docs, path = _spread_docs(spark, sf_dir), tables.new_path(spark, "gram-index")
+    first = F.coalesce(F.pmod("doc_id", F.lit(2)) == 0, F.lit(True))
+    gram_index.build(docs.filter(first)).save(path)
+    gram_index.append_to(spark, path, docs.filter(~first))
+    return gram_index.load(spark, path).count(_item_patterns(spark, sf_dir))
 
 
-@_query(
-    """WITH h AS (SELECT item_id AS qid, doc_id, b.text AS pattern, d.text AS text FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text)),
-w AS (SELECT *, unnest(range(length(text) - length(pattern) + 1)) AS i FROM h)
-SELECT qid, doc_id, CAST(i AS INTEGER) AS position FROM w WHERE substr(text, i + 1, length(pattern)) = pattern"""
-)
+@_query(_HIT_ITEMS + "SELECT * FROM o")
 def text_passages(spark, sf_dir):
-    """FM-index role: every occurrence of whole benchmark items, of any length."""
-    patterns = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("pattern"))
-    return gram_index.occurrences(_docs(spark, sf_dir), patterns)
+    """Every occurrence of whole benchmark items, of any length, in one pass."""
+    return gram_index.occurrences(_spread_docs(spark, sf_dir), _item_patterns(spark, sf_dir))
 
 
 @_query("SELECT doc_id, list_sort(list_distinct(string_split(text, ''))) AS characters FROM documents")
@@ -438,7 +474,7 @@ def suffix_bwt(spark, sf_dir):
 @_query("SELECT doc_id, text FROM documents")
 def suffix_restore(spark, sf_dir):
     """Transform of all documents and its inverse."""
-    return suffix.full_text_restore(_docs(spark, sf_dir))
+    return suffix.full_text_restore(_spread_docs(spark, sf_dir))
 
 
 @_query(_SUF + "SELECT doc_id, CAST(max(n) * (max(n) + 1) // 2 - sum(lcp) AS BIGINT) AS \"count\" FROM sx GROUP BY doc_id")
@@ -450,7 +486,7 @@ def repeat_unique_count(spark, sf_dir):
 @_query()
 def repeat_documents(spark, sf_dir):
     """U6, X1 over all documents: distinct substrings of each."""
-    return repeats.count_unique_substrings(suffix.suffixes(_docs(spark, sf_dir)))
+    return repeats.unique_substrings(_spread_docs(spark, sf_dir))
 
 
 _ALL_SUBSTRINGS = ", g AS (SELECT doc_id, substr(suf, 1, k) AS text, pos FROM (SELECT doc_id, suf, pos, unnest(range(3, length(suf) + 1)) AS k FROM v)), f AS (SELECT doc_id, text, list(pos ORDER BY pos) AS positions FROM g GROUP BY doc_id, text HAVING count(*) > 1)\n"
@@ -511,10 +547,24 @@ def repeat_tandem(spark, sf_dir):
     return repeats.tandem_repeats(_items(spark, sf_dir))
 
 
+# one step a character: the phrase so far is either known, and goes on, or new
+@_query(
+    """WITH RECURSIVE z(doc_id, text, i, phrase, known, complexity) AS (
+  SELECT item_id, text, 0, '', []::VARCHAR[], 0 FROM benchmark WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, text, i + 1, CASE WHEN old THEN p ELSE '' END, CASE WHEN old THEN known ELSE list_append(known, p) END, complexity + CAST(NOT old AS INTEGER)
+  FROM (SELECT *, phrase || substr(text, i + 1, 1) AS p, list_contains(known, phrase || substr(text, i + 1, 1)) AS old FROM z WHERE i < length(text)))
+SELECT doc_id, CAST(complexity AS INTEGER) AS complexity FROM z WHERE i = length(text)"""
+)
+def item_lz78(spark, sf_dir):
+    """LZ78 complexity of each item."""
+    return repeats.lz78_complexity(_items(spark, sf_dir))
+
+
 @_query()
 def repeat_lz78(spark, sf_dir):
     """LZ78 complexity of every document."""
-    return repeats.lz78_complexity(_docs(spark, sf_dir))
+    return repeats.lz78_complexity(_spread_docs(spark, sf_dir))
 
 
 @_query(
@@ -524,7 +574,7 @@ p AS (SELECT doc_id, i, k FROM e WHERE substr(text, i + 1, 1) = substr(text, i +
 SELECT doc_id, CAST(i AS INTEGER) AS position, CAST(k AS INTEGER) AS "length" FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, i) = 1"""
 )
 def compare_palindrome(spark, sf_dir):
-    """Longest palindrome of each item."""
+    """Longest palindrome of each item."""
     return repeats.longest_palindrome(_items(spark, sf_dir))
 
 
@@ -582,26 +632,26 @@ def item_multi_gapped_all(spark, sf_dir):
 @_query()
 def document_wildcard_q(spark, sf_dir):
     """G3 over all documents."""
-    return search.locate_wildcard(_docs(spark, sf_dir), "e??n")
+    return search.locate_wildcard(_spread_docs(spark, sf_dir), "e??n")
 
 
 @_query()
 def document_single_gapped(spark, sf_dir):
     """G4 over all documents."""
-    return search.locate_single_gapped(_docs(spark, sf_dir), "en*th")
+    return search.locate_single_gapped(_spread_docs(spark, sf_dir), "en*th")
 
 
 @_query()
 def document_multi_gapped(spark, sf_dir):
     """G5 over all documents: the nearest chain of each first hit."""
-    found = search.locate_multi_gapped(_docs(spark, sf_dir), "en*er*th ")
+    found = search.locate_multi_gapped(_spread_docs(spark, sf_dir), "en*er*th ")
     return found.select("doc_id", "position", "length", F.col("gaps")[0]["gap_count"].alias("gap1"), F.col("gaps")[1]["gap_count"].alias("gap2"))
 
 
 @_query()
 def document_common_prefix(spark, sf_dir):
     """X2 over all documents: four pairs of suffixes of each."""
-    docs = _docs(spark, sf_dir)
+    docs = _spread_docs(spark, sf_dir)
     pairs = docs.filter(F.length("text") > 0).select("doc_id", F.length("text").alias("n"), F.explode(F.array(*[F.lit(j) for j in range(4)])).alias("j"))
     i = F.expr("cast(cast(n as long) * j div 4 as int)")
     q = pairs.select((F.col("doc_id") * 4 + F.col("j")).alias("qid"), "doc_id", i.alias("i"), (F.col("n") - 1 - i).alias("j"))
@@ -611,41 +661,41 @@ def document_common_prefix(spark, sf_dir):
 @_query()
 def document_longest_repeats(spark, sf_dir):
     """U1 over all documents."""
-    docs = _docs(spark, sf_dir)
+    docs = _spread_docs(spark, sf_dir)
     return repeats.longest_repeated(docs, suffix.suffixes(docs)).select("doc_id", "text", F.explode("positions").alias("position"))
 
 
 @_query()
 def document_longest_repeat(spark, sf_dir):
     """U4 over all documents."""
-    docs = _docs(spark, sf_dir)
+    docs = _spread_docs(spark, sf_dir)
     return repeats.longest_repeat(docs, suffix.suffixes(docs)).select("doc_id", "text")
 
 
 @_query()
 def document_shortest_unique(spark, sf_dir):
     """U9 over all documents."""
-    docs = _docs(spark, sf_dir)
+    docs = _spread_docs(spark, sf_dir)
     return repeats.shortest_unique(docs, suffix.suffixes(docs))
 
 
 @_query()
 def document_first_shortest_unique(spark, sf_dir):
     """U8 over all documents."""
-    docs = _docs(spark, sf_dir)
+    docs = _spread_docs(spark, sf_dir)
     return repeats.first_shortest_unique(docs, suffix.suffixes(docs))
 
 
 @_query()
 def document_tandem(spark, sf_dir):
     """U5 over all documents."""
-    return repeats.tandem_repeats(_docs(spark, sf_dir))
+    return repeats.tandem_repeats(_spread_docs(spark, sf_dir))
 
 
 @_query()
 def document_palindrome(spark, sf_dir):
     """J5 over all documents."""
-    return repeats.longest_palindrome(_docs(spark, sf_dir))
+    return repeats.longest_palindrome(_spread_docs(spark, sf_dir))
 
 
 # --- pairs of texts: each benchmark item and the next ----------------------------------------
@@ -703,6 +753,15 @@ def compare_longest_match(spark, sf_dir):
     return compare.longest_match(compare.pair_suffixes(_pairs(spark, sf_dir)))
 
 
+@_query(
+    _NEIGHBOURS.replace("SELECT a.item_id AS pair_id, a.text AS t1, b.text AS t2 FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1", "SELECT item_id AS pair_id, text AS t1, reverse(text) AS t2 FROM benchmark")
+    + 'SELECT pair_id AS doc_id, CAST(position1 AS INTEGER) AS position, CAST(len AS INTEGER) AS "length" FROM m WHERE len > 0 QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY len DESC, rk) = 1'
+)
+def compare_reverse(spark, sf_dir):
+    """The longest match of each item with its own reverse."""
+    return compare.longest_common_with_reverse(_items(spark, sf_dir))
+
+
 # --- persistence -----------------------------------------------------------------------------
 
 
@@ -712,3 +771,25 @@ def store_round_trip(spark, sf_dir):
     path = tables.new_path(spark, "index")
     store.save({"data": _lines(spark, sf_dir)}, path, "sequence")
     return store.load(spark, path, "sequence")["data"]
+
+
+def _kept(spark: SparkSession, parts: dict[str, DataFrame], kind: str, compression: str = "zstd") -> dict[str, DataFrame]:
+    path = tables.new_path(spark, "index")
+    store.save(parts, path, kind, compression)
+    return store.load(spark, path, kind, schemas={name: df.schema for name, df in parts.items()})
+
+
+@_query("SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS val FROM events WHERE event_type IS NOT NULL")
+def store_generic(spark, sf_dir):
+    """A sequence of strings and its dictionary, kept in another compression."""
+    s = sequences.from_table(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+    codes = sequences.dictionary(s)
+    kept = _kept(spark, {"codes": codes, "data": sequences.encode(s, codes)}, "generic", "snappy")
+    return sequences.decode(kept["data"], kept["codes"])
+
+
+@_query(_SUF + 'SELECT doc_id, "rank", pos, lcp FROM sx')
+def store_suffixes(spark, sf_dir):
+    """Suffix order and common prefixes of each item, kept."""
+    docs = _items(spark, sf_dir)
+    return _kept(spark, {"docs": docs, "suffixes": suffix.suffixes(docs)}, "text")["suffixes"]

@@ -78,3 +78,11 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd", path: str | None
     with brief_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out anew where it has fewer partitions than there are cores: a
+    small file may be one row group, which only one task can read.  Larger scans
+    stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

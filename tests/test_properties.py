@@ -193,12 +193,86 @@ def test_wildcards(spark):
     assert patterns.wildcard("**") is None
 
 
-def test_gram_lookup(spark):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
-    asked = ["ssi", "aba", "zzz", "aab", "z\\Q", "ab"]
+def plain_hits(asked, texts):
+    return sorted((n, -1 if i is None else i, k) for n, p in asked if p for i, t in texts for k in range(len(t or "")) if t.startswith(p, k))
+
+
+def hits_of(df):
+    return sorted((r["qid"], -1 if r["doc_id"] is None else r["doc_id"], r["position"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("gram,window", [(1, 1), (2, 3), (8, 8)])
+def test_gram_index(spark, tmp_path, gram, window):
+    """Located and counted, from a built, a grown and a loaded index, of any length;
+    rows with null and repeated ids stay apart."""
+    rng = random.Random(6)
+    texts = list(enumerate(TEXTS)) + [(None, "a null id: mississippi mississippi"), (None, "mississippi"), (1, "another row of one"), (7, None)] + [(100 + i, "".join(rng.choice("ab c") for _ in range(rng.randrange(80)))) for i in range(30)]
+    asked = ["ssi", "aba", "zzz", "aab" * 7, "z\\Q", "ab", "mississippi", "sissippi miss", "", None, "abababab", "row of one", texts[15][1][:40], texts[-1][1]]
+    docs = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
     q = spark.createDataFrame(list(enumerate(asked)), "qid int, pattern string")
-    got = sorted(tuple(r) for r in gram_index.lookup(docs, gram_index.build(docs, 3), q, 3).collect())
-    assert got == sorted((n, i, k) for n, p in enumerate(asked) if len(p) >= 3 for i, t in enumerate(TEXTS) for k in range(len(t)) if t.startswith(p, k))
+    want = plain_hits(enumerate(asked), texts)
+    index = gram_index.build(docs, gram, window)
+    assert hits_of(index.locate(q)) == want
+    counts = {r["qid"]: r["count"] for r in index.count(q).collect()}
+    assert counts == {n: sum(w[0] == n for w in want) for n in range(len(asked))}
+    first = docs.filter("doc_id % 2 = 0")
+    rest = docs.filter("doc_id % 2 = 1 or doc_id is null")
+    assert hits_of(gram_index.build(first, gram, window).append(rest).locate(q)) == want
+    path = f"{tmp_path}/grams"
+    gram_index.build(first, gram, window).save(path)
+    gram_index.append_to(spark, path, rest)
+    again = gram_index.load(spark, path)
+    assert (again.gram, again.window) == (gram, window) and hits_of(again.locate(q)) == want
+
+
+def test_gram_index_arguments(spark):
+    docs = spark.createDataFrame([], "doc_id int, text string")
+    with pytest.raises(ValueError):
+        gram_index.build(docs, 3)
+    q = spark.createDataFrame([(1, "abcdefghijklmnopq"), (2, "a")], "qid int, pattern string")
+    assert gram_index.build(docs).locate(q).count() == 0
+
+
+def test_many_hits_in_one_text(spark):
+    """Positions take time in proportion to the hits."""
+    text = "ab" * 150_000
+    docs = spark.createDataFrame([(1, text), (2, "b" + text)], "doc_id int, text string")
+    for i, (first, n) in {1: (0, 150_000), 2: (1, 150_000)}.items():
+        got = [r["position"] for r in search.locate(docs.filter(f"doc_id = {i}"), "ab").collect()]
+        assert got == list(range(first, first + 2 * n, 2))
+
+
+def test_fuzzy_search_around_hits(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(120))) for _ in range(30)] + ["", "abc", "éabcdé"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for pattern, k in (("abcdab", 1), ("abcabc", 2), ("ab", 1), ("a", 0)):
+        got = sorted(tuple(r) for r in search.locate_fuzzy(docs, pattern, k).collect())
+        want = [(i, *m) for i, t in enumerate(texts) for m in zip(*[x.tolist() for x in kernels.fuzzy(kernels.code_points(t), kernels.code_points(pattern), k)])]
+        assert got == want
+
+
+def test_tandem_kernel():
+    rng = random.Random(9)
+    for t in TEXTS + ["".join(rng.choice("ab" if k % 2 else "abc") for _ in range(rng.randrange(1, 60))) for k in range(150)]:
+        best = {}
+        for d in range(1, len(t) // 2 + 1):
+            for p in range(len(t) - d):
+                if t[p] == t[p + d] and (p == 0 or t[p - 1] != t[p + d - 1]):
+                    x = next((x for x in range(len(t) - p - d) if t[p + x] != t[p + d + x]), len(t) - p - d)
+                    if x >= d:
+                        best[p] = max(best.get(p, (0, 0, 0)), ((x // d + 1) * d, -d, x // d + 1))
+        assert kernels.tandem_repeats(kernels.code_points(t)) == [(p, -d, c) for p, (_, d, c) in sorted(best.items())], t
+
+
+def test_rank_with_many_queries(spark):
+    rng = random.Random(5)
+    values = [rng.randrange(3) for _ in range(400)]
+    s = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "seq_id string, pos long, val int")
+    asked = [(n, rng.choice(["s", "t"]), rng.randrange(500), rng.randrange(-1, 4)) for n in range(300)]
+    q = spark.createDataFrame(asked, "qid int, seq_id string, k long, value int")
+    got = {r["qid"]: r["rank"] for r in sequence.rank(s, q, block=16).collect()}
+    assert got == {n: values[:k].count(v) if name == "s" else 0 for n, name, k, v in asked}
 
 
 def test_occurrences_of_any_length(spark):
@@ -247,6 +321,7 @@ def test_long_texts_have_suffix_tables(spark):
     assert split.schema == whole.schema
     assert Counter(tuple(r) for r in split.collect()) == Counter(tuple(r) for r in whole.collect())
     got = {r[0]: r[1] for r in repeats.count_unique_substrings(split).collect()}
+    assert got == {r[0]: r[1] for r in repeats.unique_substrings(docs, max_chars=6).collect()} == {r[0]: r[1] for r in repeats.unique_substrings(docs).collect()}
     assert got == {i: len({t[a:b] for a in range(len(t)) for b in range(a + 1, len(t) + 1)}) for i, t in texts if t}
 
 

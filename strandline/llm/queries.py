@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, similarity, vectors
 from strandline.llm.workspace import crc_mod, new_path
-from strandline.plans.tables import brief_shuffles
+from strandline.plans.tables import brief_shuffles, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -258,7 +258,7 @@ def curriculum(
         return out.drop("__lot")
     # documents that are never due come last, in parts of their own
     n = _parts(docs)
-    of_position = F.least(F.floor(F.col("position") / (demand.total or 1.0) * n), F.lit(n - 1)).cast("int")
+    of_position = F.when(F.col("position").isNotNull(), F.least(F.floor(F.col("position") / (demand.total or 1.0) * n), F.lit(n - 1))).cast("int")
     part = F.coalesce(of_position, n + F.pmod("__lot", F.lit(n)).cast("int"))
     return out.repartitionById(2 * n, part).sortWithinPartitions(F.col("position").asc_nulls_last(), "__lot").drop("__lot")
 

@@ -303,7 +303,7 @@ def _components(docs: DataFrame, words: int, threshold: Fraction, space: Workspa
 
     # windows: the shingles that more than one point has, rarest first
     posted = points.select("pid", "n", F.explode("low").alias("h"))
-    common = posted.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    common = space.save(posted.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "common")  # so that AQE can split a hot shingle's postings
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * (SLACK * threshold).numerator / (SLACK * threshold).denominator).cast("int"))
     held = posted.join(common, "h").groupBy("pid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")).filter(F.size("shared") >= least)
     held = space.save(held.select("pid", "n", F.slice("shared", F.lit(1), F.size("shared") - least + 1)["h"].alias("window")), "held")
@@ -311,8 +311,9 @@ def _components(docs: DataFrame, words: int, threshold: Fraction, space: Workspa
     # each shingle elects a pivot; those that elect the same one form its region
     posted = held.select("pid", "n", F.explode("window").alias("h"))
     elected = posted.groupBy("h").agg(F.min("pid").alias("pivot"), F.max("pid").alias("other")).filter("pivot <> other").select("h", "pivot")
+    elected = space.save(elected, "elected")
     members = space.save(posted.join(elected, "h").select("pivot", "pid", "n").distinct(), "regions")
-    space.drop(held)
+    space.drop(held, common, elected)
     members = space.save(_sized(members.withColumn("region", F.col("pivot").cast("string")), "region"), "members")
     sets = _needed_sets(docs, points.select("pid", "k1", "k2", "low_id").join(members.select("pid").distinct(), "pid", "left_semi"), words, space)
 

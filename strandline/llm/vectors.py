@@ -19,7 +19,6 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
-from strandline.llm.workspace import Workspace
+from strandline.llm.workspace import Batches, Workspace, worker
 
 #: Bound of the sample that centroids are fitted on.
 SAMPLE_ROWS = 16384
@@ -50,13 +49,20 @@ def _matrix(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@worker
+def _digested(batches: Batches) -> Batches:
+    """Adds each usable vector's digest and, once a task for each, its bytes."""
+    seen: set[tuple[str, bytes]] = set()
     for b in batches:
-        vectors = _matrix(b.column(2))
-        usable = [v is not None and lab is not None for v, lab in zip(vectors, b.column(1).to_pylist())]
-        raw = [_pack(v) if ok else None for v, ok in zip(vectors, usable)]
-        digest = [hashlib.blake2b(r, digest_size=16).digest() if r is not None else None for r in raw]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "digest", "raw"])
+        labels = b.column(1).to_pylist()
+        digests, raws = [], []
+        for v, label in zip(_matrix(b.column(2)), labels):
+            raw = _pack(v) if v is not None and label is not None else None
+            digests.append(None if raw is None else hashlib.blake2b(raw, digest_size=16).digest())
+            key = (label, digests[-1])
+            raws.append(None if raw is None or key in seen else raw)
+            seen.add(key)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "digest", "raw"])
 
 
 def _pack(v: np.ndarray) -> bytes:
@@ -156,8 +162,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """``(vec_id, embedding, label)`` to vec_id, n_links, component_id, kept."""
     spark, space = vectors.sparkSession, Workspace(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
-    rows = rows.mapInArrow(_digested, "vec_id long, label string, digest binary, raw binary")
-    classes = rows.filter("digest is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
+    rows = space.save(rows.mapInArrow(_digested, "vec_id long, label string, digest binary, raw binary"), "digests")
+    classes = rows.filter("digest is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("raw", ignorenulls=True).alias("raw"))
     classes = space.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     total = classes.count()
     share = min(1.0, 1.05 * SAMPLE_ROWS / max(1, total))
@@ -167,7 +173,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     centroids = choose_centroids(sample, total, total * total / pairs if total else 1.0, cosine)
     sine = float(np.sqrt(max(0.0, 1 - cosine * cosine)))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @worker
+    def deal(batches: Batches) -> Batches:
         for b in batches:
             raw = b.column(3).to_pylist()
             dims = np.array([_dim(r) for r in raw])
@@ -187,6 +194,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     key = ["label", "dim", "cell"]
     blocks = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")
     sizes = dealt.groupBy(*key).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("own").cast("int")) / BLOCK_ROWS)).cast("int").alias("na"), blocks.alias("nb"))
+    sizes = space.save(sizes, "sizes")  # so that AQE can broadcast them or split a hot cell
     sized = dealt.join(sizes, key)
     mine = sized.filter("own").withColumn("a", F.pmod(F.xxhash64("cid"), "na").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit(0))
     other = sized.withColumn("b", F.pmod(F.xxhash64("cid", F.lit(1)), "nb").cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("side", F.lit(1))

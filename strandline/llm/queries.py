@@ -81,8 +81,9 @@ SHARDS = [f"shard-{i:02d}" for i in range(40)]
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to their shards: what is read back from each."""
     placed = sharding.assign(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
+    parts = max(4, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // len(SHARDS)))  # as many as the data ask for
     with brief_shuffles(spark):
-        written = sharding.write_shards(placed, new_path(spark, "shards"), parts=4)
+        written = sharding.write_shards(placed, new_path(spark, "shards"), parts)
     return written.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), "slot", "shard")
 
 

@@ -19,12 +19,16 @@ the pivot; few points outside the pivot's ball are compared with all chunks, man
 split the region between two pivots.  Only regions that no pivots separate are
 compared block by block, and of those only blocks of sizes that can link.
 
-Each group of linked texts leaves a spanning forest, never its pairs.
+Each group of linked texts leaves a spanning forest, never its pairs.  How many
+links a text has is counted inside the groups afterwards: small groups whole, large
+ones in bands of distance from a central point, where the triangle inequality tells
+which bands are linked throughout and which cannot link; the others' blocks are
+compared, each pair of blocks once.
 
 Defined cases: null, empty and blank texts have the empty set and link with
 nothing; fewer words than a shingle has: the whole sequence is one shingle;
-repeated rows are copies of each other; points are named by their sets, so rows
-that share a ``doc_id``, or have none, link by their own texts; a group's name is
+repeated rows are copies of each other and count as links of each other; points are
+named by their sets, so rows that share a ``doc_id``, or have none, link by their own texts; a group's name is
 its smallest ``doc_id`` that is not null, null if there is none; empty tables give
 no rows; further columns are ignored, or kept as they are.
 """
@@ -292,13 +296,14 @@ def _sized(members: DataFrame, key: str) -> DataFrame:
     return members.join(parts.select(key, "__part").join(sizes, key), [key, "__part"]).drop("__part")
 
 
-def _components(docs: DataFrame, words: int, threshold: Fraction, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """The measured rows, and ``(k1, k2, component, component_id)`` of every set: a
-    number for its component, and the smallest doc_id in it."""
+def _components(docs: DataFrame, words: int, threshold: Fraction, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The measured rows; ``(pid, k1, k2, n, copies, grouped, component, component_id)`` of every
+    set: its rows, whether it links with another set, a number for its component and
+    the smallest doc_id in it; the sets that may link."""
     measure = _Measure(threshold)
     measured = _measured(docs, words, threshold, space)
     # one point for all texts with the same set
-    points = measured.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_id"), F.first("n").alias("n"), F.first("low", ignorenulls=True).alias("low"))
+    points = measured.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low", ignorenulls=True).alias("low"))
     points = space.save(points.withColumn("pid", F.monotonically_increasing_id()), "points")
 
     # windows: the shingles that more than one point has, rarest first
@@ -329,16 +334,22 @@ def _components(docs: DataFrame, words: int, threshold: Fraction, space: Workspa
     linked = groups.withColumnRenamed("id", "pid").join(points.select("pid", "low_id"), "pid")
     low = linked.groupBy("component").agg(F.min("low_id").alias("component_id"))
     linked = linked.select("pid", "component").join(low, "component")
-    own = points.select("pid", "k1", "k2", "low_id").join(linked, "pid", "left")
-    return measured, own.select("k1", "k2", F.coalesce("component", "pid").alias("component"), F.when(F.col("component").isNull(), F.col("low_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = points.select("pid", "k1", "k2", "n", "copies", "low_id").join(linked, "pid", "left")
+    named = own.select("pid", "k1", "k2", "n", "copies", F.col("component").isNotNull().alias("grouped"), F.coalesce("component", "pid").alias("component"), F.when(F.col("component").isNull(), F.col("low_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return measured, named, sets
 
 
 def similar_groups(docs: DataFrame, words: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
-    """``(doc_id, text)`` to doc_id, n_shingles and component_id (the smallest
-    doc_id that links lead to, its own included)."""
-    measured, named = _components(docs, words, threshold, Workspace(docs.sparkSession, "similar"))
-    some = measured.filter("n > 0").select("doc_id", "n", "k1", "k2").join(named.drop("component"), ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = measured.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    """``(doc_id, text)`` to doc_id, n_shingles, component_id (the smallest doc_id
+    that links lead to, its own included) and n_links (other rows linked directly)."""
+    space = Workspace(docs.sparkSession, "similar")
+    measured, named, sets = _components(docs, words, threshold, space)
+    named = space.save(named, "named")
+    counts = _link_counts(named, sets, _Measure(threshold), space)
+    space.drop(sets)
+    named = named.join(counts, "pid", "left").select("k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    some = measured.filter("n > 0").select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    none = measured.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return some.union(none)
 
 
@@ -348,8 +359,8 @@ def one_of_each(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(
     links with nothing; of rows that are equal in doc_id and text one stays.
     Columns stay as they are."""
     space = Workspace(docs.sparkSession, "similar")
-    measured, named = _components(docs, words, threshold, space)
-    some = measured.filter("n > 0").select(*_KEYS, "k1", "k2").join(named.drop("component_id"), ["k1", "k2"])
+    measured, named, _ = _components(docs, words, threshold, space)
+    some = measured.filter("n > 0").select(*_KEYS, "k1", "k2").join(named.select("k1", "k2", "component"), ["k1", "k2"])
     first = some.groupBy("component").agg(F.min(F.struct(*_KEYS)).alias("k")).select("k.*")
     kept = space.save(first.union(measured.filter("n = 0").select(*_KEYS).distinct()), "kept")
     # equal rows become one before texts are moved, and they are moved once
@@ -502,3 +513,89 @@ def _block_pairs(rows: DataFrame, sets: DataFrame, measure: _Measure, space: Wor
     outside = dealt(F.col("out"), "outs", "alls", True).withColumnsRenamed({"x": "i", "y": "j"})
     every = dealt(F.lit(True), "alls", "outs", False).withColumnsRenamed({"x": "j", "y": "i"})
     return space.save(outside.unionByName(every).join(sets, "pid").groupBy("region", "b1", "b2", "i", "j").applyInArrow(lambda t: _met(t, measure), LINKS), "pairs")
+
+
+# --- how many links ------------------------------------------------------------
+
+COUNTS = "pid long, links long"
+#: Bands of distance from the centre for each threshold's worth.
+BANDS = 4
+
+
+def _tally(p: _Points, rows: np.ndarray, cols: np.ndarray, copies: np.ndarray, measure: _Measure) -> tuple[np.ndarray, np.ndarray]:
+    """How many copies each row point's, and each column point's, links lead to; found
+    in strips."""
+    left, right = np.zeros(len(rows), np.int64), np.zeros(len(cols), np.int64)
+    for lo in range(0, len(rows), 512):
+        r = rows[lo : lo + 512]
+        for lc in range(0, len(cols), 512):
+            c = cols[lc : lc + 512]
+            met = measure.linked(p.products(r, c), p.n[r][:, None], p.n[c][None, :]) & (r[:, None] != c[None, :])
+            left[lo : lo + 512] += met @ copies[c]
+            right[lc : lc + 512] += copies[r] @ met
+    return left, right
+
+
+def _link_counts(named: DataFrame, sets: DataFrame, measure: _Measure, space: Workspace) -> DataFrame:
+    """``(pid, links)`` of every grouped point: the rows of other sets that it links to.
+    Links never leave a component."""
+    members = named.filter("grouped").select(F.col("component").cast("string").alias("region"), F.col("component").alias("pivot"), "pid", "n", "copies")
+    members = space.save(_sized(members, "region"), "grouped")
+
+    def count(t: pa.Table) -> pa.Table:
+        pid, p = _points(t)
+        every = np.arange(len(pid))
+        return pa.table({"pid": pid, "links": _tally(p, every, every, t["copies"].to_numpy(), measure)[0]})
+
+    small = members.filter("chunks = 1").select("region", "pid", "copies").join(sets, "pid").groupBy("region").applyInArrow(count, COUNTS)
+    counts = space.save(small, "counts")
+    large = members.filter("chunks > 1")
+    if large.take(1):
+        counts = counts.union(_large_counts(large, sets, measure, space)).groupBy("pid").agg(F.sum("links").alias("links"))
+    return counts
+
+
+def _large_counts(large: DataFrame, sets: DataFrame, measure: _Measure, space: Workspace) -> DataFrame:
+    """``(pid, links)`` in parts, for components of several chunks.
+
+    A first star finds a centre, the point nearest to the pivot (of near copies of one
+    text that is the text itself, if it is there); the centre's star deals the points out
+    to bands of distance.  Two bands whose far edges add up to no more than the
+    threshold are linked throughout; two whose near edges are further apart than it
+    are not linked at all."""
+    step = (1 - measure.num / measure.den) / BANDS
+    if step <= 0:  # only equal sets link, and they are one point
+        return large.select("pid", F.lit(0).cast("long").alias("links"))
+    apart = 1 - F.col("common") / (F.col("n") + F.col("size") - F.col("common"))
+    first = _star(large, sets, space).filter("pid <> pivot")
+    centres = space.save(first.groupBy("region").agg(F.min_by("pid", F.struct(apart, "pid")).alias("pivot")), "centres")
+    star = _star(large.drop("pivot").join(centres, "region"), sets, space)
+    banded = star.select("region", "pid", "n", F.floor(apart / step).cast("int").alias("band")).join(large.select("pid", "copies"), "pid")
+    banded = space.save(banded, "banded")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / (4 * REGION_POINTS), F.sum("n") / REGION_SHINGLES)).cast("int")
+    bands = space.save(banded.groupBy("region", "band").agg(F.sum("copies").alias("weight"), blocks.alias("blocks")), "bands")
+    sure = lambda a, b: F.col(a) + F.col(b) + 2 <= BANDS
+    others = bands.select("region", F.col("band").alias("other"), F.col("weight").alias("other_weight"), F.col("blocks").alias("other_blocks"))
+    pairs = space.save(bands.join(others, "region").filter(F.abs(F.col("band") - F.col("other")) <= BANDS + 1), "bands")
+
+    whole = pairs.filter(sure("band", "other")).groupBy("region", "band").agg(F.sum("other_weight").alias("weight"))
+    own = F.when(sure("band", "band"), F.col("copies")).otherwise(0)
+    certain = banded.join(whole, ["region", "band"]).select("pid", (F.col("weight") - own).alias("links"))
+
+    rows = banded.join(pairs.filter(~sure("band", "other")).select("region", "band", "blocks", "other", "other_blocks"), ["region", "band"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("pid"), "blocks").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    mine, its = F.struct(F.col("band").alias("band"), F.col("own").alias("block")), F.struct(F.col("other").alias("band"), F.col("met").alias("block"))
+    rows = rows.select("region", F.least(mine, its).alias("one"), F.greatest(mine, its).alias("two"), (mine <= its).alias("left"), (mine == its).alias("alone"), "pid", "copies")
+
+    def compare(t: pa.Table) -> pa.Table:
+        pid, p = _points(t)
+        copies, left, alone = t["copies"].to_numpy(), t["left"].to_numpy(), t["alone"][0].as_py()
+        a, b = np.flatnonzero(left), np.flatnonzero(left if alone else ~left)
+        to_a, to_b = _tally(p, a, b, copies, measure)
+        if alone:
+            return pa.table({"pid": pid[a], "links": to_a})
+        return pa.table({"pid": np.concatenate([pid[a], pid[b]]), "links": np.concatenate([to_a, to_b])})
+
+    keys = [F.col("one.band").alias("b1"), F.col("one.block").alias("x"), F.col("two.band").alias("b2"), F.col("two.block").alias("y")]
+    rows = rows.select("region", *keys, "left", "alone", "pid", "copies").join(sets, "pid")
+    return certain.union(space.save(rows.groupBy("region", "b1", "x", "b2", "y").applyInArrow(compare, COUNTS), "counted"))

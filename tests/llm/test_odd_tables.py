@@ -14,7 +14,7 @@ CLASHES = "Lang_Pred score AMBIGUOUS p Slot shard Size position time epochs take
 
 CONTRACT = {
     "op1_pack": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
-    "op2_jaccard_groups": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op2_jaccard_groups": "doc_id bigint, n_shingles bigint, component_id bigint, n_links bigint",
     "op4_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
     "op6_vector_duplicates": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op7_line_quality": "doc_id bigint, held_out boolean, score double, predicted int",

@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
@@ -10,13 +10,15 @@ from strandline.llm import similarity
 
 
 def plain(rows, words, threshold):
-    """Every pair that shares a shingle, counted one by one."""
-    sets, parent = {}, {}
+    """Every pair that shares a shingle, counted one by one: set size, component and links."""
+    rows = list(rows)
+    sets, copies = {}, Counter(doc for doc, _ in rows)  # a repeated row links with its copies
     for doc, text in rows:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", low)
         sets[doc] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
     parent = {d: d for d in sets}
+    links = {d: copies[d] - 1 if sets[d] else 0 for d in sets}
 
     def find(x):
         while parent[x] != x:
@@ -32,13 +34,15 @@ def plain(rows, words, threshold):
             holders[s].append(d)
         for e, k in common.items():
             if threshold.denominator * k >= threshold.numerator * (len(sets[d]) + len(sets[e]) - k):
+                links[d] += copies[e]
+                links[e] += copies[d]
                 a, b = sorted((find(d), find(e)))
                 parent[b] = a
-    return {d: (len(sets[d]), find(d)) for d in sets}
+    return {d: (len(sets[d]), find(d), links[d]) for d in sets}
 
 
 def check(spark, docs, words, threshold):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similarity.similar_groups(docs, words, threshold).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in similarity.similar_groups(docs, words, threshold).collect()}
     assert got == plain([(r["doc_id"], r["text"]) for r in docs.collect()], words, threshold)
     return got
 
@@ -46,7 +50,7 @@ def check(spark, docs, words, threshold):
 @pytest.mark.parametrize("words,threshold", [(4, Fraction(85, 100)), (5, Fraction(8, 10)), (2, Fraction(1, 2))])
 def test_against_all_pairs(spark, words, threshold):
     got = check(spark, documents(spark).repartition(4), words, threshold)
-    assert len({c for _, c in got.values()}) < len(got)
+    assert len({c for _, c, _ in got.values()}) < len(got)
 
 
 def crowd(rng, n, size, changes, common=None):
@@ -69,7 +73,7 @@ def test_large_regions_in_chunks(spark, monkeypatch):
     texts = crowd(rng, 70, 60, 4) + crowd(rng, 50, 40, 3, ["a", "very", "common", "line", "of", "words"] * 2)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = check(spark, docs, 3, Fraction(8, 10))
-    assert max(sum(c == k for _, c in got.values()) for k in {c for _, c in got.values()}) > 20
+    assert max(sum(c == k for _, c, _ in got.values()) for k in {c for _, c, _ in got.values()}) > 20
 
 
 def test_recursion_in_a_region(spark):
@@ -84,7 +88,7 @@ def test_one_of_each(spark):
     kept = similarity.one_of_each(docs, 5, Fraction(8, 10))
     groups = plain([(r["doc_id"], r["text"]) for r in docs.collect()], 5, Fraction(8, 10))
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (_, c) in groups.items() if c == d)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (_, c, _) in groups.items() if c == d)
 
 
 def test_odd_tables(spark):
@@ -92,6 +96,8 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (2, "A  b\nc d e"), (1, "a b c d e"), (3, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"] or -1), r["component_id"]) for r in similarity.similar_groups(docs).collect())
     assert got == [(-1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
+    links = sorted(((r["doc_id"] or -1), r["n_links"]) for r in similarity.similar_groups(docs).collect())
+    assert links == [(-1, 3), (1, 3), (1, 3), (2, 3), (3, 0)]
 
 
 def test_slices_give_the_texts_sets():
@@ -103,7 +109,7 @@ def test_slices_give_the_texts_sets():
     want = [s.tolist() for s in similarity.shingle_sets(whole, 3)]
     for at in (1, 57, 150):
         assert [s.tolist() for s in similarity.shingle_sets(whole.slice(at), 3)] == want[at:]
-    assert [len(s) for s in want] == [n for n, _ in plain(enumerate(texts), 3, Fraction(1)).values()]
+    assert [len(s) for s in want] == [n for n, _, _ in plain(enumerate(texts), 3, Fraction(1)).values()]
 
 
 def test_steps_cover_a_batch_once(monkeypatch):
@@ -137,7 +143,7 @@ def test_large_regions_in_rounds(spark, monkeypatch, rounds):
             texts.append(" ".join(w + [f"t{i}" for i in range(rng.randrange(12))]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = check(spark, docs, 2, Fraction(8, 10))
-    assert len({c for _, c in got.values()}) > 4
+    assert len({c for _, c, _ in got.values()}) > 4
 
 
 def test_rows_that_share_an_id_or_have_none(spark):
@@ -151,3 +157,15 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert got == [(-1, -1), (-1, -1), (-1, 1), (-1, 1), (1, 1), (1, 1), (5, 1), (9, 1), (9, 1)]
     kept = similarity.one_of_each(docs, 2, Fraction(8, 10)).collect()
     assert sorted(((r["doc_id"] or -1), (r["text"] or "").split(" ")[0], r["pid"]) for r in kept) == [(-1, "", "s"), (-1, "alone", "s"), (1, "v0", "s"), (1, "w0", "s")]
+
+
+def test_links_of_large_groups_with_copies(spark, monkeypatch):
+    """Bands that are linked throughout, that cannot link, and blocks that are compared;
+    copies count as often as they occur."""
+    monkeypatch.setattr(similarity, "REGION_POINTS", 8)
+    rng = random.Random(11)
+    texts = crowd(rng, 90, 120, 6) + crowd(rng, 60, 100, 1)
+    texts += [rng.choice(texts) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = check(spark, docs, 2, Fraction(8, 10))
+    assert len({links for _, _, links in got.values()}) > 10

@@ -287,12 +287,12 @@ def _measured(docs: DataFrame, words: int, threshold: Fraction, space: Workspace
     return space.save(rows.mapInArrow(run, "doc_id long, __none boolean, __id long, __t1 long, __t2 long, n long, k1 long, k2 long, low array<long>"), "measured")
 
 
-def _sized(members: DataFrame, key: str) -> DataFrame:
-    """Adds ``chunks``, the tasks' worth of a region; sizes are joined by parts, so that
+def _sized(members: DataFrame, key: str, points: int | None = None) -> DataFrame:
+    """Adds ``chunks``, the tasks' worth of a region (REGION_POINTS, or so many, in a task); sizes are joined by parts, so that
     no region's members meet in one task."""
     members = members.withColumn("__part", F.pmod(F.xxhash64("pid"), F.lit(PARTS)))
     parts = members.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    sizes = parts.groupBy(key).agg(F.ceil(F.greatest(F.sum("m") / REGION_POINTS, F.sum("s") / REGION_SHINGLES)).cast("int").alias("chunks"))
+    sizes = parts.groupBy(key).agg(F.ceil(F.greatest(F.sum("m") / (points or REGION_POINTS), F.sum("s") / REGION_SHINGLES)).cast("int").alias("chunks"))
     return members.join(parts.select(key, "__part").join(sizes, key), [key, "__part"]).drop("__part")
 
 
@@ -518,8 +518,12 @@ def _block_pairs(rows: DataFrame, sets: DataFrame, measure: _Measure, space: Wor
 # --- how many links ------------------------------------------------------------
 
 COUNTS = "pid long, links long"
-#: Bands of distance from the centre for each threshold's worth.
-BANDS = 4
+#: Most points of a group, or block of one, that a task counts: more than in a region,
+#: since a block's sets are sent to every block that they may link with.
+COUNT_POINTS = 2048
+#: Bands of distance from the centre for each threshold's worth: more of them prune
+#: little more, and every band is sent to each that it may link with.
+BANDS = 2
 
 
 def _tally(p: _Points, rows: np.ndarray, cols: np.ndarray, copies: np.ndarray, measure: _Measure) -> tuple[np.ndarray, np.ndarray]:
@@ -540,7 +544,7 @@ def _link_counts(named: DataFrame, sets: DataFrame, measure: _Measure, space: Wo
     """``(pid, links)`` of every grouped point: the rows of other sets that it links to.
     Links never leave a component."""
     members = named.filter("grouped").select(F.col("component").cast("string").alias("region"), F.col("component").alias("pivot"), "pid", "n", "copies")
-    members = space.save(_sized(members, "region"), "grouped")
+    members = space.save(_sized(members, "region", COUNT_POINTS), "grouped")
 
     def count(t: pa.Table) -> pa.Table:
         pid, p = _points(t)
@@ -572,7 +576,7 @@ def _large_counts(large: DataFrame, sets: DataFrame, measure: _Measure, space: W
     star = _star(large.drop("pivot").join(centres, "region"), sets, space)
     banded = star.select("region", "pid", "n", F.floor(apart / step).cast("int").alias("band")).join(large.select("pid", "copies"), "pid")
     banded = space.save(banded, "banded")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / (4 * REGION_POINTS), F.sum("n") / REGION_SHINGLES)).cast("int")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / COUNT_POINTS, F.sum("n") / REGION_SHINGLES)).cast("int")
     bands = space.save(banded.groupBy("region", "band").agg(F.sum("copies").alias("weight"), blocks.alias("blocks")), "bands")
     sure = lambda a, b: F.col(a) + F.col(b) + 2 <= BANDS
     others = bands.select("region", F.col("band").alias("other"), F.col("weight").alias("other_weight"), F.col("blocks").alias("other_blocks"))

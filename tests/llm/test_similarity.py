@@ -69,6 +69,7 @@ def crowd(rng, n, size, changes, common=None):
 def test_large_regions_in_chunks(spark, monkeypatch):
     """A crowd beyond a task's bound: chunks, balls and blocks give the same groups."""
     monkeypatch.setattr(similarity, "REGION_POINTS", 12)
+    monkeypatch.setattr(similarity, "COUNT_POINTS", 16)
     rng = random.Random(3)
     texts = crowd(rng, 70, 60, 4) + crowd(rng, 50, 40, 3, ["a", "very", "common", "line", "of", "words"] * 2)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
@@ -163,6 +164,7 @@ def test_links_of_large_groups_with_copies(spark, monkeypatch):
     """Bands that are linked throughout, that cannot link, and blocks that are compared;
     copies count as often as they occur."""
     monkeypatch.setattr(similarity, "REGION_POINTS", 8)
+    monkeypatch.setattr(similarity, "COUNT_POINTS", 8)
     rng = random.Random(11)
     texts = crowd(rng, 90, 120, 6) + crowd(rng, 60, 100, 1)
     texts += [rng.choice(texts) for _ in range(40)]

@@ -48,6 +48,37 @@ def op2_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_groups(table(spark, sf_dir, "documents"), words=4, threshold=Fraction(85, 100))
 
 
+#: All pairs that share a shingle, of all documents: for small tables.
+ORACLES["op2_jaccard_groups"] = r"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []
+                         WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s
+  FROM docs
+), points AS MATERIALIZED (
+  SELECT min(r) AS p, min(doc_id) AS low, count(*) AS copies, len(s) AS n, s FROM sets WHERE len(s) > 0 GROUP BY s
+), posted AS MATERIALIZED (SELECT p, n, unnest(s) AS h FROM points
+), links AS MATERIALIZED (
+  SELECT a.p, b.p AS q FROM posted a JOIN posted b ON a.h = b.h AND a.p <> b.p AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.p, b.p, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(p, q) AS (
+  SELECT p, p FROM points
+  UNION
+  SELECT reach.p, links.q FROM reach JOIN links ON links.p = reach.q
+), components AS (SELECT reach.p, min(low) AS component_id FROM reach JOIN points ON points.p = reach.q GROUP BY reach.p
+), partners AS (SELECT links.p, sum(copies) AS others FROM links JOIN points ON points.p = links.q GROUP BY links.p
+)
+SELECT doc_id, len(sets.s) AS n_shingles,
+       CASE WHEN points.p IS NULL THEN doc_id ELSE component_id END AS component_id,
+       (coalesce(copies - 1, 0) + coalesce(others, 0))::BIGINT AS n_links
+FROM sets LEFT JOIN points ON points.s = sets.s LEFT JOIN components ON components.p = points.p LEFT JOIN partners ON partners.p = points.p
+"""
+
+
 @query
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packed sequence's slot, as read back from the written shards."""
@@ -122,6 +153,29 @@ def op6_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs of a label: for small tables.
+ORACLES["op6_vector_duplicates"] = r"""
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: coalesce(x::DOUBLE, 'nan'::DOUBLE)) AS v FROM embeddings
+), sound AS MATERIALIZED (
+  SELECT r, vec_id, label, v, len(v) AS dim, sqrt(list_dot_product(v, v)) AS norm FROM vectors
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.r AS p, b.r AS q FROM sound a JOIN sound b ON a.label = b.label AND a.dim = b.dim AND a.r <> b.r
+  WHERE list_dot_product(a.v, b.v) >= 0.98 * a.norm * b.norm
+), reach(p, q) AS (
+  SELECT r, r FROM vectors
+  UNION
+  SELECT reach.p, links.q FROM reach JOIN links ON links.p = reach.q
+), components AS (SELECT reach.p, min(vec_id) AS component_id FROM reach JOIN vectors ON vectors.r = reach.q GROUP BY reach.p
+), degrees AS (SELECT p, count(*) AS n_links FROM links GROUP BY p
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM vectors JOIN components ON components.p = r LEFT JOIN degrees ON degrees.p = r
+"""
+
+
 #: Least score of a document that is predicted to be good.
 GOOD = 0.7
 

@@ -6,11 +6,9 @@ import pytest
 from corpora import documents, empty
 from pyspark.sql import functions as F
 
-from strandline.llm import media, queries, sharding
+from strandline.llm import media, sharding
 from strandline.llm.workspace import Workspace
 
-SF = "/root/testdata/sf0.001"
-
 
 def test_lookup_table_by_turns():
     shards = [f"s{i}" for i in range(7)]
@@ -58,12 +56,6 @@ def test_assign(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").groupBy("shard").count().count() == 3
 
 
-def test_shard_query_matches_sql(spark):
-    from oracle import connection, difference
-
-    assert difference(spark, connection(SF), queries.QUERIES["op10_shard"], queries.ORACLES["op10_shard"], SF) == ""
-
-
 HTML = """<html><head><title>no</title><script>if (a < b) "<p>";</script></head><body><h1>Head &amp; foot</h1>
 <p>One <b>two</b><br>three<p>unclosed <img src="a.png" alt="alt a"> after
 <figure><img src="media:sha256/AB"><figcaption>The <i>caption</i></figcaption></figure>

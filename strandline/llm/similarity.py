@@ -14,7 +14,9 @@ points meet in one region at least.  Inside a region points within the
 threshold of the pivot hang on it; the rest is split between two further pivots
 by nearness, with replicas ``2 * (1 - threshold)`` beyond the border, and joined
 recursively; small or inseparable remainders are compared in blocks.  A region
-too large for a task goes the same way in rounds: its chunks are compared with
+too large for a task holds texts that share a common passage or are near copies:
+its texts elect again, by the rarest shingles of their whole sets, which leaves a
+passage out.  What is too large then goes in rounds: its chunks are compared with
 the pivot; few points outside the pivot's ball are compared with all chunks, many
 split the region between two pivots.  Only regions that no pivots separate are
 compared block by block, and of those only blocks of sizes that can link.
@@ -55,8 +57,12 @@ SLACK = Fraction(1, 10)
 REGION_POINTS = 256
 REGION_SHINGLES = 2_000_000
 PARTS = 64
-#: Bits of the map that tells which texts' sets are needed (fixed size).
+#: Bits of a map that tells which texts' sets are needed, or which shingles are common
+#: (fixed size).
 MAP_BITS = 1 << 24
+#: One point in so many tells which shingles are common in large regions.  That only
+#: orders the shingles: no link depends on it.
+COMMON_SAMPLE = 16
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -313,21 +319,22 @@ def _components(docs: DataFrame, words: int, threshold: Fraction, space: Workspa
     held = posted.join(common, "h").groupBy("pid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")).filter(F.size("shared") >= least)
     held = space.save(held.select("pid", "n", F.slice("shared", F.lit(1), F.size("shared") - least + 1)["h"].alias("window")), "held")
 
-    # each shingle elects a pivot; those that elect the same one form its region
-    posted = held.select("pid", "n", F.explode("window").alias("h"))
-    elected = posted.groupBy("h").agg(F.min("pid").alias("pivot"), F.max("pid").alias("other")).filter("pivot <> other").select("h", "pivot")
-    elected = space.save(elected, "elected")
-    members = space.save(posted.join(elected, "h").select("pivot", "pid", "n").distinct(), "regions")
-    space.drop(held, common, elected)
-    members = space.save(_sized(members.withColumn("region", F.col("pivot").cast("string")), "region"), "members")
+    members = _regions(held, "", space)
+    space.drop(held, common)
     sets = _needed_sets(docs, points.select("pid", "k1", "k2", "low_id").join(members.select("pid").distinct(), "pid", "left_semi"), words, space)
 
-    found = [_small_regions(members.filter("chunks = 1"), sets, measure, space)]
-    large = members.filter("chunks > 1")
+    found, large = [], members.filter("chunks > 1")
     if large.take(1):
-        found += _large_regions(large, sets, measure, space)
-    links = found[0]
-    for more in found[1:]:
+        some = space.save(_sets_of(large, sets), "some")
+        held = _whole_windows(some, measure, space)
+        again = _regions(held, "w", space)
+        members = members.filter("chunks = 1").unionByName(again.filter("chunks = 1"))
+        large = again.filter("chunks > 1")
+        if large.take(1):
+            found = _large_regions(large, some, measure, space)
+        space.drop(held, some)
+    links = _small_regions(members.filter("chunks = 1"), sets, measure, space)
+    for more in found:
         links = links.union(more)
     groups = connected_components(links, space)
 
@@ -339,6 +346,17 @@ def _components(docs: DataFrame, words: int, threshold: Fraction, space: Workspa
     return measured, named, sets
 
 
+def _regions(held: DataFrame, mark: str, space: Workspace) -> DataFrame:
+    """``(region, pivot, pid, n, chunks)`` from ``(pid, n, window)``: each shingle elects a
+    pivot; those that elect the same one form its region, named by the pivot and a mark."""
+    posted = held.select("pid", "n", F.explode("window").alias("h"))
+    elected = posted.groupBy("h").agg(F.min("pid").alias("pivot"), F.max("pid").alias("other")).filter("pivot <> other").select("h", "pivot")
+    elected = space.save(elected, "elected")
+    members = space.save(posted.join(elected, "h").select("pivot", "pid", "n").distinct(), "regions")
+    space.drop(elected)
+    return space.save(_sized(members.withColumn("region", F.concat(F.col("pivot").cast("string"), F.lit(mark))), "region"), "members")
+
+
 def similar_groups(docs: DataFrame, words: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
     """``(doc_id, text)`` to doc_id, n_shingles, component_id (the smallest doc_id
     that links lead to, its own included) and n_links (other rows linked directly)."""
@@ -368,25 +386,83 @@ def one_of_each(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(
     return rows.join(kept.hint("merge"), _KEYS, "left_semi").select("__row.*")
 
 
+def _bit(c: Column | str) -> Column:
+    """A value's place in a bit map."""
+    return F.pmod(F.xxhash64(c), F.lit(MAP_BITS)).alias("bit")
+
+
+def _bit_map(places: DataFrame) -> bytes:
+    """The map with the bits set that ``places`` (one column, bit) names."""
+    one = F.col("bit") + 1  # Spark's buckets and bits count from one
+    marked = places.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
+    whole = np.zeros(MAP_BITS // 8, np.uint8)
+    for bucket, bits in marked.collect():  # MAP_BITS / 8 bytes at most
+        at = (bucket - 1) * 4096
+        whole[at : at + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
+    return whole.tobytes()
+
+
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sets_of(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of some points, and of a few whose bit in a map is the same: no set is
+    shuffled for that."""
+    wanted = sets.sparkSession.sparkContext.broadcast(_bit_map(members.select(_bit("pid"))))
+
+    @worker
+    def run(batches: Batches) -> Batches:
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(_is_set(bits, b.column(0).to_numpy()))).select([1, 2])
+
+    return sets.select(_bit("pid"), "pid", "shingles").mapInArrow(run, "pid long, shingles binary")
+
+
+def _whole_windows(sets: DataFrame, measure: _Measure, space: Workspace) -> DataFrame:
+    """``(pid, n, window)``: as many shingles of the whole set as a partner cannot lack all
+    of, the common ones last.  All sets' shingles are in one order, so the windows of
+    two that link have a shingle in common."""
+
+    @worker
+    def shingles(batches: Batches) -> Batches:
+        for b in batches:
+            for s in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_buffer(), np.int64))], names=["h"])
+
+    sample = sets.filter(F.pmod(F.xxhash64("pid"), F.lit(COMMON_SAMPLE)) == 0).select("shingles").mapInArrow(shingles, "h long")
+    common = sample.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= max(2, REGION_POINTS // (2 * COMMON_SAMPLE)))
+    often = sets.sparkSession.sparkContext.broadcast(_bit_map(common.select(F.pmod("h", F.lit(MAP_BITS)).alias("bit"))))
+    num, den = measure.num, measure.den
+
+    @worker
+    def windows(batches: Batches) -> Batches:
+        bits = np.frombuffer(often.value, np.uint8)
+        for b in batches:
+            n, window = [], []
+            for s in b.column(1):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                last = _is_set(bits, (s & np.uint64(MAP_BITS - 1)).astype(np.int64))
+                n.append(len(s))
+                window.append(np.concatenate([s[~last], s[last]])[: len(s) - -(-len(s) * num // den) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(window, pa.list_(pa.int64()))], names=["pid", "n", "window"])
+
+    return space.save(sets.mapInArrow(windows, "pid long, n long, window array<long>"), "windows")
+
+
 def _needed_sets(docs: DataFrame, needed: DataFrame, words: int, space: Workspace) -> DataFrame:
     """``(pid, shingles)`` of the points that some region holds; ``needed`` has their
     pid, k1, k2 and smallest doc_id.  A bit map of fixed size over these ids lets
     most other texts go before anything is shuffled; the join that follows is exact."""
     needed = space.save(needed, "needed")
-    bit = lambda c: (F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1).alias("bit")
-    marked = needed.select(bit("low_id")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    whole = np.zeros(MAP_BITS // 8, np.uint8)
-    for bucket, bits in marked.collect():  # MAP_BITS / 8 bytes at most
-        at = (bucket - 1) * 4096  # buckets and bits count from one
-        whole[at : at + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(needed.select(_bit("low_id"))))
 
     @worker
     def run(batches: Batches) -> Batches:
         bits, seen = np.frombuffer(sent.value, np.uint8), set()
         for b in text_steps(batches, 1):
-            at = b.column(0).to_numpy()
-            b = b.filter(pa.array((bits[(at - 1) >> 3] >> ((at - 1) & 7).astype(np.uint8)) & 1 == 1))
+            b = b.filter(pa.array(_is_set(bits, b.column(0).to_numpy())))
             found = []
             for s in shingle_sets(b.column(1), words) if b.num_rows else ():
                 if len(s) and (name := digest(s)) not in seen:  # a copy's set is sent once a task
@@ -395,7 +471,7 @@ def _needed_sets(docs: DataFrame, needed: DataFrame, words: int, space: Workspac
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "shingles"])
 
-    rows = docs.select(bit(F.col("doc_id").cast("long")), F.col("text").cast("string")).mapInArrow(run, "k1 long, k2 long, shingles binary")
+    rows = docs.select(_bit(F.col("doc_id").cast("long")), F.col("text").cast("string")).mapInArrow(run, "k1 long, k2 long, shingles binary")
     # neither side is small, whatever an estimate says
     return space.save(rows.join(needed.select("pid", "k1", "k2").hint("merge"), ["k1", "k2"]).select("pid", "shingles").dropDuplicates(["pid"]), "sets")
 
@@ -440,12 +516,26 @@ def _star(members: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
     return space.save(rows.unionByName(leads).join(sets, "pid").groupBy("region", "chunk").applyInArrow(compare, REGION), "star")
 
 
+def _apart() -> Column:
+    """Distance of a star's point from its pivot."""
+    return 1 - F.col("common") / (F.col("n") + F.col("size") - F.col("common"))
+
+
+def _centred(large: DataFrame, star: DataFrame, space: Workspace) -> DataFrame:
+    """The members with another pivot, the point nearest to the one before: of near copies
+    of one text that is the text itself, if it is there."""
+    nearest = star.filter("pid <> pivot").groupBy("region").agg(F.min_by("pid", F.struct(_apart(), "pid")).alias("pivot"))
+    return large.drop("pivot").join(space.save(nearest, "centres"), "region")
+
+
 def _large_regions(large: DataFrame, sets: DataFrame, measure: _Measure, space: Workspace) -> list[DataFrame]:
     """Links inside regions of several chunks, ``(region, pivot, pid, n, chunks)``."""
     linked = F.col("common") * measure.den >= (F.col("n") + F.col("size") - F.col("common")) * measure.num
-    apart = 1 - F.col("common") / (F.col("n") + F.col("size") - F.col("common"))
+    apart = _apart()
     reach = 2 * (1 - measure.num / measure.den) + 1e-9
-    found = []
+    first = _star(large, sets, space)
+    found = [first.filter(linked & (F.col("pid") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("pid").alias("b"))]
+    large = _centred(large, first, space)
     for k in range(ROUNDS):
         star = _star(large, sets, space).withColumn("near", linked).withColumn("far_by", apart)
         found.append(star.filter("near and pid <> pivot").select(F.col("pivot").alias("a"), F.col("pid").alias("b")))
@@ -562,19 +652,14 @@ def _link_counts(named: DataFrame, sets: DataFrame, measure: _Measure, space: Wo
 def _large_counts(large: DataFrame, sets: DataFrame, measure: _Measure, space: Workspace) -> DataFrame:
     """``(pid, links)`` in parts, for components of several chunks.
 
-    A first star finds a centre, the point nearest to the pivot (of near copies of one
-    text that is the text itself, if it is there); the centre's star deals the points out
-    to bands of distance.  Two bands whose far edges add up to no more than the
-    threshold are linked throughout; two whose near edges are further apart than it
-    are not linked at all."""
+    A first star finds a centre, whose own star deals the points out to bands of distance.
+    Two bands whose far edges add up to no more than the threshold are linked throughout;
+    two whose near edges are further apart than it are not linked at all."""
     step = (1 - measure.num / measure.den) / BANDS
     if step <= 0:  # only equal sets link, and they are one point
         return large.select("pid", F.lit(0).cast("long").alias("links"))
-    apart = 1 - F.col("common") / (F.col("n") + F.col("size") - F.col("common"))
-    first = _star(large, sets, space).filter("pid <> pivot")
-    centres = space.save(first.groupBy("region").agg(F.min_by("pid", F.struct(apart, "pid")).alias("pivot")), "centres")
-    star = _star(large.drop("pivot").join(centres, "region"), sets, space)
-    banded = star.select("region", "pid", "n", F.floor(apart / step).cast("int").alias("band")).join(large.select("pid", "copies"), "pid")
+    star = _star(_centred(large, _star(large, sets, space), space), sets, space)
+    banded = star.select("region", "pid", "n", F.floor(_apart() / step).cast("int").alias("band")).join(large.select("pid", "copies"), "pid")
     banded = space.save(banded, "banded")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / COUNT_POINTS, F.sum("n") / REGION_SHINGLES)).cast("int")
     bands = space.save(banded.groupBy("region", "band").agg(F.sum("copies").alias("weight"), blocks.alias("blocks")), "bands")

@@ -171,3 +171,23 @@ def test_links_of_large_groups_with_copies(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = check(spark, docs, 2, Fraction(8, 10))
     assert len({links for _, _, links in got.values()}) > 10
+
+
+def test_a_common_passage_pairs_no_blocks(spark, monkeypatch):
+    """Texts that are half one passage elect again by the rest of them, so their blocks
+    are not compared with each other; links among them are found all the same."""
+    monkeypatch.setattr(similarity, "REGION_POINTS", 16)
+    blocks, compared = similarity._block_pairs, []
+    monkeypatch.setattr(similarity, "_block_pairs", lambda rows, *more: compared.append(rows.count()) or blocks(rows, *more))
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(50)]
+    texts = []
+    for k in range(150):
+        own = [f"o{k}x{i}" for i in range(50)]
+        texts.append(" ".join(passage + own))
+        if k % 10 == 0:
+            own[rng.randrange(50)] = "changed"
+            texts.append(" ".join(passage + own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = check(spark, docs, 4, Fraction(85, 100))
+    assert sum(links for _, _, links in got.values()) == 30 and not sum(compared)

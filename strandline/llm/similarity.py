@@ -321,19 +321,22 @@ def _components(docs: DataFrame, words: int, threshold: Fraction, space: Workspa
 
     members = _regions(held, "", space)
     space.drop(held, common)
-    sets = _needed_sets(docs, points.select("pid", "k1", "k2", "low_id").join(members.select("pid").distinct(), "pid", "left_semi"), words, space)
+    # a set takes the names of its small regions along, so that it need not be joined with them again
+    regions = members.groupBy("pid").agg(F.collect_list(F.when(F.col("chunks") == 1, F.struct("region", "pivot"))).alias("regions"))
+    sets = _needed_sets(docs, points.select("pid", "k1", "k2", "low_id").join(regions, "pid"), words, space)
 
+    small = sets.select("pid", "shingles", F.explode("regions").alias("r")).select("r.region", "r.pivot", "pid", "shingles")
     found, large = [], members.filter("chunks > 1")
     if large.take(1):
         some = space.save(_sets_of(large, sets), "some")
         held = _whole_windows(some, measure, space)
         again = _regions(held, "w", space)
-        members = members.filter("chunks = 1").unionByName(again.filter("chunks = 1"))
+        found = [_small_regions(again.filter("chunks = 1"), some, measure, space)]
         large = again.filter("chunks > 1")
         if large.take(1):
-            found = _large_regions(large, some, measure, space)
+            found += _large_regions(large, some, measure, space)
         space.drop(held, some)
-    links = _small_regions(members.filter("chunks = 1"), sets, measure, space)
+    links = _joined(small, measure, space)
     for more in found:
         links = links.union(more)
     groups = connected_components(links, space)
@@ -363,7 +366,7 @@ def similar_groups(docs: DataFrame, words: int = 4, threshold: Fraction = Fracti
     space = Workspace(docs.sparkSession, "similar")
     measured, named, sets = _components(docs, words, threshold, space)
     named = space.save(named, "named")
-    counts = _link_counts(named, sets, _Measure(threshold), space)
+    counts = _link_counts(named, sets.select("pid", "shingles"), _Measure(threshold), space)
     space.drop(sets)
     named = named.join(counts, "pid", "left").select("k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     some = measured.filter("n > 0").select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
@@ -452,8 +455,8 @@ def _whole_windows(sets: DataFrame, measure: _Measure, space: Workspace) -> Data
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame, words: int, space: Workspace) -> DataFrame:
-    """``(pid, shingles)`` of the points that some region holds; ``needed`` has their
-    pid, k1, k2 and smallest doc_id.  A bit map of fixed size over these ids lets
+    """``(pid, shingles, regions)`` of the points that some region holds; ``needed`` has their
+    pid, k1, k2, smallest doc_id and regions.  A bit map of fixed size over these ids lets
     most other texts go before anything is shuffled; the join that follows is exact."""
     needed = space.save(needed, "needed")
     sent = docs.sparkSession.sparkContext.broadcast(_bit_map(needed.select(_bit("low_id"))))
@@ -472,13 +475,18 @@ def _needed_sets(docs: DataFrame, needed: DataFrame, words: int, space: Workspac
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "shingles"])
 
     rows = docs.select(_bit(F.col("doc_id").cast("long")), F.col("text").cast("string")).mapInArrow(run, "k1 long, k2 long, shingles binary")
-    # neither side is small, whatever an estimate says
-    return space.save(rows.join(needed.select("pid", "k1", "k2").hint("merge"), ["k1", "k2"]).select("pid", "shingles").dropDuplicates(["pid"]), "sets")
+    # neither side is small, whatever an estimate says; copies are dropped where the join has put them
+    found = rows.join(needed.select("pid", "k1", "k2", "regions").hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return space.save(found.select("pid", "shingles", "regions"), "sets")
 
 
 def _small_regions(members: DataFrame, sets: DataFrame, measure: _Measure, space: Workspace) -> DataFrame:
-    """Links inside regions that one task takes: ``(region, pivot, pid)``, the pivot
-    among them."""
+    return _joined(members.select("region", "pivot", "pid").join(sets, "pid"), measure, space)
+
+
+def _joined(rows: DataFrame, measure: _Measure, space: Workspace) -> DataFrame:
+    """Links inside regions that one task takes: ``(region, pivot, pid, shingles)``, the
+    pivot among them."""
 
     def join(t: pa.Table) -> pa.Table:
         pid, p = _points(t)
@@ -486,7 +494,6 @@ def _small_regions(members: DataFrame, sets: DataFrame, measure: _Measure, space
         join_region(p, np.arange(len(pid)), int(np.flatnonzero(pid == t["pivot"][0].as_py())[0]), measure, forest)
         return _links(pid, forest)
 
-    rows = members.select("region", "pivot", "pid").join(sets, "pid")
     return space.save(rows.groupBy("region").applyInArrow(join, LINKS), "links")
 
 

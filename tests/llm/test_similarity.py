@@ -191,3 +191,18 @@ def test_a_common_passage_pairs_no_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = check(spark, docs, 4, Fraction(85, 100))
     assert sum(links for _, _, links in got.values()) == 30 and not sum(compared)
+
+
+def test_sets_are_moved_once_to_their_names_and_once_to_their_regions(spark, monkeypatch):
+    """No shuffle of the sets by point: copies go where the join by name has put them, and
+    a set knows its regions."""
+    save, plans = similarity.Workspace.save, {}
+
+    def seen(self, df, name, *more):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, name, *more)
+
+    monkeypatch.setattr(similarity.Workspace, "save", seen)
+    check(spark, documents(spark), 4, Fraction(85, 100))
+    assert "Exchange hashpartitioning(k1" in plans["sets"] and "Exchange hashpartitioning(pid" not in plans["sets"]
+    assert "Exchange hashpartitioning(region" in plans["links"] and "Join" not in plans["links"]

@@ -40,7 +40,7 @@ def test_one_of_each_group_stays(stages):
 
     rows = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
     groups = plain(rows, 5, Fraction(8, 10))
-    assert sorted(r["doc_id"] for r in stages[3].collect()) == sorted(d for d, (_, c) in groups.items() if c == d)
+    assert sorted(r["doc_id"] for r in stages[3].collect()) == sorted(d for d, (_, c, _) in groups.items() if c == d)
 
 
 def test_mix_and_pack_take_effect(spark, stages):

@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, similarity, vectors
+from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, similarity, urls, vectors
 from strandline.llm.workspace import crc_mod, new_path
 from strandline.plans.tables import brief_shuffles, spread
 
@@ -195,3 +195,51 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_mod(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     return language.identify(docs, language.train(docs)).select("doc_id", held, "lang_pred", "score", "ambiguous")
+
+
+#: Prefix rules of op13, and its patterns for what they leave open.
+URL_RULES = [
+    urls.Rule("org/", "allow"),
+    urls.Rule("example.org/es/", "block"),
+    urls.Rule("example.org/en/1", "block"),
+    urls.Rule("com/fr/", "allow"),
+    urls.Rule("com/de/", "block"),
+    *[urls.Rule(p, "block", pattern=True) for p in ("||casino-", "||ads-*.", "||free-bets.", "||spam-farm.", "||cheap-*^", "||adult-*.example.net/", "^utm_source=ad*^")],
+    urls.Rule("||ads-track.*.html|", "allow", pattern=True),
+]
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, URL_RULES, urls.token_counts(pages, URL_RULES))
+
+
+ORACLES["op13_url_filter"] = r"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT page_id, rest, regexp_extract(rest, '\A[^/?#]*') AS raw FROM rests
+), parts AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(raw) + 1) AS tail FROM hosts
+), pages_ AS (
+  SELECT row_number() OVER () AS r, page_id, host, regexp_extract(tail, '\A[^?#]*') AS path, host || regexp_extract(tail, '\A[^#]*') AS address FROM parts
+), rules(rule, rule_host, rule_path, said) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+         ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
+), decided AS (
+  SELECT r, max_by(rule, length(rule)) AS rule, max_by(said, length(rule)) AS said
+  FROM pages_ JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r
+), patterns(place, pattern, regex, said) AS (
+  VALUES (0, '||ads-track.*.html|', '\A([^/?]*\.)?ads-track\.[\s\S]*\.html\z', 'allow'),
+         (1, '||casino-', '\A([^/?]*\.)?casino-', 'block'), (2, '||ads-*.', '\A([^/?]*\.)?ads-[\s\S]*\.', 'block'),
+         (3, '||free-bets.', '\A([^/?]*\.)?free-bets\.', 'block'), (4, '||spam-farm.', '\A([^/?]*\.)?spam-farm\.', 'block'),
+         (5, '||cheap-*^', '\A([^/?]*\.)?cheap-[\s\S]*([^A-Za-z0-9_.%-]|\z)', 'block'), (6, '||adult-*.example.net/', '\A([^/?]*\.)?adult-[\s\S]*\.example\.net/', 'block'),
+         (7, '^utm_source=ad*^', '([^A-Za-z0-9_.%-]|\z)utm_source=ad[\s\S]*([^A-Za-z0-9_.%-]|\z)', 'block')
+), guessed AS (
+  SELECT r, min_by(pattern, place) AS pattern, min_by(said, place) AS said FROM pages_ JOIN patterns ON regexp_matches(address, regex) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(decided.said, guessed.said, 'allow') AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern
+FROM pages_ LEFT JOIN decided USING (r) LEFT JOIN guessed USING (r)
+"""

@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, similarity, urls, vectors
+from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, similarity, spelling, urls, vectors
 from strandline.llm.workspace import crc_mod, new_path
 from strandline.plans.tables import brief_shuffles, spread
 
@@ -243,3 +243,45 @@ WITH rests AS (
 SELECT page_id, host, path, rule, coalesce(decided.said, guessed.said, 'allow') AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern
 FROM pages_ LEFT JOIN decided USING (r) LEFT JOIN guessed USING (r)
 """
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents with its more frequent variant."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: A checksum takes eight steps a byte; near words share what is left when a place is cut out.
+ORACLES["op12_spelling"] = r"""
+WITH RECURSIVE found AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), runs AS MATERIALIZED (
+  SELECT d, run, count(*) AS n FROM (SELECT d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM found) GROUP BY d, run
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(flatten(list_transform(flatten(list_transform(string_split(d || ':' || run, ''),
+             lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c)::BIGINT // 64, 128 + unicode(c)::BIGINT % 64] END)),
+             lambda b: [b, 0, 0, 0, 0, 0, 0, 0])),
+           lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295::BIGINT)) AS h
+  FROM runs
+), words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, length(word) + 1) t(i)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON cut.rest = words.word
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON cut.rest = words.word
+), rated AS (
+  SELECT word, count(*) AS n_near, min_by(other, (-n, other)) AS best, max(n) AS best_n FROM near GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * words.n THEN best END AS form, CASE WHEN best_n >= 2 * words.n THEN best_n END AS form_n
+  FROM words LEFT JOIN rated USING (word)
+), chain(word, place) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.place WHERE forms.form IS NOT NULL
+), last AS (SELECT chain.word, place AS root FROM chain JOIN forms ON forms.word = place WHERE forms.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)
+"""

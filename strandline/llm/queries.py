@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language, lengths, media, mixing, ordering, packing, quality, sharding, similarity, spelling, urls, vectors
+from strandline.llm import language, lengths, lexical, media, mixing, ordering, packing, quality, sharding, similarity, spelling, urls, vectors
 from strandline.llm.workspace import crc_mod, new_path
 from strandline.plans.tables import brief_shuffles, spread
 
@@ -285,3 +285,32 @@ WITH RECURSIVE found AS (
 )
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)
 """
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.build(table(spark, sf_dir, "documents")).search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), total AS MATERIALIZED (SELECT count(*) AS nd, sum(len(terms))::BIGINT AS nt FROM docs WHERE len(terms) > 0
+), items AS MATERIALIZED (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark WHERE text IS NOT NULL
+), asked AS MATERIALIZED (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(terms) AS term FROM items) GROUP BY q, item_id, term
+), posted AS MATERIALIZED (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY r, doc_id, n, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM posted GROUP BY term), total
+), impacts AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)) AS impact FROM posted, total
+), scored AS (
+  SELECT q, item_id, r, doc_id, sum(times * w * impact)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY q, item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS "rank", doc_id, score FROM scored WHERE score > 0
+QUALIFY "rank" <= 20
+"""

@@ -105,6 +105,40 @@ def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p.order, np.concatenate([np.zeros(min(1, p.n), np.int64), lcp])
 
 
+def lcp_intervals(lcp: np.ndarray, pos: np.ndarray, side: np.ndarray, min_length: int) -> np.ndarray:
+    """Intervals of suffixes that share at least ``min_length`` characters, as rows of
+    (first position of side 1, of side 2, shortest, longest, suffixes of side 1, of
+    side 2); a side without a suffix has position -1.
+
+    One pass with a stack of open intervals: a common prefix shorter than that of
+    the open one closes it, and the shortest length is one more than its parent's.
+    """
+    none = 1 << 40
+    ends = np.cumsum(np.concatenate([[0], side == 1]))
+    open_: list[list[int]] = []  # length, first rank, least positions of both sides
+    rows: list[tuple[int, ...]] = []
+    values, at, own = [*lcp.tolist()[1:], 0], pos.tolist(), (side == 1).tolist()
+    for i, v in enumerate(values):
+        first, one, two = i, at[i] if own[i] else none, none if own[i] else at[i]
+        while open_ and open_[-1][0] > v:
+            top = open_.pop()
+            first, one, two = top[1], min(one, top[2]), min(two, top[3])
+            parent = max(v, open_[-1][0] if open_ else 0)
+            if top[0] >= min_length:
+                rows.append((one, two, max(parent + 1, min_length), top[0], first, i + 1))
+        if v and (not open_ or open_[-1][0] < v):
+            open_.append([v, first, one, two])
+        elif open_:
+            top = open_[-1]
+            top[2], top[3] = min(one, top[2]), min(two, top[3])
+    out = np.array(rows, np.int64).reshape(-1, 6)
+    lo, hi = out[:, 4].copy(), out[:, 5].copy()
+    out[:, 4] = ends[hi] - ends[lo]
+    out[:, 5] = hi - lo - out[:, 4]
+    out[:, :2][out[:, :2] == none] = -1
+    return out
+
+
 def unique_substrings(codes: np.ndarray) -> int:
     """Number of distinct substrings."""
     return len(codes) * (len(codes) + 1) // 2 - int(suffix_order(codes)[1].sum())
@@ -186,9 +220,24 @@ def tandem_repeats(codes: np.ndarray, max_period: int | None = None) -> list[tup
 def longest_palindrome(text: str) -> tuple[int, int] | None:
     """Leftmost longest palindrome of at least two characters.
 
-    Radii of all centres grow together: a centre lives while its two next
-    characters agree."""
+    Radii of all centres grow together, a centre lives while its two next characters
+    agree; in most texts few live on.  Where that takes more than ``32`` steps a
+    character, radii are found by a binary search over hashes of the text and of its
+    reverse, for all centres at once, and the answer is verified."""
     c = code_points(text)
+    best = _grown(c, 32 * len(c))
+    for base in () if best else (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+        at, size = _widest(c, base)
+        if np.array_equal(c[at : at + size], c[at : at + size][::-1]):
+            best = (at, size)
+            break
+    if best is None:
+        raise ArithmeticError("hashes collided three times")
+    return best if best[1] >= 2 else None
+
+
+def _grown(c: np.ndarray, steps: int) -> tuple[int, int] | None:
+    """The palindrome by growing radii; None where that takes more than so many steps."""
     n = len(c)
     best = (0, 0)
     for even in (0, 1):
@@ -197,6 +246,9 @@ def longest_palindrome(text: str) -> tuple[int, int] | None:
         ok = c[left] == c[right]
         left, right = left[ok], right[ok]
         while len(left):
+            steps -= len(left) + 16
+            if steps < 0 and n > 1000:
+                return None
             size = int(right[0] - left[0] + 1)
             if size > best[1] or (size == best[1] and left[0] < best[0]):
                 best = (int(left[0]), size)
@@ -204,7 +256,61 @@ def longest_palindrome(text: str) -> tuple[int, int] | None:
             left, right = left[ok] - 1, right[ok] + 1
             ok = c[left] == c[right]
             left, right = left[ok], right[ok]
-    return best if best[1] >= 2 else None
+    return best
+
+
+#: A prime below 2^31: products of two residues fit a 64-bit integer.
+_PRIME = (1 << 31) - 1
+
+
+def _prefix_hashes(c: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all prefixes modulo the prime, and powers of the base, by doubling."""
+    power = np.ones(1, np.int64)
+    step = base % _PRIME
+    while len(power) <= len(c):
+        power = np.concatenate([power, power * step % _PRIME])
+        step = step * step % _PRIME
+    power = power[: len(c) + 1]
+    h = np.concatenate([[0], (c.astype(np.int64) + 1) % _PRIME])
+    reach = 1  # h[i] covers the last `reach` characters before i
+    while reach <= len(c):
+        more = h.copy()
+        more[reach:] = (h[reach:] + h[:-reach] * power[reach]) % _PRIME
+        h, reach = more, 2 * reach
+    return h, power
+
+
+def _widest(c: np.ndarray, base: int) -> tuple[int, int]:
+    """Start and length of the leftmost longest stretch that hashes as its reverse does."""
+    n = len(c)
+    sides = []
+    for b in (base, base >> 31 | 1):  # two hashes, so that one collision does not decide
+        forward, power = _prefix_hashes(c, b)
+        backward, _ = _prefix_hashes(c[::-1], b)
+        sides.append((forward, backward, power))
+
+    def same(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        out = np.ones(len(lo), bool)
+        for forward, backward, power in sides:
+            p = power[hi - lo]
+            ahead = (forward[hi] - forward[lo] * p) % _PRIME
+            back = (backward[n - lo] - backward[n - hi] * p) % _PRIME
+            out &= ahead == back
+        return out
+
+    best = (0, 0)
+    for even in (0, 1):
+        centre = np.arange(even, n)
+        low, high = np.zeros(len(centre), np.int64), np.minimum(centre, n - centre - 1 + even)
+        while (low < high).any():  # the greatest radius at which both directions agree
+            mid = (low + high + 1) // 2
+            ok = same(centre - mid, centre + mid + 1 - even)
+            low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
+        size = 2 * low + 1 - even
+        at = int(size.argmax()) if len(size) else 0
+        if len(size) and (size[at] > best[1] or size[at] == best[1] and centre[at] - low[at] < best[0]):
+            best = (int(centre[at] - low[at]), int(size[at]))
+    return best
 
 
 def fuzzy(codes: np.ndarray, pattern: np.ndarray, distance: int, deletion: bool = True, insertion: bool = True, wild: int | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from strandline.functions.patterns import WildcardOptions
 from strandline.operators import bits, compare, ranges, repeats, search, sequence, suffix
 from strandline.operators.search import SortOrder
+from strandline.plans.keys import is_keyed
 from strandline.sources import sequences, store
 
 
@@ -172,9 +173,10 @@ class TextIndex:
     KIND = "text"
 
     def __init__(self, docs: DataFrame, sx: DataFrame | None = None):
-        self.docs = docs.select("doc_id", "text").cache()
+        one = F.struct(F.lit(0).cast("long").alias("row"), F.col("doc_id").alias("id"))
+        self.docs = (docs if is_keyed(docs) else docs.select(one.alias("doc_id"), "text")).select("doc_id", "text").cache()
         row = _one(self.docs)
-        self.doc_id, self.text = row["doc_id"], row["text"]
+        self.doc_id, self.text = row["doc_id"]["id"], row["text"]
         self._sx = sx
 
     @classmethod
@@ -299,7 +301,7 @@ class TextPair:
 
     def __init__(self, spark: SparkSession, text1: str, text2: str):
         self.text1, self.text2 = text1, text2
-        self.pairs = spark.createDataFrame([(0, text1, text2)], "pair_id int, text1 string, text2 string")
+        self.pairs = spark.createDataFrame([((0, 0), text1, text2)], "pair_id struct<row:bigint,id:int>, text1 string, text2 string")
         self.suffixes = compare.pair_suffixes(self.pairs).cache()
 
     @classmethod

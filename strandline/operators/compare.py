@@ -1,7 +1,11 @@
 """What two texts have in common: ``pairs(pair_id, text1, text2)``.
 
 A pair's suffixes stand in one table with their side; comparisons stop at each
-text's end, so no separator character is reserved.
+text's end, so no separator character is reserved.  That table, ``px``, is keyed (see
+:mod:`strandline.plans.keys`), so pairs with null or repeated ids stay apart.
+
+Defined cases: a pair with a null text has no rows, nor have empty texts anything in
+common; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -14,28 +18,40 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
+from strandline.operators.repeats import INTERVAL, intervals
+from strandline.plans.keys import is_keyed, keyed, unkeyed
 from strandline.streaming.counts import grams
 
 def _by_rank() -> WindowSpec:
     return Window.partitionBy("pair_id").orderBy("rank")
 
 
+def keyed_pairs(pairs: DataFrame) -> DataFrame:
+    return keyed(pairs, "pair_id", ("text1", "text2"))
+
+
+def _suffix_order(text1: str, text2: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sides, positions and common prefixes of both texts' suffixes in order."""
+    one, two = kernels.code_points(text1), kernels.code_points(text2)
+    # two ends below every character, different from each other
+    order, lcp = kernels.suffix_order(np.concatenate([one, [-2], two, [-1]]).astype(np.int64))
+    order, lcp = order[2:], lcp[2:].copy()  # the ends sort first
+    lcp[:1] = 0
+    side = np.where(order < len(one), 1, 2)
+    return side, np.where(side == 1, order, order - len(one) - 1), lcp
+
+
 def pair_suffixes(pairs: DataFrame) -> DataFrame:
-    """``(pair_id, rank, side, pos, lcp)`` with side 1 or 2."""
+    """``(pair_id, rank, side, pos, lcp)`` with side 1 or 2, keyed; operators that take
+    ``pairs`` as well want those keyed before."""
+    pairs = keyed_pairs(pairs)
     kind = pairs.schema["pair_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, (t1, t2) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                one, two = kernels.code_points(t1), kernels.code_points(t2)
-                # two ends below every character, different from each other
-                order, lcp = kernels.suffix_order(np.concatenate([one, [-2], two, [-1]]).astype(np.int64))
-                order, lcp = order[2:], lcp[2:]  # the ends sort first
-                lcp = lcp.copy()
-                lcp[:1] = 0
-                side = np.where(order < len(one), 1, 2)
-                pos = np.where(order < len(one), order, order - len(one) - 1)
-                n = len(order)
+                side, pos, lcp = _suffix_order(t1, t2)
+                n = len(pos)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(np.full(n, i))), pa.array(np.arange(n), pa.int32()), pa.array(side, pa.int32()), pa.array(pos, pa.int32()), pa.array(lcp, pa.int32())], names=["pair_id", "rank", "side", "pos", "lcp"]
                 )
@@ -56,13 +72,13 @@ def _neighbours(px: DataFrame) -> DataFrame:
 def matches(px: DataFrame, min_length: int = 2) -> DataFrame:
     """``(pair_id, position1, position2, length)`` of neighbours in suffix order
     that come from different texts and share ``min_length`` characters or more."""
-    return _neighbours(px).filter(F.col("length") >= min_length).drop("rank")
+    return unkeyed(_neighbours(px).filter(F.col("length") >= min_length).drop("rank"), "pair_id")
 
 
 def longest_match(px: DataFrame) -> DataFrame:
     """The longest of these, of equal ones the first in suffix order."""
     best = _neighbours(px).filter("length > 0").groupBy("pair_id").agg(F.max_by(F.struct("position1", "position2", "length"), F.struct(F.col("length"), -F.col("rank"))).alias("m"))
-    return best.select("pair_id", "m.*")
+    return unkeyed(best.select("pair_id", "m.*"), "pair_id")
 
 
 def _text_at(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -71,22 +87,47 @@ def _text_at(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(texts, "pair_id").withColumn("text", part).drop("__t1", "__t2")
 
 
-def longest_common(pairs: DataFrame, px: DataFrame) -> DataFrame:
+def _with_suffixes(pairs: DataFrame, px: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    if px is None:
+        pairs = keyed_pairs(pairs)
+        return pairs, pair_suffixes(pairs)
+    if not is_keyed(pairs, "pair_id"):
+        raise ValueError("suffixes go with keyed pairs: pairs = keyed_pairs(pairs), px = pair_suffixes(pairs)")
+    return pairs, px
+
+
+def longest_common(pairs: DataFrame, px: DataFrame | None = None) -> DataFrame:
     """``(pair_id, text, positions1, positions2)`` of all longest common substrings."""
+    pairs, px = _with_suffixes(pairs, px)
     best = _neighbours(px).groupBy("pair_id").agg(F.max("length").alias("len")).filter("len > 0")
     rows = px.join(best, "pair_id").withColumn("run", F.sum(F.when(F.col("lcp") < F.col("len"), 1).otherwise(0)).over(_by_rank()))
-    return _both_sides(_text_at(rows, pairs), "run")
+    return unkeyed(_both_sides(_text_at(rows, pairs), "run"), "pair_id")
+
+
+def common_intervals(pairs: DataFrame, min_length: int = 2) -> DataFrame:
+    """``(pair_id, position1, position2, shortest, longest, count1, count2)``: all common
+    substrings of at least ``min_length`` in a table no longer than the texts; see
+    :func:`strandline.operators.repeats.repeat_intervals`.  Here those intervals of
+    suffixes stay that have both sides; positions are the first ones."""
+    if min_length < 1:
+        raise ValueError("min_length must be positive")
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    rows = pairs.select("pair_id", "text1", "text2").na.drop(subset=["text1", "text2"])
+    found = rows.mapInArrow(lambda batches: intervals(batches, min_length, _suffix_order), f"key {kind}, " + ", ".join(f"{c} int" for c in INTERVAL))
+    return found.filter("count1 > 0 and count2 > 0").withColumnRenamed("key", "pair_id")
 
 
-def common_substrings(pairs: DataFrame, px: DataFrame, min_length: int = 2, max_length: int | None = None) -> DataFrame:
-    """The same for every distinct common substring of at least ``min_length``."""
+def common_substrings(pairs: DataFrame, px: DataFrame | None = None, min_length: int = 2, max_length: int | None = None) -> DataFrame:
+    """``(pair_id, text, positions1, positions2)`` of every distinct common substring of
+    at least ``min_length``; grows with the square of their lengths."""
     if min_length < 2:
         raise ValueError("min_length must be at least 2")
+    pairs, px = _with_suffixes(pairs, px)
     longest = F.greatest("lcp", F.coalesce(F.lead("lcp").over(_by_rank()), F.lit(0)))
     if max_length is not None:
         longest = F.least(longest, F.lit(max_length))
     rows = px.withColumn("m", longest).filter(F.col("m") >= min_length).select("pair_id", "side", "pos", F.explode(F.sequence(F.lit(min_length), F.col("m"))).alias("len"))
-    return _both_sides(_text_at(rows, pairs))
+    return unkeyed(_both_sides(_text_at(rows, pairs)), "pair_id")
 
 
 def _both_sides(rows: DataFrame, *keys: str) -> DataFrame:

@@ -1,12 +1,19 @@
 """Repeated and unique substrings, tandem repeats and complexity of texts.
 
-``sx`` is the suffix table of ``docs`` (see :mod:`strandline.operators.suffix`).
+``sx``, where it is given, is the suffix table of ``docs``, and both are keyed (see
+:func:`strandline.operators.suffix.with_table`).
+
+Defined cases, of all operators: null and empty texts have no rows (an empty one's
+complexity is 0); rows with null or repeated ids are texts of their own; empty tables
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -14,6 +21,7 @@ from pyspark.sql import functions as F
 from strandline.functions import kernels
 from strandline.operators import suffix
 from strandline.plans import tables
+from strandline.plans.keys import by_row, is_keyed, unkeyed
 
 
 def _by_rank() -> WindowSpec:
@@ -26,6 +34,19 @@ def _substring(sx: DataFrame, docs: DataFrame) -> DataFrame:
     return sx.join(chars, "doc_id").withColumn("text", F.expr("substring(__text, pos + 1, len)")).drop("__text")
 
 
+def _with_table(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators on keyed texts and their suffix table: makes what is not given,
+    and puts the caller's ids back."""
+
+    @wraps(f)
+    def run(docs: DataFrame, sx: DataFrame | None = None, *args, **options) -> DataFrame:
+        out = f(*suffix.with_table(docs, sx), *args, **options)
+        return out if is_keyed(docs) else unkeyed(out)
+
+    return run
+
+
+@_with_table
 def find_repeats(docs: DataFrame, sx: DataFrame, min_length: int = 2, max_length: int | None = None) -> DataFrame:
     """``(doc_id, text, positions)`` of every distinct substring of at least
     ``min_length`` that occurs twice or more.  The output grows with the square
@@ -39,13 +60,14 @@ def find_repeats(docs: DataFrame, sx: DataFrame, min_length: int = 2, max_length
     return _substring(rows, docs).groupBy("doc_id", "text").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def search_repeated(docs: DataFrame, sx: DataFrame, min_length: int = 2) -> DataFrame:
+def search_repeated(docs: DataFrame, sx: DataFrame | None = None, min_length: int = 2) -> DataFrame:
     """As :func:`find_repeats`, for lengths from two on."""
     if min_length < 2:
         raise ValueError("min_length must be at least 2")
     return find_repeats(docs, sx, min_length)
 
 
+@_with_table
 def longest_repeated(docs: DataFrame, sx: DataFrame) -> DataFrame:
     """``(doc_id, text, positions)`` of all repeated substrings of the greatest
     length; texts without a repeat have no row.
@@ -58,13 +80,15 @@ def longest_repeated(docs: DataFrame, sx: DataFrame) -> DataFrame:
     return _substring(runs, docs).select("doc_id", "text", "positions")
 
 
+@_with_table
 def longest_repeat(docs: DataFrame, sx: DataFrame) -> DataFrame:
     """Of the longest repeated substrings the first in order."""
     return longest_repeated(docs, sx).groupBy("doc_id").agg(F.min(F.struct("text", "positions")).alias("r")).select("doc_id", "r.text", "r.positions")
 
 
 def count_unique_substrings(sx: DataFrame) -> DataFrame:
-    """``(doc_id, count)`` of distinct substrings."""
+    """``(doc_id, count)`` of distinct substrings, from a suffix table whose ids do not
+    repeat; :func:`unique_substrings` takes any texts."""
     return sx.groupBy("doc_id").agg(F.expr("count(1) * (count(1) + 1) div 2 - sum(lcp)").alias("count"))
 
 
@@ -81,12 +105,14 @@ def unique_substrings(docs: DataFrame, max_chars: int = suffix.MAX_CHARS) -> Dat
     return kept.union(counts.join(numbered.select("at", "doc_id"), "at").select("doc_id", "count"))
 
 
+@_with_table
 def shortest_unique(docs: DataFrame, sx: DataFrame) -> DataFrame:
     """``(doc_id, text, position)`` of all shortest substrings that occur once."""
     rows = _shortest(docs, sx)
     return _substring(rows.select("doc_id", "pos", "len"), docs).select("doc_id", "text", F.col("pos").alias("position"))
 
 
+@_with_table
 def first_shortest_unique(docs: DataFrame, sx: DataFrame) -> DataFrame:
     """The one of them that comes first in suffix order."""
     one = _shortest(docs, sx).groupBy("doc_id").agg(F.min(F.struct("rank", "pos", "len")).alias("f")).select("doc_id", "f.pos", "f.len")
@@ -100,6 +126,40 @@ def _shortest(docs: DataFrame, sx: DataFrame) -> DataFrame:
     return rows.withColumn("least", F.min("len").over(Window.partitionBy("doc_id"))).filter("len = least").select("doc_id", "rank", "pos", "len")
 
 
+def intervals(batches: Iterator[pa.RecordBatch], min_length: int, order_of: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``key`` and ``INTERVAL`` from a key and its texts; ``order_of`` gives sides,
+    positions and common prefixes of their suffixes in order."""
+    for b in batches:
+        for i in range(b.num_rows):
+            side, pos, lcp = order_of(*[c[i].as_py() for c in b.columns[1:]])
+            found = kernels.lcp_intervals(lcp, pos, side, min_length)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(found), i))), *[pa.array(c, pa.int32()) for c in found.T]], names=["key", *INTERVAL])
+
+
+#: Columns of an interval of suffixes.
+INTERVAL = ["position1", "position2", "shortest", "longest", "count1", "count2"]
+
+
+def repeat_intervals(docs: DataFrame, min_length: int = 2) -> DataFrame:
+    """``(doc_id, position, shortest, longest, occurrences)``: all repeated substrings of
+    at least ``min_length`` in a table no longer than the texts.
+
+    A row is an interval of suffixes in order, a node of their tree: every prefix of
+    the suffix at ``position`` (the first of them) from ``shortest`` to ``longest``
+    characters occurs at the same ``occurrences`` places, and each repeated
+    substring is named by exactly one row.  :func:`find_repeats` enumerates them."""
+    if min_length < 1:
+        raise ValueError("min_length must be positive")
+
+    def order_of(text: str):
+        order, lcp = kernels.suffix_order(kernels.code_points(text))
+        return np.ones(len(order), np.int64), order, lcp
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").filter(F.length("text") > 0).mapInArrow(lambda batches: intervals(batches, min_length, order_of), f"key {kind}, " + ", ".join(f"{c} int" for c in INTERVAL))
+    return rows.select(F.col("key").alias("doc_id"), F.col("position1").alias("position"), "shortest", "longest", F.col("count1").alias("occurrences"))
+
+
 def _per_text(docs: DataFrame, schema: str, kinds: list[tuple[str, pa.DataType]], f: Callable[[str], list[tuple]]) -> DataFrame:
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -123,6 +183,7 @@ def tandem_repeats(docs: DataFrame, max_period: int | None = None) -> DataFrame:
     return _per_text(docs, "position int, length int, count int", kinds, lambda t: kernels.tandem_repeats(kernels.code_points(t), max_period))
 
 
+@by_row
 def tandem_repeats_sql(docs: DataFrame, max_period: int) -> DataFrame:
     """The same for bounded periods with windows only: islands of agreement with
     the text moved by each period."""

@@ -2,7 +2,14 @@
 
 Positions count code points from 0; occurrences may overlap; an empty pattern
 occurs nowhere.  Expressions stay in the JVM: a text is split before every
-match, so the pieces' lengths add up to the positions.
+match, so the pieces' lengths add up to the positions.  Hits of the parts of gapped
+patterns are rows that are merged by position (:mod:`strandline.plans.asof`).
+
+Defined cases, of all operators: a null text has no hits (``contains``, ``find_first``,
+``count_occurrences``: a row with null); an empty text has none either, and 0; rows
+with null or repeated ids are texts of their own, each with its hits; empty tables
+give no rows; other columns are not read.  :func:`snippets` alone joins by id: a hit
+meets every text of its id, null for null.
 """
 
 from __future__ import annotations
@@ -11,11 +18,14 @@ from collections.abc import Callable, Iterable, Iterator
 from enum import Enum
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
 from strandline.functions.patterns import WildcardOptions, fixed, quote, wildcard
+from strandline.plans import asof
+from strandline.plans.keys import by_row
+from strandline.plans.tables import write_table
 
 
 class SortOrder(Enum):
@@ -140,13 +150,25 @@ def _apart(asterisk: str, question: str) -> None:
         raise ValueError("the two wildcards must be different single characters")
 
 
-def locate_single_gapped(docs: DataFrame, pattern: str, asterisk: str = "*", question: str = "?") -> DataFrame:
+def _part_hits(docs: DataFrame, parts: list[str], question: str) -> list[DataFrame]:
+    """For each part of a pattern ``(doc_id, place, position)`` of its hits, numbered
+    within a text; found in one pass over the texts that may have all of them."""
+    likely = F.lit(True)
+    for p in parts:
+        likely = likely & _longest_literal(p.split(question))
+    found = docs.filter(likely).select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), starts_of(F.col("text"), fixed(p, question)).alias("at")) for i, p in enumerate(parts)])).alias("h"))
+    hits = write_table(found.select("doc_id", "h.part", F.posexplode("h.at").alias("place", "position")), "hits")
+    return [hits.filter(F.col("part") == i).drop("part") for i in range(len(parts))]
+
+
+def locate_single_gapped(docs: DataFrame, pattern: str, asterisk: str = "*", question: str = "?", block: int = asof.BLOCK) -> DataFrame:
     """``(doc_id, position, length, gap_start, gap_count)`` for at most one ``*``.
 
     Leading and trailing hits are paired in order, each trailing hit once, with
     a gap of at least one character.  The k-th leading hit takes the trailing
     hit number k + max(f_j - j) over j <= k, where f_j counts the trailing hits
-    that come too early for leading hit j: one running maximum, no loop.
+    that come too early for leading hit j: f by merging both kinds of hits by
+    position, then one running maximum.
     """
     _apart(asterisk, question)
     if pattern.count(asterisk) > 1:
@@ -165,40 +187,39 @@ def locate_single_gapped(docs: DataFrame, pattern: str, asterisk: str = "*", que
     if not lead:
         hits = docs.select("doc_id", F.explode(starts_of(text, fixed(trail, question))).alias("at"))
         return hits.select("doc_id", F.lit(0).alias("position"), (F.col("at") + len(trail)).alias("length"), F.lit(0).alias("gap_start"), F.col("at").alias("gap_count"))
-    likely = _longest_literal(lead.split(question)) & _longest_literal(trail.split(question))
-    both = docs.filter(likely).select("doc_id", starts_of(text, fixed(lead, question)).alias("leads"), starts_of(text, fixed(trail, question)).alias("trails"))
-    leads = both.select("doc_id", "trails", F.posexplode("leads").alias("k", "position"))
-    early = F.size(F.filter("trails", lambda t: t <= F.col("position") + len(lead)))
-    chosen = F.col("k") + F.max(early - F.col("k")).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    paired = leads.withColumn("c", chosen).filter(F.col("c") < F.size("trails")).withColumn("t", F.element_at("trails", (F.col("c") + 1).cast("int")))
+    return _paired(docs, lead, trail, question, block)
+
+
+@by_row
+def _paired(docs: DataFrame, lead: str, trail: str, question: str, block: int) -> DataFrame:
+    leads, trails = _part_hits(docs, [lead, trail], question)
+    # a trailing hit at the end of the leading part comes first there: it is too early
+    one = leads.select("doc_id", "place", "position", (F.col("position") + len(lead)).alias("at"), F.lit(1).alias("kind"))
+    two = trails.select("doc_id", "place", "position", F.col("position").alias("at"), F.lit(0).alias("kind"))
+    merged = asof.running(one.unionByName(two), ["doc_id"], "at", "kind", F.when(F.col("kind") == 0, F.col("place") + 1), "early", block=block)
+    rated = merged.filter("kind = 1").select("doc_id", "place", "position", (F.coalesce("early", F.lit(0)) - F.col("place")).alias("lag"))
+    shifted = asof.running(rated, ["doc_id"], "place", "position", F.col("lag"), "shift", block=block)
+    chosen = shifted.select("doc_id", "position", (F.col("place") + F.col("shift")).alias("place"))
+    paired = chosen.join(trails.select("doc_id", "place", F.col("position").alias("t")), ["doc_id", "place"])
     return paired.select("doc_id", "position", (F.col("t") + len(trail) - F.col("position")).alias("length"), F.lit(len(lead)).alias("gap_start"), (F.col("t") - F.col("position") - len(lead)).alias("gap_count"))
 
 
-def _from(hits: Column, least: Column) -> Column:
-    return F.filter(hits, lambda x: x >= least)
+_GAPS = "array<struct<position:int,length:int,gap_start:int,gap_count:int>>"
 
 
-def locate_multi_gapped(docs: DataFrame, pattern: str, find_shortest: bool = True, asterisk: str = "*", question: str = "?") -> DataFrame:
+def locate_multi_gapped(docs: DataFrame, pattern: str, find_shortest: bool = True, asterisk: str = "*", question: str = "?", block: int = asof.BLOCK) -> DataFrame:
     """``(doc_id, position, length, gaps)`` for any number of ``*``.
 
-    ``find_shortest``: for each hit of the first part the nearest chain; else
-    every combination.  Gaps may be empty; ``gaps`` lists for each its
-    (position, length, gap_start, gap_count), gap_start relative to position.
+    ``find_shortest``: for each hit of the first part the nearest chain, one merge of
+    hits a gap; else every combination, whose number is that of the rows returned.
+    Gaps may be empty; ``gaps`` lists for each its (position, length, gap_start,
+    gap_count), gap_start relative to position.
     """
     _apart(asterisk, question)
     parts = [p for p in pattern.split(asterisk) if p]
-    gap_type = "array<struct<position:int,length:int,gap_start:int,gap_count:int>>"
     if not parts:
-        return docs.filter(F.lit(False)).select("doc_id", F.lit(0).alias("position"), F.lit(0).alias("length"), F.array().cast(gap_type).alias("gaps"))
-    likely = F.lit(True)
-    for p in parts:
-        likely = likely & _longest_literal(p.split(question))
-    hits = docs.filter(likely).select("doc_id", *[starts_of(F.col("text"), fixed(p, question)).alias(f"h{i}") for i, p in enumerate(parts)])
-    rows = hits.withColumn("p0", F.explode("h0"))
-    for i in range(1, len(parts)):
-        end = F.col(f"p{i - 1}") + len(parts[i - 1])
-        later = _from(F.col(f"h{i}"), end)
-        rows = rows.withColumn(f"p{i}", F.explode(F.slice(later, 1, 1) if find_shortest else later))
+        return docs.filter(F.lit(False)).select("doc_id", F.lit(0).alias("position"), F.lit(0).alias("length"), F.array().cast(_GAPS).alias("gaps"))
+    rows = _chains(docs, parts, question, block) if find_shortest else _combinations(docs, parts, question)
     gaps = F.array(
         *[
             F.struct(
@@ -209,10 +230,36 @@ def locate_multi_gapped(docs: DataFrame, pattern: str, find_shortest: bool = Tru
             )
             for i in range(len(parts) - 1)
         ]
-    ).cast(gap_type)
+    ).cast(_GAPS)
     return rows.select("doc_id", F.col("p0").alias("position"), (F.col(f"p{len(parts) - 1}") + len(parts[-1]) - F.col("p0")).alias("length"), gaps.alias("gaps"))
 
 
+@by_row
+def _chains(docs: DataFrame, parts: list[str], question: str, block: int) -> DataFrame:
+    first, *rest = _part_hits(docs, parts, question)
+    rows = first.select("doc_id", F.col("position").alias("p0"))
+    for i, hits in enumerate(rest):
+        ended = rows.withColumn("__end", F.col(f"p{i}") + len(parts[i]))
+        rows = asof.first_later(ended, hits, ["doc_id"], "__end", f"p{i + 1}", block).drop("__end")
+    return rows
+
+
+def _not_before(end: Column) -> Callable[[Column], Column]:
+    return lambda x: x >= end
+
+
+def _combinations(docs: DataFrame, parts: list[str], question: str) -> DataFrame:
+    likely = F.lit(True)
+    for p in parts:
+        likely = likely & _longest_literal(p.split(question))
+    hits = docs.filter(likely).select("doc_id", *[starts_of(F.col("text"), fixed(p, question)).alias(f"h{i}") for i, p in enumerate(parts)])
+    rows = hits.withColumn("p0", F.explode("h0"))
+    for i in range(1, len(parts)):
+        end = F.col(f"p{i - 1}") + len(parts[i - 1])
+        rows = rows.withColumn(f"p{i}", F.explode(F.filter(f"h{i}", _not_before(end))))
+    return rows
+
+
 def locate_fuzzy(
     docs: DataFrame, pattern: str, max_distance: int = 1, disable_deletion: bool = False, disable_insertion: bool = False, wild: str | None = None, order: SortOrder = SortOrder.UNORDERED
 ) -> DataFrame:
@@ -276,7 +323,8 @@ def snippet(text: Column, position: Column, key_length: Column, total_length: in
 def snippets(docs: DataFrame, hits: DataFrame, total_length: int, leading_ratio: float = 0.5) -> DataFrame:
     """``hits(doc_id, position, key_length)`` with their ``text``, ``index``,
     ``length`` and ``key_position``."""
-    joined = hits.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id")
+    texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    joined = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")))
     s = snippet(F.col("__text"), F.col("position"), F.col("key_length"), total_length, leading_ratio)
     return joined.withColumn("__s", s).select(*hits.columns, "__s.*")
 

@@ -4,6 +4,11 @@
 its common prefix with the one before (0 for the first).  One text is one unit
 of work of a vectorised kernel; texts beyond ``max_chars`` go through
 :func:`giant_tables`, which doubles prefixes with DataFrames.
+
+Defined cases: null texts have no rows; empty ones have none either (a transform of
+their own: "", -1); rows with null or repeated ids are texts of their own.  A suffix
+table names its texts by id only, so operators that take one along with ``docs`` want
+both keyed (:mod:`strandline.plans.keys`); without one they key the texts themselves.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
+from strandline.plans.keys import is_keyed, keyed, unkeyed
 from strandline.plans.ranking import global_positions
 from strandline.plans.tables import write_table
 
@@ -103,18 +109,35 @@ def giant_tables(texts: DataFrame) -> DataFrame:
     return out.select("doc_id", *[F.expr(c).cast("int").alias(n) for c, n in (("r - first", "rank"), ("pos", "pos"), ("lcp", "lcp"))])
 
 
-def lcp_of_pairs(docs: DataFrame, sx: DataFrame, q: DataFrame) -> DataFrame:
+def with_table(docs: DataFrame, sx: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Keyed texts and their suffix table.  A given table must be keyed as the texts
+    are, since ids that repeat would mix their suffixes."""
+    if sx is None:
+        docs = keyed(docs)
+        return docs, suffixes(docs)
+    if not (is_keyed(docs) and is_keyed(sx)):
+        raise ValueError("a suffix table goes with keyed texts: docs = keyed(docs), sx = suffixes(docs)")
+    return docs, sx
+
+
+def lcp_of_pairs(docs: DataFrame, sx: DataFrame | None, q: DataFrame) -> DataFrame:
     """``q(qid, doc_id, i, j)`` to the common prefix of the suffixes at i and j:
-    the least ``lcp`` between their ranks; a suffix with itself has its length."""
+    the least ``lcp`` between their ranks; a suffix with itself has its length.  A
+    query is answered for each text of its id (of a null id too)."""
+    docs, sx = with_table(docs, sx)
     r = sx.select("doc_id", "pos", "rank")
+    own = docs.select("doc_id", F.col("doc_id.id").alias("__id"), F.length("text").alias("n"))
+    asked = q.withColumnRenamed("doc_id", "__asked")
+    same_text = F.col("__asked") == F.col("doc_id") if is_keyed(q) else F.col("__asked").eqNullSafe(F.col("__id"))
+    q = asked.join(own, same_text).select(F.struct("qid", "doc_id").alias("qid"), "doc_id", "i", "j", "n")
     ranked = q.join(r.select("doc_id", F.col("pos").alias("i"), F.col("rank").alias("ri")), ["doc_id", "i"]).join(r.select("doc_id", F.col("pos").alias("j"), F.col("rank").alias("rj")), ["doc_id", "j"])
     span = ranked.withColumn("lo", F.least("ri", "rj")).withColumn("hi", F.greatest("ri", "rj"))
     from strandline.operators.ranges import range_min
 
     asked = span.filter("lo < hi").select("qid", F.col("doc_id").alias("seq_id"), (F.col("lo") + 1).cast("long").alias("start"), (F.col("hi") + 1).cast("long").alias("end"))
     between = range_min(sx.select(F.col("doc_id").alias("seq_id"), F.col("rank").cast("long").alias("pos"), F.col("lcp").alias("val")), asked, strict=False)
-    same = span.filter("lo = hi").join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").select("qid", (F.col("n") - F.col("i")).cast("int").alias("lcp"))
-    return between.select("qid", F.col("value").alias("lcp")).union(same)
+    same = span.filter("lo = hi").select("qid", (F.col("n") - F.col("i")).cast("int").alias("value"))
+    return between.select("qid", "value").union(same).select("qid.qid", F.col("value").alias("lcp"))
 
 
 def bwt(docs: DataFrame) -> DataFrame:
@@ -162,8 +185,9 @@ def full_text_restore(docs: DataFrame) -> DataFrame:
 
 def last_to_first(transformed: DataFrame) -> DataFrame:
     """``(doc_id, i, ch, lf)``: the last-to-first map of a transform."""
-    rows = transformed.select("doc_id", F.posexplode(F.filter(F.split("bwt", ""), lambda c: c != "")).alias("i", "ch"))
-    return rows.withColumn("lf", F.row_number().over(Window.partitionBy("doc_id").orderBy("ch", "i")) - 1)
+    own = keyed(transformed, columns=("bwt",))
+    rows = own.select("doc_id", F.posexplode(F.filter(F.split("bwt", ""), lambda c: c != "")).alias("i", "ch"))
+    return unkeyed(rows.withColumn("lf", F.row_number().over(Window.partitionBy("doc_id").orderBy("ch", "i")) - 1))
 
 
 def unique_characters(docs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strandline.functions.patterns import WildcardOptions
 from strandline.operators import bits, compare, ranges, repeats, search, sequence, suffix
 from strandline.plans import gram_index, tables
+from strandline.plans.keys import keyed, unkeyed
 from strandline.sources import sequences, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -462,7 +463,7 @@ def suffix_common_prefix(spark, sf_dir):
     docs = _items(spark, sf_dir)
     sx = suffix.suffixes(docs)
     q = sx.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").select((F.col("doc_id") * 1000 + F.col("pos")).alias("qid"), "doc_id", F.col("pos").alias("i"), (F.col("n") - 1 - F.col("pos")).alias("j"))
-    return suffix.lcp_of_pairs(docs, sx, q)
+    return suffix.lcp_of_pairs(docs, None, q)
 
 
 @_query(_SUF + """SELECT doc_id, string_agg(CASE WHEN pos = 0 THEN substr(text, n, 1) ELSE substr(text, pos, 1) END, '' ORDER BY "rank") AS bwt, max(CASE WHEN pos = 0 THEN "rank" END) AS original_index FROM v GROUP BY doc_id""")
@@ -480,7 +481,7 @@ def suffix_restore(spark, sf_dir):
 @_query(_SUF + "SELECT doc_id, CAST(max(n) * (max(n) + 1) // 2 - sum(lcp) AS BIGINT) AS \"count\" FROM sx GROUP BY doc_id")
 def repeat_unique_count(spark, sf_dir):
     """Number of distinct substrings."""
-    return repeats.count_unique_substrings(suffix.suffixes(_items(spark, sf_dir)))
+    return unkeyed(repeats.count_unique_substrings(suffix.suffixes(keyed(_items(spark, sf_dir)))))
 
 
 @_query()
@@ -496,7 +497,17 @@ _ALL_SUBSTRINGS = ", g AS (SELECT doc_id, substr(suf, 1, k) AS text, pos FROM (S
 def repeat_all(spark, sf_dir):
     """All repeated substrings of three characters or more."""
     docs = _items(spark, sf_dir)
-    return repeats.find_repeats(docs, suffix.suffixes(docs), 3).select("doc_id", "text", F.explode("positions").alias("position"))
+    return repeats.find_repeats(docs, min_length=3).select("doc_id", "text", F.explode("positions").alias("position"))
+
+
+@_query(
+    _SUF
+    + _ALL_SUBSTRINGS
+    + "SELECT doc_id, CAST(positions[1] AS INTEGER) AS position, CAST(min(length(text)) AS INTEGER) AS shortest, CAST(max(length(text)) AS INTEGER) AS longest, CAST(len(positions) AS INTEGER) AS occurrences FROM f GROUP BY doc_id, positions"
+)
+def item_repeat_intervals(spark, sf_dir):
+    """All repeated substrings of three characters or more, by intervals of suffixes."""
+    return repeats.repeat_intervals(_items(spark, sf_dir), 3)
 
 
 _LONGEST = _SUF + ", m AS (SELECT doc_id, max(lcp) AS len FROM sx GROUP BY doc_id), g AS (SELECT v.doc_id, substr(suf, 1, len) AS text, pos FROM v JOIN m USING (doc_id) WHERE len > 0 AND length(suf) >= len), f AS (SELECT doc_id, text, list(pos ORDER BY pos) AS positions FROM g GROUP BY doc_id, text HAVING count(*) > 1)\n"
@@ -506,14 +517,14 @@ _LONGEST = _SUF + ", m AS (SELECT doc_id, max(lcp) AS len FROM sx GROUP BY doc_i
 def repeat_longest(spark, sf_dir):
     """All longest repeated substrings."""
     docs = _items(spark, sf_dir)
-    return repeats.longest_repeated(docs, suffix.suffixes(docs)).select("doc_id", "text", F.explode("positions").alias("position"))
+    return repeats.longest_repeated(docs).select("doc_id", "text", F.explode("positions").alias("position"))
 
 
 @_query(_LONGEST + "SELECT doc_id, min(text) AS text FROM f GROUP BY doc_id")
 def repeat_longest_one(spark, sf_dir):
     """U4: the first longest repeat."""
     docs = _items(spark, sf_dir)
-    return repeats.longest_repeat(docs, suffix.suffixes(docs)).select("doc_id", "text")
+    return repeats.longest_repeat(docs).select("doc_id", "text")
 
 
 _UNIQUE = _SUF + ', w AS (SELECT *, greatest(lcp, nxt) + 1 AS len FROM sy), k AS (SELECT * FROM w WHERE pos + len <= n QUALIFY len = min(len) OVER (PARTITION BY doc_id))\n'
@@ -523,14 +534,14 @@ _UNIQUE = _SUF + ', w AS (SELECT *, greatest(lcp, nxt) + 1 AS len FROM sy), k AS
 def repeat_shortest_unique(spark, sf_dir):
     """All shortest unique substrings."""
     docs = _items(spark, sf_dir)
-    return repeats.shortest_unique(docs, suffix.suffixes(docs))
+    return repeats.shortest_unique(docs)
 
 
 @_query(_UNIQUE + 'SELECT doc_id, substr(text, pos + 1, len) AS text, pos AS position FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "rank") = 1')
 def repeat_first_shortest_unique(spark, sf_dir):
     """U8: the first of them in suffix order."""
     docs = _items(spark, sf_dir)
-    return repeats.first_shortest_unique(docs, suffix.suffixes(docs))
+    return repeats.first_shortest_unique(docs)
 
 
 _TANDEM = """WITH c AS (SELECT item_id AS doc_id, text, length(text) AS n, unnest(range(1, length(text) // 2 + 1)) AS d FROM benchmark),
@@ -655,35 +666,42 @@ def document_common_prefix(spark, sf_dir):
     pairs = docs.filter(F.length("text") > 0).select("doc_id", F.length("text").alias("n"), F.explode(F.array(*[F.lit(j) for j in range(4)])).alias("j"))
     i = F.expr("cast(cast(n as long) * j div 4 as int)")
     q = pairs.select((F.col("doc_id") * 4 + F.col("j")).alias("qid"), "doc_id", i.alias("i"), (F.col("n") - 1 - i).alias("j"))
-    return suffix.lcp_of_pairs(docs, tables.write_table(suffix.suffixes(docs), "document-suffixes"), q)
+    own = keyed(docs)
+    return suffix.lcp_of_pairs(own, tables.write_table(suffix.suffixes(own), "document-suffixes"), q)
 
 
 @_query()
 def document_longest_repeats(spark, sf_dir):
     """U1 over all documents."""
     docs = _spread_docs(spark, sf_dir)
-    return repeats.longest_repeated(docs, suffix.suffixes(docs)).select("doc_id", "text", F.explode("positions").alias("position"))
+    return repeats.longest_repeated(docs).select("doc_id", "text", F.explode("positions").alias("position"))
 
 
 @_query()
 def document_longest_repeat(spark, sf_dir):
     """U4 over all documents."""
     docs = _spread_docs(spark, sf_dir)
-    return repeats.longest_repeat(docs, suffix.suffixes(docs)).select("doc_id", "text")
+    return repeats.longest_repeat(docs).select("doc_id", "text")
 
 
 @_query()
 def document_shortest_unique(spark, sf_dir):
     """U9 over all documents."""
     docs = _spread_docs(spark, sf_dir)
-    return repeats.shortest_unique(docs, suffix.suffixes(docs))
+    return repeats.shortest_unique(docs)
 
 
 @_query()
 def document_first_shortest_unique(spark, sf_dir):
     """U8 over all documents."""
     docs = _spread_docs(spark, sf_dir)
-    return repeats.first_shortest_unique(docs, suffix.suffixes(docs))
+    return repeats.first_shortest_unique(docs)
+
+
+@_query()
+def document_repeat_intervals(spark, sf_dir):
+    """U2, U3 over all documents: repeated substrings of eight characters or more."""
+    return repeats.repeat_intervals(_spread_docs(spark, sf_dir), 8)
 
 
 @_query()
@@ -719,16 +737,26 @@ f AS (SELECT pair_id, text, list(pos ORDER BY pos) FILTER (side = 1) AS position
 def compare_common(spark, sf_dir):
     """All common substrings of four characters or more."""
     pairs = _pairs(spark, sf_dir)
-    found = compare.common_substrings(pairs, compare.pair_suffixes(pairs), 4)
+    found = compare.common_substrings(pairs, min_length=4)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select("pair_id", "text", F.size("positions1").cast("long").alias("n1"), F.size("positions2").cast("long").alias("n2"), total("positions1").alias("sum1"), total("positions2").alias("sum2"))
 
 
+@_query(
+    _PAIR
+    + """SELECT pair_id, CAST(positions1[1] AS INTEGER) AS position1, CAST(positions2[1] AS INTEGER) AS position2, CAST(min(length(text)) AS INTEGER) AS shortest, CAST(max(length(text)) AS INTEGER) AS longest,
+  CAST(len(positions1) AS INTEGER) AS count1, CAST(len(positions2) AS INTEGER) AS count2 FROM f GROUP BY pair_id, positions1, positions2"""
+)
+def compare_common_intervals(spark, sf_dir):
+    """The same by intervals of suffixes."""
+    return compare.common_intervals(_pairs(spark, sf_dir), 4)
+
+
 @_query(_PAIR.replace("range(4,", "range(1,") + "SELECT pair_id, text, CAST(positions1[1] AS INTEGER) AS first1, CAST(positions2[1] AS INTEGER) AS first2 FROM f QUALIFY length(text) = max(length(text)) OVER (PARTITION BY pair_id)")
 def compare_longest_common(spark, sf_dir):
     """The longest common substrings."""
     pairs = _pairs(spark, sf_dir)
-    found = compare.longest_common(pairs, compare.pair_suffixes(pairs))
+    found = compare.longest_common(pairs)
     return found.select("pair_id", "text", F.col("positions1")[0].alias("first1"), F.col("positions2")[0].alias("first2"))
 
 

@@ -107,7 +107,17 @@ def lz78(t):
     return n
 
 
+def intervals(t, least):
+    same = {}
+    for size in range(least, len(t)):
+        for s, at in places(t, size).items():
+            if len(at) > 1:
+                same.setdefault(tuple(at), []).append(size)
+    return [(at[0], min(sizes), max(sizes), len(at)) for at, sizes in same.items()]
+
+
 PLAIN = {
+    "document_repeat_intervals": lambda t: intervals(t, 8),
     "repeat_documents": lambda t: [(len({t[a:b] for a in range(len(t)) for b in range(a + 1, len(t) + 1)}),)],
     "repeat_lz78": lambda t: [(lz78(t),)],
     "document_wildcard_q": lambda t: [(i,) for i in range(len(t) - 3) if t[i] == "e" and t[i + 3] == "n"],

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from strandline.functions import kernels
 from strandline.plans.keys import is_keyed, keyed, unkeyed
 from strandline.plans.ranking import global_positions
+from strandline.plans.suffix_order import suffix_order
 from strandline.plans.tables import write_table
 
 #: Longest text for the kernel, which needs some 100 bytes a character.
@@ -70,41 +71,14 @@ def giant_suffixes(chars: DataFrame) -> DataFrame:
 
 
 def giant_tables(texts: DataFrame) -> DataFrame:
-    """``texts(doc_id, text, at)``, numbered by ``at``, to the rows of :func:`suffixes`.
-
-    The ranks are those of :func:`giant_suffixes`, text by text.  Every round's
-    are kept: the common prefix of two neighbours is the sum of the lengths at
-    which their ranks still agree, from the longest down."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                codes = kernels.code_points(text)
-                for lo in range(0, len(codes), 1 << 16):
-                    part = codes[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), pa.array(np.arange(lo, lo + len(part)), pa.int64()), pa.array(part, pa.int64())], names=["at", "pos", "r"])
-
-    # an end has rank 0, below every code point
-    levels = [write_table(texts.select("at", "text").mapInArrow(cut, "at long, pos long, r long").withColumn("r", F.col("r") + 1), "suffix-ranks")]
-    total, k = levels[0].count(), 1
-    while True:
-        ahead = levels[-1].select("at", (F.col("pos") - k).alias("pos"), F.col("r").alias("r2"))
-        pairs = write_table(levels[-1].join(ahead, ["at", "pos"], "left").select("at", "pos", "r", F.coalesce("r2", F.lit(0)).alias("r2")), "suffix-pairs")
-        named = global_positions(pairs.select("at", "r", "r2").distinct(), ["at", "r", "r2"], "new", 1)
-        levels.append(write_table(pairs.join(named, ["at", "r", "r2"]).select("at", "pos", F.col("new").alias("r")), "suffix-ranks"))
-        if levels[-1].agg(F.max("r")).first()[0] == total:
-            break
-        k *= 2
-    last = levels.pop()
-    before = last.select("at", (F.col("r") + 1).alias("r"), F.col("pos").alias("b"))
-    rows = last.join(before, ["at", "r"], "left").withColumn("lcp", F.lit(0).cast("long"))
-    for n in range(len(levels) - 1, -1, -1):
-        of = lambda name: levels[n].select("at", F.col("pos").alias(f"__{name}"), F.col("r").alias(f"r_{name}"))
-        rows = rows.withColumn("__a", F.col("pos") + F.col("lcp")).withColumn("__b", F.col("b") + F.col("lcp"))
-        rows = rows.join(of("a"), ["at", "__a"], "left").join(of("b"), ["at", "__b"], "left")
-        more = F.when(F.col("r_a") == F.col("r_b"), F.lit(1 << n)).otherwise(0)
-        rows = write_table(rows.select("at", "pos", "r", "b", (F.col("lcp") + more).alias("lcp")), "suffix-prefixes")
-    first = rows.groupBy("at").agg(F.min("r").alias("first"))
+    """``texts(doc_id, text, at)``, numbered by ``at``, to the rows of :func:`suffixes`."""
+    order = suffix_order(texts.select("at", "text"), apart=True)
+    ranks = write_table(order.ranks, "giant-ranks")
+    before = ranks.select("at", (F.col("r") + 1).alias("r"), F.col("pos").alias("pos2"))
+    pairs = ranks.join(before, ["at", "r"]).select(F.col("at").alias("at1"), F.col("pos").alias("pos1"), F.col("at").alias("at2"), "pos2", "r")
+    lcp = order.common_prefixes(pairs).select(F.col("at1").alias("at"), F.col("pos1").alias("pos"), "r", "lcp")
+    first = ranks.groupBy("at").agg(F.min("r").alias("first"))
+    rows = lcp.unionByName(first.join(ranks, "at").filter("r = first").select("at", "pos", "r", F.lit(0).alias("lcp")))
     out = rows.join(first, "at").join(texts.select("at", "doc_id"), "at")
     return out.select("doc_id", *[F.expr(c).cast("int").alias(n) for c, n in (("r - first", "rank"), ("pos", "pos"), ("lcp", "lcp"))])
 

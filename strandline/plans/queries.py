@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.patterns import WildcardOptions
-from strandline.operators import bits, compare, ranges, repeats, search, sequence, suffix
+from strandline.operators import bits, compare, corpus, ranges, repeats, search, sequence, suffix
 from strandline.plans import gram_index, tables
 from strandline.plans.keys import keyed, unkeyed
 from strandline.sources import sequences, store
@@ -704,6 +704,13 @@ def document_repeat_intervals(spark, sf_dir):
     return repeats.repeat_intervals(_spread_docs(spark, sf_dir), 8)
 
 
+@_query()
+def document_matches(spark, sf_dir):
+    """J1, J3, J4, S7 over the corpus: what every document whose id is divisible by 50 has
+    in common with all other documents, from 40 characters on."""
+    return corpus.shared_stretches(_spread_docs(spark, sf_dir), F.col("doc_id") % 50 == 0, 40)
+
+
 @_query()
 def document_tandem(spark, sf_dir):
     """U5 over all documents."""

@@ -141,3 +141,16 @@ def test_documents(spark, sf_dir, name):
 def test_common_prefixes(spark, sf_dir):
     got = {r["qid"]: r["lcp"] for r in QUERIES["document_common_prefix"](spark, sf_dir).collect()}
     assert got == {4 * k + j: prefix(t[len(t) * j // 4 :], t[len(t) - 1 - len(t) * j // 4 :]) for k, t in TEXTS.items() if t for j in range(4)}
+
+
+def test_matches(spark, tmp_path):
+    """Copies, passages and what they lie in, against comparisons of all texts."""
+    from test_corpus import plain
+
+    word = lambda n: "".join(_rng.choice("abcdefgh ") for _ in range(n))
+    passages = [word(60), word(45), word(39)]
+    rows = [(i, word(50) + passages[i % 3][i % 5 :] + word(30)) for i in range(40, 70)] + [(100, passages[0]), (150, None), (200, word(70)), (201, "")]
+    rows += [(300, rows[0][1]), (350, "ab" * 40), (351, "ba" * 35)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r)[:3] for r in QUERIES["document_matches"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(plain(rows, lambda i: i % 50 == 0, 40).elements()) and len(got) > 4

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandline.llm.workspace import Batches, Workspace, text_steps, worker
+from strandline.llm.workspace import Batches, Recent, Workspace, text_steps, worker
 
 WIDTH = 24
 #: A payload is a multiple of this: one frame of 24 x 24 samples.
@@ -212,15 +212,14 @@ def store_texts(docs: DataFrame, space: Workspace) -> DataFrame:
 
     @worker
     def run(batches: Batches) -> Batches:
-        seen: set[bytes] = set()
+        seen = Recent()
         for b in text_steps(batches, 0, _BATCH):
             digests, images = [], []
             for raw in b.column(0):
                 payload = pad(raw.as_py() or b"")
                 for media in (payload, payload[:UNIT]):
                     digest = hashlib.sha256(media)
-                    if digest.digest() not in seen:
-                        seen.add(digest.digest())
+                    if seen.new(digest.digest()):
                         digests.append(digest.hexdigest())
                         images.append(to_image(media))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["digest", "media"])

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
-from strandline.llm.workspace import Batches, Workspace, finalise, text_steps, worker
+from strandline.llm.workspace import Batches, Recent, Workspace, finalise, text_steps, worker
 
 #: How much longer than necessary the first window is, as a share of the set:
 #: so much of a text may consist of common shingles without meeting them.
@@ -273,16 +273,15 @@ def _measured(docs: DataFrame, words: int, threshold: Fraction, space: Workspace
 
     @worker
     def run(batches: Batches) -> Batches:
-        seen: set[tuple[int, int]] = set()
+        seen = Recent()
         for b in text_steps(batches, 1):
             n, keys, low = [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
                 keys.append(digest(s) if len(s) else (None, None))
-                if not len(s) or keys[-1] in seen:  # a copy's window is sent once a task
+                if not len(s) or not seen.new(keys[-1]):  # a copy's window is not sent again
                     low.append(None)
                 else:
-                    seen.add(keys[-1])
                     low.append(s[: -(-len(s) * window.numerator // window.denominator)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(low, pa.list_(pa.int64()))],
@@ -463,13 +462,12 @@ def _needed_sets(docs: DataFrame, needed: DataFrame, words: int, space: Workspac
 
     @worker
     def run(batches: Batches) -> Batches:
-        bits, seen = np.frombuffer(sent.value, np.uint8), set()
+        bits, seen = np.frombuffer(sent.value, np.uint8), Recent()
         for b in text_steps(batches, 1):
             b = b.filter(pa.array(_is_set(bits, b.column(0).to_numpy())))
             found = []
             for s in shingle_sets(b.column(1), words) if b.num_rows else ():
-                if len(s) and (name := digest(s)) not in seen:  # a copy's set is sent once a task
-                    seen.add(name)
+                if len(s) and seen.new(name := digest(s)):  # a copy's set is not sent again
                     found.append((*name, s.tobytes()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "shingles"])

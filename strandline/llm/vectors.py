@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
-from strandline.llm.workspace import Batches, Workspace, worker
+from strandline.llm.workspace import Batches, Recent, Workspace, worker
 
 #: Bound of the sample that centroids are fitted on.
 SAMPLE_ROWS = 16384
@@ -52,16 +52,14 @@ def _matrix(column: pa.Array) -> list[np.ndarray | None]:
 @worker
 def _digested(batches: Batches) -> Batches:
     """Adds each usable vector's digest and, once a task for each, its bytes."""
-    seen: set[tuple[str, bytes]] = set()
+    seen = Recent()
     for b in batches:
         labels = b.column(1).to_pylist()
         digests, raws = [], []
         for v, label in zip(_matrix(b.column(2)), labels):
             raw = _pack(v) if v is not None and label is not None else None
             digests.append(None if raw is None else hashlib.blake2b(raw, digest_size=16).digest())
-            key = (label, digests[-1])
-            raws.append(None if raw is None or key in seen else raw)
-            seen.add(key)
+            raws.append(raw if raw is not None and seen.new((label, digests[-1])) else None)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "digest", "raw"])
 
 

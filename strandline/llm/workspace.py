@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandline.plans.tables import delete_path, new_path, write_table
 
-__all__ = ["Workspace", "absent", "cased", "crc_mod", "finalise", "new_path", "text_steps", "worker"]
+__all__ = ["Recent", "Workspace", "absent", "cased", "crc_mod", "finalise", "new_path", "text_steps", "worker"]
 
 #: Bytes of text that a worker takes at a time (a longer single text alone).
 STEP_BYTES = 2_000_000
@@ -81,6 +81,22 @@ def text_steps(batches: Batches, column: int, limit: int | None = None) -> Batch
             at = end
 
 
+class Recent:
+    """Tells what a task has met lately: a set of bounded size that starts anew when it
+    is full.  For leaving out repeats whose second coming does no harm."""
+
+    def __init__(self, most: int = 1 << 16):
+        self._most, self._seen = most, set()
+
+    def new(self, key: object) -> bool:
+        if key in self._seen:
+            return False
+        if len(self._seen) >= self._most:
+            self._seen.clear()
+        self._seen.add(key)
+        return True
+
+
 def worker(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """For functions of ``mapInArrow``: at the end of a task freed memory goes back
     to the system, as workers stay for later tasks."""

@@ -263,6 +263,32 @@ def curriculum(
     return out.repartitionById(2 * n, part).sortWithinPartitions(F.col("position").asc_nulls_last(), "__lot").drop("__lot")
 
 
+#: Parts in which equal rows are counted first, and keys of them that are broadcast (16
+#: bytes each) in place of shuffling all rows.
+LOT_PARTS, LOT_KEYS = 64, 1 << 17
+
+
+def _by_lot(whole: DataFrame, plan: DataFrame, keys: int, seed: int) -> DataFrame:
+    """Rows that are not alone with their keys, with their ``plan`` and ``__u``, their lot
+    from 0 to 1.  Wholly equal rows are counted part by part, whatever partition they
+    lie in, and come back by their numbers, in chunks that are dealt out."""
+    columns = whole.schema["__row"].dataType.names
+    keyed = whole.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(LOT_PARTS))).withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(f"__row.`{c}`") for c in columns]))
+    same = ["__k1", "__k2", "__h"]
+    if keys <= LOT_KEYS:
+        found = keyed.join(F.broadcast(plan.select("__k1", "__k2")), ["__k1", "__k2"])
+    else:
+        parts = plan.select("__k1", "__k2", F.explode(F.sequence(F.lit(0), F.lit(LOT_PARTS - 1))).alias("__part"))
+        found = keyed.join(parts, ["__k1", "__k2", "__part"])
+    some = found.groupBy(*same, "__part").agg(F.first("__row").alias("__row"), F.count(F.lit(1)).alias("__m"))
+    rows = some.groupBy(*same).agg(F.first("__row").alias("__row"), F.sum("__m").alias("__m"))
+    chunks = rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__m") - 1) / COPIES)))).repartition(_parts(whole), *same, "__chunk")
+    first = F.col("__chunk") * COPIES
+    each = chunks.withColumn("__j", F.explode(F.sequence(first, F.least(first + COPIES, F.col("__m")) - 1)))
+    lot = F.xxhash64(F.lit(seed), *same, "__j") / 2.0**64 + 0.5
+    return each.select("__row", "__k1", "__k2", lot.alias("__u")).join(plan, ["__k1", "__k2"])
+
+
 RESULTS = {"size", "source_size", "target", "taken", "position", "time", "epochs"}
 
 
@@ -270,7 +296,9 @@ def mixed_documents(docs: DataFrame, schedule: DataFrame | None = None, max_epoc
     """The mix itself: whole documents, each as often as it is taken (the cut
     last one counts from one half on), in training order.  Columns stay as they
     are.  Rows without a word are kept once, somewhere in the mix.  Rows that are
-    equal in doc_id, source and text share what is taken of them all by lot."""
+    equal in doc_id, source and text share what is taken of them all by lot: a hash
+    of all their columns and, of wholly equal rows, of their number among these.  Such
+    rows are counted and numbered anew, so the lots follow no order of rows."""
     rows, demand, _ = _places(docs, schedule, None, max_epochs, seed, ())
     taken = F.col("__words") * _full() + F.greatest(F.lit(0), F.least(F.col("__words"), F.col("goal") - _full() * F.col("source_size") - F.col("before")))
     times = F.round(taken / F.col("size")).cast("long")
@@ -286,8 +314,12 @@ def mixed_documents(docs: DataFrame, schedule: DataFrame | None = None, max_epoc
         F.when(words, at(F.col("before"))).otherwise(anywhere).alias("__low"),
         F.when(words & (F.col("__c") > 1), at(F.col("before") + F.col("__words"))).alias("__high"),
     ).filter("__n > 0 or __more > 0")
+    plan = Workspace(docs.sparkSession, "mix").save(plan, "plan")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *_keys(seed))
-    placed = whole.join(plan, ["__k1", "__k2"]).withColumn("__u", F.when(F.col("__c") > 1, F.rand(seed)).otherwise(0.0))
+    alone = whole.join(plan.filter("__c = 1"), ["__k1", "__k2"]).withColumn("__u", F.lit(0.0))
+    copied = plan.filter("__c > 1")
+    keys = copied.count()
+    placed = alone.unionByName(_by_lot(whole, copied, keys, seed)) if keys else alone
     placed = placed.withColumn("__n", F.least(F.col("__n") + (F.col("__u") < F.col("__more")).cast("int"), F.size("__low"))).filter("__n > 0")
     position = F.transform(F.slice("__low", F.lit(1), F.col("__n")), lambda x, e: x + F.coalesce((F.get(F.col("__high"), e) - x) * F.col("__u"), F.lit(0.0)))
     placed = placed.select("__row", "__k1", F.explode(position).alias("__at"))

@@ -138,3 +138,21 @@ def test_mixed_documents(spark):
     count = Counter(r["doc_id"] for r in got.collect())
     for d, r in plan.items():
         assert count[d] == (int(r["taken"] / r["size"] + 0.5) if r["size"] else 1)
+
+
+def test_lots_follow_no_order_of_rows(spark, monkeypatch):
+    """Copies, wholly equal or not, are the same ones however rows are dealt out."""
+    rows = [(i % 3, "a b c d", "x", i // 4) for i in range(60)] + [(i, f"e{i} f g", "y", 0) for i in range(40)] + [(None, "h", None, 0)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = []
+        for n, keys in ((3, 1 << 17), (8, 1 << 17), (17, 0), (211, 1 << 17)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            monkeypatch.setattr(mixing, "LOT_KEYS", keys)
+            got.append(Counter(map(tuple, mixing.mixed_documents(docs.repartition(n)).collect())))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got[0] == got[1] == got[2] == got[3] and set(got[0]) <= set(rows) and got[0].total() > 60

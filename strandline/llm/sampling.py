@@ -58,12 +58,13 @@ def drawn(rows: DataFrame, label: str, per_label: int, max_texts: int = MAX_TEXT
     return kept.dropDuplicates(["label", "lot"]), per_label, len(counts)
 
 
-def fitted(sample: tuple[DataFrame, int, int], encode: Callable[[str], bytes], fit: Callable[[list[tuple[str, bytes]]], Any], max_bytes: int) -> Any:
+def fitted(sample: tuple[DataFrame, int, int], encode: Callable[[str], bytes], fit: Callable[[list[tuple[str, bytes]]], Any], max_bytes: int, shorten: Callable[[bytes, int], bytes] | None = None) -> Any:
     """The model that ``fit`` makes of ``(label, encoded text)`` pairs in one task.
 
     ``encode`` runs in the workers.  The task takes each label's texts in the
     order of their lots, up to the number asked for and up to the label's share
-    of ``max_bytes``; encoded texts that do not fit are passed over.
+    of ``max_bytes``; encoded texts that do not fit are passed over, but for a label's
+    first one, of which ``shorten(encoded text, bytes)`` leaves what fits.
     """
     rows, per_label, labels = sample
 
@@ -79,10 +80,13 @@ def fitted(sample: tuple[DataFrame, int, int], encode: Callable[[str], bytes], f
         taken = []
         for b in batches:
             for name, code in zip(b.column(0).to_pylist(), b.column(2)):
-                size = len(code.as_buffer())
-                if texts.get(name, 0) < per_label and held.get(name, 0) + size <= max_bytes // max(1, labels):
+                code, share = code.as_py(), max_bytes // max(1, labels)
+                if shorten is not None and len(code) > share and not texts.get(name):
+                    code = shorten(code, share)
+                size = len(code)
+                if texts.get(name, 0) < per_label and held.get(name, 0) + size <= share:
                     texts[name], held[name] = texts.get(name, 0) + 1, held.get(name, 0) + size
-                    taken.append((name, code.as_py()))
+                    taken.append((name, code))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(taken))], pa.binary())], names=["model"])
 
     codes = rows.select("label", "text", "lot").mapInArrow(encoded, "label string, lot long, code binary")

@@ -231,3 +231,29 @@ def test_quality_tables(spark):
     none = quality.train(docs, labels.limit(0))
     assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(empty(spark), none).count() == 0
+
+
+def test_a_thousand_languages(spark):
+    """Codewords by products in place of pairs; each language is learnt, also where its
+    only text has more features than its share of the sample's bytes."""
+    rng = random.Random(8)
+    own = [[chr(97 + rng.randrange(26)) + chr(97 + rng.randrange(26)) + chr(0x100 + i % 300) for _ in range(6)] for i in range(1000)]
+    rows = [(4 * i + j, " ".join(rng.choice(own[i]) for _ in range(40)), f"l{i:04d}") for i in range(1000) for j in range(2)]
+    rows.append((9000, " ".join(chr(0x400 + rng.randrange(3000)) + str(k) for k in range(20_000)), "long"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"))
+    learnt = sorted({r[2] for r in rows if fold(r[0]) != 2})
+    assert model.languages == learnt and len(learnt) > 900
+    code = language.codewords(1000)
+    assert language._least_distance(code) == min(int((code[i] != np.delete(code, i, 0)).sum(axis=1).min()) for i in range(0, 1000))
+    name, _, _ = language.predict(model, [r[1] for r in rows])
+    seen = [(a, r[2]) for a, r in zip(name, rows) if fold(r[0]) != 2]
+    assert np.mean([a == b for a, b in seen]) > 0.9
+
+
+def test_shortened_features_are_the_strongest():
+    code = language._encode("a quick text, " * 9)
+    short = language._shortened(code, 60)
+    at, x = np.frombuffer(short, "<u2", 10), np.frombuffer(short, "<f4", 10, 20)
+    full = dict(zip(np.frombuffer(code, "<u2", len(code) // 6).tolist(), np.frombuffer(code, "<f4", len(code) // 6, len(code) // 3).tolist()))
+    assert sorted(x.tolist()) == sorted(sorted(full.values())[-10:]) and all(full[k] == v for k, v in zip(at.tolist(), x.tolist())) and len(language._shortened(code, 1)) == 6

@@ -1,17 +1,32 @@
 """Range minimum, maximum and general aggregates over sequences.
 
-Partial aggregates of blocks answer the inner part of a range; the edges are
-read row by row.  The index of tied best values is the leftmost.
+The inner part of a range meets aggregates of blocks at powers of two, a logarithm of
+rows (:mod:`strandline.plans.dyadic`); the edges are read row by row.  The index of
+tied best values is the leftmost.  :class:`RangeIndex` keeps such a table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.plans.blocks import BLOCK, check_ranges, edge_rows, full_blocks, sizes
+from strandline.plans.blocks import BLOCK, check_ranges, edge_rows, sizes
+from strandline.plans.dyadic import Combine, by_aggregate, by_fold, depth, nodes, pieces
+from strandline.sources import store
+
+
+def _answered(s: DataFrame, q: DataFrame, state: Column, combine: Combine, block: int, size: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """``(qid, state)``: the merged states of every query's rows; ``kept`` has the nodes."""
+    if kept is None:
+        rows = s.select("seq_id", F.floor(F.col("pos") / block).alias("__block"), F.col("pos").alias("at"), state.alias("state"))
+        blocks = combine(rows, ["seq_id", "__block"]).select("seq_id", F.col("__block").alias("at"), "state")
+        kept = nodes(blocks, size, combine, block)
+    inner = pieces(q, block).join(kept, ["seq_id", "level", "node"]).select("qid", (F.col("at") * block).alias("at"), "state")
+    edges = edge_rows(s, q, block).select("qid", F.col("pos").alias("at"), state.alias("state"))
+    return combine(edges.unionByName(inner), ["qid"]).select("qid", "state")
 
 
 def range_best(s: DataFrame, q: DataFrame, largest: bool = False, strict: bool = True, block: int = BLOCK, by: Column | None = None) -> DataFrame:
@@ -19,16 +34,20 @@ def range_best(s: DataFrame, q: DataFrame, largest: bool = False, strict: bool =
     expression over ``val`` that values are compared by, in place of themselves; a
     struct compares by several."""
     q = check_ranges(q, sizes(s)) if strict else q
+    entry, pick = _best(largest, by)
+    found = _answered(s, q, entry, by_aggregate(pick), block, sizes(s)).withColumnRenamed("state", "best")
+    return _named_best(q.select("qid").join(found, "qid", "left"), largest)
+
+
+def _best(largest: bool, by: Column | None = None) -> tuple[Column, Callable[[Column], Column]]:
     # the largest struct has the best value and, of those, the leftmost index
     order = F.col("val") if by is None else by
-    entry = F.struct(order.alias("o"), (-F.col("pos") if largest else F.col("pos")).alias("p"), F.col("val").alias("v"))
-    pick = F.max if largest else F.min
-    partial = s.groupBy("seq_id", F.floor(F.col("pos") / block).alias("__block")).agg(pick(entry).alias("best"))
-    rows = edge_rows(s, q, block).select("qid", entry.alias("best"))
-    rows = rows.union(full_blocks(q, block).join(partial, ["seq_id", "__block"]).select("qid", "best"))
-    found = rows.groupBy("qid").agg(pick("best").alias("best"))
+    return F.struct(order.alias("o"), (-F.col("pos") if largest else F.col("pos")).alias("p"), F.col("val").alias("v")), F.max if largest else F.min
+
+
+def _named_best(found: DataFrame, largest: bool) -> DataFrame:
     index = -F.col("best.p") if largest else F.col("best.p")
-    return q.select("qid").join(found, "qid", "left").select("qid", F.col("best.v").alias("value"), index.alias("index"))
+    return found.select("qid", F.col("best.v").alias("value"), index.alias("index"))
 
 
 def range_min(s: DataFrame, q: DataFrame, strict: bool = True, block: int = BLOCK) -> DataFrame:
@@ -39,43 +58,119 @@ def range_max(s: DataFrame, q: DataFrame, strict: bool = True, block: int = BLOC
     return range_best(s, q, True, strict, block)
 
 
-#: Aggregates whose parts combine with the second function.
-COMBINED: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
-    "sum": (F.sum, F.sum),
-    "count": (F.count, F.sum),
-    "min": (F.min, F.min),
-    "max": (F.max, F.max),
-    "bit_and": (F.bit_and, F.bit_and),
-    "bit_or": (F.bit_or, F.bit_or),
-    "bit_xor": (F.bit_xor, F.bit_xor),
-    "bool_and": (F.bool_and, F.bool_and),
-    "bool_or": (F.bool_or, F.bool_or),
+#: How the parts of a named aggregate are merged.
+COMBINED: dict[str, Callable[[Column], Column]] = {
+    "sum": F.sum,
+    "count": F.sum,
+    "min": F.min,
+    "max": F.max,
+    "bit_and": F.bit_and,
+    "bit_or": F.bit_or,
+    "bit_xor": F.bit_xor,
+    "bool_and": F.bool_and,
+    "bool_or": F.bool_or,
 }
 
 
 def range_aggregate(s: DataFrame, q: DataFrame, how: str, strict: bool = True, block: int = BLOCK) -> DataFrame:
     """``q(qid, seq_id, start, end)`` to a named aggregate of the range."""
-    part, whole = COMBINED[how]
+    merge = by_aggregate(COMBINED[how])
     q = check_ranges(q, sizes(s)) if strict else q
-    partial = s.groupBy("seq_id", F.floor(F.col("pos") / block).alias("__block")).agg(part(F.col("val")).alias("x"))
-    rows = edge_rows(s, q, block).groupBy("qid").agg(part(F.col("val")).alias("x"))
-    rows = rows.union(full_blocks(q, block).join(partial, ["seq_id", "__block"]).select("qid", "x"))
-    return q.select("qid").join(rows.groupBy("qid").agg(whole(F.col("x")).alias("value")), "qid", "left")
+    found = _answered(s, q, _state(how), merge, block, sizes(s))
+    return q.select("qid").join(found.withColumnRenamed("state", "value"), "qid", "left")
 
 
-def range_fold(s: DataFrame, q: DataFrame, merge: Callable[[Column, Column], Column], strict: bool = True, block: int = BLOCK) -> DataFrame:
-    """Any associative ``merge`` of two columns, applied from left to right.
-
-    Blocks are folded first; a query then folds at most its blocks and two edges.
-    """
-    q = check_ranges(q, sizes(s)) if strict else q
+def _state(how: str) -> Column:
+    """What one element adds to an aggregate."""
+    if how == "count":
+        return F.when(F.col("val").isNotNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.col("val")
 
-    def fold(df: DataFrame, keys: list[str], at: Column) -> DataFrame:
-        parts = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at.alias("p"), F.col("val").alias("v")))).alias("a"))
-        values = F.transform("a", lambda x: x["v"])
-        return parts.select(*keys, F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), values[0], merge).alias("val"))
 
-    blocks = fold(s.withColumn("__block", F.floor(F.col("pos") / block)), ["seq_id", "__block"], F.col("pos"))
-    inner = full_blocks(q, block).join(blocks, ["seq_id", "__block"]).select("qid", (F.col("__block") * block).alias("pos"), "val")
-    edges = edge_rows(s, q, block).select("qid", "pos", "val")
-    return q.select("qid").join(fold(edges.union(inner), ["qid"], F.col("pos")).withColumnRenamed("val", "value"), "qid", "left")
+def range_fold(s: DataFrame, q: DataFrame, merge: Callable[[Column, Column], Column], strict: bool = True, block: int = BLOCK) -> DataFrame:
+    """Any associative ``merge`` of two columns, applied from left to right: a node's
+    parts first; a query then folds its nodes and two edges."""
+    q = check_ranges(q, sizes(s)) if strict else q
+    found = _answered(s, q, F.col("val"), by_fold(merge), block, sizes(s))
+    return q.select("qid").join(found.withColumnRenamed("state", "value"), "qid", "left")
+
+
+#: Positions in a block of a kept table, which its edges read.
+KEPT_BLOCK = 64
+KIND = "ranges"
+
+
+@dataclass
+class RangeIndex:
+    """A kept table for one aggregate: ``data(seq_id, pos, val)``, ``nodes`` and
+    ``sizes(seq_id, size)``; ``how`` is a name of ``COMBINED``, or ``best_min`` or ``best_max``
+    for values with their leftmost index."""
+
+    data: DataFrame
+    nodes: DataFrame
+    sizes: DataFrame
+    how: str
+    block: int = KEPT_BLOCK
+
+    @staticmethod
+    def _merge(how: str) -> tuple[Column, Combine]:
+        if how in ("best_min", "best_max"):
+            entry, pick = _best(how == "best_max")
+            return entry, by_aggregate(pick)
+        return _state(how), by_aggregate(COMBINED[how])
+
+    @classmethod
+    def build(cls, s: DataFrame, how: str, block: int = KEPT_BLOCK) -> RangeIndex:
+        state, combine = cls._merge(how)
+        size = sizes(s)
+        rows = s.select("seq_id", F.floor(F.col("pos") / block).alias("__block"), F.col("pos").alias("at"), state.alias("state"))
+        blocks = combine(rows, ["seq_id", "__block"]).select("seq_id", F.col("__block").alias("at"), "state")
+        return cls(s.select("seq_id", "pos", "val"), nodes(blocks, size, combine, block), size, how, block)
+
+    def append(self, more: DataFrame) -> RangeIndex:
+        """The index with ``more(seq_id, pos, val)`` behind its sequences, pos from 0 on."""
+        data, new, size = self._growth(more)
+        return RangeIndex(self.data.unionByName(data), self.nodes.unionByName(new), self.sizes.unionByName(size), self.how, self.block)
+
+    def _growth(self, more: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What an append adds.  Nothing is rewritten: nodes get further parts, and where a sequence becomes
+        deeper, its highest node is also a part of the first one of each new level."""
+        state, combine = self._merge(self.how)
+        known = self.sizes.groupBy("seq_id").agg(F.sum("size").alias("before"))
+        grown = sizes(more).join(known, "seq_id", "left").withColumn("before", F.coalesce("before", F.lit(0)))
+        moved = more.join(grown.select("seq_id", "before"), "seq_id").select("seq_id", (F.col("pos") + F.col("before")).alias("pos"), "val")
+        total = grown.select("seq_id", "before", (F.col("before") + F.col("size")).alias("size"))
+        rows = moved.select("seq_id", F.floor(F.col("pos") / self.block).alias("__block"), F.col("pos").alias("at"), state.alias("state"))
+        blocks = combine(rows, ["seq_id", "__block"]).select("seq_id", F.col("__block").alias("at"), "state")
+        new = nodes(blocks, total.select("seq_id", "size"), combine, self.block)
+        of = lambda c: depth(F.ceil(F.col(c) / self.block))
+        deeper = total.filter(F.col("before") > 0).select("seq_id", of("before").alias("level"), of("size").alias("to")).filter("level < to")
+        roots = self.nodes.filter("node = 0").join(deeper, ["seq_id", "level"])
+        above = roots.select("seq_id", F.explode(F.sequence(F.col("level") + 1, "to")).alias("level"), "node", "at", "state")
+        return moved, new.unionByName(above), sizes(more)
+
+    def query(self, q: DataFrame, strict: bool = True) -> DataFrame:
+        """``q(qid, seq_id, start, end)`` to ``(qid, value)``, for ``best_`` with its ``index``."""
+        size = self.sizes.groupBy("seq_id").agg(F.sum("size").alias("size"))
+        q = check_ranges(q, size) if strict else q
+        state, combine = self._merge(self.how)
+        found = q.select("qid").join(_answered(self.data, q, state, combine, self.block, size, self.nodes), "qid", "left")
+        if self.how.startswith("best_"):
+            return _named_best(found.withColumnRenamed("state", "best"), self.how == "best_max")
+        return found.withColumnRenamed("state", "value")
+
+    def save(self, path: str) -> None:
+        settings = self.data.sparkSession.createDataFrame([(self.how, self.block)], "how string, block int")
+        store.save({"data": self.data, "nodes": self.nodes, "sizes": self.sizes, "settings": settings}, path, KIND)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RangeIndex:
+        parts = store.load(spark, path, KIND)
+        how, block = parts["settings"].first()
+        return cls(parts["data"], parts["nodes"], parts["sizes"], how, block)
+
+    @classmethod
+    def append_to(cls, spark: SparkSession, path: str, more: DataFrame) -> None:
+        """Adds values to a saved index: further files and their manifest."""
+        data, new, size = cls.load(spark, path)._growth(more)
+        store.append({"data": data, "nodes": new, "sizes": size}, path, KIND)

@@ -209,6 +209,30 @@ def range_sum(spark, sf_dir):
     return ranges.range_aggregate(s, _asked(s), "sum")
 
 
+def _kept_ranges(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    """Built from the first half of every sequence, saved, appended to, loaded, asked."""
+    s = tables.write_table(_lines(spark, sf_dir), "lines")
+    half = F.floor(F.col("size") / 2)
+    cut = s.join(sequence.size(s), "seq_id")
+    path = tables.new_path(spark, "ranges")
+    ranges.RangeIndex.build(cut.filter(F.col("pos") < half).drop("size"), how).save(path)
+    later = cut.filter(F.col("pos") >= half).select("seq_id", (F.col("pos") - half).alias("pos"), "val")
+    ranges.RangeIndex.append_to(spark, path, later)
+    return ranges.RangeIndex.load(spark, path).query(_asked(s))
+
+
+@_query(_S + "SELECT qid, min(val) AS value, arg_min(pos, (val, pos)) AS \"index\" FROM r GROUP BY qid")
+def range_minimum_kept(spark, sf_dir):
+    """Smallest value and its leftmost position, by a kept table."""
+    return _kept_ranges(spark, sf_dir, "best_min")
+
+
+@_query(_S + "SELECT qid, CAST(sum(val) AS BIGINT) AS value FROM r GROUP BY qid")
+def range_sum_kept(spark, sf_dir):
+    """Sums, by a kept table."""
+    return _kept_ranges(spark, sf_dir, "sum")
+
+
 @_query(_S + "SELECT qid, bit_xor(val) AS value FROM r GROUP BY qid")
 def range_xor(spark, sf_dir):
     """R2: exclusive or of a range."""

@@ -14,18 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
 from strandline.operators.repeats import INTERVAL, intervals
+from strandline.operators.suffix import MAX_CHARS
+from strandline.plans import asof
 from strandline.plans.keys import is_keyed, keyed, unkeyed
+from strandline.plans.ranking import global_positions
+from strandline.plans.suffix_order import suffix_order
+from strandline.plans.tables import write_table
 from strandline.streaming.counts import grams
 
-def _by_rank() -> WindowSpec:
-    return Window.partitionBy("pair_id").orderBy("rank")
-
-
 def keyed_pairs(pairs: DataFrame) -> DataFrame:
     return keyed(pairs, "pair_id", ("text1", "text2"))
 
@@ -41,9 +42,10 @@ def _suffix_order(text1: str, text2: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return side, np.where(side == 1, order, order - len(one) - 1), lcp
 
 
-def pair_suffixes(pairs: DataFrame) -> DataFrame:
+def pair_suffixes(pairs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """``(pair_id, rank, side, pos, lcp)`` with side 1 or 2, keyed; operators that take
-    ``pairs`` as well want those keyed before."""
+    ``pairs`` as well want those keyed before.  Pairs of more than ``max_chars``
+    characters go through one order of all their suffixes."""
     pairs = keyed_pairs(pairs)
     kind = pairs.schema["pair_id"].dataType.simpleString()
 
@@ -57,13 +59,33 @@ def pair_suffixes(pairs: DataFrame) -> DataFrame:
                 )
 
     rows = pairs.select("pair_id", "text1", "text2").na.drop(subset=["text1", "text2"])
-    return rows.mapInArrow(run, f"pair_id {kind}, rank int, side int, pos int, lcp int")
+    size = F.length("text1") + F.length("text2")
+    kept = rows.filter(size <= max_chars).mapInArrow(run, f"pair_id {kind}, rank int, side int, pos int, lcp int")
+    giant = rows.filter(size > max_chars)
+    return kept.union(_giant_suffixes(giant)) if giant.take(1) else kept
+
+
+def _giant_suffixes(pairs: DataFrame) -> DataFrame:
+    """The same rows for pairs of any length: both texts' suffixes in the order of all,
+    numbered pair by pair, each compared with the one before it."""
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"text{n}").alias("text")) for n in (1, 2)]))
+    texts = write_table(pairs.select("pair_id", sides.alias("s")).select("pair_id", "s.*").filter("text <> ''").withColumn("at", F.monotonically_increasing_id()), "pair-texts")
+    order = suffix_order(texts.select("at", "text"), apart=False)
+    rows = order.ranks.join(texts.select("at", "pair_id", "side"), "at")
+    # of two equal suffixes that of the first text comes first: its end is the lower one
+    placed = write_table(global_positions(rows, ["pair_id", "r", "side", "pos"], "idx"), "pair-order")
+    first = placed.groupBy("pair_id").agg(F.min("idx").alias("first"))
+    ranked = write_table(placed.join(first, "pair_id").withColumn("rank", F.col("idx") - F.col("first")), "pair-ranks")
+    before = asof.beside(ranked, ["pair_id"], "rank", ["at", "pos"], "__before", -1).filter("__before is not null")
+    pairs_of = before.select("pair_id", "rank", "side", F.col("at").alias("at1"), F.col("pos").alias("pos1"), F.col("__before.at").alias("at2"), F.col("__before.pos").alias("pos2"))
+    rest = order.common_prefixes(pairs_of).select("pair_id", "rank", "side", F.col("pos1").alias("pos"), "lcp")
+    all_ = rest.unionByName(ranked.filter("rank = 0").select("pair_id", "rank", "side", "pos", F.lit(0).alias("lcp")))
+    return all_.select("pair_id", F.col("rank").cast("int").alias("rank"), F.col("side").cast("int").alias("side"), F.col("pos").cast("int").alias("pos"), F.col("lcp").cast("int").alias("lcp"))
 
 
 def _neighbours(px: DataFrame) -> DataFrame:
     """Suffixes whose predecessor belongs to the other text, with both positions."""
-    before, side = F.lag("pos").over(_by_rank()), F.lag("side").over(_by_rank())
-    rows = px.withColumn("__pos", before).withColumn("__side", side).filter("__side <> side")
+    rows = asof.beside(px, ["pair_id"], "rank", ["pos", "side"], "__before", -1).withColumn("__pos", F.col("__before.pos")).filter("__before.side <> side")
     one = F.when(F.col("side") == 1, F.col("pos")).otherwise(F.col("__pos"))
     two = F.when(F.col("side") == 1, F.col("__pos")).otherwise(F.col("pos"))
     return rows.select("pair_id", "rank", one.alias("position1"), two.alias("position2"), F.col("lcp").alias("length"))
@@ -100,7 +122,8 @@ def longest_common(pairs: DataFrame, px: DataFrame | None = None) -> DataFrame:
     """``(pair_id, text, positions1, positions2)`` of all longest common substrings."""
     pairs, px = _with_suffixes(pairs, px)
     best = _neighbours(px).groupBy("pair_id").agg(F.max("length").alias("len")).filter("len > 0")
-    rows = px.join(best, "pair_id").withColumn("run", F.sum(F.when(F.col("lcp") < F.col("len"), 1).otherwise(0)).over(_by_rank()))
+    rows = asof.running(px.join(best, "pair_id"), ["pair_id"], "rank", "pos", F.when(F.col("lcp") < F.col("len"), F.col("rank")), "run")
+    # of a run with one suffix only nothing is shared
     return unkeyed(_both_sides(_text_at(rows, pairs), "run"), "pair_id")
 
 
@@ -123,10 +146,10 @@ def common_substrings(pairs: DataFrame, px: DataFrame | None = None, min_length:
     if min_length < 2:
         raise ValueError("min_length must be at least 2")
     pairs, px = _with_suffixes(pairs, px)
-    longest = F.greatest("lcp", F.coalesce(F.lead("lcp").over(_by_rank()), F.lit(0)))
+    longest = F.greatest("lcp", F.coalesce("__next.lcp", F.lit(0)))
     if max_length is not None:
         longest = F.least(longest, F.lit(max_length))
-    rows = px.withColumn("m", longest).filter(F.col("m") >= min_length).select("pair_id", "side", "pos", F.explode(F.sequence(F.lit(min_length), F.col("m"))).alias("len"))
+    rows = asof.beside(px, ["pair_id"], "rank", ["lcp"], "__next", 1).withColumn("m", longest).filter(F.col("m") >= min_length).select("pair_id", "side", "pos", F.explode(F.sequence(F.lit(min_length), F.col("m"))).alias("len"))
     return unkeyed(_both_sides(_text_at(rows, pairs)), "pair_id")
 
 

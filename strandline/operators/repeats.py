@@ -15,17 +15,18 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
 from strandline.operators import suffix
-from strandline.plans import tables
+from strandline.plans import asof, tables
 from strandline.plans.keys import by_row, is_keyed, unkeyed
 
 
-def _by_rank() -> WindowSpec:
-    return Window.partitionBy("doc_id").orderBy("rank")
+def _next_lcp(sx: DataFrame) -> DataFrame:
+    """Adds ``next``, the common prefix with the suffix behind; 0 for the last one."""
+    return asof.beside(sx, ["doc_id"], "rank", ["lcp"], "__next", 1).withColumn("next", F.coalesce("__next.lcp", F.lit(0))).drop("__next")
 
 
 def _substring(sx: DataFrame, docs: DataFrame) -> DataFrame:
@@ -53,10 +54,10 @@ def find_repeats(docs: DataFrame, sx: DataFrame, min_length: int = 2, max_length
     of repeats' lengths; ``max_length`` bounds it."""
     if min_length < 1:
         raise ValueError("min_length must be positive")
-    longest = F.greatest("lcp", F.coalesce(F.lead("lcp").over(_by_rank()), F.lit(0)))
+    longest = F.greatest("lcp", "next")
     if max_length is not None:
         longest = F.least(longest, F.lit(max_length))
-    rows = sx.withColumn("m", longest).filter(F.col("m") >= min_length).select("doc_id", "pos", F.explode(F.sequence(F.lit(min_length), F.col("m"))).alias("len"))
+    rows = _next_lcp(sx).withColumn("m", longest).filter(F.col("m") >= min_length).select("doc_id", "pos", F.explode(F.sequence(F.lit(min_length), F.col("m"))).alias("len"))
     return _substring(rows, docs).groupBy("doc_id", "text").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
@@ -74,8 +75,8 @@ def longest_repeated(docs: DataFrame, sx: DataFrame) -> DataFrame:
 
     Suffixes that share them are neighbours: runs of ranks whose lcp is the
     maximum."""
-    best = F.max("lcp").over(Window.partitionBy("doc_id"))
-    rows = sx.withColumn("len", best).filter("len > 0").withColumn("run", F.sum(F.when(F.col("lcp") < F.col("len"), 1).otherwise(0)).over(_by_rank()))
+    best = sx.groupBy("doc_id").agg(F.max("lcp").alias("len")).filter("len > 0")
+    rows = asof.running(sx.join(best, "doc_id"), ["doc_id"], "rank", "pos", F.when(F.col("lcp") < F.col("len"), F.col("rank")), "run")
     runs = rows.groupBy("doc_id", "run", "len").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.min("pos").alias("pos")).filter(F.size("positions") > 1)
     return _substring(runs, docs).select("doc_id", "text", "positions")
 
@@ -120,10 +121,10 @@ def first_shortest_unique(docs: DataFrame, sx: DataFrame) -> DataFrame:
 
 
 def _shortest(docs: DataFrame, sx: DataFrame) -> DataFrame:
-    size = F.greatest("lcp", F.coalesce(F.lead("lcp").over(_by_rank()), F.lit(0))) + 1
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    rows = sx.withColumn("len", size).withColumn("n", n).filter(F.col("pos") + F.col("len") <= F.col("n"))
-    return rows.withColumn("least", F.min("len").over(Window.partitionBy("doc_id"))).filter("len = least").select("doc_id", "rank", "pos", "len")
+    sizes = sx.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = _next_lcp(sx).withColumn("len", F.greatest("lcp", "next") + 1).join(sizes, "doc_id").filter(F.col("pos") + F.col("len") <= F.col("n"))
+    least = rows.groupBy("doc_id").agg(F.min("len").alias("len"))
+    return rows.select("doc_id", "rank", "pos", "len").join(least, ["doc_id", "len"]).select("doc_id", "rank", "pos", "len")
 
 
 def intervals(batches: Iterator[pa.RecordBatch], min_length: int, order_of: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:

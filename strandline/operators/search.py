@@ -161,7 +161,7 @@ def _part_hits(docs: DataFrame, parts: list[str], question: str) -> list[DataFra
     return [hits.filter(F.col("part") == i).drop("part") for i in range(len(parts))]
 
 
-def locate_single_gapped(docs: DataFrame, pattern: str, asterisk: str = "*", question: str = "?", block: int = asof.BLOCK) -> DataFrame:
+def locate_single_gapped(docs: DataFrame, pattern: str, asterisk: str = "*", question: str = "?", block: int | None = None) -> DataFrame:
     """``(doc_id, position, length, gap_start, gap_count)`` for at most one ``*``.
 
     Leading and trailing hits are paired in order, each trailing hit once, with
@@ -191,7 +191,7 @@ def locate_single_gapped(docs: DataFrame, pattern: str, asterisk: str = "*", que
 
 
 @by_row
-def _paired(docs: DataFrame, lead: str, trail: str, question: str, block: int) -> DataFrame:
+def _paired(docs: DataFrame, lead: str, trail: str, question: str, block: int | None) -> DataFrame:
     leads, trails = _part_hits(docs, [lead, trail], question)
     # a trailing hit at the end of the leading part comes first there: it is too early
     one = leads.select("doc_id", "place", "position", (F.col("position") + len(lead)).alias("at"), F.lit(1).alias("kind"))
@@ -207,7 +207,7 @@ def _paired(docs: DataFrame, lead: str, trail: str, question: str, block: int) -
 _GAPS = "array<struct<position:int,length:int,gap_start:int,gap_count:int>>"
 
 
-def locate_multi_gapped(docs: DataFrame, pattern: str, find_shortest: bool = True, asterisk: str = "*", question: str = "?", block: int = asof.BLOCK) -> DataFrame:
+def locate_multi_gapped(docs: DataFrame, pattern: str, find_shortest: bool = True, asterisk: str = "*", question: str = "?", block: int | None = None) -> DataFrame:
     """``(doc_id, position, length, gaps)`` for any number of ``*``.
 
     ``find_shortest``: for each hit of the first part the nearest chain, one merge of
@@ -235,7 +235,7 @@ def locate_multi_gapped(docs: DataFrame, pattern: str, find_shortest: bool = Tru
 
 
 @by_row
-def _chains(docs: DataFrame, parts: list[str], question: str, block: int) -> DataFrame:
+def _chains(docs: DataFrame, parts: list[str], question: str, block: int | None) -> DataFrame:
     first, *rest = _part_hits(docs, parts, question)
     rows = first.select("doc_id", F.col("position").alias("p0"))
     for i, hits in enumerate(rest):

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
@@ -46,8 +46,8 @@ def suffixes(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     texts = docs.select("doc_id", "text").filter(F.length("text") > 0)
     kept = texts.filter(F.length("text") <= max_chars).mapInArrow(run, f"doc_id {kind}, rank int, pos int, lcp int")
     # texts are numbered before they are written, as ids may be null or repeated
-    giant = write_table(texts.filter(F.length("text") > max_chars).withColumn("at", F.monotonically_increasing_id()), "giant-texts")
-    return kept.union(giant_tables(giant)) if giant.take(1) else kept
+    giant = texts.filter(F.length("text") > max_chars)
+    return kept.union(giant_tables(_numbered(giant))) if giant.take(1) else kept
 
 
 def giant_suffixes(chars: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def with_table(docs: DataFrame, sx: DataFrame | None) -> tuple[DataFrame, DataFr
     are, since ids that repeat would mix their suffixes."""
     if sx is None:
         docs = keyed(docs)
-        return docs, suffixes(docs)
+        return docs, write_table(suffixes(docs), "suffixes")
     if not (is_keyed(docs) and is_keyed(sx)):
         raise ValueError("a suffix table goes with keyed texts: docs = keyed(docs), sx = suffixes(docs)")
     return docs, sx
@@ -114,10 +114,11 @@ def lcp_of_pairs(docs: DataFrame, sx: DataFrame | None, q: DataFrame) -> DataFra
     return between.select("qid", "value").union(same).select("qid.qid", F.col("value").alias("lcp"))
 
 
-def bwt(docs: DataFrame) -> DataFrame:
+def bwt(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """``(doc_id, bwt, original_index)``: for each suffix in order the character
     before it, the last one for the whole text; original_index is the whole
-    text's rank (-1 for an empty text)."""
+    text's rank (-1 for an empty text).  Texts beyond ``max_chars`` go through
+    :func:`giant_tables`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +131,61 @@ def bwt(docs: DataFrame) -> DataFrame:
                 at.append(int(np.flatnonzero(order == 0)[0]) if len(order) else -1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(at, pa.int32())], names=["doc_id", "bwt", "original_index"])
 
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(run, f"doc_id {kind}, bwt string, original_index int")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    kept = texts.filter(F.length("text") <= max_chars).mapInArrow(run, f"doc_id {kind}, bwt string, original_index int")
+    giant = texts.filter(F.length("text") > max_chars)
+    return kept.union(_giant_bwt(_numbered(giant))) if giant.take(1) else kept
 
 
-def restore(transformed: DataFrame) -> DataFrame:
+def _numbered(df: DataFrame) -> DataFrame:
+    """``at``, a row number, beside all columns; written."""
+    return write_table(df.withColumn("at", F.monotonically_increasing_id()), "numbered")
+
+
+#: Characters of a text that a task puts together.
+_PIECE = 1 << 16
+
+
+def _characters(texts: DataFrame, column: str) -> DataFrame:
+    """``(at, pos, ch)`` of texts numbered by ``at``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                codes = kernels.code_points(text)
+                for lo in range(0, len(codes), _PIECE):
+                    part = codes[lo : lo + _PIECE]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), pa.array(np.arange(lo, lo + len(part)), pa.int64()), pa.array(part, pa.int32())], names=["at", "pos", "ch"])
+
+    return texts.select("at", column).mapInArrow(cut, "at long, pos long, ch int")
+
+
+def _put_together(chars: DataFrame, order: str, name: str) -> DataFrame:
+    """``(at, name)``: characters in order, pieces first, so that only a text's pieces meet."""
+    pieces = chars.withColumn("__piece", F.floor(F.col(order) / _PIECE)).groupBy("at", "__piece").agg(F.array_sort(F.collect_list(F.struct(order, "ch"))).alias("a"))
+    text = pieces.select("at", "__piece", F.array_join(F.transform("a", lambda x: _char(x["ch"])), "").alias("part"))
+    whole = text.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("__piece", "part"))).alias("a"))
+    return whole.select("at", F.array_join(F.transform("a", lambda x: x["part"]), "").alias(name))
+
+
+def _char(code: Column) -> Column:
+    """A code point's character (``chr`` knows one byte only)."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _giant_bwt(texts: DataFrame) -> DataFrame:
+    sx = giant_tables(texts.withColumn("doc_id", F.col("at"))).select(F.col("doc_id").alias("at"), "rank", "pos")
+    sx = write_table(sx, "giant-order")
+    sizes = texts.select("at", F.length("text").alias("n"))
+    before = sx.join(sizes, "at").select("at", "rank", F.pmod(F.col("pos") - 1, F.col("n")).cast("long").alias("pos"))
+    last = _put_together(before.join(_characters(texts, "text"), ["at", "pos"]).select("at", "rank", "ch"), "rank", "bwt")
+    whole = sx.filter("pos = 0").select("at", F.col("rank").alias("original_index"))
+    return last.join(whole, "at").join(texts.select("at", "doc_id"), "at").select("doc_id", "bwt", "original_index")
+
+
+def restore(transformed: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """``(doc_id, text)`` from a transform whose text ends in its unique smallest
-    character."""
+    character.  Transforms beyond ``max_chars`` are inverted by joins."""
     kind = transformed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +193,33 @@ def restore(transformed: DataFrame) -> DataFrame:
             texts = [kernels.invert_bwt(kernels.code_points(t), i).tobytes().decode("utf-32-le", "surrogatepass") for t, i in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return transformed.select("doc_id", "bwt", "original_index").mapInArrow(run, f"doc_id {kind}, text string")
+    rows = transformed.select("doc_id", "bwt", "original_index").filter(F.col("bwt").isNotNull())
+    kept = rows.filter(F.length("bwt") <= max_chars).mapInArrow(run, f"doc_id {kind}, text string")
+    giant = rows.filter(F.length("bwt") > max_chars)
+    return kept.union(_giant_restore(_numbered(giant))) if giant.take(1) else kept
+
+
+def _giant_restore(rows: DataFrame) -> DataFrame:
+    """Every character's distance from the text's end, by doubling: the last-to-first map
+    leads each place of the transform to that of the character before; a place knows
+    its distance once its way has met the place of the text's last character."""
+    chars = _characters(rows, "bwt")
+    # places of a character follow its order: a global numbering, no window over a text
+    sorted_ = global_positions(chars, ["at", "ch", "pos"], "g")
+    first = sorted_.groupBy("at").agg(F.min("g").alias("base"), F.count(F.lit(1)).alias("n"))
+    lf = write_table(sorted_.join(first, "at").select("at", "pos", "ch", "n", (F.col("g") - F.col("base")).alias("to")), "last-to-first")
+    # walking back from the whole text's place, the k-th step reads the k-th character from the end;
+    # reversed: each place points to the one that is read before it
+    ahead = lf.select("at", F.col("to").alias("pos"), F.col("pos").alias("next"))
+    ends = rows.select("at", F.col("original_index").cast("long").alias("end"))
+    way = write_table(ahead.join(ends, "at").select("at", "pos", F.when(F.col("pos") != F.col("end"), F.col("next")).alias("next"), F.when(F.col("pos") != F.col("end"), F.lit(1)).otherwise(0).cast("long").alias("steps")), "ways")
+    while not way.filter("next is not null").isEmpty():
+        far = way.select("at", F.col("pos").alias("next"), F.col("next").alias("__next"), F.col("steps").alias("__steps"))
+        open_, done = way.filter("next is not null"), way.filter("next is null")
+        moved = open_.join(far, ["at", "next"]).select("at", "pos", F.col("__next").alias("next"), (F.col("steps") + F.col("__steps")).alias("steps"))
+        way = write_table(moved.unionByName(done), "ways")
+    read = way.join(lf.select("at", "pos", "ch", "n"), ["at", "pos"]).select("at", "ch", (F.col("n") - 1 - F.col("steps")).alias("place"))
+    return _put_together(read, "place", "text").join(rows.select("at", "doc_id"), "at").select("doc_id", "text")
 
 
 def terminated(docs: DataFrame, end: str = "\0") -> DataFrame:
@@ -151,9 +227,9 @@ def terminated(docs: DataFrame, end: str = "\0") -> DataFrame:
     return docs.select("doc_id", F.concat("text", F.lit(end)).alias("text"))
 
 
-def full_text_restore(docs: DataFrame) -> DataFrame:
+def full_text_restore(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """Transforms terminated texts, inverts, and drops the terminator."""
-    back = restore(bwt(terminated(docs)))
+    back = restore(bwt(terminated(docs), max_chars), max_chars)
     return back.select("doc_id", F.substring("text", F.lit(1), F.length("text") - 1).alias("text"))
 
 

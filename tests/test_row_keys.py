@@ -9,6 +9,7 @@ from test_documents import hits, intervals, longest, multi, palindrome, places,
 
 from strandline.functions import kernels
 from strandline.operators import compare, repeats, search, suffix
+from strandline.plans import asof
 from strandline.plans.keys import keyed
 
 _rng = random.Random(8)
@@ -66,6 +67,21 @@ OPERATORS = {
 }
 
 
+def transform(t):
+    order = sorted(range(len(t)), key=lambda i: t[i:])
+    return [("".join(t[i - 1] for i in order), order.index(0))]
+
+
+OPERATORS |= {
+    "bwt": (suffix.bwt, transform),
+    "giant_bwt": (lambda d: suffix.bwt(d, max_chars=5), transform),
+    "restore": (suffix.full_text_restore, lambda t: [(t,)]),
+    "giant_restore": (lambda d: suffix.full_text_restore(d, max_chars=5), lambda t: [(t,)]),
+}
+#: Of an empty text too.
+WHOLE = {"bwt": ("", -1), "giant_bwt": ("", -1), "restore": ("",), "giant_restore": ("",)}
+
+
 def plain(x):
     return tuple(plain(y) for y in x) if isinstance(x, (list, tuple)) else x
 
@@ -75,7 +91,9 @@ def test_rows_stay_apart(spark, name):
     run, expected = OPERATORS[name]
     docs = spark.createDataFrame([(i, t, "x", 5) for i, t in ROWS], "doc_id int, text string, row string, rank int")
     got = run(docs)
-    assert Counter(plain(tuple(r)) for r in got.collect()) == Counter((i, *row) for i, t in ROWS if t for row in map(tuple, expected(t)))
+    wanted = Counter((i, *row) for i, t in ROWS if t for row in map(tuple, expected(t)))
+    wanted.update((i, *WHOLE[name]) for i, t in ROWS if t == "" and name in WHOLE)
+    assert Counter(plain(tuple(r)) for r in got.collect()) == wanted
     none = run(docs.limit(0))
     assert none.count() == 0 and none.columns == got.columns and none.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
 
@@ -128,6 +146,24 @@ def test_pairs_stay_apart(spark):
     assert compare.common_intervals(pairs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["find_repeats", "longest_repeated", "first_shortest_unique"])
+def test_rows_stay_apart_in_small_blocks(spark, monkeypatch, name):
+    """Neighbours and runs across the borders of blocks."""
+    monkeypatch.setattr(asof, "BLOCK", 4)
+    test_rows_stay_apart(spark, name)
+
+
+def test_long_pairs_are_those_of_the_kernel(spark, monkeypatch):
+    monkeypatch.setattr(asof, "BLOCK", 5)
+    rng = random.Random(2)
+    rows = PAIRS + [(9, "".join(rng.choice("ab") for _ in range(60)), "".join(rng.choice("abc") for _ in range(40))), (9, "é\U0001f600é", "\U0001f600é")]
+    pairs = spark.createDataFrame(rows, "pair_id int, text1 string, text2 string")
+    own = compare.keyed_pairs(pairs)
+    rows_of = lambda df: Counter(plain(tuple(r)) for r in df.collect())
+    assert rows_of(compare.pair_suffixes(own, max_chars=4)) == rows_of(compare.pair_suffixes(own))
+    assert rows_of(compare.matches(compare.pair_suffixes(own, max_chars=4), 1)) == rows_of(compare.matches(compare.pair_suffixes(own), 1))
+
+
 def test_palindromes_of_repetitive_texts(monkeypatch):
     rng = random.Random(6)
     texts = ["a" * n for n in (2, 3, 1500)] + ["".join(rng.choice("ab") for _ in range(300)) for _ in range(30)] + ["x" + "ab" * 600 + "y" + "ab" * 600]

@@ -15,6 +15,7 @@ from strandline.functions.patterns import WildcardOptions
 from strandline.operators import bits, compare, corpus, ranges, repeats, search, sequence, suffix
 from strandline.plans import gram_index, tables
 from strandline.plans.keys import keyed, unkeyed
+from strandline.plans.value_levels import ValueIndex
 from strandline.sources import sequences, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +152,28 @@ def seq_larger_value(spark, sf_dir):
     return sequence.larger_value(s, _asked(s))
 
 
+def _kept_values(spark: SparkSession, sf_dir: str) -> tuple[ValueIndex, DataFrame]:
+    """The value levels of all sequences, saved and loaded, and what is asked."""
+    s = tables.write_table(_lines(spark, sf_dir), "lines")
+    path = tables.new_path(spark, "values")
+    ValueIndex.build(s).save(path)
+    return ValueIndex.load(spark, path), _asked(s)
+
+
+@_query(_S + "SELECT qid, value FROM (SELECT qid, k, val AS value, row_number() OVER (PARTITION BY qid ORDER BY val) - 1 AS i FROM r) WHERE i = k UNION ALL SELECT qid, NULL FROM q WHERE k >= \"end\" - \"start\"")
+def seq_quantile_kept(spark, sf_dir):
+    """K-th smallest value of a range, by kept value levels."""
+    index, q = _kept_values(spark, sf_dir)
+    return index.quantile(q)
+
+
+@_query(_S + 'SELECT q.qid, count(r.pos) AS "count" FROM q LEFT JOIN r ON r.qid = q.qid AND r.val >= r.min_value AND r.val < r.max_value GROUP BY q.qid')
+def seq_range_freq_kept(spark, sf_dir):
+    """Elements of a range between two values, by kept value levels."""
+    index, q = _kept_values(spark, sf_dir)
+    return index.range_freq(q)
+
+
 @_query("SELECT user_id AS seq_id, event_type AS val, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL)")
 def seq_dictionary(spark, sf_dir):
     """Dictionary codes of each user's events."""

@@ -68,7 +68,7 @@ class SuffixOrder:
         return both.withColumn("lcp", F.col("lcp") + F.when(differ.isNotNull(), more).otherwise(F.lit(0))).select(*columns, F.col("lcp").cast("int").alias("lcp"))
 
 
-def _starts(groups: DataFrame, order: list[str]) -> DataFrame:
+def sums_before(groups: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``s``, the sum of ``n`` over all groups before, in the given order: sums of
     range partitions, one number each, are the driver's part."""
     dealt = groups.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
@@ -118,7 +118,7 @@ def suffix_order(texts: DataFrame, apart: bool) -> SuffixOrder:
     text by text (ranks go on from one text to the next)."""
     codes, width, bits = _packed(texts)
     order = ["at", "code"] if apart else ["code"]
-    groups = _starts(codes.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order)
+    groups = sums_before(codes.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order)
     ranked = write_table(codes.join(groups, order).select("at", "pos", F.col("s").alias("r"), "n", "left"), "ranks")
     out = SuffixOrder(ranked, codes, width, bits)
     done, k = [ranked.filter(F.col("n") == 1)], width
@@ -136,7 +136,7 @@ def suffix_order(texts: DataFrame, apart: bool) -> SuffixOrder:
             ahead = ahead.union(t)
         asked = open_.select("at", F.col("pos").alias("own"), (F.col("pos") + k).alias("pos"), "r", "left")
         pairs = write_table(asked.join(ahead, ["at", "pos"]).select("at", F.col("own").alias("pos"), "r", "left", "ahead"), "pairs")
-        groups = write_table(_starts(pairs.groupBy("r", "ahead").agg(F.count(F.lit(1)).alias("n")), ["r", "ahead"]), "starts")
+        groups = write_table(sums_before(pairs.groupBy("r", "ahead").agg(F.count(F.lit(1)).alias("n")), ["r", "ahead"]), "starts")
         first = groups.groupBy("r").agg(F.min("s").alias("first"))
         # equal suffixes that ended come before those that go on, and are part of the group
         before = ended.groupBy("r").agg(F.count(F.lit(1)).alias("ended"))

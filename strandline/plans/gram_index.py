@@ -12,6 +12,7 @@ by batches.  Rows are numbered, so that null and repeated ids stay apart.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,8 +50,8 @@ class GramIndex:
         return self.gram + self.window - 1
 
     def append(self, docs: DataFrame) -> GramIndex:
-        """The index with further texts; their batch has the next number."""
-        more = build(docs, self.gram, self.window, _next_batch(self.docs))
+        """The index with further texts, a batch of their own."""
+        more = build(docs, self.gram, self.window, _new_batch())
         return GramIndex(self.docs.unionByName(more.docs), self.postings.unionByName(more.postings), self.gram, self.window)
 
     def save(self, path: str) -> None:
@@ -85,15 +86,17 @@ def build(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, batch: int =
     """The index of ``docs(doc_id, text)``; null texts have no postings."""
     if gram < 1 or gram & (gram - 1) or window < 1:
         raise ValueError("gram must be a power of two, and window positive")
-    rows = write_table(docs.select(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "gram-docs")
+    rows = write_table(docs.select(F.lit(batch).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "gram-docs")
     postings = _least_grams(rows.filter(F.length("text") >= gram + window - 1), ["batch", "row"], "text", gram, window)
-    # in order of the gram, so that readers of a few grams skip the rest by statistics
-    dealt = postings.repartition("gram").sortWithinPartitions("gram")
+    # in order of the gram, so that readers of a few grams skip the rest by statistics;
+    # what a gram of most texts has is split
+    dealt = postings.hint("rebalance", "gram").sortWithinPartitions("gram")
     return GramIndex(rows, write_table(dealt, "gram-postings"), gram, window)
 
 
-def _next_batch(docs: DataFrame) -> int:
-    return (docs.agg(F.max("batch")).first()[0] or 0) + 1
+def _new_batch() -> int:
+    """A random number, so that two appends at once do not share it."""
+    return uuid.uuid4().int >> 65
 
 
 def load(spark: SparkSession, path: str) -> GramIndex:
@@ -105,7 +108,7 @@ def load(spark: SparkSession, path: str) -> GramIndex:
 def append_to(spark: SparkSession, path: str, docs: DataFrame) -> None:
     """Adds texts to a saved index: further files and their manifest, nothing is rewritten."""
     kept = load(spark, path)
-    more = build(docs, kept.gram, kept.window, _next_batch(kept.docs))
+    more = build(docs, kept.gram, kept.window, _new_batch())
     store.append({"docs": more.docs, "postings": more.postings}, path, KIND)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.patterns import WildcardOptions
-from strandline.operators import bits, compare, corpus, ranges, repeats, search, sequence, suffix
+from strandline.operators import bits, compare, corpus, fuzzy, ranges, repeats, search, sequence, suffix
 from strandline.plans import gram_index, tables
 from strandline.plans.keys import keyed, unkeyed
 from strandline.plans.value_levels import ValueIndex
@@ -469,6 +469,12 @@ def text_passages(spark, sf_dir):
     return gram_index.occurrences(_spread_docs(spark, sf_dir), _item_patterns(spark, sf_dir))
 
 
+@_query()
+def text_fuzzy_items(spark, sf_dir):
+    """Every benchmark item in all documents, with two errors at most."""
+    return fuzzy.locate_fuzzy_each(_spread_docs(spark, sf_dir), _item_patterns(spark, sf_dir), 2)
+
+
 @_query("SELECT doc_id, list_sort(list_distinct(string_split(text, ''))) AS characters FROM documents")
 def text_unique_characters(spark, sf_dir):
     """Distinct characters of each document."""

@@ -25,7 +25,7 @@ def test_queries_without_sql_are_tested_plainly():
     """Each of them has a brute-force version in test_documents."""
     from test_documents import PLAIN
 
-    assert set(QUERIES) - set(ORACLES) == {*PLAIN, "document_common_prefix", "document_matches"}
+    assert set(QUERIES) - set(ORACLES) == {*PLAIN, "document_common_prefix", "document_matches", "text_fuzzy_items"}
 
 
 def test_entry(spark):

@@ -20,6 +20,9 @@ CONTRACT = {
     "op7_line_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op8_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op11_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op12_spelling": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+    "op13_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
 }
 PER_ROW = {"op2_jaccard_groups", "op4_media", "op7_line_quality", "op8_language", "op9_mix", "op10_shard"}
 
@@ -30,8 +33,9 @@ def write(spark, root, empty=False):
     docs = docs.select("*", *[docs.n_chars.cast("string").alias(c) for c in names])
     vectors = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)], "x" if i % 4 else None, "n") for i in range(60)] + [(None, None, "x", "n"), (None, [1.0, 1.0, 1.0], "x", "n"), (61, [], "y", "n"), (62, [0.0, float("nan")], "y", "n")], "vec_id long, embedding array<double>, label string, CID string")
     labels = spark.createDataFrame([(100 + i, i % 2, 0, "n") for i in range(40)] + [(None, 1, 0, "n"), (200, None, 0, "n")], "doc_id long, quality int, toxic int, Lot string")
-    pages = spark.createDataFrame([(1, "u", "<p>a</p><img src='x'>", "n"), (None, None, None, "n"), (1, "u", "", "n")], "page_id long, url string, html string, SEGMENTS string")
-    for name, df in (("documents", docs), ("embeddings", vectors), ("labels", labels), ("pages", pages)):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p><img src='x'>", "n"), (None, None, None, "n"), (1, "u", "", "n"), (2, "http://A.Org/x", "", "n")], "page_id long, url string, html string, SEGMENTS string")
+    items = spark.createDataFrame([(1, "the of w1", "n"), (1, "the of w1", "n"), (None, "straße", "n"), (2, None, "n"), (3, "", "n")], "item_id long, text string, Q string")
+    for name, df in (("documents", docs), ("embeddings", vectors), ("labels", labels), ("pages", pages), ("benchmark", items)):
         (df.limit(0) if empty else df).write.parquet(f"{root}/{name}.parquet")
     return str(root)
 

@@ -28,8 +28,13 @@ def odd(spark, tmp_path_factory):
     rows = clustered() + [(1000, v, 0), (1000, v, 0), (None, v, 0), (1001, [2.0, 4.0, 6.0], 0), (1002, v, None), (1003, None, 0), (1004, [0.0, 0.0, 0.0], 0)]
     rows += [(1005, [1.0, None, 3.0], 0), (1006, [float("nan"), 2.0, 3.0], 0), (1007, [float("inf"), 2.0, 3.0], 0), (1008, [], 0), (1009, [1.0, 2.0], 0)]
     vector_table(spark, rows).repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    from test_urls import ODD
+
+    spark.createDataFrame([(i if i % 5 else None, u) for i, u in enumerate([u for u in ODD if u is None or "\n" not in u])], "page_id long, url string").write.parquet(f"{folder}/pages.parquet")
+    items = [(1, "the of Over w1 für"), (1, "the of Over w1 für"), (None, near), (2, None), (3, " - "), (4, "one \U0001f600 漢字"), (5, "and and and there")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     return folder, con
 

@@ -35,12 +35,14 @@ class SuffixOrder:
     """``ranks(at, pos, r)`` of all suffixes; equal ones of different texts share one.
     ``tied`` has for each round the characters that tied suffixes have in common and
     ``(at, pos, r, left)`` of those suffixes; ``codes(at, pos, code, left)`` the packed
-    characters, ``width`` of them with ``bits`` each; ``left`` counts those to the end."""
+    characters, ``width`` of them with ``bits`` each, as numbers in ``alphabet`` from 1 on;
+    ``left`` counts those to the end."""
 
     ranks: DataFrame
     codes: DataFrame
     width: int
     bits: int
+    alphabet: list[int]
     tied: list[tuple[int, DataFrame]] = field(default_factory=list)
 
     def common_prefixes(self, pairs: DataFrame) -> DataFrame:
@@ -83,8 +85,8 @@ def sums_before(groups: DataFrame, order: list[str]) -> DataFrame:
     return table.join(F.broadcast(base), "__part").withColumn("s", F.col("__base") + inside).drop("__part", "__base")
 
 
-def _packed(texts: DataFrame) -> tuple[DataFrame, int, int]:
-    """``(at, pos, code, left)``, and the characters of a code and their bits."""
+def _packed(texts: DataFrame) -> tuple[DataFrame, int, int, list[int]]:
+    """``(at, pos, code, left)``, the characters of a code, their bits, and the alphabet."""
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,17 +112,17 @@ def _packed(texts: DataFrame) -> tuple[DataFrame, int, int]:
                     pos = np.arange(lo, lo + n)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(pos, pa.int64()), pa.array(key), pa.array(len(codes) - pos, pa.int64())], names=["at", "pos", "code", "left"])
 
-    return write_table(texts.select("at", "text").mapInArrow(pack, "at long, pos long, code long, left long"), "codes"), width, bits
+    return write_table(texts.select("at", "text").mapInArrow(pack, "at long, pos long, code long, left long"), "codes"), width, bits, alphabet.tolist()
 
 
 def suffix_order(texts: DataFrame, apart: bool) -> SuffixOrder:
     """The order of all suffixes of ``texts(at, text)``: all together, or with ``apart``
     text by text (ranks go on from one text to the next)."""
-    codes, width, bits = _packed(texts)
+    codes, width, bits, alphabet = _packed(texts)
     order = ["at", "code"] if apart else ["code"]
     groups = sums_before(codes.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order)
     ranked = write_table(codes.join(groups, order).select("at", "pos", F.col("s").alias("r"), "n", "left"), "ranks")
-    out = SuffixOrder(ranked, codes, width, bits)
+    out = SuffixOrder(ranked, codes, width, bits, alphabet)
     done, k = [ranked.filter(F.col("n") == 1)], width
     while True:
         tied = ranked.filter("n > 1")

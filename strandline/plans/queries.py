@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.patterns import WildcardOptions
-from strandline.operators import bits, compare, corpus, fuzzy, ranges, repeats, search, sequence, suffix
-from strandline.plans import gram_index, tables
+from strandline.operators import bits, compare, corpus, fuzzy, ranges, repeats, search, sequence, suffix, wildcards
+from strandline.plans import gram_index, tables, transform_index
 from strandline.plans.keys import keyed, unkeyed
 from strandline.plans.value_levels import ValueIndex
 from strandline.sources import sequences, store
@@ -475,6 +475,49 @@ def text_fuzzy_items(spark, sf_dir):
     return fuzzy.locate_fuzzy_each(_spread_docs(spark, sf_dir), _item_patterns(spark, sf_dir), 2)
 
 
+# a word with a space behind it cannot overlap itself, so splitting finds all occurrences
+_WORDS = """WITH b AS (SELECT item_id AS qid, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
+"""
+
+
+def _item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words.alias("w"))
+
+
+@_query(
+    _WORDS
+    + """p AS (SELECT DISTINCT w[1] || ' ' AS pattern FROM b WHERE len(w) > 0),
+c AS (SELECT pattern, sum((length(text) - length(replace(text, pattern, ''))) // length(pattern)) AS n FROM p, documents GROUP BY pattern)
+SELECT qid, CAST(coalesce(n, 0) AS BIGINT) AS "count" FROM b LEFT JOIN c ON pattern = w[1] || ' '"""
+)
+def text_transform_count(spark, sf_dir):
+    """Short patterns counted by backward search on a transform that is kept, loaded
+    with its checks and asked without its texts."""
+    path = tables.new_path(spark, "transform-index")
+    transform_index.build(_spread_docs(spark, sf_dir)).save(path)
+    asked = _item_words(spark, sf_dir).select("qid", F.concat(F.get("w", F.lit(0)), F.lit(" ")).alias("pattern"))
+    return transform_index.load(spark, path).count(asked)
+
+
+@_query(
+    _WORDS
+    + """q AS (SELECT qid, w[1] || ' ' AS lead, substr(w[3], 1, 1) AS a, substr(w[3], 3) AS z FROM b WHERE len(w) >= 3),
+h AS (SELECT DISTINCT lead, doc_id, text, string_split(text, lead) AS p FROM (SELECT DISTINCT lead FROM q) JOIN documents ON contains(text, lead)),
+o AS (SELECT lead, doc_id, text, CAST(unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(lead))) AS BIGINT) AS i FROM h),
+v AS (SELECT lead, doc_id, i, substr(text, i + length(lead) + 1, 400) AS v FROM o),
+m AS (SELECT qid, doc_id, i, length(lead) AS n, regexp_extract(v, '^[^\n]{0,40}?' || a || '[^\n]' || z) AS m FROM v JOIN q USING (lead))
+SELECT qid, doc_id, CAST(i AS INTEGER) AS position, CAST(n + length(m) AS INTEGER) AS "length" FROM m WHERE m <> ''"""
+)
+def text_wildcard_items(spark, sf_dir):
+    """Of each benchmark item the first word and, within 40 characters of a line, the
+    third with its second character open; all items in one plan."""
+    third = F.get("w", F.lit(2))
+    pattern = F.concat(F.get("w", F.lit(0)), F.lit(" *"), F.substring(third, 1, 1), F.lit("?"), F.substring(third, 3, 1 << 30))
+    asked = _item_words(spark, sf_dir).select("qid", pattern.alias("pattern"))
+    return wildcards.search_wildcard_each(_spread_docs(spark, sf_dir), asked, WildcardOptions(asterisk_max_length=40, stop_characters="\n"))
+
+
 @_query("SELECT doc_id, list_sort(list_distinct(string_split(text, ''))) AS characters FROM documents")
 def text_unique_characters(spark, sf_dir):
     """Distinct characters of each document."""

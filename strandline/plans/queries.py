@@ -174,6 +174,30 @@ def seq_range_freq_kept(spark, sf_dir):
     return index.range_freq(q)
 
 
+_COUNTED = _S + ", c AS (SELECT qid, val, count(*) AS frequency, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, val DESC) AS place FROM r GROUP BY qid, val) "
+
+
+@_query(_COUNTED + "SELECT c.qid, c.val AS value, frequency, CAST(place AS INTEGER) AS place FROM c JOIN q ON q.qid = c.qid WHERE place <= k")
+def seq_top_k_kept(spark, sf_dir):
+    """Most frequent values of a range, best first by kept value levels."""
+    index, q = _kept_values(spark, sf_dir)
+    return index.top_k(q)
+
+
+@_query(_COUNTED + "SELECT qid, val AS value, frequency FROM c WHERE place = 1")
+def seq_range_mode_kept(spark, sf_dir):
+    """The most frequent value of a range, by kept value levels."""
+    index, q = _kept_values(spark, sf_dir)
+    return index.range_mode(q)
+
+
+@_query(_S + "SELECT q.qid, min(r.val) AS value, min(r.val) IS NOT NULL AS found FROM q LEFT JOIN r ON r.qid = q.qid AND r.val > r.value GROUP BY q.qid")
+def seq_larger_value_kept(spark, sf_dir):
+    """The smallest value above another, by kept value levels."""
+    index, q = _kept_values(spark, sf_dir)
+    return index.larger_value(q)
+
+
 @_query("SELECT user_id AS seq_id, event_type AS val, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL)")
 def seq_dictionary(spark, sf_dir):
     """Dictionary codes of each user's events."""

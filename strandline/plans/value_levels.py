@@ -7,6 +7,11 @@ elements of a range have a zero there, and where they stand at the next level, i
 told by the rows of the range's two ends.  So a query meets two rows a level, and
 there are as many levels as the numbers have bits, however many values a range holds.
 
+The k most frequent values are sought best first: a dive keeps the k fullest halves of
+every level and ends at k values, whose last is a bound.  A second descent keeps all
+halves that may hold a value before it in order; so a frequent value leaves few, and
+only ranges of nearly equal frequencies are opened whole.
+
 A table is built by one sort of all elements at all levels, dealt out by ranges,
 and is then kept: :class:`ValueIndex` is saved and loaded with its checks.
 """
@@ -15,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.plans.blocks import check_ranges
@@ -27,6 +32,8 @@ from strandline.sources import store
 KIND = "values"
 #: Bits of a row; one less than a long integer has, so that masks do not overflow.
 WORD = 63
+#: Parts of a query's values that are ranked on their own before they meet.
+PARTS = 64
 
 
 def _shift(name: str, x: Column, by: Column) -> Column:
@@ -110,14 +117,15 @@ class ValueIndex:
                 rows = write_table(rows, "descent")
         return rows.select("qid", "seq_id", "code").join(self.codes, ["seq_id", "code"]).select("qid", "val")
 
-    def _below(self, q: DataFrame, value: str, name: str) -> DataFrame:
+    def _below(self, q: DataFrame, value: str, name: str, through: bool = False) -> DataFrame:
         """``q(qid, seq_id, start, end, value)`` with ``name``, the elements of the range below
-        the value."""
+        the value (``through``: and those that equal it)."""
         asked = q.filter(F.col(value).isNotNull()).select("seq_id", F.col(value).cast(self.codes.schema["val"].dataType).alias("val"), F.lit(0).cast("long").alias("n"))
         merged = self.codes.select("seq_id", "val", F.lit(1).cast("long").alias("n")).unionByName(asked).groupBy("seq_id", "val").agg(F.sum("n").alias("n"))
         before = write_table(sums_before(merged, ["seq_id", "val"]), "codes-before")
         base = before.groupBy("seq_id").agg(F.min("s").alias("base"))
-        bound = before.join(base, "seq_id").select("seq_id", F.col("val").alias(value), (F.col("s") - F.col("base")).alias("code"))
+        own = F.col("n") if through else F.lit(0)
+        bound = before.join(base, "seq_id").select("seq_id", F.col("val").alias(value), (F.col("s") - F.col("base") + own).alias("code"))
         rows = q.join(bound, ["seq_id", value]).select("qid", "seq_id", F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), "code", F.lit(0).cast("long").alias("below"))
         past = rows.filter(F.col("code") >= 1 << self.depth).select("qid", (F.col("hi") - F.col("lo")).alias(name))
         rows = rows.filter(F.col("code") < 1 << self.depth)
@@ -128,6 +136,43 @@ class ValueIndex:
                 rows = write_table(rows, "descent")
         return q.join(rows.select("qid", F.col("below").alias(name)).unionByName(past), "qid", "left")
 
+    def _halves(self, rows: DataFrame, level: int) -> DataFrame:
+        """``rows(…, lo, hi, code)`` to both halves of their values at the next level, if they
+        hold any element."""
+        keep = [c for c in rows.columns if c not in ("lo", "hi", "code")]
+        met = self._zeros(self._zeros(rows, level, "lo"), level, "hi")
+        zero = F.struct(F.col("__z_lo").alias("lo"), F.col("__z_hi").alias("hi"), (F.col("code") * 2).alias("code"))
+        ones = [(F.col(f"__all_{c}") + F.col(c) - F.col(f"__z_{c}")).alias(c) for c in ("lo", "hi")]
+        one = F.struct(*ones, (F.col("code") * 2 + 1).alias("code"))
+        return met.select(*keep, F.explode(F.array(zero, one)).alias("__half")).select(*keep, "__half.*").filter("lo < hi")
+
+    def _fullest(self, rows: DataFrame, *part: Column) -> DataFrame:
+        """The k rows of each query with most elements, of equal ones those of larger values."""
+        place = F.row_number().over(Window.partitionBy("qid", *part).orderBy(F.desc(F.col("hi") - F.col("lo")), F.desc("code")))
+        return rows.withColumn("place", place).filter("place <= k")
+
+    def _most_frequent(self, q: DataFrame) -> DataFrame:
+        """``q(qid, seq_id, start, end, k)`` to ``(qid, seq_id, code, frequency, place)``."""
+        whole = q.filter("k > 0").select("qid", "seq_id", F.col("k").cast("long").alias("k"), F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), F.lit(0).cast("long").alias("code")).filter("lo < hi")
+        dive = whole = write_table(whole, "ranges")
+        for level in range(self.depth):
+            dive = self._fullest(self._halves(dive, level)).drop("place")
+            if level % 4 == 3:
+                dive = write_table(dive, "dive")
+        last = F.min(F.struct((F.col("hi") - F.col("lo")).alias("n"), "code")).alias("last")
+        bound = dive.groupBy("qid", "k").agg(F.count(F.lit(1)).alias("have"), last).filter("have = k").select("qid", F.col("last.n").alias("least"), F.col("last.code").alias("least_code"))
+        rows = whole.join(write_table(bound, "bounds"), "qid", "left")
+        for level in range(self.depth):
+            rows = self._halves(rows, level)
+            n, left = F.col("hi") - F.col("lo"), self.depth - 1 - level
+            largest = (F.col("code") + 1) * (1 << left) - 1
+            before = (n > F.col("least")) | ((n == F.col("least")) & (largest >= F.col("least_code")))
+            rows = rows.filter(F.col("least").isNull() | before)
+            if level % 4 == 3:
+                rows = write_table(rows, "descent")
+        some = self._fullest(rows, F.pmod(F.xxhash64("code"), F.lit(PARTS)))
+        return self._fullest(some).select("qid", "seq_id", "code", (F.col("hi") - F.col("lo")).alias("frequency"), "place")
+
     # --- queries, as those of strandline.operators.sequence ------------------------
 
     def quantile(self, q: DataFrame, strict: bool = True) -> DataFrame:
@@ -148,3 +193,21 @@ class ValueIndex:
         rows = self._below(q, "value", "__n").select("qid", "seq_id", F.col("start").alias("lo"), F.col("end").alias("hi"), (F.col("__n") - 1).alias("k"))
         found = self._kth(rows)
         return q.select("qid").join(found, "qid", "left").select("qid", F.col("val").alias("value"), F.col("val").isNotNull().alias("found"))
+
+    def larger_value(self, q: DataFrame, strict: bool = True) -> DataFrame:
+        """``q(…, start, end, value)`` to the smallest value above, and ``found``."""
+        q = self._asked(q, strict).select("qid", "seq_id", "start", "end", "value")
+        rows = self._below(q, "value", "__n", through=True).select("qid", "seq_id", F.col("start").alias("lo"), F.col("end").alias("hi"), F.col("__n").alias("k"))
+        found = self._kth(rows)
+        return q.select("qid").join(found, "qid", "left").select("qid", F.col("val").alias("value"), F.col("val").isNotNull().alias("found"))
+
+    def top_k(self, q: DataFrame, strict: bool = True) -> DataFrame:
+        """``q(…, start, end, k)`` to at most k rows (value, frequency, place from 1): by
+        falling frequency, then falling value; none for an empty range or a k below 1."""
+        found = self._most_frequent(self._asked(q, strict).select("qid", "seq_id", "start", "end", "k"))
+        return found.join(self.codes, ["seq_id", "code"]).select("qid", F.col("val").alias("value"), "frequency", "place")
+
+    def range_mode(self, q: DataFrame, strict: bool = True) -> DataFrame:
+        """The most frequent value of each range that is not empty; of tied ones the largest."""
+        one = self._asked(q, strict).select("qid", "seq_id", "start", "end", F.lit(1).alias("k"))
+        return self._most_frequent(one).join(self.codes, ["seq_id", "code"]).select("qid", F.col("val").alias("value"), "frequency")

@@ -1,6 +1,7 @@
 """Value levels against plain scans: many values, ties, wide ranges, a kept table."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -44,3 +45,46 @@ def test_rows_of_a_query_are_bounded_by_the_depth(spark):
     q = spark.createDataFrame([(1, 1, 0, n, n // 2), (2, 1, 5, n - 7, 17)], "qid int, seq_id int, start long, end long, k long")
     values = [i * 40503 % 65537 for i in range(n)]
     assert {r[0]: r[1] for r in index.quantile(q).collect()} == {1: sorted(values)[n // 2], 2: sorted(values[5 : n - 7])[17]}
+
+
+def most_frequent(v, k):
+    ranked = sorted(Counter(v).items(), key=lambda x: (x[1], x[0]), reverse=True)
+    return [(value, n, i) for i, (value, n) in enumerate(ranked[: max(k or 0, 0)], 1)]
+
+
+def test_frequent_and_larger_values(spark):
+    rng = random.Random(6)
+    seqs = {1: [rng.randrange(30) ** 2 for _ in range(300)], 2: [7], 3: [rng.randrange(3) for _ in range(2 * WORD)], 4: list(range(40)), 5: [rng.choice([9, 9, rng.randrange(500)]) for _ in range(400)]}
+    s = spark.createDataFrame([(k, i, v) for k, vs in seqs.items() for i, v in enumerate(vs)], "seq_id int, pos long, val int")
+    rows = []
+    for k, vs in seqs.items():
+        for i in range(10):
+            a, b = sorted(rng.choices(range(len(vs) + 1), k=2)) if i else (0, len(vs))
+            rows.append((k * 100 + i, k, a, b, rng.choice([-1, 0, 1, 2, 5, 1000, None]), rng.choice([*vs, -1, 4, 10**6, None])))
+    q = spark.createDataFrame(rows, "qid int, seq_id int, start long, end long, k int, value int")
+    index = ValueIndex.build(s)
+    parts = {r[0]: (seqs[r[1]][r[2] : r[3]], r[4], r[5]) for r in rows}
+    assert Counter(tuple(r) for r in index.top_k(q, strict=False).collect()) == Counter((i, *m) for i, (v, k, _) in parts.items() for m in most_frequent(v, k))
+    assert {tuple(r) for r in index.range_mode(q, strict=False).collect()} == {(i, *most_frequent(v, 1)[0][:2]) for i, (v, _, _) in parts.items() if v}
+    above = {i: min([x for x in v if value is not None and x > value], default=None) for i, (v, _, value) in parts.items()}
+    assert {tuple(r) for r in index.larger_value(q, strict=False).collect()} == {(i, x, x is not None) for i, x in above.items()}
+    assert {tuple(r) for r in index.top_k(q, strict=False).collect()} == {tuple(r) for r in sequence.top_k(s, q, strict=False).collect()}
+    assert index.top_k(q.limit(0)).count() == 0 and index.range_mode(q.limit(0)).count() == 0
+
+
+def test_a_frequent_value_leaves_few_halves(spark, monkeypatch):
+    """A third of a range is one value, the others all differ: few rows are opened."""
+    n = 1 << 12
+    s = spark.range(n).selectExpr("1 as seq_id", "id as pos", "case when id % 3 = 0 then 20000 else 3 * id end as val")
+    index = ValueIndex.build(s)
+    opened, plain = [], ValueIndex._halves
+
+    def counted(self, rows, level):
+        out = plain(self, rows, level)
+        opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(ValueIndex, "_halves", counted)
+    q = spark.createDataFrame([(1, 1, 0, n)], "qid int, seq_id int, start long, end long")
+    assert [tuple(r) for r in index.range_mode(q).collect()] == [(1, 20000, n // 3 + 1)]
+    assert sum(opened) < 8 * index.depth

@@ -35,8 +35,9 @@ from strandline.plans.tables import write_table
 
 #: Most patterns of a call that have no literal at all.
 OPEN = 1000
-#: Characters of a slice at least; never fewer than a part and what must follow it.
-SLICE = 4096
+#: Characters of a slice at least, since stop characters are counted in it for every hit;
+#: never fewer than a part and what must follow it.
+SLICE = 256
 _PARTS = "pid long, k int, of int, size int, anchor string, offset int, like string, least long, most long, tail long"
 _NEXT = "struct<at:bigint,end:bigint,from:bigint,to:bigint,least:bigint,most:bigint,of:int,tail:bigint>"
 _ON_THE_WAY = ["position", "end", "to", "least", "most", "of", "tail"]
@@ -119,13 +120,13 @@ def _part_hits(texts: DataFrame, parts: DataFrame, o: WildcardOptions) -> DataFr
     at, end, from, to, least, most, tail)``, with the stop characters before both ends."""
     anchored = parts.filter("anchor <> ''")
     literals = anchored.select(F.col("anchor").alias("qid"), F.col("anchor").alias("pattern")).distinct()
-    found = occurrences(texts, literals).withColumnRenamed("qid", "anchor").join(anchored.select("anchor", "pid", "k", "offset"), "anchor")
-    found = write_table(found.select("doc_id", "pid", "k", (F.col("position") - F.col("offset")).cast("long").alias("at")).filter("at >= 0"), "anchor-hits")
+    found = write_table(occurrences(texts, literals).withColumnRenamed("qid", "anchor"), "anchor-hits")
+    # texts are told by the anchors they have before any hit is told apart by pattern
+    has = found.select("doc_id", "anchor").distinct().join(anchored.groupBy("anchor", "pid").agg(F.count(F.lit(1)).alias("n")), "anchor").groupBy("doc_id", "pid").agg(F.sum("n").alias("has"))
     needed = anchored.groupBy("pid").agg(F.count(F.lit(1)).alias("needed"))
-    # parts of a text and pattern first, then how many they are
-    has = found.select("doc_id", "pid", "k").distinct().groupBy("doc_id", "pid").agg(F.count(F.lit(1)).alias("has"))
     whole = write_table(has.join(needed, "pid").filter("has = needed").select("doc_id", "pid"), "whole")
-    kept = found.join(whole, ["doc_id", "pid"], "left_semi")
+    at = (F.col("position") - F.col("offset")).cast("long").alias("at")
+    kept = found.join(anchored.select("anchor", "pid", "k", "offset"), "anchor").join(whole, ["doc_id", "pid"], "left_semi").select("doc_id", "pid", "k", at).filter("at >= 0")
     # a first part of ? alone stands everywhere, in the texts that have the rest
     first = parts.filter("anchor = ''").select("pid", "size", "of")
     alone = [r[0] for r in first.filter("of = 1").select("pid").limit(OPEN + 1).collect()]

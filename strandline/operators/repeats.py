@@ -1,7 +1,9 @@
 """Repeated and unique substrings, tandem repeats and complexity of texts.
 
 ``sx``, where it is given, is the suffix table of ``docs``, and both are keyed (see
-:func:`strandline.operators.suffix.with_table`).
+:func:`strandline.operators.suffix.with_table`).  Without it the longest repeats and
+the shortest unique substrings come from the texts, and no row a character is written;
+only texts beyond ``suffix.MAX_CHARS`` get a suffix table.
 
 Defined cases, of all operators: null and empty texts have no rows (an empty one's
 complexity is 0); rows with null or repeated ids are texts of their own; empty tables
@@ -47,6 +49,27 @@ def _with_table(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def _from_texts(schema: str, kinds: list[tuple[str, pa.DataType]], find: Callable[[str], list[tuple]]) -> Callable:
+    """For operators whose rows of one text a kernel finds: texts that come without a
+    suffix table go through it, those beyond ``max_chars`` through their table."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        by_table = _with_table(f)
+
+        @wraps(f)
+        def run(docs: DataFrame, sx: DataFrame | None = None, max_chars: int = suffix.MAX_CHARS) -> DataFrame:
+            if sx is not None:
+                return by_table(docs, sx)
+            texts = docs.select("doc_id", "text").filter(F.length("text") > 0)
+            kept = _per_text(texts.filter(F.length("text") <= max_chars), schema, kinds, find)
+            giant = texts.filter(F.length("text") > max_chars)
+            return kept.union(by_table(giant)) if giant.take(1) else kept
+
+        return run
+
+    return wrap
+
+
 @_with_table
 def find_repeats(docs: DataFrame, sx: DataFrame, min_length: int = 2, max_length: int | None = None) -> DataFrame:
     """``(doc_id, text, positions)`` of every distinct substring of at least
@@ -68,7 +91,15 @@ def search_repeated(docs: DataFrame, sx: DataFrame | None = None, min_length: in
     return find_repeats(docs, sx, min_length)
 
 
-@_with_table
+def _longest(text: str) -> list[tuple[str, list[int]]]:
+    size, places = kernels.longest_repeats(kernels.code_points(text))
+    return [(text[p[0] : p[0] + size], p.tolist()) for p in places]
+
+
+_REPEATED = ("text string, positions array<int>", [("text", pa.string()), ("positions", pa.list_(pa.int32()))])
+
+
+@_from_texts(*_REPEATED, _longest)
 def longest_repeated(docs: DataFrame, sx: DataFrame) -> DataFrame:
     """``(doc_id, text, positions)`` of all repeated substrings of the greatest
     length; texts without a repeat have no row.
@@ -81,7 +112,7 @@ def longest_repeated(docs: DataFrame, sx: DataFrame) -> DataFrame:
     return _substring(runs, docs).select("doc_id", "text", "positions")
 
 
-@_with_table
+@_from_texts(*_REPEATED, lambda text: _longest(text)[:1])
 def longest_repeat(docs: DataFrame, sx: DataFrame) -> DataFrame:
     """Of the longest repeated substrings the first in order."""
     return longest_repeated(docs, sx).groupBy("doc_id").agg(F.min(F.struct("text", "positions")).alias("r")).select("doc_id", "r.text", "r.positions")
@@ -106,14 +137,22 @@ def unique_substrings(docs: DataFrame, max_chars: int = suffix.MAX_CHARS) -> Dat
     return kept.union(counts.join(numbered.select("at", "doc_id"), "at").select("doc_id", "count"))
 
 
-@_with_table
+def _unique(text: str) -> list[tuple[str, int]]:
+    size, places = kernels.shortest_unique(kernels.code_points(text))
+    return [(text[p : p + size], p) for p in places.tolist()]
+
+
+_ONCE = ("text string, position int", [("text", pa.string()), ("position", pa.int32())])
+
+
+@_from_texts(*_ONCE, _unique)
 def shortest_unique(docs: DataFrame, sx: DataFrame) -> DataFrame:
     """``(doc_id, text, position)`` of all shortest substrings that occur once."""
     rows = _shortest(docs, sx)
     return _substring(rows.select("doc_id", "pos", "len"), docs).select("doc_id", "text", F.col("pos").alias("position"))
 
 
-@_with_table
+@_from_texts(*_ONCE, lambda text: _unique(text)[:1])
 def first_shortest_unique(docs: DataFrame, sx: DataFrame) -> DataFrame:
     """The one of them that comes first in suffix order."""
     one = _shortest(docs, sx).groupBy("doc_id").agg(F.min(F.struct("rank", "pos", "len")).alias("f")).select("doc_id", "f.pos", "f.len")
@@ -161,6 +200,10 @@ def repeat_intervals(docs: DataFrame, min_length: int = 2) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), F.col("position1").alias("position"), "shortest", "longest", F.col("count1").alias("occurrences"))
 
 
+#: Rows that a worker hands over at a time, and those of one text more.
+_ROWS = 1 << 15
+
+
 def _per_text(docs: DataFrame, schema: str, kinds: list[tuple[str, pa.DataType]], f: Callable[[str], list[tuple]]) -> DataFrame:
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -171,8 +214,9 @@ def _per_text(docs: DataFrame, schema: str, kinds: list[tuple[str, pa.DataType]]
                 found = f(text)
                 rows += found
                 at += [i] * len(found)
-            values = list(zip(*rows)) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, k) for v, (_, k) in zip(values, kinds)]], names=["doc_id", *[n for n, _ in kinds]])
+                if len(rows) >= _ROWS or rows and i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, k) for v, (_, k) in zip(zip(*rows), kinds)]], names=["doc_id", *[n for n, _ in kinds]])
+                    rows, at = [], []
 
     return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(run, f"doc_id {id_kind}, {schema}")
 

@@ -154,3 +154,19 @@ def test_matches(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r)[:3] for r in QUERIES["document_matches"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(plain(rows, lambda i: i % 50 == 0, 40).elements()) and len(got) > 4
+
+
+def _lines_of(spark, operator, docs):
+    return sorted(map(str, operator(docs).collect()))
+
+
+@pytest.mark.parametrize("name", ["longest_repeated", "longest_repeat", "shortest_unique", "first_shortest_unique"])
+def test_short_texts_need_no_suffix_table(spark, monkeypatch, name):
+    """Texts up to max_chars are answered without a row a character; longer ones by their table."""
+    from strandline.operators import repeats, suffix
+
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
+    operator = getattr(repeats, name)
+    mixed = _lines_of(spark, lambda d: operator(d, max_chars=30), docs)
+    monkeypatch.setattr(suffix, "suffixes", None)  # a table would fail
+    assert _lines_of(spark, operator, docs) == mixed

@@ -94,16 +94,53 @@ def with_table(docs: DataFrame, sx: DataFrame | None) -> tuple[DataFrame, DataFr
     return docs, sx
 
 
-def lcp_of_pairs(docs: DataFrame, sx: DataFrame | None, q: DataFrame) -> DataFrame:
+#: Pairs of a text that go through the kernel at a time.
+_PAIRS = 1 << 16
+
+
+def lcp_of_pairs(docs: DataFrame, sx: DataFrame | None, q: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """``q(qid, doc_id, i, j)`` to the common prefix of the suffixes at i and j:
     the least ``lcp`` between their ranks; a suffix with itself has its length.  A
-    query is answered for each text of its id (of a null id too)."""
-    docs, sx = with_table(docs, sx)
-    r = sx.select("doc_id", "pos", "rank")
+    query is answered for each text of its id (of a null id too).
+
+    Without a suffix table a kernel compares the pairs of each text; texts beyond
+    ``max_chars`` get a table."""
+    if sx is not None:
+        return _lcp_by_ranks(*with_table(docs, sx), q)
+    docs = keyed(docs)
+    some = docs.filter(F.length("text") <= max_chars)
+    giant = docs.filter(F.length("text") > max_chars)
+    kept = _lcp_by_text(some, q)
+    return kept.union(_lcp_by_ranks(*with_table(giant, suffixes(giant)), q)) if giant.take(1) else kept
+
+
+def _asked(docs: DataFrame, q: DataFrame) -> DataFrame:
+    """``q`` for each text of its id: ``(qid, doc_id, i, j, n)``, keyed; ``n`` characters."""
     own = docs.select("doc_id", F.col("doc_id.id").alias("__id"), F.length("text").alias("n"))
     asked = q.withColumnRenamed("doc_id", "__asked")
     same_text = F.col("__asked") == F.col("doc_id") if is_keyed(q) else F.col("__asked").eqNullSafe(F.col("__id"))
-    q = asked.join(own, same_text).select(F.struct("qid", "doc_id").alias("qid"), "doc_id", "i", "j", "n")
+    return asked.join(own, same_text).select("qid", "doc_id", "i", "j", "n")
+
+
+def _lcp_by_text(docs: DataFrame, q: DataFrame) -> DataFrame:
+    kind = q.schema["qid"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, pairs in zip(b.column(0), b.column(1)):
+                qid, i, j = pairs.values.flatten()
+                found = kernels.common_prefixes(kernels.code_points(text.as_py()), i.to_numpy(), j.to_numpy())
+                yield pa.RecordBatch.from_arrays([qid, pa.array(found, pa.int32())], names=["qid", "lcp"])
+
+    inside = lambda c: (F.col(c) >= 0) & (F.col(c) < F.col("n"))
+    asked = _asked(docs, q).filter(inside("i") & inside("j")).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.floor(F.monotonically_increasing_id() / _PAIRS))
+    pairs = F.collect_list(F.struct("qid", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))).alias("pairs")
+    return asked.groupBy("doc_id", "__part", "__at").agg(pairs).join(docs, "doc_id").select("text", "pairs").mapInArrow(run, f"qid {kind}, lcp int")
+
+
+def _lcp_by_ranks(docs: DataFrame, sx: DataFrame, q: DataFrame) -> DataFrame:
+    r = sx.select("doc_id", "pos", "rank")
+    q = _asked(docs, q).select(F.struct("qid", "doc_id").alias("qid"), "doc_id", "i", "j", "n")
     ranked = q.join(r.select("doc_id", F.col("pos").alias("i"), F.col("rank").alias("ri")), ["doc_id", "i"]).join(r.select("doc_id", F.col("pos").alias("j"), F.col("rank").alias("rj")), ["doc_id", "j"])
     span = ranked.withColumn("lo", F.least("ri", "rj")).withColumn("hi", F.greatest("ri", "rj"))
     from strandline.operators.ranges import range_min

@@ -170,3 +170,17 @@ def test_short_texts_need_no_suffix_table(spark, monkeypatch, name):
     mixed = _lines_of(spark, lambda d: operator(d, max_chars=30), docs)
     monkeypatch.setattr(suffix, "suffixes", None)  # a table would fail
     assert _lines_of(spark, operator, docs) == mixed
+
+
+def test_pairs_of_short_texts_need_no_suffix_table(spark, monkeypatch):
+    from strandline.operators import suffix
+
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
+    rows = [(n, k, i, n % 7) for n, (k, i) in enumerate((k, i) for k in TEXTS for i in (-1, 0, 3, 50, None))] * 3
+    q = spark.createDataFrame(rows, "qid long, doc_id long, i int, j int")
+    monkeypatch.setattr(suffix, "_PAIRS", 2)
+    mixed = _lines_of(spark, lambda d: suffix.lcp_of_pairs(d, None, q, max_chars=30), docs)
+    expected = [(n, len(t) - i if i == j else prefix(t[i:], t[j:])) for n, k, i, j in rows if (t := TEXTS[k]) and i is not None and 0 <= i < len(t) and j < len(t)]
+    monkeypatch.setattr(suffix, "suffixes", None)
+    got = suffix.lcp_of_pairs(docs, None, q)
+    assert sorted(map(tuple, got.collect())) == sorted(expected) and _lines_of(spark, lambda d: got, docs) == mixed

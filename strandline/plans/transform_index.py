@@ -1,11 +1,13 @@
 """Backward search over a corpus: counts and places of patterns of any length, without
 its texts.
 
-The transform of all texts, one order of all their suffixes with the character before
-each, is kept in blocks.  A block has its characters and, for every character of the
+Texts are dealt into groups of some ``GROUP`` characters, each with a transform of its own
+that one task builds: an order of all the group's suffixes with the character before each, kept in
+blocks.  Texts beyond ``suffix.MAX_CHARS`` share one that is built by joins.  A block has its characters and, for every character of the
 alphabet, the place in the order of the next suffix that begins with it; so one
 row tells where a step leads.  A pattern is read from its last character to its first and
-narrows an interval of the order, one join a character for all patterns together; longer
+narrows an interval of the order.  A group's blocks meet once, and all patterns are read there;
+in larger transforms that takes one join a character for all patterns together; longer
 patterns start earlier, so that all end with the same join.  Steps that several
 patterns share are asked once.
 
@@ -14,7 +16,7 @@ goes back character by character until it meets one, so a larger rate makes a sm
 index and longer walks, of ``sample_rate`` - 1 joins at most.
 
 An index is built once, saved with a manifest, loaded with its checks, and grows by
-batches, each a transform of its own.
+batches, as the transforms are called, each with a number of its own.
 
 Defined cases: null and empty texts hold nothing; null and empty patterns occur nowhere;
 rows with null or repeated ids are texts of their own; an empty table is an index
@@ -24,11 +26,16 @@ without hits; other columns are not read.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions import kernels
+from strandline.operators.suffix import MAX_CHARS
 from strandline.plans.ranking import global_positions
 from strandline.plans.suffix_order import suffix_order, sums_before
 from strandline.plans.tables import write_table
@@ -38,6 +45,10 @@ KIND = "transform"
 #: Characters of a block at least; never fewer than the alphabet has, so that the starts
 #: of all blocks are no more numbers than the texts have characters.
 BLOCK = 2048
+#: Characters of a group of texts, and those of one text more.
+GROUP = 1 << 20
+#: Characters of patterns that are sent to the workers at a time.
+_SENT = 1 << 22
 #: Hits of a pattern that one row of its interval unfolds to.
 _HITS = 1 << 16
 #: What is known of a pattern on its way.
@@ -91,6 +102,44 @@ class TransformIndex:
         stand in a batch; of each different ``pattern``, if it has any."""
         asked = patterns.select("pattern").filter(F.length("pattern") > 0).distinct().withColumn("pid", F.monotonically_increasing_id())
         asked = write_table(asked, "patterns")
+        grouped = F.col("size") <= 2 * (GROUP + MAX_CHARS)
+        small, large = self._of(grouped), self._of(~grouped)
+        found = large._by_joins(asked) if large.symbols.take(1) else None
+        total = asked.agg(F.sum(F.length("pattern"))).first()[0] or 0
+        cuts = total // _SENT + 1
+        for cut in range(cuts):
+            part = small._by_group(asked.filter(F.pmod(F.xxhash64("pid"), F.lit(cuts)) == cut))
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    def _of(self, which: Column) -> TransformIndex:
+        """The index of the batches that ``which``, over their symbols, holds for."""
+        symbols = self.symbols.filter(which)
+        return TransformIndex(self.blocks.join(symbols.select("batch").distinct(), "batch", "left_semi"), symbols, self.docs)
+
+    def _by_group(self, asked: DataFrame) -> DataFrame:
+        """All steps of all patterns where a batch's blocks meet."""
+        rows = asked.collect()  # some _SENT characters
+        sent = self.blocks.sparkSession.sparkContext.broadcast([(r["pid"], r["pattern"]) for r in rows])
+
+        def narrowed(blocks: pa.Table, symbols: pa.Table) -> pa.Table:
+            pids = np.array([p for p, _ in sent.value], np.int64)
+            order = np.argsort(blocks["block"].to_numpy())
+            last = np.concatenate([kernels.code_points(t) for t in blocks["signs"].take(pa.array(order)).to_pylist()] or [np.zeros(0, np.int32)])
+            symbols = symbols.sort_by("code")
+            alphabet = np.array([ord(c) for c in symbols["symbol"].to_pylist()], np.int64)
+            found = kernels.backward_search(np.where(last >= 0xE000, last - 0x800, last), alphabet, [kernels.code_points(t) for _, t in sent.value])
+            hit = np.flatnonzero(found[0] < found[1]) if len(alphabet) and len(last) else np.zeros(0, np.int64)
+            same = lambda name: pa.array(np.full(len(hit), symbols[name][0].as_py() if len(hit) else 0), pa.int64())
+            return pa.table({"pid": pa.array(pids[hit], pa.int64()), "batch": same("batch"), "width": same("width"), "lo": pa.array(found[0][hit], pa.int64()), "hi": pa.array(found[1][hit], pa.int64())})
+
+        blocks = self.blocks.select("batch", "block", "signs").groupBy("batch")
+        symbols = self.symbols.select("batch", "symbol", "code", "width").groupBy("batch")
+        found = blocks.cogroup(symbols).applyInArrow(narrowed, "pid long, batch long, width long, lo long, hi long")
+        return write_table(found.join(asked, "pid").select("pattern", "batch", "width", "lo", "hi"), "intervals")
+
+    def _by_joins(self, asked: DataFrame) -> DataFrame:
+        """One join a character."""
         longest = asked.agg(F.max(F.length("pattern"))).first()[0] or 0
         state = write_table(self._begun(asked.limit(0), 1).select(*_STATE), "intervals")
         for step in range(longest, 0, -1):
@@ -140,12 +189,86 @@ class TransformIndex:
         return asked.join(places.join(self.docs, ["batch", "at"]), "pattern").select("qid", "doc_id", "position")
 
 
-def build(docs: DataFrame, sample_rate: int = 16, block: int = BLOCK, batch: int = 0) -> TransformIndex:
-    """The index of ``docs(doc_id, text)``."""
+def build(docs: DataFrame, sample_rate: int = 16, block: int = BLOCK, batch: int = 0, max_chars: int = MAX_CHARS) -> TransformIndex:
+    """The index of ``docs(doc_id, text)``; its batches are numbered from ``batch`` on."""
     if sample_rate < 1 or block < 1:
         raise ValueError("sample_rate and block must be positive")
-    spark = docs.sparkSession
-    texts = write_table(docs.select("doc_id", "text").filter(F.length("text") > 0).withColumn("at", F.monotonically_increasing_id()), "transform-texts")
+    # a number for the texts that share a transform, and one for every other text
+    at = F.monotonically_increasing_id() + 1
+    texts = write_table(docs.select("doc_id", "text").filter(F.length("text") > 0).withColumn("at", at), "transform-texts")
+    index = _by_group(texts.filter(F.length("text") <= max_chars), sample_rate, block, batch)
+    giant = texts.filter(F.length("text") > max_chars)
+    if giant.take(1):
+        more = _by_joins(giant, sample_rate, block, batch)
+        index = TransformIndex(*[a.unionByName(b) for a, b in zip(index._parts().values(), more._parts().values())])
+    return index
+
+
+_SYMBOLS = "batch long, symbol string, code int, sign string, size long, width long, sample_rate int"
+
+
+def _by_group(texts: DataFrame, sample_rate: int, block: int, batch: int) -> TransformIndex:
+    """One transform for each ``GROUP`` characters of a partition's texts; its number is that
+    of the first of them."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"batch long, block long, signs string, starts array<bigint>, samples array<struct<off:int,at:bigint,pos:bigint>>, symbols array<struct<{_SYMBOLS.replace(' ', ':')}>>, docs array<struct<at:bigint,doc_id:{kind}>>".replace(",:", ",")
+    fields = [(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]]) for c in _SYMBOLS.split(", ")]
+
+    def transformed(ats: list[int], ids: list[pa.Array], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own = batch + ats[0]
+        last, order, alphabet = kernels.joint_transform(codes)
+        size, width = len(last), max(block, 1 << len(alphabet).bit_length())
+        blocks = size // width + 1
+        counts = np.bincount(np.arange(size) // width * (len(alphabet) + 1) + last, minlength=blocks * (len(alphabet) + 1)).reshape(blocks, -1)
+        smaller = np.concatenate([[0], np.cumsum(counts.sum(axis=0))[:-1]])
+        starts = smaller + np.cumsum(counts, axis=0) - counts
+        signs = np.where(last < 0xD800, last, last + 0x800).astype("<u4").tobytes().decode("utf-32-le")
+        begins = np.cumsum([0, *[len(c) + 1 for c in codes]])
+        text = np.searchsorted(begins, order, side="right") - 1
+        pos = order - begins[text]
+        kept = np.flatnonzero(pos % sample_rate == 0)
+        sample = pa.StructArray.from_arrays([pa.array(kept % width, pa.int32()), pa.array(np.array(ats)[text[kept]], pa.int64()), pa.array(pos[kept], pa.int64())], names=["off", "at", "pos"])
+        ends = np.searchsorted(kept, np.arange(blocks + 1) * width)
+        symbols = pa.array([dict(zip([n for n, _ in fields], (own, chr(c), i, _sign(i), size, width, sample_rate))) for i, c in enumerate(alphabet.tolist(), 1)], pa.struct(fields))
+        docs = pa.StructArray.from_arrays([pa.array(ats, pa.int64()), pa.concat_arrays(ids)], names=["at", "doc_id"])
+        once = lambda a: pa.ListArray.from_arrays(pa.array([0, *[len(a)] * blocks], pa.int32()), a)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(blocks, own), pa.int64()),
+                pa.array(np.arange(blocks), pa.int64()),
+                pa.array([signs[i * width : (i + 1) * width] for i in range(blocks)], pa.string()),
+                pa.ListArray.from_arrays(pa.array(np.arange(blocks + 1) * (len(alphabet) + 1), pa.int32()), pa.array(starts.ravel(), pa.int64())),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), sample),
+                once(symbols),
+                once(docs),
+            ],
+            names=["batch", "block", "signs", "starts", "samples", "symbols", "docs"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ats, ids, codes, held = [], [], [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                ats.append(b.column(0)[i].as_py())
+                ids.append(b.column(1).slice(i, 1))
+                codes.append(kernels.code_points(b.column(2)[i].as_py()))
+                held += len(codes[-1])
+                if held >= GROUP:
+                    yield from transformed(ats, ids, codes)
+                    ats, ids, codes, held = [], [], [], 0
+        if ats:
+            yield from transformed(ats, ids, codes)
+
+    made = write_table(texts.select("at", "doc_id", "text").mapInArrow(run, schema), "transform-groups")
+    first = made.filter("block = 0")
+    symbols = first.select(F.inline("symbols"))
+    docs = first.select("batch", F.explode("docs").alias("d")).select("batch", "d.at", "d.doc_id")
+    return TransformIndex(made.select("batch", "block", "signs", "starts", "samples"), symbols, docs)
+
+
+def _by_joins(texts: DataFrame, sample_rate: int, block: int, batch: int) -> TransformIndex:
+    """One transform of all ``texts(at, doc_id, text)``."""
+    spark = texts.sparkSession
     order = suffix_order(texts.select("at", "text"), apart=False)
     width = max(block, 1 << len(order.alphabet).bit_length())
     # behind each text stands a suffix without characters, before all others
@@ -158,7 +281,7 @@ def build(docs: DataFrame, sample_rate: int = 16, block: int = BLOCK, batch: int
     cells = write_table(placed.select(F.floor(F.col("i") / width).alias("block"), (F.col("i") % width).cast("int").alias("off"), F.coalesce("code", F.lit(0)).alias("code"), sample.alias("sample")), "cells")
     size = cells.count()
     signs = [(batch, chr(c), i, _sign(i), size, width, sample_rate) for i, c in enumerate(order.alphabet, 1)]
-    symbols = spark.createDataFrame(signs, "batch long, symbol string, code int, sign string, size long, width long, sample_rate int")
+    symbols = spark.createDataFrame(signs, _SYMBOLS)
     drawn = spark.createDataFrame([(i, _sign(i)) for i in range(len(signs) + 1)], "code int, sign string")
     kept = cells.join(drawn, "code").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("off", "sign", "sample"))).alias("cells"))
     sampled = F.filter("cells", lambda c: c["sample"].isNotNull())
@@ -176,7 +299,7 @@ def build(docs: DataFrame, sample_rate: int = 16, block: int = BLOCK, batch: int
 
 def _new_batch() -> int:
     """A random number, so that two appends at once do not share it."""
-    return uuid.uuid4().int >> 65
+    return uuid.uuid4().int >> 66  # texts are counted from it
 
 
 def load(spark: SparkSession, path: str) -> TransformIndex:

@@ -53,3 +53,18 @@ def test_empty_tables(spark):
     assert grown.locate(q.limit(0)).count() == 0 and grown.count(q.limit(0)).count() == 0
     with pytest.raises(ValueError):
         transform_index.build(docs, 0)
+
+
+def test_short_texts_need_no_joins(spark, monkeypatch):
+    """Texts up to max_chars are ordered in groups, by one task each; longer ones by joins."""
+    docs, patterns = corpus()
+    table = spark.createDataFrame(docs, "doc_id int, text string")
+    asked = list(enumerate(patterns))
+    q = spark.createDataFrame(asked, "qid int, pattern string")
+    counts = Counter((i, sum(plain(docs, [(i, p)]).values())) for i, p in asked)
+    monkeypatch.setattr(transform_index, "GROUP", 5)
+    both = transform_index.build(table, 2, 4, max_chars=4)
+    assert Counter(tuple(r) for r in both.count(q).collect()) == counts
+    monkeypatch.setattr(transform_index, "suffix_order", None)  # the order by joins would fail
+    monkeypatch.setattr(transform_index, "_SENT", 10)
+    assert Counter(tuple(r) for r in transform_index.build(table, 2, 4).count(q).collect()) == counts

@@ -2,11 +2,12 @@
 
 :func:`shared_stretches` puts the suffixes of many texts into one order, where the
 text that shares most with a suffix is the nearest one of another text on either
-side.  Before anything is sorted, grams tell which positions can matter: of a
-match of ``min_length`` every gram occurs in an asked text and in another one.  Runs of
-such positions, with the gram behind each, are cut out and alone are sorted; two
-suffixes that share more differ before they leave their runs, so what they have in
-common is exact.
+side.  Before anything is sorted, grams tell which positions can matter: in a
+match of ``min_length`` every window of grams has its least one at the same place, in an
+asked text and in another one.  What windows with such a gram can reach, with the gram behind
+it, is cut out as runs; two suffixes that share more differ before they leave their runs, so
+what they have in common is exact.  Runs of the same characters are one; those of several
+texts share all of themselves, and only the different ones are sorted.
 
 Defined cases: null and empty texts share nothing; rows with null or repeated ids are
 texts of their own, so a copy of an asked row shares all of it; a text is never
@@ -19,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
 from strandline.plans import asof
+from strandline.plans.gram_index import bit_map, in_map
 from strandline.plans.ranking import global_positions
 from strandline.plans.suffix_order import suffix_order
 from strandline.plans.tables import write_table
@@ -32,26 +35,37 @@ from strandline.plans.tables import write_table
 _BITS = 32_768
 
 
-def _gram_rows(texts: DataFrame, gram: int) -> DataFrame:
-    """``(at, asked, pos, gram)`` of every position that has a whole gram."""
+#: Bits of the map of asked grams at most, and bits a gram.
+_MAP_BITS = 1 << 27
+_BITS_A_GRAM = 16
+
+
+def _gram_rows(texts: DataFrame, gram: int, window: int, sent: Broadcast | None = None) -> DataFrame:
+    """``(at, asked, pos, gram)`` of the positions whose gram is the least of a window; of
+    those in the map, if one is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, asked, text in zip(*[c.to_pylist() for c in b.columns]):
-                h = kernels.window_hashes(kernels.code_points(text), [gram]).get(gram, np.zeros(0, np.int64))
+                h, pos = kernels.least_grams(kernels.code_points(text), gram, window)
+                if sent is not None:
+                    kept = in_map(h, sent)
+                    h, pos = h[kept], pos[kept]
                 for lo in range(0, len(h), 1 << 16):
                     part = h[lo : lo + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), at)), pa.array(np.full(len(part), asked)), pa.array(np.arange(lo, lo + len(part)), pa.int64()), pa.array(part)], names=["at", "asked", "pos", "gram"]
+                        [pa.array(np.full(len(part), at)), pa.array(np.full(len(part), asked)), pa.array(pos[lo : lo + (1 << 16)], pa.int64()), pa.array(part)], names=["at", "asked", "pos", "gram"]
                     )
 
     return texts.select("at", "asked", "text").mapInArrow(run, "at long, asked boolean, pos long, gram long")
 
 
-def _runs(texts: DataFrame, gram: int) -> DataFrame:
-    """``(run, doc, asked, start, text)``: the stretches whose grams are shared, each
+def _runs(texts: DataFrame, gram: int, window: int) -> DataFrame:
+    """``(run, doc, asked, start, text)``: the stretches within reach of shared grams, each
     with the gram behind it.  Positions come back to their text as bits."""
-    rows = _gram_rows(texts, gram)
+    asked = write_table(_gram_rows(texts.filter("asked"), gram, window).select("gram"), "asked-grams")
+    size = min(_MAP_BITS, max(1 << 18, 1 << (_BITS_A_GRAM * asked.count()).bit_length()))
+    rows = write_table(_gram_rows(texts, gram, window, bit_map(asked, size)), "grams")
     shared = rows.groupBy("gram").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.max("asked").alias("asked")).filter("lo < hi and asked")
     places = rows.select("at", "pos", "gram").join(shared.select("gram"), "gram", "left_semi")
     bits = places.groupBy("at", F.bitmap_bucket_number(F.col("pos") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("pos") + 1)).alias("bits"))
@@ -60,11 +74,17 @@ def _runs(texts: DataFrame, gram: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, asked, text, maps in zip(*[c.to_pylist() for c in b.columns]):
-                mask = np.zeros((max(m["bucket"] for m in maps)) * _BITS + 2, bool)
+                mask = np.zeros(max(max(m["bucket"] for m in maps) * _BITS, len(text)) + 2, bool)
                 for m in maps:
                     own = np.unpackbits(np.frombuffer(m["bits"], np.uint8), bitorder="little")
                     lo = (m["bucket"] - 1) * _BITS + 1  # one place before the text
                     mask[lo : lo + len(own)] = own
+                # a window reaches as many grams to both sides of its least one
+                near = np.zeros(len(mask) + 1, np.int64)
+                places = np.flatnonzero(mask)
+                np.add.at(near, np.maximum(places - window + 1, 1), 1)
+                np.add.at(near, np.minimum(places + window, len(text) - gram + 2), -1)
+                mask = np.append(np.cumsum(near)[:-1] > 0, False)
                 edges = np.flatnonzero(np.diff(mask.astype(np.int8)))
                 starts, ends = edges[::2], edges[1::2]
                 cuts = [text[s : e + gram] for s, e in zip(starts.tolist(), ends.tolist())]
@@ -74,6 +94,19 @@ def _runs(texts: DataFrame, gram: int) -> DataFrame:
     return write_table(found.withColumn("run", F.monotonically_increasing_id()), "runs")
 
 
+def _units(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs with the number ``at`` of their characters, and ``(at, text, lo, hi, asked)`` of
+    these: the first and last place in order; ``asked`` if one text alone has them and is asked."""
+    place = F.struct("doc", "start")
+    hashed = runs.withColumn("digest", F.sha2("text", 256))
+    found = hashed.groupBy("digest").agg(F.min("run").alias("at"), F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("asked").alias("asked"))
+    found = write_table(found, "units")
+    named = write_table(hashed.join(found.select("digest", "at"), "digest").select("run", "at", "doc", "asked", "start", "text"), "named-runs")
+    own = named.filter("run = at").select("at", "text")
+    units = own.join(found.select("at", "lo", "hi", ((F.col("lo.doc") == F.col("hi.doc")) & F.col("asked")).alias("asked")), "at")
+    return named.select("at", "doc", "asked", "start"), write_table(units, "run-units")
+
+
 def _neighbours(rows: DataFrame) -> DataFrame:
     """``rows(idx, doc, asked, at, pos)`` in order to pairs of each asked suffix and the
     nearest ones before and after it that belong to another text."""
@@ -100,17 +133,21 @@ def shared_stretches(docs: DataFrame, asked: Column, min_length: int) -> DataFra
         raise ValueError("min_length must be positive")
     gram = 1 << min(min_length, 32).bit_length() - 1
     texts = write_table(docs.select("doc_id", "text", F.coalesce(asked, F.lit(False)).alias("asked")).filter(F.length("text") >= min_length).withColumn("at", F.monotonically_increasing_id()), "texts")
-    runs = _runs(texts, gram)
-    order = suffix_order(runs.select(F.col("run").alias("at"), "text"), apart=False)
-    places = runs.select(F.col("run").alias("at"), "doc", "asked")
+    runs, units = _units(_runs(texts, gram, min_length - gram + 1))
+    order = suffix_order(units.select("at", "text"), apart=False)
+    # one of several texts is another text than any
+    places = units.select("at", F.when(F.col("lo.doc") == F.col("hi.doc"), F.col("lo.doc")).otherwise(-1 - F.col("at")).alias("doc"), "asked")
     rows = write_table(global_positions(order.ranks, ["r", "at", "pos"], "idx").join(places, "at").select("idx", "doc", "asked", "at", "pos"), "suffixes")
     found = order.common_prefixes(write_table(_neighbours(rows), "neighbours")).filter(F.col("lcp") >= min_length)
     best = found.groupBy("at1", "pos1").agg(F.max(F.struct("lcp", "at2", "pos2")).alias("b"))
-    starts = runs.select("run", "doc", "start")
-    one = starts.toDF("at1", "doc", "start")
-    two = starts.toDF("at2", "doc2", "start2")
-    matched = best.select("at1", "pos1", "b.*").join(one, "at1").join(two, "at2")
-    matched = write_table(matched.select("doc", (F.col("start") + F.col("pos1")).alias("position"), F.col("lcp").alias("length"), "doc2", (F.col("start2") + F.col("pos2")).alias("other_position")), "matched")
+    place = lambda c: F.struct(F.col(f"{c}.doc").alias("doc"), F.col(f"{c}.start").alias("start"))
+    ends = units.select("at", F.col("at").alias("at2"), place("lo").alias("lo"), place("hi").alias("hi"), F.length("text").cast("int").alias("size"))
+    one = runs.filter("asked").select(F.col("at").alias("at1"), "doc", "start")
+    single = best.select("at1", "pos1", "b.*").join(one, "at1").join(ends.drop("at", "size"), "at2")
+    # all of a run that another text has
+    shared = one.join(ends.filter("lo.doc <> hi.doc"), F.col("at1") == F.col("at")).filter(F.col("size") >= min_length).select("at1", F.lit(0).cast("long").alias("pos1"), F.col("size").alias("lcp"), "at2", F.lit(0).cast("long").alias("pos2"), "doc", "start", "lo", "hi")
+    both = single.select(*shared.columns).unionByName(shared).withColumn("other", F.when(F.col("lo.doc") == F.col("doc"), F.col("hi")).otherwise(F.col("lo")))
+    matched = write_table(both.select("doc", (F.col("start") + F.col("pos1")).alias("position"), F.col("lcp").alias("length"), F.col("other.doc").alias("doc2"), (F.col("other.start") + F.col("pos2")).alias("other_position")), "matched")
     # one that starts a character earlier and ends at the same place contains it
     wider = matched.select("doc", (F.col("position") + 1).alias("position"), (F.col("length") - 1).alias("length"))
     widest = matched.join(wider, ["doc", "position", "length"], "left_anti")

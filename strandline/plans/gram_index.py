@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
@@ -136,6 +137,24 @@ def _least_grams(rows: DataFrame, keys: list[str], text: str, gram: int, window:
     return kept.mapInArrow(run, schema)
 
 
+def bit_map(rows: DataFrame, size: int) -> Broadcast:
+    """Which of ``size`` bits, a power of two, the lowest ones of ``gram`` name; sent to workers."""
+    bit = F.col("gram").bitwiseAND(F.lit(size - 1))
+    marked = rows.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    whole = np.zeros(size // 8, np.uint8)
+    for bucket, bits in marked.collect():  # size / 8 bytes at most
+        at = (bucket - 1) * 4096  # buckets and bits count from one
+        whole[at : at + len(bits)] = np.frombuffer(bytes(bits), np.uint8)[: size // 8 - at]
+    return rows.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+
+def in_map(h: np.ndarray, sent: Broadcast) -> np.ndarray:
+    """Places of the hashes whose bit is set."""
+    bits = np.frombuffer(sent.value, np.uint8)
+    low = h & (8 * len(bits) - 1)
+    return np.flatnonzero((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
+
+
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """``patterns(qid, pattern)`` of every length, long passages too, to ``(qid,
     doc_id, position)``; an empty pattern occurs nowhere.
@@ -159,21 +178,13 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in probe.select("size").distinct().collect())
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"qid {qid}, doc_id {kind}, position int")
-    bit = F.col("gram").bitwiseAND(F.lit(MAP_BITS - 1))
-    marked = probe.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    whole = np.zeros(MAP_BITS // 8, np.uint8)
-    for bucket, bits in marked.collect():  # MAP_BITS / 8 bytes at most
-        at = (bucket - 1) * 4096  # buckets and bits count from one
-        whole[at : at + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
+    sent = bit_map(probe, MAP_BITS)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint8)
         for b in batches:
             for i, text in enumerate(b.column(1).to_pylist()):
                 for h in kernels.window_hashes(kernels.code_points(text), sizes).values():
-                    low = h & (MAP_BITS - 1)
-                    pos = np.flatnonzero((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
+                    pos = in_map(h, sent)
                     if len(pos):
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos, pa.int32()), pa.array(h[pos], pa.int64())], names=["row", "pos", "gram"])
 

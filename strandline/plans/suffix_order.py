@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
-from strandline.plans.tables import write_table
+from strandline.plans.tables import drop_table, write_table
 
 #: Positions that a worker hands over at a time.
 _CHUNK = 1 << 16
@@ -122,6 +122,7 @@ def suffix_order(texts: DataFrame, apart: bool) -> SuffixOrder:
     order = ["at", "code"] if apart else ["code"]
     groups = sums_before(codes.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), order)
     ranked = write_table(codes.join(groups, order).select("at", "pos", F.col("s").alias("r"), "n", "left"), "ranks")
+    drop_table(groups)
     out = SuffixOrder(ranked, codes, width, bits, alphabet)
     done, k = [ranked.filter(F.col("n") == 1)], width
     while True:
@@ -138,13 +139,15 @@ def suffix_order(texts: DataFrame, apart: bool) -> SuffixOrder:
             ahead = ahead.union(t)
         asked = open_.select("at", F.col("pos").alias("own"), (F.col("pos") + k).alias("pos"), "r", "left")
         pairs = write_table(asked.join(ahead, ["at", "pos"]).select("at", F.col("own").alias("pos"), "r", "left", "ahead"), "pairs")
-        groups = write_table(sums_before(pairs.groupBy("r", "ahead").agg(F.count(F.lit(1)).alias("n")), ["r", "ahead"]), "starts")
+        groups = sums_before(pairs.groupBy("r", "ahead").agg(F.count(F.lit(1)).alias("n")), ["r", "ahead"])
         first = groups.groupBy("r").agg(F.min("s").alias("first"))
         # equal suffixes that ended come before those that go on, and are part of the group
         before = ended.groupBy("r").agg(F.count(F.lit(1)).alias("ended"))
         named = groups.join(first, "r").join(before, "r", "left")
         named = named.select("r", "ahead", "n", (F.col("r") + F.coalesce("ended", F.lit(0)) + F.col("s") - F.col("first")).alias("new"))
         ranked = write_table(pairs.join(named, ["r", "ahead"]).select("at", "pos", F.col("new").alias("r"), "n", "left"), "ranks")
+        for used in (pairs, groups):
+            drop_table(used)
         done.append(ranked.filter(F.col("n") == 1))
         k *= 2
     ranks = done[0]

@@ -80,6 +80,12 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd", path: str | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Removes the tables that a plan reads, for those that nothing reads again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete_path(df.sparkSession, path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan dealt out anew where it has fewer partitions than there are cores: a
     small file may be one row group, which only one task can read.  Larger scans

@@ -72,3 +72,22 @@ def test_a_round_moves_only_what_is_tied(spark):
     order = suffix_order(spark.createDataFrame([(0, text)], "at long, text string"), True)
     sizes = [t.count() for _, t in order.tied]
     assert all(n <= 2 * max(0, 1001 - k) for (k, _), n in zip(order.tied, sizes)) and sizes[-1] == 0
+
+
+def test_copies_are_ordered_once(spark, monkeypatch):
+    """Texts that are alike, and a passage across the border of two maps of positions."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    copy, passage = word(300), word(60)
+    rows = [(i, copy) for i in range(40, 80)] + [(100, word(32_740) + passage + word(90)), (101, word(20) + passage), (102, passage + word(5))]
+    seen = []
+
+    def order(texts, apart):
+        seen.append(texts.selectExpr("sum(length(text))").first()[0])
+        return suffix_order(texts, apart)
+
+    monkeypatch.setattr(corpus, "suffix_order", order)
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted(tuple(r)[:3] for r in corpus.shared_stretches(docs, F.col("doc_id") % 50 == 0, 40).collect())
+    assert got == [(50, 0, 300), (100, 32_740, 60)]
+    assert seen[0] < 1000

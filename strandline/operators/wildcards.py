@@ -1,13 +1,17 @@
 """Wildcard search of many patterns at once.
 
 A pattern is cut at its ``*`` into parts, and of each part the longest run without a
-``?`` is its anchor.  All anchors of all patterns are found in one pass over the texts
-(:func:`strandline.plans.gram_index.occurrences`).  Texts that lack an anchor of a pattern
-go; what is left is compared with slices of the texts, so that a hit far into a text costs
-no more than one at its beginning.  Then the hits of a pattern's parts are merged by
-position, one merge a gap for all patterns together (:mod:`strandline.plans.asof`).
+``?`` is its anchor.  One pass over the texts tells which of them may have the longest anchor
+of which patterns (:func:`strandline.plans.gram_index.having`), one row a text and pattern
+and none a hit.  Each text then meets its patterns once, and a worker follows the chains
+of each through the text: a step's searches go on where the last one ended, so a pattern
+passes a text once a part, however many hits it has.
 
-Stop characters are counted, not searched: a gap has none if as many stand before its
+Texts beyond ``MAX_CHARS`` are many tasks' work.  All anchors are found in them
+(:func:`strandline.plans.gram_index.occurrences`) and compared with slices, so that a hit far
+into a text costs no more than one at its beginning.  Then the hits of a pattern's parts are merged by
+position, one merge a gap for all patterns together (:mod:`strandline.plans.asof`).
+There stop characters are counted, not searched: a gap has none if as many stand before its
 end as before its start.  A part of ``?`` alone lies as near as the gap allows, which
 makes the next gap longer, or the match.
 
@@ -19,8 +23,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +33,9 @@ from pyspark.sql import functions as F
 
 from strandline.functions.patterns import WildcardOptions, quote
 from strandline.operators.search import _ends, _let
+from strandline.operators.suffix import MAX_CHARS
 from strandline.plans import asof
-from strandline.plans.gram_index import occurrences
+from strandline.plans.gram_index import having, occurrences
 from strandline.plans.keys import by_row
 from strandline.plans.tables import write_table
 
@@ -38,6 +44,10 @@ OPEN = 1000
 #: Characters of a slice at least, since stop characters are counted in it for every hit;
 #: never fewer than a part and what must follow it.
 SLICE = 256
+#: Patterns that a text meets in one row, about so many at most.
+TOGETHER = 64
+#: Rows that a worker hands over at a time, and those of one pattern more.
+_ROWS = 1 << 15
 _PARTS = "pid long, k int, of int, size int, anchor string, offset int, like string, least long, most long, tail long"
 _NEXT = "struct<at:bigint,end:bigint,from:bigint,to:bigint,least:bigint,most:bigint,of:int,tail:bigint>"
 _ON_THE_WAY = ["position", "end", "to", "least", "most", "of", "tail"]
@@ -88,9 +98,10 @@ def _slices(docs: DataFrame, size: int, reach: int, o: WildcardOptions) -> DataF
 
 
 @by_row
-def search_wildcard_each(docs: DataFrame, patterns: DataFrame, options: WildcardOptions | None = None, block: int | None = None) -> DataFrame:
+def search_wildcard_each(docs: DataFrame, patterns: DataFrame, options: WildcardOptions | None = None, block: int | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
     """``patterns(qid, pattern)`` to ``(qid, doc_id, position, length)``: for each pattern
-    what :func:`strandline.operators.search.search_wildcard` finds."""
+    what :func:`strandline.operators.search.search_wildcard` finds.  ``block`` and
+    ``max_chars`` are of texts that are many tasks' work."""
     o = options or WildcardOptions()
     texts = docs.select("doc_id", "text").filter(F.length("text") > 0)
     asked = write_table(patterns.select("qid", "pattern").withColumn("pid", F.monotonically_increasing_id()), "patterns")
@@ -103,7 +114,105 @@ def search_wildcard_each(docs: DataFrame, patterns: DataFrame, options: Wildcard
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[c.split()[1]]) for n, c in zip(names, _PARTS.split(", "))]))
 
     parts = write_table(asked.filter(F.length("pattern") > 0).select("pid", "pattern").mapInArrow(parse, _PARTS), "parts")
-    hits = write_table(_part_hits(texts, parts, o), "part-hits")
+    alone = [r[0] for r in parts.filter("anchor = '' and of = 1").select("pid").limit(OPEN + 1).collect()]
+    if len(alone) > OPEN:
+        raise ValueError(f"more than {OPEN} patterns have no literal")
+    found = _in_texts(texts.filter(F.length("text") <= max_chars), asked, parts, alone, o)
+    giant = texts.filter(F.length("text") > max_chars)
+    if giant.take(1):
+        found = found.union(_by_merges(giant, parts, alone, o, block))
+    return found.join(asked.select("pid", "qid"), "pid").select("qid", "doc_id", "position", "length")
+
+
+@lru_cache(4096)
+def _steps(pattern: str, o: WildcardOptions) -> tuple[tuple[str, ...], list[tuple]]:
+    """The anchors of a pattern, and ``(search, size, tail, least, most)`` of each part with
+    a literal and of the first one; the gap is that before the part."""
+    found, gap = [], (0, 0)
+    any_one = f"[^{re.escape(o.stop_characters)}]" if o.stop_characters else "."
+    first, *others = [p for p in pattern.split(o.asterisk) if p]
+    literal = [first, *[p for p in others if p.strip(o.question)]]
+    parts = parts_of(pattern, o)
+    for text, (k, _, size, anchor, _, _, least, most, tail) in zip(literal, parts):
+        free = k == 0 and not text.strip(o.question)
+        signs = [("." if free else any_one) if c == o.question else re.escape(c) for c in text]
+        behind = f"(?={any_one}{{{tail}}})" if tail else ""
+        found.append((re.compile("(?s)" + "".join(signs) + behind).search, size, tail, *gap))
+        gap = (least, most)
+    return tuple(p[3] for p in parts if p[3]), found
+
+
+def _chains(text: str, pattern: str, o: WildcardOptions) -> list[tuple[int, int]]:
+    """``(position, length)`` of every match of a pattern in a text."""
+    anchors, steps = _steps(pattern, o)
+    if not steps or not all(a in text for a in anchors):
+        return []
+    search, size = steps[0][:2]
+    way, hit = [], search(text, 0)
+    while hit:
+        way.append((hit.start(), hit.start() + size))
+        hit = search(text, hit.start() + 1)
+    stop = re.compile(f"[{re.escape(o.stop_characters)}]").search if o.stop_characters else None
+    for search, size, tail, least, most in steps[1:]:
+        # ends grow along the way, so what was searched once is not searched again
+        on, at, sought, stopped = [], -1, 0, -1
+        for start, end in way:
+            if stop and stopped < end:
+                stopped = m.start() if (m := stop(text, end)) else len(text)
+            lo = end + least
+            until = min(end + most + size + tail, stopped if stop else len(text))
+            if at < lo:
+                m = search(text, max(lo, sought), until) if until - max(lo, sought) >= size + tail else None
+                if m is None:
+                    sought = max(sought, until - size - tail + 1)
+                    continue
+                at = m.start()
+            if at + size + tail <= until:
+                on.append((start, at + size))
+        way = on
+    tail = steps[-1][2]
+    return [(start, end + tail - start) for start, end in way]
+
+
+def _in_texts(texts: DataFrame, asked: DataFrame, parts: DataFrame, alone: list[int], o: WildcardOptions) -> DataFrame:
+    """``(pid, doc_id, position, length)``: each text with the patterns whose longest anchor
+    it may have."""
+    rows = texts.select(F.col("doc_id.row").alias("row"), "doc_id", "text")
+    probe = parts.filter("anchor <> ''").groupBy("pid").agg(F.max_by("anchor", F.length("anchor")).alias("anchor"))
+    literals = probe.select(F.col("anchor").alias("qid"), F.col("anchor").alias("pattern")).distinct()
+    met = having(rows.select("row", "text"), literals).join(probe.withColumnRenamed("anchor", "qid"), "qid").select("row", "pid")
+    if alone:
+        met = met.union(rows.select("row", F.explode(F.lit(alone)).alias("pid")))
+    groups = F.greatest(F.lit(1), F.ceil(F.lit(asked.count() / TOGETHER)))
+    dealt = met.join(asked.select("pid", "pattern"), "pid").groupBy("row", F.pmod(F.xxhash64("pid"), groups).alias("__group")).agg(F.collect_list(F.struct("pid", "pattern")).alias("asked"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, pids, places, sizes = [], [], [], []
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_py()
+                for one in b.column(2)[i].as_py():
+                    for position, length in _chains(text, one["pattern"], o):
+                        owner.append(i)
+                        pids.append(one["pid"])
+                        places.append(position)
+                        sizes.append(length)
+                    if len(owner) >= _ROWS:
+                        yield out(b, owner, pids, places, sizes)
+                        owner, pids, places, sizes = [], [], [], []
+            if owner:
+                yield out(b, owner, pids, places, sizes)
+
+    def out(b: pa.RecordBatch, owner: list, pids: list, places: list, sizes: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), b.column(0).take(pa.array(owner, pa.int64())), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], names=["pid", "doc_id", "position", "length"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return dealt.join(rows, "row").select("doc_id", "text", "asked").mapInArrow(follow, f"pid long, doc_id {kind}, position int, length int")
+
+
+def _by_merges(texts: DataFrame, parts: DataFrame, alone: list[int], o: WildcardOptions, block: int | None) -> DataFrame:
+    """``(pid, doc_id, position, length)`` by joins and merges of the parts' hits."""
+    hits = write_table(_part_hits(texts, parts, alone, o), "part-hits")
     steps = hits.agg(F.max("of")).first()[0] or 0
     way = hits.filter("k = 0").withColumn("position", F.col("at")).select("doc_id", "pid", *_ON_THE_WAY)
     done = [way.filter("of = 1")]
@@ -111,11 +220,10 @@ def search_wildcard_each(docs: DataFrame, patterns: DataFrame, options: Wildcard
         way = write_table(_step(way.filter(F.col("of") > k), hits.filter(F.col("k") == k), block), "chains")
         done.append(way.filter(F.col("of") == k + 1))
     length = F.col("end") + F.col("tail") - F.col("position")
-    found = reduce(DataFrame.union, done).select("pid", "doc_id", F.col("position").cast("int").alias("position"), length.cast("int").alias("length"))
-    return found.join(asked.select("pid", "qid"), "pid").select("qid", "doc_id", "position", "length")
+    return reduce(DataFrame.union, done).select("pid", "doc_id", F.col("position").cast("int").alias("position"), length.cast("int").alias("length"))
 
 
-def _part_hits(texts: DataFrame, parts: DataFrame, o: WildcardOptions) -> DataFrame:
+def _part_hits(texts: DataFrame, parts: DataFrame, alone: list[int], o: WildcardOptions) -> DataFrame:
     """Hits of the parts, in texts that have all anchors of a pattern: ``(doc_id, pid, k, of,
     at, end, from, to, least, most, tail)``, with the stop characters before both ends."""
     anchored = parts.filter("anchor <> ''")
@@ -129,9 +237,6 @@ def _part_hits(texts: DataFrame, parts: DataFrame, o: WildcardOptions) -> DataFr
     kept = found.join(anchored.select("anchor", "pid", "k", "offset"), "anchor").join(whole, ["doc_id", "pid"], "left_semi").select("doc_id", "pid", "k", at).filter("at >= 0")
     # a first part of ? alone stands everywhere, in the texts that have the rest
     first = parts.filter("anchor = ''").select("pid", "size", "of")
-    alone = [r[0] for r in first.filter("of = 1").select("pid").limit(OPEN + 1).collect()]
-    if len(alone) > OPEN:
-        raise ValueError(f"more than {OPEN} patterns have no literal")
     free = whole
     if alone:
         free = free.union(texts.select("doc_id", F.explode(F.lit(alone)).alias("pid")))

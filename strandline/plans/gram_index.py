@@ -165,17 +165,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     those left are joined on the hash and compared with the whole pattern."""
     qid = patterns.schema["qid"].dataType.simpleString()
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes = [kernels.code_points(t) for t in b.column(1).to_pylist()]
-            sizes = [max(g for g in ANCHORS if g <= len(c)) for c in codes]
-            hashes = [int(kernels.window_hashes(c[:g], [g])[g][0]) for c, g in zip(codes, sizes)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([0] * len(codes), pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())], names=["qid", "pattern", "at", "size", "gram"])
-
-    asked = patterns.select("qid", "pattern").filter(F.length("pattern") > 0)
-    probe = write_table(asked.mapInArrow(anchor, f"qid {qid}, pattern string, at int, size int, gram long"), "anchors")
-    sizes = sorted(r[0] for r in probe.select("size").distinct().collect())
+    probe, sizes = _anchors(patterns)
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"qid {qid}, doc_id {kind}, position int")
     sent = bit_map(probe, MAP_BITS)
@@ -193,6 +183,46 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return _verified(rows, probe.drop("size").join(found, "gram"), ["row"])
 
 
+def having(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``rows(row, text)`` and ``patterns(qid, pattern)`` to ``(row, qid)``: the texts that have
+    the first 1, 2, 4, ... or 32 characters of a pattern, by their hash, and so may have it.
+    One row a text and pattern, however many hits there are."""
+    qid = patterns.schema["qid"].dataType.simpleString()
+    probe, sizes = _anchors(patterns)
+    if not sizes:
+        return rows.sparkSession.createDataFrame([], f"row long, qid {qid}")
+    sent = bit_map(probe, MAP_BITS)
+
+    def had(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, grams = [], []
+            for i in range(b.num_rows):
+                found = [np.unique(h[in_map(h, sent)]) for h in kernels.window_hashes(kernels.code_points(b.column(1)[i].as_py()), sizes).values()]
+                owner.append(np.full(sum(map(len, found)), i))
+                grams += found
+            if grams:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(grams), pa.int64())], names=["row", "gram"])
+
+    found = rows.filter(F.length("text") > 0).select("row", "text").mapInArrow(had, "row long, gram long")
+    return probe.select("qid", "gram").join(found, "gram").select("row", "qid")
+
+
+def _anchors(patterns: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``(qid, pattern, at, size, gram)``, the hash of each pattern's beginning, and the sizes of these."""
+    qid = patterns.schema["qid"].dataType.simpleString()
+
+    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [kernels.code_points(t) for t in b.column(1).to_pylist()]
+            sizes = [max(g for g in ANCHORS if g <= len(c)) for c in codes]
+            hashes = [int(kernels.window_hashes(c[:g], [g])[g][0]) for c, g in zip(codes, sizes)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([0] * len(codes), pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())], names=["qid", "pattern", "at", "size", "gram"])
+
+    asked = patterns.select("qid", "pattern").filter(F.length("pattern") > 0)
+    probe = write_table(asked.mapInArrow(anchor, f"qid {qid}, pattern string, at int, size int, gram long"), "anchors")
+    return probe, sorted(r[0] for r in probe.select("size").distinct().collect())
+
+
 def _verified(docs: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     found = found.withColumn("position", F.col("pos") - F.col("at")).filter("position >= 0").select(*keys, "qid", "pattern", "position")
     return found.join(docs.select(*keys, "doc_id", "text"), keys).filter(F.expr("substring(text, position + 1, length(pattern)) = pattern")).select("qid", "doc_id", "position")

@@ -96,3 +96,25 @@ def test_many_open_patterns_are_refused(spark):
     table = spark.createDataFrame([(1, "ab")], "doc_id int, text string")
     with pytest.raises(ValueError):
         wildcards.search_wildcard_each(table, spark.createDataFrame([(i, "?") for i in range(wildcards.OPEN + 1)], "qid int, pattern string"))
+
+
+@pytest.mark.parametrize("k", range(len(OPTIONS)))
+def test_texts_of_many_tasks(spark, monkeypatch, k):
+    monkeypatch.setattr(wildcards, "SLICE", 7)
+    monkeypatch.setattr(wildcards, "TOGETHER", 5)
+    o, (docs, patterns) = OPTIONS[k], corpus()
+    patterns = [p and p.replace("*", o.asterisk).replace("?", o.question) for p in patterns]
+    table = spark.createDataFrame(docs, "doc_id int, text string")
+    found = wildcards.search_wildcard_each(table, spark.createDataFrame(list(enumerate(patterns)), "qid int, pattern string"), o, block=5, max_chars=20)
+    want = Counter((i, d, *hit) for i, p in enumerate(patterns) if p for d, t in docs if t for hit in plain(t, p, o))
+    assert Counter(tuple(r) for r in found.collect()) == want
+
+
+def test_hits_of_single_letters_are_not_rows(spark, monkeypatch):
+    made = []
+    kept = wildcards.write_table
+    monkeypatch.setattr(wildcards, "write_table", lambda df, name: made.append((name, kept(df, name))) or made[-1][1])
+    table = spark.createDataFrame([(i, "a" * 3000 + "word ab") for i in range(20)], "doc_id int, text string")
+    found = wildcards.search_wildcard_each(table, spark.createDataFrame([(1, "word *a?")], "qid int, pattern string")).collect()
+    assert sorted(map(tuple, found)) == [(1, i, 3000, 7) for i in range(20)]
+    assert max(t.count() for _, t in made) <= 20

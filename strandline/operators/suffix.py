@@ -156,22 +156,27 @@ def bwt(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     before it, the last one for the whole text; original_index is the whole
     text's rank (-1 for an empty text).  Texts beyond ``max_chars`` go through
     :func:`giant_tables`."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    kept = _transformed(texts.filter(F.length("text") <= max_chars))
+    giant = texts.filter(F.length("text") > max_chars)
+    return kept.union(_giant_bwt(_numbered(giant))) if giant.take(1) else kept
+
+
+def _transformed(texts: DataFrame) -> DataFrame:
+    """The transform text by text."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, at = [], []
             for text in b.column(1).to_pylist():
                 codes = kernels.code_points(text)
-                order, _ = kernels.suffix_order(codes)
+                order = kernels.Prefixes(codes).order
                 out.append(codes[order - 1].tobytes().decode("utf-32-le", "surrogatepass"))
                 at.append(int(np.flatnonzero(order == 0)[0]) if len(order) else -1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(at, pa.int32())], names=["doc_id", "bwt", "original_index"])
 
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    kept = texts.filter(F.length("text") <= max_chars).mapInArrow(run, f"doc_id {kind}, bwt string, original_index int")
-    giant = texts.filter(F.length("text") > max_chars)
-    return kept.union(_giant_bwt(_numbered(giant))) if giant.take(1) else kept
+    return texts.mapInArrow(run, f"doc_id {kind}, bwt string, original_index int")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -223,17 +228,22 @@ def _giant_bwt(texts: DataFrame) -> DataFrame:
 def restore(transformed: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """``(doc_id, text)`` from a transform whose text ends in its unique smallest
     character.  Transforms beyond ``max_chars`` are inverted by joins."""
-    kind = transformed.schema["doc_id"].dataType.simpleString()
+    rows = transformed.select("doc_id", "bwt", "original_index").filter(F.col("bwt").isNotNull())
+    kept = _restored(rows.filter(F.length("bwt") <= max_chars))
+    giant = rows.filter(F.length("bwt") > max_chars)
+    return kept.union(_giant_restore(_numbered(giant))) if giant.take(1) else kept
+
+
+def _restored(rows: DataFrame) -> DataFrame:
+    """The texts of transforms one by one."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [kernels.invert_bwt(kernels.code_points(t), i).tobytes().decode("utf-32-le", "surrogatepass") for t, i in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    rows = transformed.select("doc_id", "bwt", "original_index").filter(F.col("bwt").isNotNull())
-    kept = rows.filter(F.length("bwt") <= max_chars).mapInArrow(run, f"doc_id {kind}, text string")
-    giant = rows.filter(F.length("bwt") > max_chars)
-    return kept.union(_giant_restore(_numbered(giant))) if giant.take(1) else kept
+    return rows.mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def _giant_restore(rows: DataFrame) -> DataFrame:
@@ -265,8 +275,13 @@ def terminated(docs: DataFrame, end: str = "\0") -> DataFrame:
 
 
 def full_text_restore(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Transforms terminated texts, inverts, and drops the terminator."""
-    back = restore(bwt(terminated(docs), max_chars), max_chars)
+    """Transforms terminated texts, inverts, and drops the terminator.  Texts are told apart
+    by length before they are transformed, so that no transform is made to be measured."""
+    closed = terminated(docs.select("doc_id", "text").filter(F.col("text").isNotNull()))
+    back = _restored(_transformed(closed.filter(F.length("text") <= max_chars)))
+    giant = closed.filter(F.length("text") > max_chars)
+    if giant.take(1):
+        back = back.union(restore(bwt(giant, max_chars), max_chars))
     return back.select("doc_id", F.substring("text", F.lit(1), F.length("text") - 1).alias("text"))
 
 

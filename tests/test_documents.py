@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from strandline.operators import suffix
 from strandline.plans.queries import QUERIES
 
 _rng = random.Random(4)
@@ -184,3 +185,36 @@ def test_pairs_of_short_texts_need_no_suffix_table(spark, monkeypatch):
     monkeypatch.setattr(suffix, "suffixes", None)
     got = suffix.lcp_of_pairs(docs, None, q)
     assert sorted(map(tuple, got.collect())) == sorted(expected) and _lines_of(spark, lambda d: got, docs) == mixed
+
+
+def test_documents_are_transformed_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "banana " * 3) for i in range(9)], "doc_id int, text string")
+    looked, plain = [], type(docs).take
+    monkeypatch.setattr(type(docs), "take", lambda df, n: looked.append(df._jdf.queryExecution().toString()) or plain(df, n))
+    back = suffix.full_text_restore(docs)
+    assert looked and not any("MapInArrow" in plan for plan in looked)
+    assert [r["text"] for r in back.collect()] == ["banana " * 3] * 9
+
+
+def test_tandem_repeats_and_intervals_of_long_repeats():
+    import numpy as np
+
+    from strandline.functions import kernels
+
+    for text in ("x" * 33 + "y" + "x" * 33, ("ab" * 40 + "c") * 5, "".join(map(chr, range(40, 240))) * 3, "\U0001f600b" * 40):
+        n = len(text)
+        found = {}
+        for d in range(1, n // 2 + 1):
+            i = 0
+            while i + d < n:
+                k = i
+                while k + d < n and text[k] == text[k + d]:
+                    k += 1
+                if k - i >= d:
+                    found.setdefault(i, []).append((-(((k - i) // d + 1) * d), d, (k - i) // d + 1))
+                i = k + 1
+        want = sorted((i, min(v)[1], min(v)[2]) for i, v in found.items())
+        assert kernels.tandem_repeats(kernels.code_points(text)) == want
+    codes = kernels.code_points("abcdefgh-abcdefgh+abc")
+    order, lcp = kernels.suffix_order(codes)
+    assert kernels.lcp_intervals(lcp, order, np.ones(len(order), np.int64), 8).tolist() == [[0, -1, 8, 8, 2, 0]]

@@ -218,3 +218,13 @@ def test_tandem_repeats_and_intervals_of_long_repeats():
     codes = kernels.code_points("abcdefgh-abcdefgh+abc")
     order, lcp = kernels.suffix_order(codes)
     assert kernels.lcp_intervals(lcp, order, np.ones(len(order), np.int64), 8).tolist() == [[0, -1, 8, 8, 2, 0]]
+
+
+def test_tandem_repeats_order_a_plain_text_once(monkeypatch):
+    from strandline.functions import kernels
+
+    made, plain = [], kernels.Prefixes
+    monkeypatch.setattr(kernels, "Prefixes", lambda codes: made.append(1) or plain(codes))
+    text = "the cat sat on a mat, hummed and was asleep by noon " + "ab" * 30
+    assert (52, 2, 30) in kernels.tandem_repeats(kernels.code_points(text))
+    assert made == [1]

@@ -34,6 +34,8 @@ WINDOW = 8
 ANCHORS = (1, 2, 4, 8, 16, 32)
 MAP_BITS = 1 << 24
 KIND = "grams"
+#: Grams that a worker holds before it hands them over, and those of one text more.
+HELD = 1 << 16
 
 
 @dataclass
@@ -120,19 +122,21 @@ def _least_grams(rows: DataFrame, keys: list[str], text: str, gram: int, window:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, grams, sizes, places = [], [], [], []
-            for i, t in enumerate(b.column(len(keys)).to_pylist()):
-                h, pos = kernels.least_grams(kernels.code_points(t), gram, window)
+            at, grams, sizes, places, held = [], [], [], [], 0
+            for i in range(b.num_rows):
+                h, pos = kernels.least_grams(kernels.code_points(b.column(len(keys))[i].as_py()), gram, window)
                 order = np.argsort(h, kind="stable")
                 head = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0])) if len(h) else order
                 at.append(np.full(len(head), i))
                 grams.append(h[order][head])
                 sizes.append(np.diff(np.append(head, len(h))))
                 places.append(pos[order])
-            if at:
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32()), pa.array(np.concatenate(places), pa.int32()))
-                take = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[: len(keys)]], pa.array(np.concatenate(grams), pa.int64()), lists], names=schema.names)
+                held += len(h)
+                if held >= HELD or i == b.num_rows - 1:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32()), pa.array(np.concatenate(places), pa.int32()))
+                    take = pa.array(np.concatenate(at))
+                    yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[: len(keys)]], pa.array(np.concatenate(grams), pa.int64()), lists], names=schema.names)
+                    at, grams, sizes, places, held = [], [], [], [], 0
 
     return kept.mapInArrow(run, schema)
 
@@ -172,8 +176,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text in enumerate(b.column(1).to_pylist()):
-                for h in kernels.window_hashes(kernels.code_points(text), sizes).values():
+            for i in range(b.num_rows):
+                for h in kernels.window_hashes(kernels.code_points(b.column(1)[i].as_py()), sizes).values():
                     pos = in_map(h, sent)
                     if len(pos):
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos, pa.int32()), pa.array(h[pos], pa.int64())], names=["row", "pos", "gram"])

@@ -91,3 +91,30 @@ def test_copies_are_ordered_once(spark, monkeypatch):
     got = sorted(tuple(r)[:3] for r in corpus.shared_stretches(docs, F.col("doc_id") % 50 == 0, 40).collect())
     assert got == [(50, 0, 300), (100, 32_740, 60)]
     assert seen[0] < 1000
+
+
+def test_grams_are_handed_over_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from strandline.plans import gram_index
+
+    monkeypatch.setattr(gram_index, "HELD", 100)
+    texts = ["".join(chr(97 + (i * k + i // 7) % 26) for i in range(60)) for k in range(1, 40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row", "text"])
+    handed = []
+
+    class Rows:
+        """In place of a table: runs the worker's function here."""
+
+        def __init__(self):
+            self.schema = spark.createDataFrame([], "row long").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            handed.extend(run(iter([batch])))
+
+    gram_index._least_grams(Rows(), ["row"], "text", 8, 8)
+    assert len(handed) > 3 and max(pa.compute.sum(pa.compute.list_value_length(h.column(2))).as_py() for h in handed) < 160
+    assert sorted(set(r for h in handed for r in h.column(0).to_pylist())) == list(range(len(texts)))

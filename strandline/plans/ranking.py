@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.plans.tables import write_table
 
 
-def global_positions(df: DataFrame, order: Sequence[str | Column], name: str, start: int = 0) -> DataFrame:
-    """Adds each row's number in the given order.
+def global_positions(df: DataFrame, order: Sequence[str | Column], name: str, start: int = 0, keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds each row's number in the given order; of the columns those to ``keep`` stay.
 
-    Rows are range-partitioned and written once, so that the ranges stay as they
-    are; partition counts, one number each, give the offsets.
+    Rows are range-partitioned, sorted and written once with their numbers inside their
+    ranges; the ranges' counts, one number each, give the offsets.  Nothing moves again.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # such an id has its range in the bits from 33 on and the row's number in the others
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(df.columns if keep is None else keep), F.monotonically_increasing_id().alias("__id"))
+    part = F.shiftright("__id", 33).cast("int")
     table = write_table(dealt, "positions")
-    counts = {r[0]: r[1] for r in table.groupBy("__part").count().collect()}
+    counts = {r[0]: r[1] for r in table.groupBy(part.alias("__part")).count().collect()}
     offsets, at = [], start
-    for part in sorted(counts):
-        offsets.append((part, at))
-        at += counts[part]
+    for number in sorted(counts):
+        offsets.append((number, at))
+        at += counts[number]
     base = df.sparkSession.createDataFrame(offsets, "__part int, __base long")
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return table.join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + local).drop("__part", "__base")
+    local = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return table.withColumn("__part", part).join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + local).drop("__part", "__base", "__id")

@@ -59,10 +59,10 @@ class ValueIndex:
         codes = write_table(numbered.join(first, "seq_id").select("seq_id", "val", (F.col("g") - F.col("first")).alias("code")), "codes")
         depth = max(1, int(codes.agg(F.max("code")).first()[0] or 0).bit_length())
         turned = F.conv(F.reverse(F.lpad(F.bin("code"), depth, "0")), 2, 10).cast("long")
-        rows = s.join(codes, ["seq_id", "val"]).select("seq_id", "pos", turned.alias("turned"), F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
+        rows = s.join(codes.select("seq_id", "val", turned.alias("turned")), ["seq_id", "val"]).select("seq_id", "pos", "turned", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
         mask = _shift("shiftleft", F.lit(1).cast("long"), F.col("level")) - 1
         rows = rows.select("seq_id", "level", F.col("turned").bitwiseAND(mask).alias("key"), "pos", _shift("shiftright", F.col("turned"), F.col("level")).bitwiseAND(F.lit(1).cast("long")).alias("bit"))
-        placed = write_table(global_positions(rows, ["seq_id", "level", "key", "pos"], "g"), "levels")
+        placed = global_positions(rows, ["seq_id", "level", "key", "pos"], "g", keep=["seq_id", "level", "bit"])
         base = placed.groupBy("seq_id", "level").agg(F.min("g").alias("base"))
         at = F.col("g") - F.col("base")
         packed = placed.join(base, ["seq_id", "level"]).select("seq_id", "level", F.floor(at / WORD).alias("word"), _shift("shiftleft", F.col("bit"), at % WORD).alias("bit"), (1 - F.col("bit")).alias("zero"))

@@ -88,3 +88,15 @@ def test_a_frequent_value_leaves_few_halves(spark, monkeypatch):
     q = spark.createDataFrame([(1, 1, 0, n)], "qid int, seq_id int, start long, end long")
     assert [tuple(r) for r in index.range_mode(q).collect()] == [(1, 20000, n // 3 + 1)]
     assert sum(opened) < 8 * index.depth
+
+
+def test_row_numbers_move_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.plans.ranking import global_positions
+
+    rows = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("v"), "id")
+    found = global_positions(rows, ["v"], "n", start=3)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["v"], r["n"]) for r in found.collect())
+    assert found.columns == ["v", "id", "n"] and [n for _, n in got] == list(range(3, 5003))

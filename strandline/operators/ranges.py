@@ -12,20 +12,93 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.plans.blocks import BLOCK, check_ranges, edge_rows, sizes
 from strandline.plans.dyadic import Combine, by_aggregate, by_fold, depth, nodes, pieces
 from strandline.sources import store
 
 
-def _answered(s: DataFrame, q: DataFrame, state: Column, combine: Combine, block: int, size: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+#: Bits of a whole number's code: its distance from the least of its type, and 0 for null.
+_BITS = {T.ByteType: 9, T.ShortType: 17, T.IntegerType: 33, T.LongType: 65}
+
+
+@dataclass
+class _Packed:
+    """Order, place in the block and value of an element as one number.  Numbers are hashed
+    by key where structs would be sorted, every row of the sequence and of the queries' edges."""
+
+    number: Column
+    pick: Callable[[Column], Column]
+    state: Callable[[Column, Column], Column]
+
+    def best(self, rows: DataFrame, key: str) -> DataFrame:
+        """``rows(key, __block, __n)`` to ``(key, __block, state)``."""
+        found = rows.groupBy(key, "__block").agg(self.pick("__n").alias("__n"))
+        return found.select(key, "__block", self.state(F.col("__n"), F.col("__block")).alias("state"))
+
+
+def _packed(s: DataFrame, largest: bool, block: int, by: Column | None = None) -> _Packed | None:
+    """None where the order or the value is not of whole numbers, or of too many."""
+    order = F.col("val") if by is None else by
+    of = s.select(order.alias("o"), F.col("val").alias("v")).schema
+    whole = of["o"].dataType
+    if isinstance(whole, T.StructType) and of["o"].nullable:
+        return None
+    parts = [(order[f.name], f.dataType) for f in whole.fields] if isinstance(whole, T.StructType) else [(order, whole)]
+    if by is not None:
+        parts.append((F.col("val"), of["v"].dataType))
+    if any(type(kind) not in _BITS for _, kind in parts):
+        return None
+    place = (block - 1).bit_length()
+    total = place + sum(_BITS[type(kind)] for _, kind in parts)
+    if total > 112:  # a decimal's quotient has 32 digits
+        return None
+    wide = "bigint" if total < 64 else "decimal(38,0)"
+    power = lambda n: F.lit(1 << n).cast(wide)
+    least = lambda kind: F.lit(-(1 << (_BITS[type(kind)] - 2))).cast(wide)
+    code = lambda c, kind: F.coalesce(c.cast(wide) - least(kind) + 1, F.lit(0).cast(wide)).cast(wide)
+    value = lambda c, kind: F.when(c > 0, c + least(kind) - 1).cast(kind)
+    split = lambda n, bits: (((n - n % power(bits)) / power(bits)).cast(wide) if wide != "bigint" else F.call_function("shiftright", n, F.lit(bits)), n % power(bits))
+    at = F.pmod(F.col("pos"), F.lit(block))
+    fields = [(code(c, kind), _BITS[type(kind)]) for c, kind in parts]
+    fields.insert(len(fields) - (by is not None), ((F.lit(block - 1) - at if largest else at).cast(wide), place))
+    number = fields[0][0]
+    for c, bits in fields[1:]:
+        number = (number * power(bits) + c).cast(wide)
+
+    def state(n: Column, in_block: Column) -> Column:
+        kind = of["v"].dataType
+        rest, v = split(n, _BITS[type(kind)]) if by is not None else (n, None)
+        o, p = split(rest, place)
+        p = in_block * block + (F.lit(block - 1) - p.cast("long") if largest else p.cast("long"))
+        o, v = (value(o, kind), value(o, kind)) if by is None else (o, value(v, kind))
+        return F.struct(o.alias("o"), (-p if largest else p).alias("p"), v.alias("v"))
+
+    return _Packed(number, F.max if largest else F.min, state)
+
+
+def _blocks(s: DataFrame, state: Column, combine: Combine, block: int, packed: _Packed | None) -> DataFrame:
+    """``(seq_id, at, state)`` of every block, ``at`` its number."""
+    number = F.floor(F.col("pos") / block).alias("__block")
+    if packed is None:
+        found = combine(s.select("seq_id", number, F.col("pos").alias("at"), state.alias("state")), ["seq_id", "__block"])
+    else:
+        found = packed.best(s.select("seq_id", number, packed.number.alias("__n")), "seq_id")
+    return found.select("seq_id", F.col("__block").alias("at"), "state")
+
+
+def _answered(s: DataFrame, q: DataFrame, state: Column, combine: Combine, block: int, size: DataFrame, kept: DataFrame | None = None, packed: _Packed | None = None) -> DataFrame:
     """``(qid, state)``: the merged states of every query's rows; ``kept`` has the nodes."""
     if kept is None:
-        rows = s.select("seq_id", F.floor(F.col("pos") / block).alias("__block"), F.col("pos").alias("at"), state.alias("state"))
-        blocks = combine(rows, ["seq_id", "__block"]).select("seq_id", F.col("__block").alias("at"), "state")
-        kept = nodes(blocks, size, combine, block)
+        kept = nodes(_blocks(s, state, combine, block, packed), size, combine, block)
     inner = pieces(q, block).join(kept, ["seq_id", "level", "node"]).select("qid", (F.col("at") * block).alias("at"), "state")
-    edges = edge_rows(s, q, block).select("qid", F.col("pos").alias("at"), state.alias("state"))
+    if packed is None:
+        edges = edge_rows(s, q, block).select("qid", F.col("pos").alias("at"), state.alias("state"))
+    else:
+        met = edge_rows(s.select("seq_id", "pos", packed.number.alias("__n")), q, block)
+        found = packed.best(met.select("qid", F.floor(F.col("pos") / block).alias("__block"), "__n"), "qid")
+        edges = found.select("qid", (F.col("__block") * block).alias("at"), "state")
     return combine(edges.unionByName(inner), ["qid"]).select("qid", "state")
 
 
@@ -35,7 +108,7 @@ def range_best(s: DataFrame, q: DataFrame, largest: bool = False, strict: bool =
     struct compares by several."""
     q = check_ranges(q, sizes(s)) if strict else q
     entry, pick = _best(largest, by)
-    found = _answered(s, q, entry, by_aggregate(pick), block, sizes(s)).withColumnRenamed("state", "best")
+    found = _answered(s, q, entry, by_aggregate(pick), block, sizes(s), packed=_packed(s, largest, block, by)).withColumnRenamed("state", "best")
     return _named_best(q.select("qid").join(found, "qid", "left"), largest)
 
 

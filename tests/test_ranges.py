@@ -1,6 +1,7 @@
 """Range tables at powers of two against plain scans."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,30 @@ def test_kept_tables_grow(spark, tmp_path, how):
     bad = spark.createDataFrame([(1, 2, 0, 2)], "qid int, seq_id int, start long, end long")
     with pytest.raises(Exception, match="not inside"):
         ranges.RangeIndex.load(spark, path).query(bad).collect()
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "int", "bigint", "double"])
+@pytest.mark.parametrize("largest", [False, True])
+def test_best_of_all_values(spark, kind, largest):
+    """Also nulls, which come first, and the ends of a type; whole numbers are hashed, not sorted."""
+    rng = random.Random(9)
+    end = {"tinyint": 7, "int": 31, "bigint": 63, "double": 40}[kind]
+    values = [None, -(2 ** (end - 1)) * 2, 2**end - 1, 0, -1, 1]
+    seqs = {k: [rng.choice(values) for _ in range(n)] for k, n in ((1, 90), (2, 1), (3, 12))}
+    s = spark.createDataFrame([(k, i, v if v is None or kind != "double" else float(v)) for k, vs in seqs.items() for i, v in enumerate(vs)], f"seq_id int, pos long, val {kind}")
+    rows, q = asked(spark, seqs, rng, 12)
+    low = lambda v: (v is not None, v or 0)
+    bys = {"none": (None, low), "two": (F.struct(F.col("val") % 2, F.col("val") > 0 if kind == "double" else (F.col("val") % 3).cast("tinyint")), None)}
+    for block in (1, 7):
+        for name, (by, key) in bys.items():
+            found = ranges.range_best(s, q, largest, block=block, by=by)
+            if kind == "int":
+                plan = found._jdf.queryExecution().executedPlan().toString()
+                assert re.search(r"HashAggregate\(keys=\[qid#\d+, __block", plan) and re.search(r"HashAggregate\(keys=\[seq_id#\d+, __block", plan)
+            got = {r["qid"]: (r["value"], r["index"]) for r in found.collect()}
+            ordered = s.withColumn("o", F.col("val") if by is None else by).orderBy("seq_id", "pos").collect()
+            for i, k, a, b in rows:
+                part = [r for r in ordered if r["seq_id"] == k][a:b]
+                rank = lambda r: low(r["o"]) if key else tuple(low(x) for x in r["o"])
+                best = (max if largest else min)(part, key=rank)
+                assert got[i] == (best["val"], best["pos"]), (name, block, i)

@@ -283,18 +283,14 @@ def locate_fuzzy(
         for _, piece in pieces:
             likely = likely | F.contains(F.col("text"), F.lit(piece))
     codes, sign = kernels.code_points(pattern), None if wild is None else ord(wild)
+    starts = lambda text: kernels.near_hits(text, pieces, max_distance) if pieces else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, at, size, far = [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                starts = kernels.near_hits(text, pieces, max_distance) if pieces else None
-                p, n, d = kernels.fuzzy(kernels.code_points(text), codes, max_distance, not disable_deletion, not disable_insertion, sign, starts)
-                rows += [i] * len(p)
-                at += p.tolist()
-                size += n.tolist()
-                far += d.tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(far, pa.int32())], names=["doc_id", "position", "length", "edit_distance"])
+            found = kernels.fuzzy_each(b.column(1).to_pylist(), starts, codes, max_distance, not disable_deletion, not disable_insertion, sign)
+            for rows, at, size, far in found:
+                numbers = [pa.array(c.astype("int32")) for c in (at, size, far)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *numbers], names=["doc_id", "position", "length", "edit_distance"])
 
     found = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & likely).mapInArrow(run, schema)
     return _sorted(found, order, "doc_id", "position")

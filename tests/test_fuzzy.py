@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from strandline.functions import kernels
 from strandline.operators import search
 from strandline.operators.fuzzy import locate_fuzzy_each
 from strandline.plans.queries import QUERIES
@@ -48,3 +49,20 @@ def test_items_in_documents(spark, tmp_path):
     got = Counter(tuple(r) for r in QUERIES["text_fuzzy_items"](spark, str(tmp_path)).collect())
     want = Counter((i, *r) for i, p in items if p for r in search.locate_fuzzy(table, p, 2).collect())
     assert got == want and got.total() > 10
+
+
+@pytest.mark.parametrize("distance", [0, 1, 3])
+def test_texts_compared_together(monkeypatch, distance):
+    """Many texts in a call of the kernel, at fewer starts, find what each text alone finds at all."""
+    rng = random.Random(distance)
+    word = lambda n: "".join(rng.choice("ab\U0001f600") for _ in range(n))
+    for together in (1, 40, 10000):
+        monkeypatch.setattr(kernels, "_TOGETHER", together)
+        for _ in range(30):
+            pattern, texts = word(rng.randrange(distance + 1, 12)), [word(rng.choice([0, 1, 5, 40])) for _ in range(6)]
+            cut = [len(pattern) * k // (distance + 1) for k in range(distance + 2)]
+            pieces = [(a, pattern[a:b]) for a, b in zip(cut, cut[1:])]
+            codes = kernels.code_points(pattern)
+            got = [r for part in kernels.fuzzy_each(texts, lambda t: kernels.near_hits(t, pieces, distance), codes, distance) for r in zip(*map(list, part))]
+            assert got == [(i, *r) for i, t in enumerate(texts) for r in zip(*map(list, kernels.fuzzy(kernels.code_points(t), codes, distance)))]
+    assert len(kernels.near_hits("xxabxxxx", [(0, "ab"), (2, "cd"), (4, "ef")], 2)) == 1  # nothing is before the first piece

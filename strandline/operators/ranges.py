@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from strandline.plans.blocks import BLOCK, check_ranges, edge_rows, sizes
 from strandline.plans.dyadic import Combine, by_aggregate, by_fold, depth, nodes, pieces
+from strandline.plans.tables import write_table
 from strandline.sources import store
 
 
@@ -170,6 +171,8 @@ def range_fold(s: DataFrame, q: DataFrame, merge: Callable[[Column, Column], Col
 
 #: Positions in a block of a kept table, which its edges read.
 KEPT_BLOCK = 64
+#: Most sequences of an append whose lengths are sent to every task.
+FEW = 1_000_000
 KIND = "ranges"
 
 
@@ -192,12 +195,15 @@ class RangeIndex:
             return entry, by_aggregate(pick)
         return _state(how), by_aggregate(COMBINED[how])
 
+    @staticmethod
+    def _number(s: DataFrame, how: str, block: int) -> _Packed | None:
+        return _packed(s, how == "best_max", block) if how in ("best_min", "best_max") else None
+
     @classmethod
     def build(cls, s: DataFrame, how: str, block: int = KEPT_BLOCK) -> RangeIndex:
         state, combine = cls._merge(how)
         size = sizes(s)
-        rows = s.select("seq_id", F.floor(F.col("pos") / block).alias("__block"), F.col("pos").alias("at"), state.alias("state"))
-        blocks = combine(rows, ["seq_id", "__block"]).select("seq_id", F.col("__block").alias("at"), "state")
+        blocks = _blocks(s, state, combine, block, cls._number(s, how, block))
         return cls(s.select("seq_id", "pos", "val"), nodes(blocks, size, combine, block), size, how, block)
 
     def append(self, more: DataFrame) -> RangeIndex:
@@ -211,23 +217,25 @@ class RangeIndex:
         state, combine = self._merge(self.how)
         known = self.sizes.groupBy("seq_id").agg(F.sum("size").alias("before"))
         grown = sizes(more).join(known, "seq_id", "left").withColumn("before", F.coalesce("before", F.lit(0)))
-        moved = more.join(grown.select("seq_id", "before"), "seq_id").select("seq_id", (F.col("pos") + F.col("before")).alias("pos"), "val")
+        grown = write_table(grown.select("seq_id", "before", "size"), "grown")  # one row a sequence
+        few = grown.select("seq_id", "before")
+        few = F.broadcast(few) if grown.count() <= FEW else few  # else all new values would move for a number
+        moved = more.join(few, "seq_id").select("seq_id", (F.col("pos") + F.col("before")).alias("pos"), "val")
         total = grown.select("seq_id", "before", (F.col("before") + F.col("size")).alias("size"))
-        rows = moved.select("seq_id", F.floor(F.col("pos") / self.block).alias("__block"), F.col("pos").alias("at"), state.alias("state"))
-        blocks = combine(rows, ["seq_id", "__block"]).select("seq_id", F.col("__block").alias("at"), "state")
+        blocks = _blocks(moved, state, combine, self.block, self._number(moved, self.how, self.block))
         new = nodes(blocks, total.select("seq_id", "size"), combine, self.block)
         of = lambda c: depth(F.ceil(F.col(c) / self.block))
         deeper = total.filter(F.col("before") > 0).select("seq_id", of("before").alias("level"), of("size").alias("to")).filter("level < to")
         roots = self.nodes.filter("node = 0").join(deeper, ["seq_id", "level"])
         above = roots.select("seq_id", F.explode(F.sequence(F.col("level") + 1, "to")).alias("level"), "node", "at", "state")
-        return moved, new.unionByName(above), sizes(more)
+        return moved, new.unionByName(above), grown.select("seq_id", "size")
 
     def query(self, q: DataFrame, strict: bool = True) -> DataFrame:
         """``q(qid, seq_id, start, end)`` to ``(qid, value)``, for ``best_`` with its ``index``."""
         size = self.sizes.groupBy("seq_id").agg(F.sum("size").alias("size"))
         q = check_ranges(q, size) if strict else q
         state, combine = self._merge(self.how)
-        found = q.select("qid").join(_answered(self.data, q, state, combine, self.block, size, self.nodes), "qid", "left")
+        found = q.select("qid").join(_answered(self.data, q, state, combine, self.block, size, self.nodes, self._number(self.data, self.how, self.block)), "qid", "left")
         if self.how.startswith("best_"):
             return _named_best(found.withColumnRenamed("state", "best"), self.how == "best_max")
         return found.withColumnRenamed("state", "value")

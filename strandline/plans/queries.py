@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.patterns import WildcardOptions
@@ -258,9 +258,10 @@ def range_sum(spark, sf_dir):
 
 def _kept_ranges(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     """Built from the first half of every sequence, saved, appended to, loaded, asked."""
-    s = tables.write_table(_lines(spark, sf_dir), "lines")
-    half = F.floor(F.col("size") / 2)
-    cut = s.join(sequence.size(s), "seq_id")
+    # the sort of the lines has whole sequences, so their lengths cost no further move
+    size = F.count(F.lit(1)).over(Window.partitionBy("seq_id"))
+    cut = tables.write_table(_lines(spark, sf_dir).withColumn("size", size), "lines")
+    s, half = cut.drop("size"), F.floor(F.col("size") / 2)
     path = tables.new_path(spark, "ranges")
     ranges.RangeIndex.build(cut.filter(F.col("pos") < half).drop("size"), how).save(path)
     later = cut.filter(F.col("pos") >= half).select("seq_id", (F.col("pos") - half).alias("pos"), "val")

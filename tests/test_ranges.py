@@ -104,3 +104,24 @@ def test_best_of_all_values(spark, kind, largest):
                 rank = lambda r: low(r["o"]) if key else tuple(low(x) for x in r["o"])
                 best = (max if largest else min)(part, key=rank)
                 assert got[i] == (best["val"], best["pos"]), (name, block, i)
+
+
+def test_appended_values_stay_where_they_are(spark, monkeypatch):
+    """The lengths of few sequences are sent to the values; of many, they meet in a join."""
+    rng = random.Random(5)
+    seqs = sequences(rng)
+    rows, q = asked(spark, seqs, rng, 6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (1_000_000, 0):
+            monkeypatch.setattr(ranges, "FEW", few)
+            index = ranges.RangeIndex.build(table(spark, {1: seqs[1][:50], 4: seqs[4][:1]}), "best_max", block=4)
+            assert re.search(r"HashAggregate\(keys=\[seq_id#\d+, __block", index.nodes._jdf.queryExecution().executedPlan().toString())
+            grown = index.append(table(spark, {1: seqs[1][50:], 2: seqs[2], 3: seqs[3], 4: seqs[4][1:]}))
+            plan = grown.data._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (few > 0, few == 0)
+            got = {r["qid"]: (r["value"], r["index"]) for r in grown.query(q).collect()}
+            assert got == {i: (max(seqs[k][a:b]), a + seqs[k][a:b].index(max(seqs[k][a:b]))) for i, k, a, b in rows}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

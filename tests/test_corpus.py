@@ -118,3 +118,38 @@ def test_grams_are_handed_over_in_pieces(spark, monkeypatch):
     gram_index._least_grams(Rows(), ["row"], "text", 8, 8)
     assert len(handed) > 3 and max(pa.compute.sum(pa.compute.list_value_length(h.column(2))).as_py() for h in handed) < 160
     assert sorted(set(r for h in handed for r in h.column(0).to_pylist())) == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("least", [1, 3, 8, 13])
+def test_lengths_are_tried(spark, monkeypatch, least):
+    """What more characters take in place of the order of suffixes gives the same stretches."""
+    monkeypatch.setattr(corpus, "_FEW", -1)
+    monkeypatch.setattr(corpus, "suffix_order", None)
+    rows = corpora()
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    got = corpus.shared_stretches(docs, F.col("doc_id") % 50 == 0, least).collect()
+    assert Counter(tuple(r)[:3] for r in got) == plain(rows, lambda i: i is not None and i % 50 == 0, least)
+    for r in got:
+        parts = {t[r["position"] : r["position"] + r["length"]] for i, t in rows if i == r["doc_id"] and t}
+        assert parts & {t[r["other_position"] : r["other_position"] + r["length"]] for i, t in rows if i == r["other_id"] and t}
+    assert corpus.shared_stretches(docs.limit(0), F.lit(True), least).count() == 0
+
+
+def test_long_stretches_take_few_rounds(spark, monkeypatch):
+    """Near copies of some thousand characters: no order of suffixes, four rounds of lengths, and few rows."""
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(9000))
+    changed = lambda at: base[:at] + "#" + base[at + 1 :]
+    rows = [(0, base), (1, changed(5000)), (2, changed(7000)[100:7777]), (3, None), (4, base[:45])]
+    tried, plain = [], corpus._tried
+
+    def counted(*arguments):
+        tried.append(plain(*arguments))
+        return tried[-1]
+
+    monkeypatch.setattr(corpus, "suffix_order", None)
+    monkeypatch.setattr(corpus, "_tried", counted)
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    got = sorted(tuple(r) for r in corpus.shared_stretches(docs, F.col("doc_id") % 50 == 0, 40).collect())
+    assert got == [(0, 0, 5000, 1, 0), (0, 100, 6900, 2, 0), (0, 5001, 3999, 1, 5001)]
+    assert len(tried) <= 4 and sum(t.count() for t in tried) < 2000

@@ -40,6 +40,12 @@ def _shift(name: str, x: Column, by: Column) -> Column:
     return F.call_function(name, x, by.cast("int"))
 
 
+def _met(one: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the sequences.  Neither may go through the driver: a
+    sorted table's compressed file is small enough to be sent whole with millions of rows."""
+    return one.join(other.hint("merge"), on, how)
+
+
 @dataclass
 class ValueIndex:
     """``words(seq_id, level, word, bits, zeros)``, ``sizes(seq_id, size)``, and ``codes(seq_id,
@@ -56,22 +62,22 @@ class ValueIndex:
         size = write_table(s.groupBy("seq_id").agg(F.count(F.lit(1)).alias("size")), "sizes")
         numbered = write_table(global_positions(s.select("seq_id", "val").distinct(), ["seq_id", "val"], "g"), "values")
         first = numbered.groupBy("seq_id").agg(F.min("g").alias("first"))
-        codes = write_table(numbered.join(first, "seq_id").select("seq_id", "val", (F.col("g") - F.col("first")).alias("code")), "codes")
+        codes = write_table(_met(numbered, first, "seq_id").select("seq_id", "val", (F.col("g") - F.col("first")).alias("code")), "codes")
         depth = max(1, int(codes.agg(F.max("code")).first()[0] or 0).bit_length())
         turned = F.conv(F.reverse(F.lpad(F.bin("code"), depth, "0")), 2, 10).cast("long")
-        rows = s.join(codes.select("seq_id", "val", turned.alias("turned")), ["seq_id", "val"]).select("seq_id", "pos", "turned", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
+        rows = _met(s, codes.select("seq_id", "val", turned.alias("turned")), ["seq_id", "val"]).select("seq_id", "pos", "turned", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
         mask = _shift("shiftleft", F.lit(1).cast("long"), F.col("level")) - 1
         rows = rows.select("seq_id", "level", F.col("turned").bitwiseAND(mask).alias("key"), "pos", _shift("shiftright", F.col("turned"), F.col("level")).bitwiseAND(F.lit(1).cast("long")).alias("bit"))
         placed = global_positions(rows, ["seq_id", "level", "key", "pos"], "g", keep=["seq_id", "level", "bit"])
         base = placed.groupBy("seq_id", "level").agg(F.min("g").alias("base"))
         at = F.col("g") - F.col("base")
-        packed = placed.join(base, ["seq_id", "level"]).select("seq_id", "level", F.floor(at / WORD).alias("word"), _shift("shiftleft", F.col("bit"), at % WORD).alias("bit"), (1 - F.col("bit")).alias("zero"))
+        packed = _met(placed, base, ["seq_id", "level"]).select("seq_id", "level", F.floor(at / WORD).alias("word"), _shift("shiftleft", F.col("bit"), at % WORD).alias("bit"), (1 - F.col("bit")).alias("zero"))
         words = packed.groupBy("seq_id", "level", "word").agg(F.bit_or("bit").alias("bits"), F.sum("zero").alias("n"))
         # a range may end where a word begins: there is one more word behind full ones
         behind = size.filter(F.col("size") % WORD == 0).select("seq_id", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"), F.floor(F.col("size") / WORD).alias("word"), F.lit(0).cast("long").alias("bits"), F.lit(0).cast("long").alias("n"))
         summed = write_table(sums_before(words.unionByName(behind), ["seq_id", "level", "word"]), "words")
         start = summed.groupBy("seq_id", "level").agg(F.min("s").alias("start"), F.sum("n").alias("all"))
-        out = summed.join(start, ["seq_id", "level"]).select("seq_id", "level", "word", "bits", (F.col("s") - F.col("start")).alias("zeros"), F.col("all").alias("level_zeros"))
+        out = _met(summed, start, ["seq_id", "level"]).select("seq_id", "level", "word", "bits", (F.col("s") - F.col("start")).alias("zeros"), F.col("all").alias("level_zeros"))
         return cls(write_table(out, "value-words"), size, codes, depth)
 
     def save(self, path: str) -> None:
@@ -88,7 +94,7 @@ class ValueIndex:
     def _zeros(self, rows: DataFrame, level: int, at: str) -> DataFrame:
         """Adds ``__z_at``, the zeros before a position of a level: one row of the table."""
         own = self.words.filter(F.col("level") == level).select("seq_id", F.col("word").alias("__word"), "bits", "zeros", F.col("level_zeros").alias(f"__all_{at}"))
-        rows = rows.withColumn("__word", F.floor(F.col(at) / WORD)).join(own, ["seq_id", "__word"])
+        rows = _met(rows.withColumn("__word", F.floor(F.col(at) / WORD)), own, ["seq_id", "__word"])
         low = F.col("bits").bitwiseAND(_shift("shiftleft", F.lit(1).cast("long"), F.col(at) % WORD) - 1)
         return rows.withColumn(f"__z_{at}", F.col("zeros") + F.col(at) % WORD - F.bit_count(low)).drop("__word", "bits", "zeros")
 
@@ -104,7 +110,7 @@ class ValueIndex:
         return moved.drop("__z_lo", "__z_hi", "__all_lo", "__all_hi", "__in", "__high")
 
     def _asked(self, q: DataFrame, strict: bool) -> DataFrame:
-        return check_ranges(q, self.sizes) if strict else q
+        return check_ranges(q, self.sizes.hint("merge")) if strict else q
 
     def _kth(self, rows: DataFrame) -> DataFrame:
         """``rows(qid, seq_id, lo, hi, k)`` to ``(qid, val)``; those with no such value go."""
@@ -115,7 +121,7 @@ class ValueIndex:
             rows = self._step(rows, level, high, k=k, code=F.col("code") * 2 + F.col("__high").cast("long"))
             if level % 6 == 5:
                 rows = write_table(rows, "descent")
-        return rows.select("qid", "seq_id", "code").join(self.codes, ["seq_id", "code"]).select("qid", "val")
+        return _met(rows.select("qid", "seq_id", "code"), self.codes, ["seq_id", "code"]).select("qid", "val")
 
     def _below(self, q: DataFrame, value: str, name: str, through: bool = False) -> DataFrame:
         """``q(qid, seq_id, start, end, value)`` with ``name``, the elements of the range below
@@ -125,8 +131,8 @@ class ValueIndex:
         before = write_table(sums_before(merged, ["seq_id", "val"]), "codes-before")
         base = before.groupBy("seq_id").agg(F.min("s").alias("base"))
         own = F.col("n") if through else F.lit(0)
-        bound = before.join(base, "seq_id").select("seq_id", F.col("val").alias(value), (F.col("s") - F.col("base") + own).alias("code"))
-        rows = q.join(bound, ["seq_id", value]).select("qid", "seq_id", F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), "code", F.lit(0).cast("long").alias("below"))
+        bound = _met(before, base, "seq_id").select("seq_id", F.col("val").alias(value), (F.col("s") - F.col("base") + own).alias("code"))
+        rows = _met(q, bound, ["seq_id", value]).select("qid", "seq_id", F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), "code", F.lit(0).cast("long").alias("below"))
         past = rows.filter(F.col("code") >= 1 << self.depth).select("qid", (F.col("hi") - F.col("lo")).alias(name))
         rows = rows.filter(F.col("code") < 1 << self.depth)
         for level in range(self.depth):
@@ -134,7 +140,7 @@ class ValueIndex:
             rows = self._step(rows, level, high, below=F.col("below") + F.when(F.col("__high"), F.col("__in")).otherwise(F.lit(0)))
             if level % 6 == 5:
                 rows = write_table(rows, "descent")
-        return q.join(rows.select("qid", F.col("below").alias(name)).unionByName(past), "qid", "left")
+        return _met(q, rows.select("qid", F.col("below").alias(name)).unionByName(past), "qid", "left")
 
     def _halves(self, rows: DataFrame, level: int) -> DataFrame:
         """``rows(…, lo, hi, code)`` to both halves of their values at the next level, if they
@@ -161,7 +167,7 @@ class ValueIndex:
                 dive = write_table(dive, "dive")
         last = F.min(F.struct((F.col("hi") - F.col("lo")).alias("n"), "code")).alias("last")
         bound = dive.groupBy("qid", "k").agg(F.count(F.lit(1)).alias("have"), last).filter("have = k").select("qid", F.col("last.n").alias("least"), F.col("last.code").alias("least_code"))
-        rows = whole.join(write_table(bound, "bounds"), "qid", "left")
+        rows = _met(whole, write_table(bound, "bounds"), "qid", "left")
         for level in range(self.depth):
             rows = self._halves(rows, level)
             n, left = F.col("hi") - F.col("lo"), self.depth - 1 - level
@@ -179,7 +185,7 @@ class ValueIndex:
         """``q(qid, seq_id, start, end, k)`` to the k-th smallest value (from 0)."""
         q = self._asked(q, strict)
         found = self._kth(q.select("qid", "seq_id", F.col("start").alias("lo"), F.col("end").alias("hi"), "k"))
-        return q.select("qid").join(found, "qid", "left").select("qid", F.col("val").alias("value"))
+        return _met(q.select("qid"), found, "qid", "left").select("qid", F.col("val").alias("value"))
 
     def range_freq(self, q: DataFrame, strict: bool = True) -> DataFrame:
         """``q(…, start, end, min_value, max_value)`` to the elements between."""
@@ -192,22 +198,22 @@ class ValueIndex:
         q = self._asked(q, strict).select("qid", "seq_id", "start", "end", "value")
         rows = self._below(q, "value", "__n").select("qid", "seq_id", F.col("start").alias("lo"), F.col("end").alias("hi"), (F.col("__n") - 1).alias("k"))
         found = self._kth(rows)
-        return q.select("qid").join(found, "qid", "left").select("qid", F.col("val").alias("value"), F.col("val").isNotNull().alias("found"))
+        return _met(q.select("qid"), found, "qid", "left").select("qid", F.col("val").alias("value"), F.col("val").isNotNull().alias("found"))
 
     def larger_value(self, q: DataFrame, strict: bool = True) -> DataFrame:
         """``q(…, start, end, value)`` to the smallest value above, and ``found``."""
         q = self._asked(q, strict).select("qid", "seq_id", "start", "end", "value")
         rows = self._below(q, "value", "__n", through=True).select("qid", "seq_id", F.col("start").alias("lo"), F.col("end").alias("hi"), F.col("__n").alias("k"))
         found = self._kth(rows)
-        return q.select("qid").join(found, "qid", "left").select("qid", F.col("val").alias("value"), F.col("val").isNotNull().alias("found"))
+        return _met(q.select("qid"), found, "qid", "left").select("qid", F.col("val").alias("value"), F.col("val").isNotNull().alias("found"))
 
     def top_k(self, q: DataFrame, strict: bool = True) -> DataFrame:
         """``q(…, start, end, k)`` to at most k rows (value, frequency, place from 1): by
         falling frequency, then falling value; none for an empty range or a k below 1."""
         found = self._most_frequent(self._asked(q, strict).select("qid", "seq_id", "start", "end", "k"))
-        return found.join(self.codes, ["seq_id", "code"]).select("qid", F.col("val").alias("value"), "frequency", "place")
+        return _met(found, self.codes, ["seq_id", "code"]).select("qid", F.col("val").alias("value"), "frequency", "place")
 
     def range_mode(self, q: DataFrame, strict: bool = True) -> DataFrame:
         """The most frequent value of each range that is not empty; of tied ones the largest."""
         one = self._asked(q, strict).select("qid", "seq_id", "start", "end", F.lit(1).alias("k"))
-        return self._most_frequent(one).join(self.codes, ["seq_id", "code"]).select("qid", F.col("val").alias("value"), "frequency")
+        return _met(self._most_frequent(one), self.codes, ["seq_id", "code"]).select("qid", F.col("val").alias("value"), "frequency")

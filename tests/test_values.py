@@ -100,3 +100,19 @@ def test_row_numbers_move_rows_once(spark):
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted((r["v"], r["n"]) for r in found.collect())
     assert found.columns == ["v", "id", "n"] and [n for _, n in got] == list(range(3, 5003))
+
+
+@pytest.mark.parametrize("name", ["quantile", "range_freq", "smaller_value", "larger_value", "top_k", "range_mode"])
+def test_nothing_that_grows_goes_through_the_driver(spark, monkeypatch, name):
+    """Only the partitions' offsets are sent whole, however small the tables' files are."""
+    from strandline.plans import value_levels
+
+    s = spark.range(400).selectExpr("id % 2 as seq_id", "id div 2 as pos", "id * 7 % 5 as val")
+    plans, plain = [], value_levels.write_table
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(value_levels, "write_table", lambda df, *a, **b: plans.append(plan(df)) or plain(df, *a, **b))
+    q = spark.range(4).selectExpr("id as qid", "id % 2 as seq_id", "5 as start", "150 + id as end", "2 as k", "3L as value", "1L as min_value", "4L as max_value")
+    plans.append(plan(getattr(ValueIndex.build(s), name)(q)))
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans)
+    assert [line for line in joins if "[__part#" not in line] == []
